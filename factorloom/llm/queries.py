@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from .bpe import op7_bpe
+from .langid import op9_langid
+from .quality_gam import op8_quality_gam
 
 QUERIES = {
     "op7_bpe": op7_bpe,
+    "op8_quality_gam": op8_quality_gam,
+    "op9_langid": op9_langid,
 }
 
 ORACLES: dict[str, str] = {}
