@@ -5,8 +5,10 @@ from __future__ import annotations
 from .bpe import op7_bpe
 from .langid import op9_langid
 from .quality_gam import op8_quality_gam
+from .quality_rules import op5_quality_rules
 
 QUERIES = {
+    "op5_quality_rules": op5_quality_rules,
     "op7_bpe": op7_bpe,
     "op8_quality_gam": op8_quality_gam,
     "op9_langid": op9_langid,
