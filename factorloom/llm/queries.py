@@ -6,8 +6,10 @@ from .bpe import op7_bpe
 from .langid import op9_langid
 from .quality_gam import op8_quality_gam
 from .quality_rules import op5_quality_rules
+from .url_rules import op2_url_rules
 
 QUERIES = {
+    "op2_url_rules": op2_url_rules,
     "op5_quality_rules": op5_quality_rules,
     "op7_bpe": op7_bpe,
     "op8_quality_gam": op8_quality_gam,
