@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op7_bpe
+from .ctw import op1_ctw
 from .decontaminate import op4_decontaminate
 from .langid import op9_langid
 from .quality_gam import op8_quality_gam
@@ -10,6 +11,7 @@ from .quality_rules import op5_quality_rules
 from .url_rules import op2_url_rules
 
 QUERIES = {
+    "op1_ctw": op1_ctw,
     "op2_url_rules": op2_url_rules,
     "op4_decontaminate": op4_decontaminate,
     "op5_quality_rules": op5_quality_rules,
