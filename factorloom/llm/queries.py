@@ -6,6 +6,7 @@ from .bpe import op7_bpe
 from .ctw import op1_ctw
 from .decontaminate import op4_decontaminate
 from .langid import op9_langid
+from .near_dedup import op3_near_dedup
 from .quality_gam import op8_quality_gam
 from .quality_rules import op5_quality_rules
 from .url_rules import op2_url_rules
@@ -13,6 +14,7 @@ from .url_rules import op2_url_rules
 QUERIES = {
     "op1_ctw": op1_ctw,
     "op2_url_rules": op2_url_rules,
+    "op3_near_dedup": op3_near_dedup,
     "op4_decontaminate": op4_decontaminate,
     "op5_quality_rules": op5_quality_rules,
     "op7_bpe": op7_bpe,
