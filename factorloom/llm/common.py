@@ -52,3 +52,18 @@ def batches_of(batch_iter, columns: list[str]) -> Iterator[tuple]:
     for batch in batch_iter:
         if batch.num_rows:
             yield tuple(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in columns)
+
+
+#: Entries of lists that are broadcast at most; each is a few numbers.
+FEW_ENTRIES = 2_000_000
+
+
+def text_key(key: str, text: str):
+    """Columns id and of: what tells rows apart, also where rows of one id have different texts."""
+    return [F.col(key).cast("long").alias("id"), F.xxhash64(text).alias("of")]
+
+
+def with_lists(rows: DataFrame, lists: DataFrame, entries: int, how: str) -> DataFrame:
+    """rows with the list of their (id, of); the lists are broadcast while their entries are counted and few."""
+    lists = lists.withColumnsRenamed({"id": "_id", "of": "_of"})
+    return rows.join(F.broadcast(lists) if entries <= FEW_ENTRIES else lists, F.col("id").eqNullSafe(F.col("_id")) & (F.col("of") == F.col("_of")), how).drop("_id", "_of")

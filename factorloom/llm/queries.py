@@ -9,6 +9,7 @@ from .langid import op9_langid
 from .near_dedup import op3_near_dedup
 from .quality_gam import op8_quality_gam
 from .quality_rules import op5_quality_rules
+from .substring_dedup import op6_substring_dedup
 from .url_rules import op2_url_rules
 
 QUERIES = {
@@ -17,6 +18,7 @@ QUERIES = {
     "op3_near_dedup": op3_near_dedup,
     "op4_decontaminate": op4_decontaminate,
     "op5_quality_rules": op5_quality_rules,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_bpe": op7_bpe,
     "op8_quality_gam": op8_quality_gam,
     "op9_langid": op9_langid,
