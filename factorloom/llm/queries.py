@@ -6,6 +6,7 @@ from .bpe import op7_bpe
 from .ctw import op1_ctw
 from .decontaminate import op4_decontaminate
 from .langid import op9_langid
+from .line_dedup import op10_line_dedup
 from .near_dedup import op3_near_dedup
 from .quality_gam import op8_quality_gam
 from .quality_rules import op5_quality_rules
@@ -22,6 +23,7 @@ QUERIES = {
     "op7_bpe": op7_bpe,
     "op8_quality_gam": op8_quality_gam,
     "op9_langid": op9_langid,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLES: dict[str, str] = {}
