@@ -12,7 +12,7 @@ repeat are each judged. Columns of the input stay, but for those that judge() ad
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import SPACE_CLASS, WORD, checkpointed, table
@@ -42,23 +42,32 @@ def measured(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"symbol_share": F.col("n_symbols") / chars, "upper_share": F.col("_upper") / chars, "mean_word": F.col("word_chars") / F.nullif(F.col("n_words"), F.lit(0))})
 
 
+def held(value: Column, use) -> Column:
+    """use(value) with value evaluated once for each row, wherever the optimizer moves the expression."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def twice_covered(words: Column) -> Column:
+    """How many words stand in five-word windows that occur twice or more. Only texts with equal hashes of windows are looked at again, on the windows themselves."""
+    starts = F.when(F.size(words) >= 5, F.sequence(F.lit(0), F.size(words) - 5)).otherwise(F.array().cast("array<int>"))
+    hashes = F.transform(starts, lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(5)]))
+    windows = F.sort_array(F.transform(starts, lambda i: F.struct(F.concat_ws(" ", F.slice(words, i + 1, 5)).alias("w"), i.alias("i"))))
+
+    def covered(found: Column) -> Column:
+        text_at = lambda k: F.coalesce(F.get(found, k)["w"], F.lit(""))
+        twice = F.filter(found, lambda x, k: (x["w"] == text_at(k + 1)) | (x["w"] == text_at(k - 1)))
+        places = F.sort_array(F.transform(twice, lambda x: x["i"]))
+        return F.aggregate(places, F.struct(F.lit(-5).alias("last"), F.lit(0).alias("n")), lambda a, i: F.struct(i.alias("last"), (a["n"] + F.least(F.lit(5), i - a["last"])).alias("n")))["n"]
+
+    return held(hashes, lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), held(windows, covered)).otherwise(0))
+
+
 def repeats(docs: DataFrame, text: str) -> DataFrame:
-    """n_dup_lines and n_repeat_words. Texts with equal hashes of windows are counted on the windows themselves."""
+    """n_dup_lines and n_repeat_words."""
     t = F.coalesce(F.col(text), F.lit(""))
-    docs = docs.withColumn("_lines", F.filter(F.split(t, "\n"), lambda x: x.rlike(f"[^{SPACE_CLASS}]"))).withColumn("_words", F.regexp_extract_all(t, F.lit(f"({WORD})")))
-    starts = F.when(F.size("_words") >= 5, F.sequence(F.lit(0), F.size("_words") - 5)).otherwise(F.array().cast("array<int>"))
-    word = lambda i, k: F.get(F.col("_words"), i + k)
-    docs = docs.withColumn("_hashes", F.transform(starts, lambda i: F.xxhash64(*[word(i, k) for k in range(5)])))
-    docs = docs.withColumn("_again", F.size(F.array_distinct("_hashes")) < F.size("_hashes"))
-    # For the few texts with windows that may repeat: windows in order, those equal to a neighbour, and the words they cover.
-    windows = F.when(F.col("_again"), F.sort_array(F.transform(starts, lambda i: F.struct(F.concat_ws(" ", F.slice("_words", i + 1, 5)).alias("w"), i.alias("i")))))
-    docs = docs.withColumn("_windows", windows)
-    text_at = lambda k: F.get(F.col("_windows"), k)["w"]
-    twice = F.filter(F.col("_windows"), lambda x, k: (x["w"] == F.coalesce(text_at(k + 1), F.lit(""))) | (x["w"] == F.coalesce(text_at(k - 1), F.lit(""))))
-    docs = docs.withColumn("_twice", F.sort_array(F.transform(twice, lambda x: x["i"])))
-    covered = F.aggregate(F.col("_twice"), F.struct(F.lit(-5).alias("last"), F.lit(0).alias("n")), lambda a, i: F.struct(i.alias("last"), (a["n"] + F.least(F.lit(5), i - a["last"])).alias("n")))["n"]
-    docs = docs.withColumns({"n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"), "n_repeat_words": F.coalesce(covered, F.lit(0)).cast("long")})
-    return docs.drop("_lines", "_words", "_hashes", "_again", "_windows", "_twice")
+    lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(f"[^{SPACE_CLASS}]"))
+    again = held(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))
+    return docs.withColumns({"n_dup_lines": again.cast("long"), "n_repeat_words": held(F.regexp_extract_all(t, F.lit(f"({WORD})")), twice_covered).cast("long")})
 
 
 def thresholds(docs: DataFrame, text: str, lang: str, source: str, *, reach: float, least_group: int, k: int) -> DataFrame:
