@@ -67,3 +67,12 @@ def with_lists(rows: DataFrame, lists: DataFrame, entries: int, how: str) -> Dat
     """rows with the list of their (id, of); the lists are broadcast while their entries are counted and few."""
     lists = lists.withColumnsRenamed({"id": "_id", "of": "_of"})
     return rows.join(F.broadcast(lists) if entries <= FEW_ENTRIES else lists, F.col("id").eqNullSafe(F.col("_id")) & (F.col("of") == F.col("_of")), how).drop("_id", "_of")
+
+
+def written(df: DataFrame, folder: str) -> DataFrame:
+    """df written as Parquet to a new folder below the checkpoint folder, and read again."""
+    spark = df.sparkSession
+    use_checkpoints(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/{folder}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
