@@ -1,7 +1,8 @@
-"""Registered queries: each takes (spark, sf_dir); ORACLES has the SQL that gives the same rows."""
+"""All registered queries: each takes (spark, sf_dir); ORACLES has the SQL that gives the same rows."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from . import kernel_queries, label_queries, portfolio_queries, quality_queries, relational_queries, series_queries, source_queries  # noqa: F401
+from .catalog import ORACLES, QUERIES  # noqa: F401
+
 FLAGSHIP = "g05_daily_factor_returns"
