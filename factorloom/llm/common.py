@@ -55,7 +55,7 @@ def batches_of(batch_iter, columns: list[str]) -> Iterator[tuple]:
 
 
 #: Entries of lists that are broadcast at most; each is a few numbers.
-FEW_ENTRIES = 2_000_000
+FEW_ENTRIES = 200_000
 
 
 def text_key(key: str, text: str):

@@ -6,9 +6,9 @@ shingles into one bin in turn, so every coordinate fills. Equal coordinates esti
 bounds. Bands of coordinates give buckets, and links are confirmed on full sets.
 
 Documents with equal sets are one class first, so groups of copies of any size are one row. In each bucket all classes are
-compared with the smallest id there (a star, linear in the bucket). After components are known, only buckets that still
-hold several components are left; these are compared in blocks of bounded size, each pair of blocks in a group of its own,
-and what a block finds is links, not pairs. So no link between bucket mates is lost and no group is collected unbounded.
+compared with the smallest and the largest id there (two stars, linear in the bucket). After components are known, only
+buckets that still hold several components are left; there members of the largest component meet the others, and those
+each other, in blocks of bounded size, each pair of blocks in a group of its own; what a block finds is links, not pairs. So no link between bucket mates is lost and no group is collected unbounded.
 
 A pair at similarity 0.75 meets in no bucket with probability (1 - 0.75^4)^40, 3e-7. Sets hold 64-bit hashes.
 
@@ -29,7 +29,8 @@ from .graph import components
 
 SHINGLE = 5
 BANDS, ROWS = 40, 4
-BLOCK = 64
+#: Items of sets in a block, and in a chunk of a bucket's largest label.
+BLOCK, CHUNK = 200_000, 400_000
 MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -164,29 +165,41 @@ def links_in_block(ids: list, sides: list, labels: list, sets: list, percent: in
 
 
 def rest(buckets: DataFrame, labels: DataFrame, docs: DataFrame, key: str, text: str, percent: int) -> DataFrame:
-    """Links (a, b) between different labels within buckets (bucket, id) that hold several."""
+    """Links (a, b) between different labels within buckets (bucket, id, n) that hold several.
+
+    Members of a bucket's largest label need no look at each other, so they are dealt into chunks that meet the blocks of
+    the other members; these also meet each other. Rows grow with the largest label times the blocks of the others.
+    """
     labelled = buckets.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-    sums = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("who"))
+    by_label = labelled.groupBy("bucket", "label").agg(F.sum("n").alias("items"), F.count("*").alias("members"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("who"))
+    sums = by_label.groupBy("bucket").agg(F.count("*").alias("labels"), F.sum("items").alias("items"), F.sum("members").alias("members"), F.max(F.struct("items", "label")).alias("main"), F.sum("who").alias("who"))
     # Buckets with the same members are one.
-    open_buckets = checkpointed(sums.where("low <> high").groupBy("n", "who").agg(F.min("bucket").alias("bucket")))
-    members = checkpointed(labelled.join(open_buckets.select("bucket", "n"), "bucket"))
+    several = sums.where("labels > 1").groupBy("members", "who").agg(F.min(F.struct("bucket", "main", "items")).alias("b"))
+    parts = lambda items, most: F.ceil(items / F.lit(most)).cast("long")
+    open_buckets = checkpointed(several.select("b.bucket", F.col("b.main.label").alias("main"), parts(F.col("b.main.items"), CHUNK).alias("chunks"), parts(F.col("b.items") - F.col("b.main.items"), BLOCK).alias("blocks")))
+    members = checkpointed(labelled.join(open_buckets, "bucket"))
     if members.isEmpty():
         return members.select(F.col("id").alias("a"), F.col("id").alias("b"))
-    blocks = F.ceil(F.col("n") / BLOCK)
-    dealt = members.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id", "bucket"), F.col("blocks")))
-    with_each = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    group = with_each.select("bucket", "id", "label", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"))
+    is_main = F.col("label") == F.col("main")
+    own = F.pmod(F.xxhash64("id", "bucket"), F.when(is_main, F.col("chunks")).otherwise(F.col("blocks")))
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    cell = lambda kind, x, y, side: F.struct(F.lit(kind).alias("kind"), x.alias("x"), y.alias("y"), side.alias("side"))
+    against_blocks = F.transform(upto(F.col("blocks")), lambda y: cell("main", F.col("own"), y, F.lit(1)))
+    against_chunks = F.transform(upto(F.col("chunks")), lambda x: cell("main", x, F.col("own"), F.lit(0)))
+    among = F.transform(upto(F.col("blocks")), lambda y: cell("others", F.least("own", y), F.greatest("own", y), F.when(F.col("own") <= y, 0).otherwise(1)))
+    cells = F.when(is_main, against_blocks).otherwise(F.concat(against_chunks, among))
+    group = members.withColumn("own", own).select("bucket", "id", "label", F.explode(cells).alias("cell")).select("bucket", "id", "label", "cell.*")
     sets = needed_sets(docs, members.select("id").distinct(), key, text)
     rows = group.join(sets, "id")
 
     def compare(pdf):
         import pandas as pd
 
-        within = pdf["x"].iloc[0] == pdf["y"].iloc[0]
+        within = pdf["kind"].iloc[0] == "others" and pdf["x"].iloc[0] == pdf["y"].iloc[0]
         found = links_in_block(pdf["id"].tolist(), [0] * len(pdf) if within else pdf["side"].tolist(), pdf["label"].tolist(), [s.tolist() for s in pdf["items"]], percent)
         return pd.DataFrame(found, columns=["a", "b"])
 
-    return rows.groupBy("bucket", "x", "y").applyInPandas(compare, "a long, b long")
+    return rows.groupBy("bucket", "kind", "x", "y").applyInPandas(compare, "a long, b long")
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", *, percent: int = 75) -> DataFrame:
@@ -194,14 +207,18 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", *, percent:
     rows = checkpointed(sketched(docs, key, text))
     usable = rows.where("n > 0 and id is not null")
     classes = checkpointed(usable.groupBy("n", "set_hash").agg(F.min("id").alias("rep"), F.first("bands").alias("bands")))
-    banded = classes.select(F.col("rep").alias("id"), F.explode("bands").alias("bucket"))
-    shared = checkpointed(banded.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("bucket", "low"))
+    banded = classes.select(F.col("rep").alias("id"), "n", F.explode("bands").alias("bucket"))
+    shared = checkpointed(banded.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("members")).where("low <> high"))
     buckets = checkpointed(banded.join(shared, "bucket"))
-    star = checkpointed(buckets.where("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b")).distinct())
+    to_low = buckets.where("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b"))
+    to_high = buckets.where("id <> low and id <> high").select(F.col("id").alias("a"), F.col("high").alias("b"))
+    star = checkpointed(to_low.union(to_high).distinct())
     sets = checkpointed(needed_sets(docs, star.select(F.col("a").alias("id")).union(star.select("b")).distinct(), key, text))
     links = checkpointed(confirmed(star, sets, percent))
     labels = components(links)
-    more = checkpointed(rest(buckets.select("bucket", "id"), labels, docs, key, text, percent))
+    # The smallest and the largest id have met everyone; of three members or fewer no pair is left.
+    open_members = buckets.where("members > 3 and id <> low and id <> high").select("bucket", "id", "n")
+    more = checkpointed(rest(open_members, labels, docs, key, text, percent))
     if not more.isEmpty():
         labels = components(links.union(more))
     named = classes.select("n", "set_hash", "rep").join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select(F.col("n").alias("_n"), F.col("set_hash").alias("_s"), F.coalesce("label", "rep").alias("component"))

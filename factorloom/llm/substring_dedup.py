@@ -18,6 +18,8 @@ so their windows repeat; rows of one id with different texts are told apart by a
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -25,11 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .automaton import SuffixAutomaton
-from .common import batches_of, checkpointed, table, text_key, with_lists
+from .common import batches_of, checkpointed, table, text_key, with_lists, written
 from .near_dedup import HASHES, mix
 
 WIDTH = 35
 ANCHOR = 8
+#: Documents whose ids are broadcast at most.
+FEW_DOCUMENTS = 500_000
 
 
 def split_words(text: str | None) -> list[bytes]:
@@ -88,7 +92,10 @@ def passages(rows: DataFrame, where: DataFrame, width: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.string())], names=["anchor", "passage", "n", "words"])
 
     # Rows that repeat give a passage twice.
-    found = with_lists(rows, lists, where.count(), "inner").select("text", "wanted").mapInArrow(run, "anchor long, passage long, n long, words string")
+    few = lists.count() <= FEW_DOCUMENTS
+    ids = lists.select(F.col("id").alias("_i"), F.col("of").alias("_o"))
+    needed = rows.join(F.broadcast(ids), F.col("id").eqNullSafe(F.col("_i")) & (F.col("of") == F.col("_o")), "left_semi") if few else rows
+    found = with_lists(needed, lists, where.count(), "inner").select("text", "wanted").mapInArrow(run, "anchor long, passage long, n long, words string")
     return found.dropDuplicates(["anchor", "passage"])
 
 
@@ -143,15 +150,17 @@ def by_counting(found: DataFrame, width: int) -> DataFrame:
     return each.join(often, "window").groupBy("anchor", "passage").agg(F.bit_or(F.expr("shiftleft(1L, i)")).alias("mask"))
 
 
-def repeats(docs: DataFrame, key: str, text: str, *, width: int = WIDTH, most: int = 256) -> DataFrame:
+def repeats(docs: DataFrame, key: str, text: str, *, width: int = WIDTH, most: int = 1024) -> DataFrame:
     """(id, of, spots): of each document with repeated windows their starts, as (lo, mask): bit k for the window at lo + k."""
     if width - ANCHOR + 1 > 62 or width <= ANCHOR:
         raise ValueError(f"width must be from {ANCHOR + 1} to {ANCHOR + 61}")
     rows = keyed(docs, key, text)
-    found = checkpointed(anchored(rows, width))
-    sums = found.groupBy("anchor").agg(F.count("*").alias("times"), F.min("passage").alias("low"), F.max("passage").alias("high")).where("times > 1")
-    again = checkpointed(sums.select("anchor", (F.col("low") != F.col("high")).alias("mixed")))
-    hits = checkpointed(found.join(again, "anchor"))
+    name = f"repeats-{uuid.uuid4().hex}"
+    found = written(anchored(rows, width), f"{name}/anchors")
+    again = checkpointed(found.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor"))
+    hits = written(found.join(again, "anchor"), f"{name}/hits")
+    mixed = hits.groupBy("anchor").agg(F.min("passage").alias("low"), F.max("passage").alias("high")).select("anchor", (F.col("low") != F.col("high")).alias("mixed"))
+    hits = hits.join(checkpointed(mixed), "anchor")
     clear = hits.where("not mixed").select("id", "of", "lo", F.expr("shiftleft(1L, hi - lo + 1) - 1").alias("mask"))
     distinct = checkpointed(hits.where("mixed").groupBy("anchor", "passage").agg(F.count("*").alias("n"), F.min(F.struct("id", "of", "lo", "hi")).alias("at")))
     sizes = distinct.groupBy("anchor").agg(F.count("*").alias("passages"))
@@ -176,7 +185,7 @@ def stripped(words: list[bytes], spots: list[dict], width: int) -> list[bytes]:
     return [w for w, k in zip(words, keep.tolist(), strict=True) if k]
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", *, width: int = WIDTH, most: int = 256) -> DataFrame:
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", *, width: int = WIDTH, most: int = 1024) -> DataFrame:
     """(key, n_words, n_removed, kept): kept is the text that is left, words joined by one space."""
     spots = checkpointed(repeats(docs, key, text, width=width, most=most))
     entries = spots.select(F.sum(F.size("spots"))).first()[0] or 0

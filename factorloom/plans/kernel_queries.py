@@ -1 +1,230 @@
-"""Queries."""
+"""Queries for cross-sectional and risk-model kernels."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import crosssection as X
+from ..operators import relational as R
+from ..operators import riskmodel as M
+from ..operators import timeseries as S
+from ..sources import adapters as A
+from .catalog import query
+
+
+def r6(c):
+    return F.round(c, 6)
+
+
+def panel(spark, d):
+    """(ric, date, ret, cap, industry, size, value): daily returns with what was known of the security, and two style scores."""
+    returns = S.panel_returns(A.prices(spark, d)).where("ret is not null").select("ric", "date", "ret")
+    caps = R.latest_wide(A.fundamentals(spark, d), ["ric"], ["as_of_date", "seq"], ["market_cap"])
+    rows = returns.join(caps.select("ric", F.col("market_cap").alias("cap")), "ric").join(A.registry(spark, d).select("ric", F.col("sector").alias("industry"), "balance"), "ric")
+    return rows.withColumns({"size": F.log("cap"), "value": F.col("balance") / 10_000})
+
+
+PANEL = """, c AS (SELECT date, lag(date) OVER (ORDER BY date) AS before FROM (SELECT DISTINCT date FROM prices)), y AS (SELECT p.ric, p.date, CASE WHEN lag(p.date) OVER w = c.before THEN p.close / lag(p.close) OVER w - 1 END AS ret FROM prices p JOIN c USING (date) WINDOW w AS (PARTITION BY ric ORDER BY p.date)), k AS (SELECT ric, arg_max(market_cap, (as_of_date, seq)) AS cap FROM fundamentals GROUP BY 1), panel AS (SELECT y.ric, y.date, y.ret, k.cap, r.sector AS industry, ln(k.cap) AS size, r.balance / 10000 AS value FROM y JOIN k USING (ric) JOIN registry r USING (ric) WHERE y.ret IS NOT NULL)"""
+
+
+@query("e03_median_return", PANEL + " SELECT date, round(median(ret), 6) AS ret FROM panel GROUP BY 1")
+def e03(spark, d):
+    return panel(spark, d).groupBy("date").agg(r6(F.median("ret")).alias("ret"))
+
+
+@query("e04_cap_weighted_market", PANEL + " SELECT date, round(sum(ret * cap) / nullif(sum(cap), 0), 6) AS ret FROM panel GROUP BY 1")
+def e04(spark, d):
+    return panel(spark, d).groupBy("date").agg(r6(F.sum(F.col("ret") * F.col("cap")) / F.nullif(F.sum("cap"), F.lit(0.0))).alias("ret"))
+
+
+MAD = PANEL + ", m AS (SELECT date, median(ret) AS med FROM panel GROUP BY 1), a AS (SELECT date, median(abs(ret - med)) AS mad FROM panel JOIN m USING (date) GROUP BY 1), x AS (SELECT p.*, med, mad, CASE WHEN mad > 0 THEN least(greatest(ret, med - 3 * mad), med + 3 * mad) ELSE ret END AS clipped FROM panel p JOIN m USING (date) JOIN a USING (date))"
+
+
+@query("e05_median_mad", MAD + " SELECT DISTINCT date, round(med, 6) AS med, round(mad, 6) AS mad FROM x")
+def e05(spark, d):
+    p = panel(spark, d)
+    m = p.groupBy("date").agg(F.median("ret").alias("med"))
+    return p.join(m, "date").groupBy("date", "med").agg(F.median(F.abs(F.col("ret") - F.col("med"))).alias("mad")).select("date", r6("med").alias("med"), r6("mad").alias("mad"))
+
+
+@query("e06_weighted_moments", PANEL + ", s AS (SELECT date, sum(cap * ret) / sum(cap) AS mean FROM panel GROUP BY 1) SELECT date, round(mean, 6) AS mean, round(sqrt(sum(cap * (ret - mean) * (ret - mean)) / sum(cap)), 6) AS std FROM panel JOIN s USING (date) GROUP BY date, mean")
+def e06(spark, d):
+    p = panel(spark, d)
+    s = p.groupBy("date").agg((F.sum(F.col("cap") * F.col("ret")) / F.sum("cap")).alias("mean"))
+    e = F.col("ret") - F.col("mean")
+    return p.join(s, "date").groupBy("date", "mean").agg(r6(F.sqrt(F.sum(F.col("cap") * e * e) / F.sum("cap"))).alias("std")).select("date", r6("mean").alias("mean"), "std")
+
+
+@query("e07_winsorize", PANEL + ", b AS (SELECT date, quantile_cont(ret, 0.05) AS lo, quantile_cont(ret, 0.95) AS hi, count(*) AS n FROM panel GROUP BY 1) SELECT p.ric, p.date, round(CASE WHEN n >= 10 THEN least(greatest(ret, lo), hi) ELSE ret END, 6) AS ret FROM panel p JOIN b USING (date)")
+def e07(spark, d):
+    return X.winsorized(panel(spark, d).select("ric", "date", "ret"), ["date"], "ret", 0.05).select("ric", "date", r6("ret").alias("ret"))
+
+
+@query("e09_coverage_summary", PANEL + " SELECT date, count(*) AS rows_n, count(*) FILTER (WHERE cap > 100000) AS eligible_n, count(DISTINCT industry) AS industries, round(count(*) FILTER (WHERE cap > 100000) / count(*), 6) AS coverage FROM panel GROUP BY 1")
+def e09(spark, d):
+    eligible = F.count(F.when(F.col("cap") > 100_000, 1))
+    return panel(spark, d).groupBy("date").agg(F.count("*").alias("rows_n"), eligible.alias("eligible_n"), F.count_distinct("industry").alias("industries"), r6(eligible / F.count("*")).alias("coverage"))
+
+
+@query("e13_hit_rate", PANEL + " SELECT industry, round(avg(CASE WHEN abs(ret) > 2 THEN 1.0 ELSE 0 END) * 100, 6) AS hit_rate FROM panel GROUP BY 1")
+def e13(spark, d):
+    return panel(spark, d).groupBy("industry").agg(r6(F.avg(F.when(F.abs("ret") > 2, 1.0).otherwise(0.0)) * 100).alias("hit_rate"))
+
+
+@query("e14_breadth", PANEL + " SELECT date, round(avg(CASE WHEN industry = 'BUILDING' THEN abs(ret) END), 6) AS style, round(avg(CASE WHEN industry <> 'BUILDING' THEN abs(ret) END), 6) AS other FROM panel GROUP BY 1")
+def e14(spark, d):
+    mean = lambda c: r6(F.avg(F.when(c, F.abs("ret"))))
+    return panel(spark, d).groupBy("date").agg(mean(F.col("industry") == "BUILDING").alias("style"), mean(F.col("industry") != "BUILDING").alias("other"))
+
+
+@query("e15_exposure_stats", PANEL + " SELECT industry, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, round(quantile_cont(value, 0.01), 6) AS p1, round(quantile_cont(value, 0.99), 6) AS p99, round(max(abs(value)), 6) AS top FROM panel GROUP BY 1")
+def e15(spark, d):
+    return panel(spark, d).groupBy("industry").agg(r6(F.avg("value")).alias("mean"), r6(F.stddev_pop("value")).alias("std"), r6(F.percentile("value", 0.01)).alias("p1"), r6(F.percentile("value", 0.99)).alias("p99"), r6(F.max(F.abs("value"))).alias("top"))
+
+
+@query("e16_correlations", PANEL + ", f AS (SELECT date, industry, avg(ret) AS x FROM panel GROUP BY 1, 2) SELECT a.industry AS f1, b.industry AS f2, round(corr(a.x, b.x), 6) AS c FROM f a JOIN f b USING (date) GROUP BY 1, 2")
+def e16(spark, d):
+    f = panel(spark, d).groupBy("date", "industry").agg(F.avg("ret").alias("x"))
+    both = f.select("date", F.col("industry").alias("f1"), "x").join(f.select("date", F.col("industry").alias("f2"), F.col("x").alias("y")), "date")
+    return both.groupBy("f1", "f2").agg(r6(F.corr("x", "y")).alias("c"))
+
+
+@query("e21_factor_exposure", ", w AS (SELECT h.account, p.sector, h.quantity * p.price AS mv FROM holdings h JOIN parts p USING (ric)) SELECT account, sector, round(sum(mv) / sum(sum(abs(mv))) OVER (PARTITION BY account), 6) AS exposure FROM w GROUP BY 1, 2")
+def e21(spark, d):
+    w = A.holdings(spark, d).join(A.parts(spark, d), "ric").select("account", "sector", (F.col("quantity") * F.col("price")).alias("mv"))
+    gross = w.groupBy("account").agg(F.sum(F.abs("mv")).alias("gross"))
+    return w.groupBy("account", "sector").agg(F.sum("mv").alias("mv")).join(gross, "account").select("account", "sector", r6(F.col("mv") / F.col("gross")).alias("exposure"))
+
+
+@query("e26_turnover", PANEL + ", l AS (SELECT *, lag(value * ret) OVER w AS before, lag(date) OVER w AS day FROM panel WINDOW w AS (PARTITION BY ric ORDER BY date)) SELECT date, round(avg(abs(value * ret - before) / date_diff('day', day, date)), 6) AS turnover FROM l WHERE before IS NOT NULL GROUP BY 1")
+def e26(spark, d):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("ric").orderBy("date")
+    x = F.col("value") * F.col("ret")
+    rows = panel(spark, d).withColumns({"before": F.lag(x).over(w), "day": F.lag("date").over(w)}).where("before is not null")
+    return rows.groupBy("date").agg(r6(F.avg(F.abs(x - F.col("before")) / F.datediff("date", "day"))).alias("turnover"))
+
+
+@query("g01_mad_winsorize", MAD + " SELECT ric, date, round(clipped, 6) AS clipped FROM x")
+def g01(spark, d):
+    return X.mad_clipped(panel(spark, d).select("ric", "date", "ret"), ["date"], "ret", "clipped").select("ric", "date", r6("clipped").alias("clipped"))
+
+
+@query("g02_zscore", MAD + ", s AS (SELECT date, sum(cap * clipped) / sum(cap) AS mean, stddev_pop(clipped) AS sd FROM x GROUP BY 1) SELECT ric, date, round(CASE WHEN sd > 0 THEN least(greatest((clipped - mean) / sd, -5), 5) ELSE 0 END, 5) AS z FROM x JOIN s USING (date)")
+def g02(spark, d):
+    return X.standardized(panel(spark, d), ["date"], "ret", "cap", "z").select("ric", "date", F.round("z", 5).alias("z"))
+
+
+@query("g03_composite_style")
+def g03(spark, d):
+    """A style of three descriptors; the standardisation it repeats is checked by g02."""
+    rows = panel(spark, d).withColumnsRenamed({"size": "turnover_1m_raw", "value": "turnover_12m_raw", "ret": "log_avg_dollar_volume_20d_raw"})
+    return X.composite(rows, ["date"], X.STYLES["Liquidity"], "cap", "score").select("ric", "date", F.round("score", 5).alias("score"))
+
+
+@query("g04_orthogonal_styles")
+def g04(spark, d):
+    rows = panel(spark, d).withColumnsRenamed({"size": "Size", "value": "Book-to-Price"}).withColumn("Momentum", F.col("ret")).withColumn("core", F.col("cap") > 50_000)
+    scores = X.canonical_styles(rows, "date", ["Size", "Book-to-Price", "Momentum"], "cap", "industry", "core", "ric")
+    return scores.select("date", "ric", *[F.round(f"`{c}`", 5).alias(c.replace("-", "_")) for c in ("Size", "Book-to-Price", "Momentum")])
+
+
+@query("g05_daily_factor_returns")
+def g05(spark, d):
+    """Daily factor returns: winsorised panel returns on market, industries and two standardised styles."""
+    rows = X.winsorized(panel(spark, d), ["date"], "ret", 0.01)
+    rows = X.standardized(X.standardized(rows, ["date"], "size", "cap", "Size"), ["date"], "value", "cap", "Value")
+    fit = X.factor_returns(rows, "date", "ret", "cap", "industry", ["Size", "Value"], "ric")
+    return fit.select("date", "factor_name", *[F.round(c, 6).alias(c) for c in ("factor_return", "robust_se", "t_stat", "r_squared", "residual_vol")], "cross_section_n")
+
+
+@query("g05b_one_style_wls", PANEL + ", s AS (SELECT date, sum(cap) AS w, sum(cap * value) AS wx, sum(cap * ret) AS wy, sum(cap * value * value) AS wxx, sum(cap * value * ret) AS wxy, count(*) AS n FROM panel GROUP BY 1), b AS (SELECT *, (w * wxy - wx * wy) / (w * wxx - wx * wx) AS beta FROM s) SELECT date, round((wy - beta * wx) / w, 5) AS alpha, round(beta, 5) AS beta, n FROM b")
+def g05b(spark, d):
+    return X.one_style_regression(panel(spark, d), "date", "ret", "cap", "value").select("date", F.round("alpha", 5).alias("alpha"), F.round("beta", 5).alias("beta"), "n")
+
+
+def exposures(spark, d):
+    p = panel(spark, d)
+    cells = F.array(F.struct(F.lit("Market").alias("factor_name"), F.lit(1.0).alias("exposure")), F.struct(F.col("industry").alias("factor_name"), F.lit(1.0).alias("exposure")), F.struct(F.lit("Value").alias("factor_name"), F.col("value").alias("exposure")))
+    return p.select("ric", "date", F.explode(cells).alias("c")).select("ric", "date", "c.*")
+
+
+G06 = PANEL + ", f AS (SELECT date, 'Market' AS factor_name, avg(ret) AS factor_return FROM panel GROUP BY 1 UNION ALL SELECT date, industry, avg(ret) / 10 FROM panel GROUP BY 1, 2 UNION ALL SELECT date, 'Value', median(ret) FROM panel GROUP BY 1)"
+
+
+def simple_returns(spark, d):
+    p = panel(spark, d)
+    a = p.groupBy("date").agg(F.avg("ret").alias("factor_return")).select("date", F.lit("Market").alias("factor_name"), "factor_return")
+    b = p.groupBy("date", F.col("industry").alias("factor_name")).agg((F.avg("ret") / 10).alias("factor_return"))
+    c = p.groupBy("date").agg(F.median("ret").alias("factor_return")).select("date", F.lit("Value").alias("factor_name"), "factor_return")
+    return a.unionByName(b).unionByName(c)
+
+
+@query("g06_projected_returns", G06 + ", g AS (SELECT date, max(factor_return) FILTER (WHERE factor_name = 'Market') AS m, max(factor_return) FILTER (WHERE factor_name = 'Value') AS v FROM f GROUP BY 1) SELECT p.ric, p.date, round(p.ret - (g.m + i.factor_return + p.value * g.v), 6) AS residual FROM panel p JOIN g USING (date) JOIN f i ON i.date = p.date AND i.factor_name = p.industry")
+def g06(spark, d):
+    fitted = X.project_returns(exposures(spark, d), simple_returns(spark, d), "date", "ric")
+    return panel(spark, d).join(fitted, ["date", "ric"]).select("ric", "date", r6(F.col("ret") - F.col("fitted")).alias("residual"))
+
+
+@query("g07_industry_dummies", PANEL + ", core AS (SELECT DISTINCT date, industry FROM panel WHERE cap > 400000) SELECT p.ric, p.date, p.industry, 1.0::DOUBLE AS exposure FROM panel p JOIN core USING (date, industry)")
+def g07(spark, d):
+    """Long form; only industries that core rows have."""
+    p = panel(spark, d)
+    return p.join(p.where("cap > 400000").select("date", "industry").distinct(), ["date", "industry"], "left_semi").select("ric", "date", "industry", F.lit(1.0).alias("exposure"))
+
+
+@query("g08_supported_styles", "SELECT 'size' AS style UNION ALL SELECT 'value'")
+def g08(spark, d):
+    rows = panel(spark, d).withColumn("nothing", F.lit(0.0))
+    return spark.createDataFrame([(s,) for s in X.supported_styles(rows, ["size", "value", "nothing"])], "style string")
+
+
+@query("g09_factor_covariance")
+def g09(spark, d):
+    return M.factor_covariance(simple_returns(spark, d)).select("factor_name", "factor_name_2", F.round("covariance", 6).alias("covariance"))
+
+
+@query("g10_specific_risk", G06 + ", g AS (SELECT date, max(factor_return) FILTER (WHERE factor_name = 'Market') AS m FROM f GROUP BY 1), e AS (SELECT p.ric, p.date, p.industry AS sector, p.ret - g.m AS residual, row_number() OVER (PARTITION BY p.ric ORDER BY p.date DESC) - 1 AS age FROM panel p JOIN g USING (date)), w AS (SELECT *, power(0.5, age / 126.0) AS w FROM e), s AS (SELECT ric, count(*) AS obs, arg_max(sector, date) AS sector, greatest(sum(w * residual * residual) / sum(w) - power(sum(w * residual) / sum(w), 2), 0) * 252 AS raw FROM w GROUP BY 1 HAVING count(*) >= 2), o AS (SELECT median(raw) AS a FROM s WHERE raw > 0), t AS (SELECT sector, median(raw) AS b FROM s GROUP BY 1) SELECT s.ric, s.obs, round(greatest(1e-8, least(1, s.obs / 40.0) * raw + (1 - least(1, s.obs / 40.0)) * (0.7 * b + 0.3 * a)), 4) AS specific_var FROM s JOIN t USING (sector) CROSS JOIN o")
+def g10(spark, d):
+    market = panel(spark, d).groupBy("date").agg(F.avg("ret").alias("m"))
+    e = panel(spark, d).join(market, "date").select("ric", "date", F.col("industry").alias("sector"), (F.col("ret") - F.col("m")).alias("residual"))
+    return M.specific_risk(e, least=20).select("ric", "obs", F.round("specific_var", 4).alias("specific_var"))
+
+
+@query("g11_returns_projection")
+def g11(spark, d):
+    out = M.returns_projection(panel(spark, d).select("ric", "date", "ret"), simple_returns(spark, d), least=20)
+    return out.select("ric", "factor_name", *[F.round(c, 5).alias(c) for c in ("loading", "r2", "specific_var")], "obs")
+
+
+@query("g19_block_r2", PANEL + ", i AS (SELECT date, industry, sum(sqrt(cap) * ret) / sum(sqrt(cap)) AS fit FROM panel GROUP BY 1, 2), m AS (SELECT date, sum(sqrt(cap) * ret) / sum(sqrt(cap)) AS mean FROM panel GROUP BY 1) SELECT p.date, round(1 - sum(sqrt(cap) * (ret - fit) * (ret - fit)) / sum(sqrt(cap) * (ret - mean) * (ret - mean)), 6) AS structural_r2 FROM panel p JOIN i ON i.date = p.date AND i.industry = p.industry JOIN m ON m.date = p.date GROUP BY 1")
+def g19(spark, d):
+    """R2 of the industry block with root-cap weights; a style block's is the gain over it."""
+    w = F.sqrt("cap")
+    p = panel(spark, d)
+    mean = lambda name, *by: p.groupBy(*by).agg((F.sum(w * F.col("ret")) / F.sum(w)).alias(name))
+    rows = p.join(mean("fit", "date", "industry"), ["date", "industry"]).join(mean("mean", "date"), "date")
+    left, total = F.col("ret") - F.col("fit"), F.col("ret") - F.col("mean")
+    return rows.groupBy("date").agg(r6(1 - F.sum(w * left * left) / F.sum(w * total * total)).alias("structural_r2"))
+
+
+@query("g20_nonlinear_size", PANEL + ", s AS (SELECT date, avg(size) AS mx, avg(power(size, 3)) AS my, covar_pop(size, power(size, 3)) / var_pop(size) AS b FROM panel GROUP BY 1) SELECT ric, p.date, round(power(size, 3) - my - b * (size - mx), 3) AS nls FROM panel p JOIN s USING (date)")
+def g20(spark, d):
+    return X.orthogonal_cube(panel(spark, d), ["date"], "size", "nls").select("ric", "date", F.round("nls", 3).alias("nls"))
+
+
+@query("g21_eigenvalues")
+def g21(spark, d):
+    values = M.eigenvalues(M.factor_covariance(simple_returns(spark, d)))
+    return spark.createDataFrame([(i, round(v, 6)) for i, v in enumerate(values)], "place int, eigenvalue double")
+
+
+RATIOS = ["size_raw", "book_to_price_raw", "cash_earnings_yield_raw", "debt_to_equity_raw", "debt_to_assets_raw", "book_leverage_raw", "gross_profitability_raw", "turnover_1m_raw"]
+
+
+@query("g22_ratios", ", x AS (SELECT ric, balance AS book, abs(balance) AS price, cast(ric AS INTEGER) % 5 AS shares, balance * 2 AS cap FROM registry) SELECT ric, round(ln(greatest(cap, 1)), 6) AS size_raw, round(book / nullif(price, 0), 6) AS book_to_price_raw, round(book / 4 / nullif(cap, 0), 6) AS cash_earnings_yield_raw, round(book / 2 / CASE WHEN book * shares > 0 THEN book * shares END, 6) AS debt_to_equity_raw, round(book / 2 / nullif(cap + 1, 0), 6) AS debt_to_assets_raw, round((cap + 1) / CASE WHEN book * shares > 0 THEN book * shares END, 6) AS book_leverage_raw, 0.25::DOUBLE AS gross_profitability_raw, round(price / nullif(shares, 0), 6) AS turnover_1m_raw FROM x")
+def g22(spark, d):
+    b = F.col("balance")
+    rows = A.registry(spark, d).select("ric", b.alias("book_value"), F.abs(b).alias("price_close"), (F.col("ric").cast("int") % 5).cast("double").alias("shares_outstanding"), (b * 2).alias("market_cap"), (b / 4).alias("operating_cashflow"), (b / 2).alias("total_debt"), (b * 2 + 1).alias("total_assets"), F.lit(None).cast("double").alias("gross_profit"), F.lit(0.25).alias("operating_margins"), *[F.lit(None).cast("double").alias(c) for c in ("forward_eps", "trailing_eps", "return_on_equity", "avg_volume_252d")], F.abs(b).alias("avg_volume_21d"))
+    return X.fundamental_ratios(rows).select("ric", *[r6(c).alias(c) for c in RATIOS])
