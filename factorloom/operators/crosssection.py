@@ -56,21 +56,25 @@ def winsorized(df: DataFrame, by: list[str], column: str, p: float = 0.01, least
 
 def mad_clipped(df: DataFrame, by: list[str], column: str, out: str, n_mad: float = 3.0) -> DataFrame:
     """column with missing values at the median, clipped to n_mad median absolute deviations (unscaled; none if that is 0)."""
-    med = df.groupBy(*by).agg(F.median(column).alias("_med"))
-    near = df.join(med, by, "left")
-    mad = near.groupBy(*by).agg(F.median(F.abs(F.col(column) - F.col("_med"))).alias("_mad"))
+    w = Window.partitionBy(*by)
+    near = df.withColumn("_med", F.median(column).over(w))
+    near = near.withColumn("_mad", F.median(F.abs(F.col(column) - F.col("_med"))).over(w))
     value, reach = F.coalesce(F.col(column), F.col("_med"), F.lit(0.0)), n_mad * F.col("_mad")
     clipped = F.when(F.col("_mad") > 0, F.least(F.greatest(value, F.col("_med") - reach), F.col("_med") + reach)).otherwise(value)
-    return near.join(mad, by, "left").withColumn(out, clipped).drop("_med", "_mad")
+    return near.withColumn(out, clipped).drop("_med", "_mad")
 
 
 def standardized(df: DataFrame, by: list[str], column: str, cap: str, out: str, limit: float = SCORE_CAP) -> DataFrame:
-    """Clipped values less their cap-weighted mean over their equal-weighted population deviation, within +-limit; 0 where that is 0."""
+    """Clipped values less their cap-weighted mean over their equal-weighted population deviation, within +-limit; 0 where that is 0.
+
+    Windows over one partitioning by group: a group is one date's cross-section, and df is read once however many scores are stacked.
+    """
+    w = Window.partitionBy(*by)
     rows = mad_clipped(df, by, column, "_x")
     weight = F.greatest(F.coalesce(F.col(cap), F.lit(0.0)), F.lit(0.0))
-    sums = rows.groupBy(*by).agg((F.sum(weight * F.col("_x")) / F.nullif(F.sum(weight), F.lit(0.0))).alias("_mean"), F.stddev_pop("_x").alias("_std"))
+    rows = rows.withColumns({"_mean": F.sum(weight * F.col("_x")).over(w) / F.nullif(F.sum(weight).over(w), F.lit(0.0)), "_std": F.stddev_pop("_x").over(w)})
     z = F.when(F.col("_std") > 0, (F.col("_x") - F.col("_mean")) / F.col("_std")).otherwise(F.lit(0.0))
-    return rows.join(sums, by).withColumn(out, F.least(F.greatest(z, F.lit(-limit)), F.lit(limit))).drop("_x", "_mean", "_std")
+    return rows.withColumn(out, F.least(F.greatest(z, F.lit(-limit)), F.lit(limit))).drop("_x", "_mean", "_std")
 
 
 def composite(df: DataFrame, by: list[str], weights: dict[str, float], cap: str, out: str) -> DataFrame:

@@ -100,10 +100,9 @@ def returns_projection(returns: DataFrame, factors: DataFrame, *, key: str = "ri
     packed = factors.groupBy(date).pivot("factor_name", names).agg(F.last("factor_return")).select(date, F.array(*[F.coalesce(F.col(f"`{n}`"), F.lit(0.0)) for n in names]).alias("_f"))
     rows = returns.where("ret is not null").join(F.broadcast(packed), date)
     rows = rows.withColumn("_age", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(date)))).where(F.col("_age") <= lookback)
+    rows = rows.withColumn("_n", F.count("*").over(Window.partitionBy(key))).where(F.col("_n") >= least)
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) < least:
-            return pd.DataFrame({"k": [], "factor_name": [], "loading": [], "r2": [], "specific_var": [], "obs": []})
         pdf = pdf.sort_values(date)
         x, y = np.stack(pdf["_f"].to_numpy()), pdf["ret"].to_numpy(float)
         beta, *_ = np.linalg.lstsq(x, y, rcond=None)
