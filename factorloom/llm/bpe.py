@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import few_rows
+
 #: Words kept with their encoding by each Python worker.
 CACHED_WORDS = 500_000
 
@@ -226,7 +228,7 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text") -> DataFrame:
                 texts = pa.array([bpe.decode(x.tolist()) for x in ids], pa.string())
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(starts), values), texts], names=[*kept, "ids", "decoded"])
 
-    return docs.select(*kept).mapInArrow(run, schema)
+    return docs.select(*kept).transform(few_rows).mapInArrow(run, schema)
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:

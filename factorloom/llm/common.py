@@ -47,6 +47,18 @@ def ascii_words(text: str | None) -> list[bytes]:
     return text.encode().translate(LOWER_BYTES).split() if text else []
 
 
+#: Rows of an Arrow batch at most: texts may be long, and a batch is held by the executor and its Python worker at once.
+BATCH_ROWS = 512
+
+
+def few_rows(df: DataFrame) -> DataFrame:
+    """df, with the session's Arrow batches made small."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, BATCH_ROWS)
+    return df
+
+
 def batches_of(batch_iter, columns: list[str]) -> Iterator[tuple]:
     """Each Arrow batch as Python lists of the named columns."""
     for batch in batch_iter:

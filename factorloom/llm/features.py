@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import batches_of
+from .common import batches_of, few_rows
 
 NAMES = [
     "log_words", "word_bytes", "upper", "digits", "symbols", "stops", "other_punctuation", "non_ascii",
@@ -54,4 +54,4 @@ def features(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
                 starts = pa.array(np.arange(len(texts) + 1, dtype=np.int32) * len(NAMES))
                 yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(key).type), pa.ListArray.from_arrays(starts, pa.array(flat.ravel()))], names=[key, "x"])
 
-    return docs.select(key, text).mapInArrow(run, schema)
+    return docs.select(key, text).transform(few_rows).mapInArrow(run, schema)

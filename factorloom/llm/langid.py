@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, remainder, table
+from .common import batches_of, few_rows, remainder, table
 
 DIMENSIONS = 4096
 #: Lower-case ASCII letters and all bytes of other characters stay; the rest is white space.
@@ -67,7 +67,7 @@ def document_frequencies(train: DataFrame, text: str) -> tuple[np.ndarray, int]:
                     n += 1
         yield pa.RecordBatch.from_pydict({"term": np.arange(-1, DIMENSIONS), "n": np.concatenate([[n], sums])})
 
-    rows = train.select(text).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    rows = train.select(text).transform(few_rows).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
     found = np.zeros(DIMENSIONS + 1, np.int64)
     for r in rows:
         found[r["term"] + 1] = r["n"]
@@ -150,7 +150,7 @@ def identify(docs: DataFrame, model: Languages, key: str = "doc_id", text: str =
                     yield pa.RecordBatch.from_pydict({key: pa.array(ids[k : k + 512], kind), "lang_pred": pa.array(names, pa.string()), "score": top, "rejected": rejected})
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, lang_pred string, score double, rejected boolean")
+    return docs.select(key, text).transform(few_rows).mapInArrow(run, f"`{key}` {kind}, lang_pred string, score double, rejected boolean")
 
 
 def op9_langid(spark, sf_dir: str) -> DataFrame:

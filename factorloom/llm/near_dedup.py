@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_words, batches_of, checkpointed, table
+from .common import ascii_words, batches_of, checkpointed, few_rows, table
 from .graph import components
 
 SHINGLE = 5
@@ -113,7 +113,7 @@ def sketched(docs: DataFrame, key: str, text: str) -> DataFrame:
                         names=["id", "n", "set_hash", "bands"],
                     )
 
-    return docs.select(F.col(key).cast("long").alias(key), text).mapInArrow(run, "id long, n long, set_hash string, bands array<long>")
+    return docs.select(F.col(key).cast("long").alias(key), text).transform(few_rows).mapInArrow(run, "id long, n long, set_hash string, bands array<long>")
 
 
 def full_sets(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -126,7 +126,7 @@ def full_sets(docs: DataFrame, key: str, text: str) -> DataFrame:
                 starts = pa.array(np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([pa.array(ids[k : k + 256], pa.int64()), pa.ListArray.from_arrays(starts, pa.array(np.concatenate(sets).view(np.int64)))], names=["id", "items"])
 
-    return docs.select(F.col(key).cast("long").alias(key), text).mapInArrow(run, "id long, items array<long>")
+    return docs.select(F.col(key).cast("long").alias(key), text).transform(few_rows).mapInArrow(run, "id long, items array<long>")
 
 
 def needed_sets(docs: DataFrame, ids: DataFrame, key: str, text: str, few: int = 1_000_000) -> DataFrame:
