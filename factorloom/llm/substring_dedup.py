@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .automaton import SuffixAutomaton
-from .common import batches_of, checkpointed, table, text_key, with_lists, written
+from .common import batches_of, checkpointed, few_rows, table, text_key, with_lists, written
 from .near_dedup import HASHES, mix
 
 WIDTH = 35
@@ -75,7 +75,7 @@ def anchored(rows: DataFrame, width: int) -> DataFrame:
                 parts = [np.concatenate([f[i] for f in found]) for i in range(4)]
                 yield pa.RecordBatch.from_arrays([own(ids, pa.int64()), own(ofs, pa.int64()), pa.array(parts[0].view(np.int64)), pa.array(parts[1].view(np.int64)), pa.array(parts[2].astype(np.int32)), pa.array(parts[3].astype(np.int32))], names=["id", "of", "anchor", "passage", "lo", "hi"])
 
-    return rows.mapInArrow(run, "id long, of long, anchor long, passage long, lo int, hi int")
+    return rows.transform(few_rows).mapInArrow(run, "id long, of long, anchor long, passage long, lo int, hi int")
 
 
 def passages(rows: DataFrame, where: DataFrame, width: int) -> DataFrame:
@@ -95,7 +95,7 @@ def passages(rows: DataFrame, where: DataFrame, width: int) -> DataFrame:
     few = lists.count() <= FEW_DOCUMENTS
     ids = lists.select(F.col("id").alias("_i"), F.col("of").alias("_o"))
     needed = rows.join(F.broadcast(ids), F.col("id").eqNullSafe(F.col("_i")) & (F.col("of") == F.col("_o")), "left_semi") if few else rows
-    found = with_lists(needed, lists, where.count(), "inner").select("text", "wanted").mapInArrow(run, "anchor long, passage long, n long, words string")
+    found = with_lists(needed, lists, where.count(), "inner").select("text", "wanted").transform(few_rows).mapInArrow(run, "anchor long, passage long, n long, words string")
     return found.dropDuplicates(["anchor", "passage"])
 
 
@@ -134,7 +134,7 @@ def in_shards(found: DataFrame, width: int) -> DataFrame:
         if out:
             yield as_masks(out)
 
-    return found.repartition("anchor").sortWithinPartitions("anchor", "passage").mapInArrow(run, "anchor long, passage long, mask long")
+    return found.repartition("anchor").sortWithinPartitions("anchor", "passage").transform(few_rows).mapInArrow(run, "anchor long, passage long, mask long")
 
 
 def as_masks(rows: list[tuple]) -> pa.RecordBatch:
@@ -157,10 +157,8 @@ def repeats(docs: DataFrame, key: str, text: str, *, width: int = WIDTH, most: i
     rows = keyed(docs, key, text)
     name = f"repeats-{uuid.uuid4().hex}"
     found = written(anchored(rows, width), f"{name}/anchors")
-    again = checkpointed(found.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor"))
-    hits = written(found.join(again, "anchor"), f"{name}/hits")
-    mixed = hits.groupBy("anchor").agg(F.min("passage").alias("low"), F.max("passage").alias("high")).select("anchor", (F.col("low") != F.col("high")).alias("mixed"))
-    hits = hits.join(checkpointed(mixed), "anchor")
+    again = found.groupBy("anchor").agg(F.count("*").alias("times"), (F.min("passage") != F.max("passage")).alias("mixed")).where("times > 1")
+    hits = written(found.join(checkpointed(again.select("anchor", "mixed")), "anchor"), f"{name}/hits")
     clear = hits.where("not mixed").select("id", "of", "lo", F.expr("shiftleft(1L, hi - lo + 1) - 1").alias("mask"))
     distinct = checkpointed(hits.where("mixed").groupBy("anchor", "passage").agg(F.count("*").alias("n"), F.min(F.struct("id", "of", "lo", "hi")).alias("at")))
     sizes = distinct.groupBy("anchor").agg(F.count("*").alias("passages"))
@@ -201,7 +199,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", *,
             n, removed, kept = zip(*out, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=["id", "n_words", "n_removed", "kept"])
 
-    return rows.select("id", "text", "spots").mapInArrow(run, "id long, n_words long, n_removed long, kept string").withColumnRenamed("id", key)
+    return rows.select("id", "text", "spots").transform(few_rows).mapInArrow(run, "id long, n_words long, n_removed long, kept string").withColumnRenamed("id", key)
 
 
 def remove_known(docs: DataFrame, reference: DataFrame, key: str = "doc_id", text: str = "text", reference_text: str = "text", *, width: int = WIDTH, shard_words: int = 200_000, most_words: int = 2_000_000) -> DataFrame:
@@ -244,7 +242,7 @@ def remove_known(docs: DataFrame, reference: DataFrame, key: str = "doc_id", tex
             n, removed, kept = zip(*out, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=["id", "n_words", "n_removed", "kept"])
 
-    return keyed(docs, key, text).select("id", "text").mapInArrow(run, "id long, n_words long, n_removed long, kept string").withColumnRenamed("id", key)
+    return keyed(docs, key, text).select("id", "text").transform(few_rows).mapInArrow(run, "id long, n_words long, n_removed long, kept string").withColumnRenamed("id", key)
 
 
 def op6_substring_dedup(spark, sf_dir: str) -> DataFrame:
