@@ -91,7 +91,7 @@ def corner_tree(g: np.ndarray, h: np.ndarray, shrink: float) -> np.ndarray:
 
 def fit(x: np.ndarray, y: np.ndarray, *, bins: int = 24, coarse: int = 6, rounds: int = 120, pair_rounds: int = 30, pairs: int = 6, rate: float = 0.15, leaves: int = 3, shrink: float = 5.0) -> Additive:
     share = float(y.mean()) if len(y) else 0.5
-    if not 0 < share < 1:
+    if not len(y) or not 0 < share < 1:
         share = min(max(share, 1e-3), 1 - 1e-3) if len(y) else 0.5
         return Additive(float(np.log(share / (1 - share))), [np.empty(0)] * x.shape[1], [np.zeros(1)] * x.shape[1])
     model = Additive(float(np.log(share / (1 - share))))
