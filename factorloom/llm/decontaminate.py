@@ -1,12 +1,11 @@
 """Benchmark decontamination over a positional inverted index, in DataFrame functions only.
 
 Test texts become windows of words. The corpus is read once to count the terms of the test texts, then once more to store
-postings (term, document, position, words around it) of the terms that are needed: the two rarest of each window. Lists
-are shifted by a term's offset in its window and intersected on document and start, rarest first; what is left is compared
-as a phrase with the words around the posting. Proximity matches join the same postings within a distance.
+postings (term, document, position) of the terms that are needed: the two rarest of each window. Lists are shifted by a
+term's offset in its window and intersected on document and start, rarest first; what is left is compared as a phrase with
+the words that stand there. Proximity matches join the same postings within a distance.
 
-The test side is broadcast while its terms are counted and at most `few_terms`; beyond that terms are joined by shuffles,
-and the words around are fetched by a second join on the document.
+The test side is broadcast while its terms are counted and at most `few_terms`; beyond that terms are joined by shuffles.
 
 Null and empty texts have no words and no hits; items without words have no windows; items without an id hit words but
 aren't counted. Rows of one id with different texts are told apart by a hash of the text; equal rows get equal results. Equal items with
@@ -22,14 +21,14 @@ from pyspark.sql import Window
 
 from .common import checkpointed, table
 
-#: Fixed value: words are what is left of these ASCII characters; A-Z only differ in case.
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: Fixed value: words are ASCII letters and digits and all characters beyond ASCII; A-Z only differ in case.
+BETWEEN = r"[\p{ASCII}&&\P{Alnum}]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 COLUMNS = ["n_words", "n_hit", "n_items", "items", "contaminated"]
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({WORD})"))
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), BETWEEN), "")
 
 
 def phrase(parts: Column) -> Column:
@@ -46,21 +45,27 @@ def windows(items: DataFrame, key: str, text: str, width: int) -> DataFrame:
     return found.select(F.xxhash64("phrase").alias("window_id"), "phrase", F.split("phrase", " ").alias("terms"), "items").withColumn("size", F.size("terms"))
 
 
-def postings(docs: DataFrame, terms: DataFrame, around: int, small: bool, text: str = "text") -> DataFrame:
-    """(term, keys of docs, pos, context, lead) of each place where a term stands; context: the words around it, lead: how many are before it.
+def postings(docs: DataFrame, terms: DataFrame, small: bool, text: str = "text") -> DataFrame:
+    """(term, keys of docs, pos) of each place where a term stands. docs: key columns and text."""
+    keys = [c for c in docs.columns if c != text]
+    places = docs.select(*keys, F.posexplode(words(F.col(text))).alias("pos", "token")).select(F.lower("token").alias("term"), *keys, "pos")
+    return places.join(F.broadcast(terms) if small else terms, "term")
+
+
+def compared(docs: DataFrame, spots: DataFrame, text: str, few_documents: int = 1_000_000) -> DataFrame:
+    """(keys of docs, start, size, window_id, found) of spots (keys, start, size, window_id): the words that stand there, as a phrase.
 
-    docs: key columns and text; terms: term, context (boolean: whether the words around are wanted).
+    Only documents with spots are split into words again; their keys are broadcast while they are counted and few.
     """
     keys = [c for c in docs.columns if c != text]
-    with_words = docs.select(*keys, words(F.col(text)).alias("_w"))
-    first = F.greatest(F.lit(0), F.col("pos") - around)
-    context = F.when(F.col("wanted"), F.slice("_w", first + 1, F.col("pos") - first + around + 1)).alias("context")
-    out = ["term", *keys, "pos", context, (F.col("pos") - first).alias("lead")]
-    places = with_words.select(*keys, "_w", F.posexplode("_w").alias("pos", "token")).withColumn("term", F.lower("token"))
-    if small:
-        return places.join(F.broadcast(terms), "term").select(*out)
-    hits = places.select("term", *keys, "pos").join(terms, "term")
-    return hits.join(with_words, keys).select(*out)
+    lists = checkpointed(spots.groupBy(*keys).agg(F.collect_list(F.struct("start", "size", "window_id")).alias("_spots")))
+    named = lists.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)])
+    same = [F.col(k) == F.col(f"_k{i}") for i, k in enumerate(keys)]
+    needed = docs.join(F.broadcast(named), same, "left_semi") if lists.count() <= few_documents else docs
+    at = lambda w: F.transform("_spots", lambda s: F.struct(s["start"].alias("start"), s["size"].alias("size"), s["window_id"].alias("window_id"), phrase(F.slice(w, s["start"] + 1, s["size"])).alias("found")))
+    # Words are split once for each row, not for each spot.
+    each = F.get(F.transform(F.array(words(F.col(text))), at), 0)
+    return needed.join(lists, keys).select(*keys, F.inline(each))
 
 
 def matches(docs: DataFrame, items: DataFrame, item_key: str = "item_id", item_text: str = "text", *, width: int = 10, few_terms: int = 500_000, text: str = "text") -> DataFrame:
@@ -77,17 +82,14 @@ def matches(docs: DataFrame, items: DataFrame, item_key: str = "item_id", item_t
     order = Window.partitionBy("window_id").orderBy("n", "term", "offset")
     ranked = known.withColumn("rank", F.row_number().over(order)).withColumn("present", F.count("*").over(Window.partitionBy("window_id"))).where("present = size and rank <= 2")
     anchors = checkpointed(ranked.select("window_id", "size", "offset", "term", "rank"))
-    needed = anchors.groupBy("term").agg(F.min("rank").alias("least")).select("term", (F.col("least") == 1).alias("wanted"))
-    index = checkpointed(postings(docs, needed, width - 1, small, text))
+    index = checkpointed(postings(docs, anchors.select("term").distinct(), small, text))
     shifted = lambda rank: index.join(anchors.where(F.col("rank") == rank).drop("rank"), "term").withColumn("start", F.col("pos") - F.col("offset")).where("start >= 0")
-    first = shifted(1).select(*keys, "window_id", "size", "offset", "start", "context", "lead")
+    first = shifted(1).select(*keys, "window_id", "size", "start")
     second = shifted(2).select(*keys, "window_id", "start").distinct()
-    alone = first.where("size = 1")
     both = first.where("size > 1").join(second, [*keys, "window_id", "start"]).select(*first.columns)
-    at = F.greatest(F.lit(0), F.col("lead") - F.col("offset"))  # never below 0 where start isn't
-    found = alone.unionByName(both).withColumn("found", phrase(F.slice("context", at + 1, F.col("size"))))
+    found = compared(docs, first.where("size = 1").unionByName(both), text)
     texts = parts.select("window_id", F.col("phrase").alias("found"), "items")
-    return found.join(texts, ["window_id", "found"]).select(*keys, "start", "size", "items")
+    return found.join(F.broadcast(texts) if small else texts, ["window_id", "found"]).select(*keys, "start", "size", "items")
 
 
 def covered(spans: Column) -> Column:
@@ -101,8 +103,8 @@ def proximity(docs: DataFrame, pairs: DataFrame, within: int, text: str = "text"
     """(keys of docs, a, b, pos_a, pos_b): terms a and b of pairs, at most `within` words apart in either order, each place once."""
     keys = [c for c in docs.columns if c != text]
     pairs = pairs.select(F.lower("a").alias("a"), F.lower("b").alias("b")).distinct()
-    terms = pairs.select(F.col("a").alias("term")).union(pairs.select("b")).distinct().withColumn("wanted", F.lit(False))
-    index = checkpointed(postings(docs, terms, 0, terms.count() <= 500_000, text)).select("term", *keys, "pos")
+    terms = pairs.select(F.col("a").alias("term")).union(pairs.select("b")).distinct()
+    index = checkpointed(postings(docs, terms, terms.count() <= 500_000, text))
     # Equal blocks of positions, or neighbouring ones, hold all places within reach.
     block = F.floor(F.col("pos") / (within + 1))
     left = index.withColumnsRenamed({"term": "a", "pos": "pos_a"}).join(pairs, "a").withColumn("_block", F.explode(F.array(*[F.floor(F.col("pos_a") / (within + 1)) + k for k in (-1, 0, 1)])))
@@ -122,7 +124,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
     """docs without its texts, with the columns of COLUMNS: words, words inside a window of an item, and the items found."""
     kept = [c for c in docs.columns if c not in COLUMNS and c not in ("_text", text)]
     found = hits(docs, items, key, text, width=width).withColumnsRenamed({key: "_key", "_text": "_t"})
-    rows = docs.select(*kept, F.xxhash64(text).alias("_text"), F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long").alias("n_words"))
+    rows = docs.select(*kept, F.xxhash64(text).alias("_text"), F.size(words(F.col(text))).cast("long").alias("n_words"))
     rows = rows.join(found, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_text") == F.col("_t")), "left")
     ids = F.coalesce(F.col("items"), F.array().cast(T.ArrayType(T.StringType())))
     n_hit = F.coalesce(F.col("n_hit"), F.lit(0).cast("long"))

@@ -66,7 +66,7 @@ def test_ctw_base(docs, result):
         assert f.n_known == sum(train[w] > 0 for w in own)
         assert f.base_score == pytest.approx(sum(log10((train[w] + 1) / (n + v + 1)) for w in own), rel=1e-9)
     held = [f for f in found.values() if f.held_out]
-    assert sum(f.score for f in held) > sum(f.base_score for f in held)  # it predicts better than word counts
+    assert sum(f.score for f in held) / sum(f.n_bytes for f in held) > log10(1 / 16)  # under 4 bits a byte, from some 200 texts
 
 
 def tree_of(texts, depth):
@@ -331,7 +331,7 @@ def test_line_dedup(spark, docs, result):
 def test_line_templates(spark):
     from factorloom.llm import line_dedup
 
-    texts = {k: f"Text {k} begins " + " ".join(f"w{k}q{i}" for i in range(20)) + f"\nPage {k} of 99 printed by user{k}\nAll rights are kept by Party {'ABCDE'[k % 5] * 3}" for k in range(30)}
+    texts = {k: f"Text {k} begins " + " ".join(chr(97 + k) + chr(97 + i) for i in range(20)) + f"\nPage {k} of 99 printed by user{k}\nAll rights are kept by Party {'ABCDE'[k % 5] * 3}" for k in range(30)}
     rows = line_dedup.drop_lines(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), least_docs=10).collect()
     assert {r.doc_id: r.text for r in rows} == {k: t.split("\n")[0] for k, t in texts.items()}
     # Overfull leaves go deeper and come to the same lines here.
