@@ -191,10 +191,9 @@ def factor_returns(df: DataFrame, date: str, ret: str, cap: str, industry: str,
     Rows without a return, cap or industry are left out before; one group is one date.
     """
     usable = df.where(F.col(ret).isNotNull() & (F.col(cap) > 0) & F.col(industry).isNotNull())
+    usable = usable.withColumn("_n", F.count("*").over(Window.partitionBy(date))).where(F.col("_n") >= least)
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) < least:
-            return pd.DataFrame({c: [] for c in ("d", "factor_name", "factor_return", "robust_se", "t_stat", "r_squared", "residual_vol", "cross_section_n")})
         pdf = pdf.sort_values(key)
         names = sorted(set(pdf[industry]))
         used = [s for s in styles if np.nan_to_num(pdf[s].to_numpy(float)).any()]

@@ -55,12 +55,11 @@ def factor_covariance(returns: DataFrame, *, date: str = "date", lookback: int =
     """(model, factor_name, factor_name_2, covariance) of returns (model, date, factor_name, factor_return). A group is one model: lookback days by some 50 factors."""
     rows = returns.withColumn("_model", F.col(model) if model else F.lit("all"))
     days = rows.select("_model", date).distinct().withColumn("_age", F.row_number().over(Window.partitionBy("_model").orderBy(F.desc(date))))
+    days = days.withColumn("_days", F.count("*").over(Window.partitionBy("_model"))).where("_days > 1").drop("_days")
     recent = rows.join(F.broadcast(days.where(F.col("_age") <= lookback).drop("_age")), ["_model", date])
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         wide = pdf.sort_values([date, "factor_name"]).pivot_table(index=date, columns="factor_name", values="factor_return", aggfunc="last").sort_index().dropna(axis=1, how="all")
-        if len(wide) < 2:
-            return pd.DataFrame({"model": [], "factor_name": [], "factor_name_2": [], "covariance": []})
         names, cov = list(wide.columns), covariance_of(wide.replace([np.inf, -np.inf], np.nan).fillna(0.0).to_numpy())
         return pd.DataFrame({"model": pdf["_model"].iloc[0], "factor_name": np.repeat(names, len(names)), "factor_name_2": np.tile(names, len(names)), "covariance": cov.ravel()})
 
