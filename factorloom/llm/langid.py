@@ -126,7 +126,7 @@ def learn(train: DataFrame, text: str = "text", lang: str = "lang", key: str = "
         x, has = vectors(group.sort_values("key")["text"].tolist(), idf)
         x = x[has]
         if not len(x):
-            return pd.DataFrame({"lang": [], "least": [], "centre": []})
+            return pd.DataFrame({"lang": [], "least": [], "centre": []}, dtype=object)
         centres = spherical_kmeans(x, centroids)
         cosines = x @ centres.T
         owner = cosines.argmax(1)
