@@ -1 +1,148 @@
-"""Queries."""
+"""Queries for positions, risk decomposition, hedges and what-if differences."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import portfolio as P
+from ..sources import adapters as A
+from .catalog import query
+
+
+def r6(c):
+    return F.round(c, 6)
+
+
+def exposures(spark, d):
+    p = A.parts(spark, d)
+    cell = lambda name, value: F.struct(name.alias("factor_name"), value.alias("exposure"))
+    cells = F.array(cell(F.lit("Market"), F.lit(1.0)), cell(F.col("sector"), F.lit(1.0)), cell(F.lit("Size"), F.log("price") - 7))
+    return p.select("ric", F.explode(cells).alias("c")).select("ric", "c.*")
+
+
+def covariance(spark, d):
+    """Of the factors that exposures have: volatilities by the length of their names, correlations of 0.3."""
+    f = exposures(spark, d).select("factor_name").distinct().withColumn("v", 0.1 + 0.01 * F.log(F.length("factor_name") + 1.0))
+    g = f.withColumnsRenamed({"factor_name": "factor_name_2", "v": "w"})
+    return f.crossJoin(F.broadcast(g)).select("factor_name", "factor_name_2", (F.when(F.col("factor_name") == F.col("factor_name_2"), 1.0).otherwise(0.3) * F.col("v") * F.col("w")).alias("covariance"))
+
+
+def category(c):
+    return F.when(c == "Market", "market").when(c == "Size", "style").otherwise("industry")
+
+
+def weighted(spark, d):
+    return P.positions(A.holdings(spark, d), A.parts(spark, d))
+
+
+def specific(spark, d):
+    return P.specific_variance(weighted(spark, d), A.parts(spark, d).select("ric", (F.col("price") / 1e5).alias("specific_var")))
+
+
+def books(spark, d):
+    return P.book_exposures(weighted(spark, d), exposures(spark, d))
+
+
+W = ", w AS (SELECT h.account, h.ric, h.quantity, p.price, h.quantity * p.price AS mv, coalesce(round(h.quantity * p.price / sum(abs(h.quantity * p.price)) OVER (PARTITION BY h.account), 6), 0) AS weight FROM holdings h JOIN parts p USING (ric))"
+EX = W + ", ex AS (SELECT ric, 'Market' AS f, 1e0 AS e FROM parts UNION ALL SELECT ric, sector, 1e0 FROM parts UNION ALL SELECT ric, 'Size', ln(price) - 7 FROM parts), fs AS (SELECT DISTINCT f, CASE f WHEN 'Market' THEN 'market' WHEN 'Size' THEN 'style' ELSE 'industry' END AS k, 1e-1 + 1e-2 * ln(length(f) + 1e0) AS v FROM ex), cov AS (SELECT a.f AS f, b.f AS g, a.k AS ka, b.k AS kb, CASE WHEN a.f = b.f THEN 1e0 ELSE 3e-1 END * a.v * b.v AS c FROM fs a CROSS JOIN fs b), bx AS (SELECT account, f, sum(weight * e) AS x FROM w JOIN ex USING (ric) GROUP BY 1, 2), sp AS (SELECT account, sum(weight * weight * price / 1e5) AS s FROM w GROUP BY 1)"
+CAT = EX + ", cells AS (SELECT a.account, a.f, cov.ka, cov.kb, a.x * cov.c * b.x AS p FROM bx a JOIN cov ON a.f = cov.f JOIN bx b ON b.account = a.account AND b.f = cov.g), by_k AS (SELECT account, ka, kb, sum(p) AS p FROM cells GROUP BY 1, 2, 3), own AS (SELECT account, ka AS k, greatest(p, 0) AS o FROM by_k WHERE ka = kb), dealt AS (SELECT account, k, o AS m FROM own UNION ALL SELECT y.account, y.ka, CASE WHEN abs(y.p) * 2 <= 1e-12 THEN 0 WHEN a.o + b.o <= 1e-12 THEN y.p ELSE 2 * y.p * a.o / (a.o + b.o) END FROM by_k y JOIN own a ON a.account = y.account AND a.k = y.ka JOIN own b ON b.account = y.account AND b.k = y.kb WHERE y.ka <> y.kb), cv AS (SELECT account, k AS category, greatest(sum(m), 0) AS variance FROM dealt GROUP BY 1, 2)"
+
+
+@query("h01_positions", W + " SELECT account, ric, quantity, round(mv, 4) AS market_value, weight, CASE WHEN quantity >= 0 THEN 'LONG' ELSE 'SHORT' END AS side FROM w")
+def h01(spark, d):
+    return weighted(spark, d).select("account", "ric", "quantity", F.round("market_value", 4).alias("market_value"), "weight", "side")
+
+
+@query("h02_category_variance", CAT + " SELECT account, category, round(variance, 7) AS variance FROM cv")
+def h02(spark, d):
+    return P.category_variance(P.quadratic_cells(books(spark, d), covariance(spark, d)), category).select("account", "category", F.round("variance", 7).alias("variance"))
+
+
+@query("h03_risk_shares", CAT + ", x AS (SELECT account, category, variance AS p FROM cv UNION ALL SELECT account, 'idio', s FROM sp) SELECT account, category, round(p / sum(p) OVER (PARTITION BY account) * 100, 2) AS share FROM x")
+def h03(spark, d):
+    return P.risk_shares(P.category_variance(P.quadratic_cells(books(spark, d), covariance(spark, d)), category), specific(spark, d))
+
+
+@query("h03b_factor_details", CAT + ", t AS (SELECT account, sum(variance) + any_value(s) AS total FROM cv JOIN sp USING (account) GROUP BY 1), m AS (SELECT account, f, sum(p) AS m FROM cells GROUP BY 1, 2) SELECT account, f AS factor_name, k AS category, round(x, 6) AS exposure, round(v, 6) AS factor_vol, round(x * v, 6) AS sensitivity, round(m, 8) AS marginal_var_contrib, round(m / total * 100, 2) AS pct_of_total FROM bx JOIN fs USING (f) JOIN m USING (account, f) JOIN t USING (account)")
+def h03b(spark, d):
+    return P.factor_details(books(spark, d), covariance(spark, d), specific(spark, d), category)
+
+
+@query("h04_vol_scaled_shares", EX + ", x AS (SELECT account, k AS category, sum(abs(x * v)) AS p FROM bx JOIN fs USING (f) GROUP BY 1, 2 UNION ALL SELECT account, 'idio', sqrt(s) FROM sp) SELECT account, category, round(p / sum(p) OVER (PARTITION BY account) * 100, 2) AS share FROM x")
+def h04(spark, d):
+    return P.vol_scaled_shares(books(spark, d), covariance(spark, d), specific(spark, d), category)
+
+
+@query("h05_specific_variance", EX + " SELECT account, round(s, 8) AS specific_var FROM sp")
+def h05(spark, d):
+    return specific(spark, d).select("account", F.round("specific_var", 8).alias("specific_var"))
+
+
+@query("h08_style_correlations", EX + " SELECT f AS factor_name, g AS factor_name_2, CASE WHEN f = g THEN 1e0 ELSE 3e-1 END AS correlation FROM cov")
+def h08(spark, d):
+    return P.correlations(covariance(spark, d))
+
+
+def loadings(spark, d):
+    n = F.col("ric").cast("int")
+    cell = lambda name, value: F.struct(name.alias("factor_name"), value.alias("loading"))
+    cells = F.array(cell(F.lit("Market"), n % 13 / 10.0 - 0.5), cell(F.col("sector"), n % 7 / 20.0), cell(F.lit("Size"), n % 11 / 30.0 - 0.1))
+    return A.parts(spark, d).select("ric", F.explode(cells).alias("c")).select("ric", "c.*")
+
+
+LOADINGS = ", n AS (SELECT ric, sector, cast(ric AS INTEGER) AS n FROM parts), l AS (SELECT ric, 'Market' AS factor_name, n % 13 / 1e1 - 5e-1 AS loading FROM n UNION ALL SELECT ric, sector, n % 7 / 2e1 FROM n UNION ALL SELECT ric, 'Size', n % 11 / 3e1 - 1e-1 FROM n)"
+LEGS = LOADINGS + ", legs AS (SELECT ric, factor_name, -loading AS weight FROM (SELECT * FROM l WHERE abs(loading) >= CASE WHEN factor_name = 'Market' THEN 1e-1 ELSE 5e-2 END QUALIFY row_number() OVER (PARTITION BY ric ORDER BY abs(loading) DESC, factor_name) <= 10) WHERE abs(loading) >= 5e-2)"
+
+
+@query("h13_market_neutral", LOADINGS + " SELECT ric, round(CASE WHEN abs(loading) < 1e-1 THEN 0 ELSE -loading END, 6) AS weight, 'hedge_ok' AS status, CASE WHEN abs(loading) < 1e-1 THEN 'below_market_materiality_threshold' END AS reason FROM l WHERE factor_name = 'Market'")
+def h13(spark, d):
+    return P.market_neutral(loadings(spark, d), "Market").select("ric", r6("weight").alias("weight"), "status", "reason")
+
+
+@query("h14_factor_neutral")
+def h14(spark, d):
+    """Sequential pruning; checked on a fixture."""
+    legs = P.uncorrelated_legs(loadings(spark, d), covariance(spark, d), "Market")
+    return legs.select("ric", "factor_name", r6("weight").alias("weight"))
+
+
+@query("h15_hedge_legs", LEGS + " SELECT ric, factor_name, round(weight, 6) AS weight FROM legs")
+def h15(spark, d):
+    return P.hedge_legs(loadings(spark, d), "Market").select("ric", "factor_name", r6("weight").alias("weight"))
+
+
+@query("h15b_hedge_reduction", LEGS + ", x AS (SELECT l.ric, sum(abs(loading)) AS b, sum(abs(loading + coalesce(weight, 0))) AS a FROM l LEFT JOIN legs USING (ric, factor_name) GROUP BY 1) SELECT ric, round(CASE WHEN b <= 0 THEN 1 ELSE greatest(0, 1 - a / b) END, 6) AS reduction, CASE WHEN b <= 0 OR 1 - a / b >= 0.5 THEN 'hedge_ok' ELSE 'hedge_degraded' END AS status FROM x")
+def h15b(spark, d):
+    rows = loadings(spark, d)
+    return P.reduction(rows, P.hedge_legs(rows, "Market")).select("ric", r6("reduction").alias("reduction"), "status")
+
+
+@query("h17_trade_sizes", LEGS + " SELECT ric, factor_name, round(weight * 1e6, 4) AS notional, round(weight * 1e6 / 5e1, 4) AS trade_quantity FROM legs")
+def h17(spark, d):
+    legs = P.hedge_legs(loadings(spark, d), "Market")
+    quotes = exposures(spark, d).select("factor_name").distinct().withColumn("price", F.lit(50.0))
+    return P.sized_trades(legs, quotes, F.lit(1e6)).select("ric", "factor_name", F.round("notional", 4).alias("notional"), F.round("trade_quantity", 4).alias("trade_quantity"))
+
+
+DELTAS = ", s AS (SELECT account, ric, -quantity AS q FROM holdings WHERE cast(ric AS INTEGER) % 10 = 3 UNION ALL SELECT account, '0', 5 FROM (SELECT DISTINCT account FROM holdings))"
+
+
+def deltas(spark, d):
+    h = A.holdings(spark, d)
+    sold = h.where(F.col("ric").cast("int") % 10 == 3).withColumn("quantity", -F.col("quantity"))
+    return sold.unionByName(h.select("account").distinct().select("account", F.lit("0").alias("ric"), F.lit(5).cast("long").alias("quantity")))
+
+
+@query("h19_what_if", DELTAS + ", x AS (SELECT coalesce(h.account, s.account) AS account, coalesce(h.ric, s.ric) AS ric, cast(coalesce(h.quantity, 0) AS DOUBLE) AS current, cast(coalesce(h.quantity, 0) + coalesce(s.q, 0) AS DOUBLE) AS hypothetical, cast(coalesce(s.q, 0) AS DOUBLE) AS delta FROM holdings h FULL JOIN s ON h.account = s.account AND h.ric = s.ric) SELECT * FROM x WHERE current <> 0 OR hypothetical <> 0")
+def h19(spark, d):
+    return P.applied(A.holdings(spark, d), deltas(spark, d))
+
+
+@query("h20_import_delta", DELTAS + ", x AS (SELECT coalesce(h.account, s.account) AS account, coalesce(h.ric, s.ric) AS ric, coalesce(h.quantity, 0) AS before, coalesce(h.quantity, 0) + coalesce(s.q, 0) AS after FROM holdings h FULL JOIN s ON h.account = s.account AND h.ric = s.ric) SELECT *, CASE WHEN before = after THEN 'unchanged' WHEN before = 0 THEN 'added' WHEN after = 0 THEN 'removed' ELSE 'changed' END AS event FROM x")
+def h20(spark, d):
+    return P.imported(A.holdings(spark, d), deltas(spark, d), "increment_delta")
+
+
+@query("h20b_import_replace", DELTAS + ", s1 AS (SELECT * FROM s WHERE cast(account AS INTEGER) % 2 = 0), x AS (SELECT coalesce(h.account, s1.account) AS account, coalesce(h.ric, s1.ric) AS ric, coalesce(h.quantity, 0) AS before, CASE WHEN coalesce(h.account, s1.account) IN (SELECT account FROM s1) THEN coalesce(s1.q, 0) ELSE coalesce(h.quantity, 0) END AS after FROM holdings h FULL JOIN s1 ON h.account = s1.account AND h.ric = s1.ric) SELECT *, CASE WHEN before = after THEN 'unchanged' WHEN before = 0 THEN 'added' WHEN after = 0 THEN 'removed' ELSE 'changed' END AS event FROM x")
+def h20b(spark, d):
+    return P.imported(A.holdings(spark, d), deltas(spark, d).where(F.col("account").cast("int") % 2 == 0), "replace_account")

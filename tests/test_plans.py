@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factorloom.operators import crosssection as X
+from factorloom.operators import portfolio as P
 from factorloom.operators import riskmodel as M
 from factorloom.plans import registry
 
@@ -94,3 +95,24 @@ def test_covariance_and_projection(spark):
 
 def test_style_order_ignores_column_order():
     assert X.style_order(["Momentum", "Size"]) == X.style_order(["Size", "Momentum"]) == ["Size", "Momentum"]
+
+
+def test_pruned_hedge(spark):
+    """Of two correlated factors the smaller loading goes; the market stays and legs are capped."""
+    loads = {"M": 1.2, "A": 0.5, "B": 0.4, "C": -0.3, "D": 0.2, "E": 0.1, "F": 0.04}
+    cov = spark.createDataFrame([(f, g, 1.0 if f == g else 0.95 if {f, g} == {"A", "B"} else 0.1) for f in loads for g in loads], "factor_name string, factor_name_2 string, covariance double")
+    rows = spark.createDataFrame([("x", f, b) for f, b in loads.items()], "ric string, factor_name string, loading double")
+    legs = {r["factor_name"]: r["weight"] for r in P.uncorrelated_legs(rows, cov, "M", legs=4).collect()}
+    assert legs == {"M": -1.2, "A": -0.5, "C": 0.3, "D": -0.2}
+
+
+def test_stability(spark):
+    legs = lambda *rows: spark.createDataFrame(rows, "ric string, factor_name string, weight double")
+    (row,) = P.stability(legs(("x", "A", 1.0), ("x", "B", -0.5)), legs(("x", "A", 0.5))).collect()
+    assert (row["overlap"], row["gross_change"], row["net_change"]) == (0.5, 1.0, 0.0)
+
+
+def test_duplicate_scenario_rows_fail(spark):
+    rows = spark.createDataFrame([("a", "x", 1)], "account string, ric string, quantity long")
+    with pytest.raises(Exception, match="duplicate scenario row"):
+        P.applied(rows, rows.union(rows)).collect()
