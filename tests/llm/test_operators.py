@@ -339,6 +339,16 @@ def test_line_templates(spark):
     assert all("Page" not in r.text for r in deep)
 
 
+def test_lines_recur_over_distinct_texts(spark):
+    """Short pages lose their footer, though it is most of their words; copies of one text keep their lines."""
+    from factorloom.llm import line_dedup
+
+    pages = {k: f"Own words {chr(97 + k) * 3}\nContact us or read the terms of this site" for k in range(12)}
+    copies = {100 + k: "A text that was copied\nline by line and often" for k in range(12)}
+    rows = line_dedup.drop_lines(spark.createDataFrame(list((pages | copies).items()), "doc_id long, text string"), alike=0.9).collect()
+    assert {r.doc_id: (r.text, r.n_dropped) for r in rows} == {k: (t.split("\n")[0], 1) for k, t in pages.items()} | {k: (t, 0) for k, t in copies.items()}
+
+
 def test_pipeline(spark, small):
     """Stage by stage, each on what the one before kept."""
     import corpus_pipeline as P
