@@ -11,8 +11,12 @@ different, so what `least_docs` near copies share is dropped in all of them. Wit
 by id and text instead, and documents with more than that share of their words in recurring lines are left whole.
 
 At scale only hashes travel: of each line its leaf and itself; leaves of fewer documents than `least_docs` end there, and
-each distinct line of the others is read once. A leaf with more than `most` distinct lines is parsed deeper, by more
-leading tokens, until no node holds more, so a group that meets in one task has a bound; counts combine before shuffles.
+each distinct line of the others is read once. The leaf is the unit of templates at every size. One with more than `most`
+distinct lines is dealt out to blocks of about `most`, so a group that meets in one task has a bound; each block's templates
+are then taken as lines, equal ones as one, and dealt out again, until the leaf holds at most `most` and they meet in one
+group. Blocks are of hashes in the first round and of templates that share a token and its place in further ones. A leaf
+that still holds more after `ROUNDS` of these (lines that differ in earnest) keeps its templates as they are, and two of
+them that are alike but never met stay apart. Counts combine before shuffles.
 
 Null, empty and blank texts have no lines and stay as they are. Blank lines stay. Ties go to the template that was first,
 lines in order of frequency and then of hash. Rows of one id with different texts are told apart by a hash of the text.
@@ -33,8 +37,10 @@ from .common import batches_of, checkpointed, few_rows, table, text_key, with_li
 
 VARIABLE = b"<*>"
 DIGIT = re.compile(rb"[0-9]")
-#: Leading tokens that the tree looks at, and at each further level of an overfull leaf; at the last level all tokens.
-LEADING = (3, 5, 8, 16)
+#: Leading tokens that the tree looks at.
+LEADING = 3
+#: Rounds in which templates of an overfull leaf meet those that share a token.
+ROUNDS = 8
 
 
 def masked(line: bytes) -> list[bytes]:
@@ -61,7 +67,7 @@ def parsed(docs: DataFrame, key: str, text: str) -> DataFrame:
                 for at, line in enumerate((t or "").encode().split(b"\n")):
                     tokens = masked(line)
                     if tokens:
-                        seen.setdefault((node(tokens, LEADING[0]), node(tokens, len(tokens))), at)
+                        seen.setdefault((node(tokens, LEADING), node(tokens, len(tokens))), at)
                 out += [(i, o, leaf, own, at) for (leaf, own), at in seen.items()]
             if out:
                 columns = list(zip(*out, strict=True))
@@ -71,7 +77,7 @@ def parsed(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def read_lines(docs: DataFrame, where: DataFrame, key: str, text: str) -> DataFrame:
-    """(leaf, line, n, tokens, nodes) of where (leaf, line, n, spot): the tokens of each distinct line and its nodes at each level of the tree."""
+    """(leaf, line, n, tokens) of where (leaf, line, n, spot): the tokens of each distinct line."""
     lists = where.groupBy(F.col("spot.id").alias("id"), F.col("spot.of").alias("of")).agg(F.collect_list(F.struct("leaf", "line", "n", F.col("spot.at").alias("at"))).alias("wanted"))
 
     def run(batches):
@@ -81,17 +87,17 @@ def read_lines(docs: DataFrame, where: DataFrame, key: str, text: str) -> DataFr
                 lines = t.encode().split(b"\n")
                 for w in some:
                     tokens = masked(lines[w["at"]])
-                    out.append((w["leaf"], w["line"], w["n"], b" ".join(tokens).decode(), [node(tokens, k) for k in (*LEADING, len(tokens))]))
+                    out.append((w["leaf"], w["line"], w["n"], b" ".join(tokens).decode()))
             if out:
                 columns = list(zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.string()), pa.array(columns[4], pa.list_(pa.int64()))], names=["leaf", "line", "n", "tokens", "nodes"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.string())], names=["leaf", "line", "n", "tokens"])
 
     found = with_lists(docs.select(*text_key(key, text), text), lists, where.count(), "inner").select(text, "wanted")
-    return found.transform(few_rows).mapInArrow(run, "leaf long, line long, n long, tokens string, nodes array<long>").dropDuplicates(["leaf", "line"])
+    return found.transform(few_rows).mapInArrow(run, "leaf long, line long, n long, tokens string").dropDuplicates(["leaf", "line"])
 
 
-def templates_of(lines: list[tuple], alike: float) -> list[int]:
-    """By line (hash, frequency, tokens) the number of its template; lines are taken by frequency."""
+def templates_of(lines: list[tuple], alike: float) -> tuple[list[int], list[list]]:
+    """By line (hash, frequency, tokens) the number of its template, and the templates; lines are taken by frequency."""
     templates: list[list] = []
     chosen = [0] * len(lines)
     for k in sorted(range(len(lines)), key=lambda i: (-lines[i][1], lines[i][0])):
@@ -107,28 +113,60 @@ def templates_of(lines: list[tuple], alike: float) -> list[int]:
         else:
             chosen[k] = len(templates)
             templates.append(list(tokens))
-    return chosen
+    return chosen, templates
 
 
-def grouped(lines: DataFrame, most: int, alike: float) -> DataFrame:
-    """(leaf, line, node, template): each line's template within its node, the shallowest that holds at most `most` lines."""
-    at_level = lines.select("leaf", "line", F.posexplode("nodes").alias("level", "node"))
-    sizes = at_level.groupBy("level", "node").agg(F.count("*").alias("size")).where((F.col("size") <= most) | (F.col("level") == len(LEADING)))
-    depth = at_level.join(sizes, ["level", "node"]).groupBy("leaf", "line").agg(F.min("level").alias("level"))
-    placed = lines.join(depth, ["leaf", "line"]).select("leaf", "line", "n", "tokens", F.xxhash64("level", F.get("nodes", "level")).alias("node"))
+def anchor(tokens: str, salt: int) -> int:
+    """The least hash of a token behind the leading ones with its place; templates that share many have often the same."""
+    places = [xxhash.xxh3_64_intdigest(t.encode(), seed=(salt << 32) + k) for k, t in enumerate(tokens.split(" ")) if k >= LEADING and t != "<*>"]
+    return signed(min(places, default=0))
+
+
+def dealt(lines: DataFrame, most: int, salt: int) -> DataFrame:
+    """(block, whole, leaf, line, n, tokens): a leaf of at most `most` lines is one block and whole, others are split."""
+    sizes = lines.groupBy("leaf").agg(F.count("*").alias("size")).where(F.col("size") > most).withColumnRenamed("leaf", "_leaf")
+    rows = lines.join(F.broadcast(sizes), F.col("leaf") == F.col("_leaf"), "left")
+
+    def anchored(batches):
+        for leaf, line, n, tokens, size in batches_of(batches, ["leaf", "line", "n", "tokens", "size"]):
+            at = [None if z is None else anchor(t, salt) for t, z in zip(tokens, size, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in (leaf, line, n)), pa.array(tokens, pa.string()), pa.array(size, pa.int64()), pa.array(at, pa.int64())], names=["leaf", "line", "n", "tokens", "size", "anchor"])
+
+    if salt:
+        rows = checkpointed(rows.select("leaf", "line", "n", "tokens", "size").transform(few_rows).mapInArrow(anchored, "leaf long, line long, n long, tokens string, size long, anchor long"))
+        full = rows.where("size is not null").groupBy("leaf", "anchor").agg(F.count("*").alias("size")).where(F.col("size") > most).withColumnsRenamed({"leaf": "_leaf", "anchor": "_anchor"})
+        whole = F.col("size").isNull()
+        rows = rows.select("leaf", "line", "n", "tokens", whole.alias("whole"), "anchor").join(F.broadcast(full), (F.col("leaf") == F.col("_leaf")) & (F.col("anchor") == F.col("_anchor")), "left")
+    else:
+        rows = rows.withColumns({"whole": F.col("size").isNull(), "anchor": F.lit(None).cast("long")})
+    part = F.when(F.col("size").isNotNull(), F.pmod(F.xxhash64("line", F.lit(salt)), F.ceil(F.col("size") / most)))
+    return rows.select(F.xxhash64("leaf", "anchor", part).alias("block"), "whole", "leaf", "line", "n", "tokens")
+
+
+def learned(blocks: DataFrame, alike: float) -> DataFrame:
+    """(leaf, line, whole, template, n, tokens) of blocks; tokens, those of the template, and n stand with its first line only."""
 
     def run(batches):
         def settled(group):
-            chosen = templates_of([(line, n, tokens.split(" ")) for _, line, n, tokens, _ in group], alike)
-            return [(leaf, line, at, c) for (leaf, line, _, _, at), c in zip(group, chosen, strict=True)]
+            chosen, templates = templates_of([(line, n, tokens.split(" ")) for _, _, _, line, n, tokens in group], alike)
+            names, total, shown = [signed(xxhash.xxh3_64_intdigest(" ".join(t).encode())) for t in templates], [0] * len(templates), set()
+            for row, c in zip(group, chosen, strict=True):
+                total[c] += row[4]
+            rows = []
+            for (_, whole, leaf, line, _, _), c in zip(group, chosen, strict=True):
+                first = not whole and c not in shown
+                shown.add(c)
+                rows.append((leaf, line, whole, names[c], total[c] if first else None, " ".join(templates[c]) if first else None))
+            return rows
 
         def batch(rows):
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["leaf", "line", "node", "template"])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["leaf", "line", "whole", "template", "n", "tokens"])
 
+        kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.string()]
         group, out = [], []
-        for columns in batches_of(batches, ["leaf", "line", "n", "tokens", "node"]):
+        for columns in batches_of(batches, ["block", "whole", "leaf", "line", "n", "tokens"]):
             for row in zip(*columns, strict=True):
-                if group and group[0][4] != row[4]:
+                if group and group[0][0] != row[0]:
                     out += settled(group)
                     group = []
                 group.append(row)
@@ -140,7 +178,27 @@ def grouped(lines: DataFrame, most: int, alike: float) -> DataFrame:
         if out:
             yield batch(out)
 
-    return placed.repartition("node").sortWithinPartitions("node", "line").transform(few_rows).mapInArrow(run, "leaf long, line long, node long, template long")
+    placed = blocks.repartition("block").sortWithinPartitions("block", "line")
+    return placed.transform(few_rows).mapInArrow(run, "leaf long, line long, whole boolean, template long, n long, tokens string")
+
+
+def grouped(lines: DataFrame, most: int, alike: float) -> DataFrame:
+    """(leaf, line, template): each line's template within its leaf."""
+    steps = []
+    for salt in range(ROUNDS + 1):
+        steps.append(checkpointed(learned(dealt(lines, most, salt), alike)))
+        lines = checkpointed(steps[-1].where("tokens is not null").groupBy("leaf", F.col("template").alias("line")).agg(F.sum("n").alias("n"), F.first("tokens").alias("tokens")))
+        if lines.isEmpty():
+            break
+    # From the last round back to the first, templates take the names of those that they became.
+    named = None
+    for step in reversed(steps):
+        step = step.select("leaf", "line", "template")
+        if named is not None:
+            later = named.select(F.col("leaf").alias("_leaf"), F.col("line").alias("_line"), F.col("template").alias("_later"))
+            step = step.join(later, (F.col("leaf") == F.col("_leaf")) & (F.col("template") == F.col("_line")), "left").select("leaf", "line", F.coalesce("_later", "template").alias("template"))
+        named = step
+    return named
 
 
 def recurring(docs: DataFrame, key: str, text: str, *, least_docs: int, most: int, alike: float, counted: tuple[str, ...] = ("of",)) -> DataFrame:
@@ -151,8 +209,8 @@ def recurring(docs: DataFrame, key: str, text: str, *, least_docs: int, most: in
     distinct = checkpointed(lines.groupBy("leaf", "line").agg(F.count("*").alias("n"), F.min(F.struct("id", "of", "at")).alias("spot")))
     template = checkpointed(grouped(checkpointed(read_lines(docs, distinct, key, text)), most, alike))
     named = lines.join(template, ["leaf", "line"])
-    widely = checkpointed(named.select("node", "template", *counted).distinct().groupBy("node", "template").agg(F.count("*").alias("docs")).where(F.col("docs") >= least_docs).select("node", "template"))
-    return named.join(widely, ["node", "template"]).groupBy("id", "of").agg(F.collect_set("line").alias("drop"))
+    widely = checkpointed(named.select("leaf", "template", *counted).distinct().groupBy("leaf", "template").agg(F.count("*").alias("docs")).where(F.col("docs") >= least_docs).select("leaf", "template"))
+    return named.join(widely, ["leaf", "template"]).groupBy("id", "of").agg(F.collect_set("line").alias("drop"))
 
 
 def drop_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", *, least_docs: int = 10, most: int = 256, alike: float = 0.6, boilerplate: float | None = None) -> DataFrame:

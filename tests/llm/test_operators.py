@@ -349,6 +349,19 @@ def test_lines_recur_over_distinct_texts(spark):
     assert {r.doc_id: (r.text, r.n_dropped) for r in rows} == {k: (t.split("\n")[0], 1) for k, t in pages.items()} | {k: (t, 0) for k, t in copies.items()}
 
 
+def test_line_templates_of_overfull_leaves(spark):
+    """Templates whose variable token stands late are found in a leaf of many lines, also rare ones among many others."""
+    from factorloom.llm import line_dedup
+
+    name = lambda k: "".join(chr(97 + k // 26**p % 26) for p in range(4))
+    own = {k: f"Own words {name(k)}" for k in range(900)}
+    lines = {k: f"Posted today by {name(k)} in news" for k in range(600)} | {k: f"Posted today by staff of the {name(k)} desk in town" for k in range(600, 612)}
+    # Lines of the rare template's leaf that have nothing else in common.
+    lines |= {k: "Posted today by " + " ".join(name(k * 7 + i) for i in range(7)) for k in range(612, 900)}
+    rows = line_dedup.drop_lines(spark.createDataFrame([(k, f"{own[k]}\n{lines[k]}") for k in own], "doc_id long, text string"), most=32, alike=0.7).collect()
+    assert {r.doc_id for r in rows if r.text == own[r.doc_id]} == set(range(612))
+
+
 def test_pipeline(spark, small):
     """Stage by stage, each on what the one before kept."""
     import corpus_pipeline as P
