@@ -40,6 +40,13 @@ def c03(spark, d):
     return R.asof_fill(A.long_prices(spark, d).where("date >= date'2000-01-01'").select("ric", "date"), events, "ric", "date", "as_of_date", ["seq"], ["cap", "priority"])
 
 
+@query("c03_asof_fill_all", ", e AS (SELECT ric, as_of_date, seq, CASE WHEN status <> 'P' THEN market_cap END AS cap, CASE WHEN status <> 'F' THEN priority END AS priority FROM fundamentals), x AS (SELECT ric, as_of_date, arg_max(cap, seq) AS cap FROM e WHERE cap IS NOT NULL GROUP BY 1, 2), y AS (SELECT ric, as_of_date, arg_max(priority, seq) AS priority FROM e WHERE priority IS NOT NULL GROUP BY 1, 2) SELECT p.ric, p.date, x.cap, y.priority FROM long_prices p ASOF LEFT JOIN x ON p.ric = x.ric AND p.date >= x.as_of_date ASOF LEFT JOIN y ON p.ric = y.ric AND p.date >= y.as_of_date")
+def c03_all(spark, d):
+    """c03 over all dates."""
+    events = A.fundamentals(spark, d).select("ric", "as_of_date", "seq", F.when(F.col("status") != "P", F.col("market_cap")).alias("cap"), F.when(F.col("status") != "F", F.col("priority")).alias("priority"))
+    return R.asof_fill(A.long_prices(spark, d).select("ric", "date"), events, "ric", "date", "as_of_date", ["seq"], ["cap", "priority"])
+
+
 @query("c04_identity_scope", "SELECT p.ric, p.date, r.ticker FROM prices p JOIN registry r USING (ric)")
 def c04(spark, d):
     return A.prices(spark, d).join(A.registry(spark, d), "ric").select("ric", "date", "ticker")
@@ -156,6 +163,15 @@ def c20(spark, d):
     return R.asof_backward(grid, f, "ric", "day", "as_of_date", ["seq"], ["status"]).where("as_of_date is not null").select("ric", "day", "status")
 
 
+@query("c20_runtime_by_date_all", ", days AS (SELECT DISTINCT date_trunc('quarter', as_of_date)::DATE AS day FROM fundamentals), one AS (SELECT ric, as_of_date, arg_max(status, seq) AS status FROM fundamentals GROUP BY 1, 2) SELECT x.ric, x.day, one.status FROM (SELECT r.ric, days.day FROM registry r CROSS JOIN days) x ASOF JOIN one ON x.ric = one.ric AND x.day >= one.as_of_date")
+def c20_all(spark, d):
+    """c20 over all securities."""
+    f = A.fundamentals(spark, d)
+    days = f.select(F.trunc("as_of_date", "quarter").alias("day")).distinct()
+    grid = A.registry(spark, d).select("ric").join(F.broadcast(days))
+    return R.asof_backward(grid, f, "ric", "day", "as_of_date", ["seq"], ["status"]).where("as_of_date is not null").select("ric", "day", "status")
+
+
 @query("d01_latest_row", "SELECT ric, as_of_date, seq, market_cap FROM fundamentals QUALIFY row_number() OVER (PARTITION BY ric ORDER BY as_of_date DESC, seq DESC) = 1")
 def d01(spark, d):
     return R.latest_wide(A.fundamentals(spark, d), ["ric"], ["as_of_date", "seq"], ["market_cap"])

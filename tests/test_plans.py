@@ -54,6 +54,15 @@ def test_others_run(spark, small, name):
     registry.QUERIES[name](spark, small).collect()
 
 
+def test_whole_grids(spark, small):
+    """All dates are filled, and securities of all sectors have runtimes."""
+    from factorloom.sources import adapters as A
+
+    assert registry.QUERIES["c03_asof_fill_all"](spark, small).count() == A.long_prices(spark, small).count()
+    sectors = lambda rics: {r.sector for r in A.registry(spark, small).join(rics, "ric", "left_semi").select("sector").distinct().collect()}
+    assert sectors(registry.QUERIES["c20_runtime_by_date_all"](spark, small)) == sectors(A.fundamentals(spark, small)) != {"BUILDING"}
+
+
 def test_constrained_regression():
     """Cap-weighted industry returns add up to 0, and planted coefficients come back."""
     rng = np.random.default_rng(0)
