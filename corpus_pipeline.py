@@ -1,6 +1,7 @@
 """A corpus pipeline: each stage calls an operator of factorloom.llm over all rows that the stage before kept.
 
-Stages but the last return the columns of documents. Rows whose id is null pass through near deduplication.
+Stages but the last return the columns of documents. Rows whose id is null pass through near deduplication;
+of rows that share an id one stays.
 """
 
 from __future__ import annotations
@@ -29,11 +30,21 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
+    """One document of each group of near duplicates, one row of each id: one with a text if there is, then by the hash of the text."""
     gone = checkpointed(near_dedup.dedup(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct())
     if gone.count() <= FEW_IDS:
         gone = F.broadcast(gone)
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    kept = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    again = checkpointed(docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("_again")).agg(F.count("*").alias("n")).where("n > 1").select("_again"))
+    few = again.count()
+    if not few:
+        return kept
+    if few <= FEW_IDS:
+        again = F.broadcast(again)
+    same = F.col("doc_id") == F.col("_again")
+    first = F.min(F.struct(F.col("text").isNull().alias("none"), F.xxhash64("text").alias("of"), F.struct(*docs.columns).alias("row")))
+    repeated = kept.join(again, same, "left_semi").groupBy("doc_id").agg(first.alias("first")).select("first.row.*")
+    return kept.join(again, same, "left_anti").unionByName(repeated)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

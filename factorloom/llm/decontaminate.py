@@ -7,7 +7,7 @@ the words that stand there. Proximity matches join the same postings within a di
 
 The test side is broadcast while its terms are counted and at most `few_terms`; beyond that terms are joined by shuffles.
 
-Null and empty texts have no words and no hits; items without words have no windows; items without an id hit words but
+Null and empty texts have no words and no hits; documents without an id have hits as others do; items without words have no windows; items without an id hit words but
 aren't counted. Rows of one id with different texts are told apart by a hash of the text; equal rows get equal results. Equal items with
 different ids all count. Columns of the input stay, but for those that decontaminate() adds.
 """
@@ -114,8 +114,10 @@ def proximity(docs: DataFrame, pairs: DataFrame, within: int, text: str = "text"
 
 def hits(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", *, width: int = 10) -> DataFrame:
     """By (key, _text): n_hit and items, of the documents that have hits. _text is the hash of the text."""
-    rows = docs.select(key, F.xxhash64(text).alias("_text"), text)
-    found = matches(rows, items, width=width, text=text).select(key, "_text", "start", "size", "items").distinct()
+    # Postings are joined by equality, which a null id would not meet: it is a flag beside an id of 0.
+    some = F.coalesce(F.col(key), F.lit(0).cast(docs.schema[key].dataType))
+    rows = docs.select(some.alias("_id"), F.col(key).isNull().alias("_none"), F.xxhash64(text).alias("_text"), text)
+    found = matches(rows, items, width=width, text=text).select(F.when(~F.col("_none"), F.col("_id")).alias(key), "_text", "start", "size", "items").distinct()
     spans = F.sort_array(F.collect_set(F.struct("start", "size")))
     return found.groupBy(key, "_text").agg(covered(spans).cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
 

@@ -214,6 +214,23 @@ def test_decontaminate_by_shuffles(spark, small):
     assert one and one == other
 
 
+def test_decontaminate_without_id(spark):
+    """A document without an id has hits as well, apart from one whose id is 0."""
+    texts = spark.createDataFrame([(None, "see one two three here"), (0, "no such words"), (None, "nothing"), (3, "one two three")], "doc_id long, text string")
+    items = spark.createDataFrame([("a", "one two three")], "item_id string, text string")
+    rows = decontaminate.decontaminate(texts, items).collect()
+    assert sorted((str(r.doc_id), r.n_words, r.n_hit, r.contaminated) for r in rows) == [("0", 3, 0, False), ("3", 3, 3, True), ("None", 1, 0, False), ("None", 5, 3, True)]
+    assert sorted(r.text for r in decontaminate.clean(texts, items).collect()) == ["no such words", "nothing"]
+
+
+def test_near_stage_repeated_rows(spark, small):
+    import corpus_pipeline as P
+
+    text = " ".join(f"word{k}" for k in range(30))
+    texts = spark.createDataFrame([(1, text), (1, text), (2, text), (3, None), (3, "three"), (None, text), (None, text)], "doc_id long, text string")
+    assert sorted(map(str, map(tuple, P.near_stage(spark, texts, small).collect()))) == sorted(map(str, [(1, text), (3, "three"), (None, text), (None, text)]))
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "a b c d a"), (2, "d c x x x x a"), (3, None)], "doc_id long, text string")
     pairs = spark.createDataFrame([("a", "D"), ("a", "a")], "a string, b string")
