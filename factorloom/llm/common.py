@@ -19,6 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def others(df: DataFrame, *names: str) -> list[str]:
+    """Columns of df but those of the names, which an operator adds or drops; case makes no difference, as in Spark."""
+    gone = {n.lower() for n in names}
+    return [c for c in df.columns if c.lower() not in gone]
+
+
 def use_checkpoints(spark: SparkSession) -> None:
     """Make checkpoint() usable: the cluster's shared folder, or a temporary one in local mode only."""
     sc = spark.sparkContext
@@ -52,7 +58,10 @@ BATCH_ROWS = 512
 
 
 def few_rows(df: DataFrame) -> DataFrame:
-    """df, with the session's Arrow batches made small."""
+    """df, with the session's Arrow batches made small.
+
+    The setting is read when the plan is run, which may be long after it is made, so it stays as it is set.
+    """
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(conf.get(name)) <= BATCH_ROWS:
         conf.set(name, BATCH_ROWS)

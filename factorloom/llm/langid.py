@@ -7,17 +7,18 @@ marked rejected if that cosine is below what nearly all sampled documents of the
 
 Document frequencies count all training documents. The sample for k-means takes `sample` expected documents a language by
 a hash of the id. Texts that are null or have no letter get `und`, score 0 and are marked rejected. Ties go to the first
-language by name. With nothing to learn from, each text gets `und`.
+language by name. Models hold up to `shard` languages each, so what is broadcast is bounded. Rows without an id are
+learned from. With nothing to learn from, each text gets `und`.
 """
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +27,7 @@ from .common import batches_of, few_rows, remainder, table
 DIMENSIONS = 4096
 #: Lower-case ASCII letters and all bytes of other characters stay; the rest is white space.
 LETTERS = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 
 
 def term_counts(text: str | None) -> np.ndarray | None:
@@ -110,17 +111,15 @@ class Languages:
         return [self.names[self.of[b]] if h else "und" for b, h in zip(best, has, strict=True)], np.clip(top, 0, 1).astype(float), ~has | (top < self.least[best])
 
 
-def learn(train: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", *, sample: int = 400, centroids: int = 4, max_languages: int = 500) -> Languages:
+def learn(train: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", *, sample: int = 400, centroids: int = 4, shard: int = 500) -> list[Languages]:
     train = train.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
     df, n = document_frequencies(train, "text")
     idf = np.log((1 + n) / (1 + df)) + 1
     sizes = {r["lang"]: r["n"] for r in train.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if len(sizes) > max_languages:
-        raise ValueError(f"{len(sizes)} languages; at most {max_languages} are expected")
     if not sizes:
-        return Languages([], np.empty(0, int), np.empty((0, DIMENSIONS)), np.empty(0), idf)
+        return [Languages([], np.empty(0, int), np.empty((0, DIMENSIONS)), np.empty(0), idf)]
     share = F.create_map(*[F.lit(v) for name, size in sizes.items() for v in (name, int(1_000_000 * min(1.0, sample / size)) + 1)])
-    picked = train.where(F.pmod(F.xxhash64("key", F.lit(9)), F.lit(1_000_000)) < share[F.col("lang")])
+    picked = train.where(F.pmod(F.xxhash64("key", "text", F.lit(9)), F.lit(1_000_000)) < share[F.col("lang")])
 
     def cluster(group: pd.DataFrame) -> pd.DataFrame:
         x, has = vectors(group.sort_values("key")["text"].tolist(), idf)
@@ -134,27 +133,43 @@ def learn(train: DataFrame, text: str = "text", lang: str = "lang", key: str = "
         return pd.DataFrame({"lang": group["lang"].iloc[0], "least": least, "centre": [c.astype(float) for c in centres]})
 
     rows = sorted(picked.groupBy("lang").applyInPandas(cluster, "lang string, least double, centre array<double>").collect(), key=lambda r: (r["lang"], list(r["centre"])))
-    names = sorted({r["lang"] for r in rows})
-    return Languages(names, np.array([names.index(r["lang"]) for r in rows], int), np.array([r["centre"] for r in rows], np.float32).reshape(-1, DIMENSIONS), np.array([r["least"] for r in rows]), idf)
+    names, models = sorted({r["lang"] for r in rows}), []
+    for k in range(0, max(len(names), 1), shard):
+        some = names[k : k + shard]
+        own = [r for r in rows if r["lang"] in set(some)]
+        models.append(Languages(some, np.array([some.index(r["lang"]) for r in own], int), np.array([r["centre"] for r in own], np.float32).reshape(-1, DIMENSIONS), np.array([r["least"] for r in own]), idf))
+    return models
 
 
-def identify(docs: DataFrame, model: Languages, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, lang_pred, score, rejected) of each row."""
+def identify(docs: DataFrame, models: list[Languages], key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, lang_pred, score, rejected) of each row: the best of all models, one pass over the texts for each model."""
+    rows, kind = docs.select(key, text), docs.schema[key].dataType.simpleString()
+    for k, model in enumerate(models):
+        rows = judged(rows, model, key, kind, text, first=k == 0)
+    return rows.drop(text)
+
+
+def judged(rows: DataFrame, model: Languages, key: str, kind: str, text: str, first: bool) -> DataFrame:
+    """rows with what model says, or what they say already where that is at least as sure."""
 
     def run(batches):
         for batch in batches:
-            kind = batch.schema.field(key).type
-            for ids, texts in batches_of([batch], [key, text]):
-                for k in range(0, len(texts), 512):
-                    names, top, rejected = model.predict(texts[k : k + 512])
-                    yield pa.RecordBatch.from_pydict({key: pa.array(ids[k : k + 512], kind), "lang_pred": pa.array(names, pa.string()), "score": top, "rejected": rejected})
+            column = lambda c: batch.column(batch.schema.get_field_index(c))
+            for k in range(0, batch.num_rows, 512):
+                part = slice(k, k + 512)
+                names, top, rejected = model.predict(column(text)[part].to_pylist())
+                if not first:
+                    better = top > column("score")[part].to_numpy()
+                    names = [a if b else c for a, b, c in zip(names, better, column("lang_pred")[part].to_pylist(), strict=True)]
+                    rejected = np.where(better, rejected, column("rejected")[part].to_numpy(zero_copy_only=False))
+                    top = np.where(better, top, column("score")[part].to_numpy())
+                yield pa.RecordBatch.from_pydict({key: column(key)[part], text: column(text)[part], "lang_pred": pa.array(names, pa.string()), "score": top, "rejected": rejected})
 
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).transform(few_rows).mapInArrow(run, f"`{key}` {kind}, lang_pred string, score double, rejected boolean")
+    return rows.transform(few_rows).mapInArrow(run, f"`{key}` {kind}, `{text}` string, lang_pred string, score double, rejected boolean")
 
 
 def op9_langid(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    held_out = remainder("doc_id", 5) == 0
+    held_out = F.coalesce(remainder("doc_id", 5) == 0, F.lit(False))
     model = learn(docs.where(~held_out))
     return identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")

@@ -7,8 +7,7 @@ Templates found in at least `least_docs` documents recur, and their lines are dr
 
 Recurring lines are dropped in every document, whatever share of it they are. Documents are counted once for each template,
 and equal texts once, whatever their ids, so copies of one text don't make its lines recur; texts that differ anywhere are
-different, so what `least_docs` near copies share is dropped in all of them. With a number as `boilerplate` rows are counted
-by id and text instead, and documents with more than that share of their words in recurring lines are left whole.
+different, so what `least_docs` near copies share is dropped in all of them.
 
 At scale only hashes travel: of each line its leaf and itself; leaves of fewer documents than `least_docs` end there, and
 each distinct line of the others is read once. The leaf is the unit of templates at every size. One with more than `most`
@@ -33,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batches_of, checkpointed, few_rows, table, text_key, with_lists
+from .common import batches_of, checkpointed, few_rows, others, table, text_key, with_lists
 
 VARIABLE = b"<*>"
 DIGIT = re.compile(rb"[0-9]")
@@ -201,24 +200,23 @@ def grouped(lines: DataFrame, most: int, alike: float) -> DataFrame:
     return named
 
 
-def recurring(docs: DataFrame, key: str, text: str, *, least_docs: int, most: int, alike: float, counted: tuple[str, ...] = ("of",)) -> DataFrame:
-    """(id, of, drop): of each document the hashes of its lines that recur. counted: what tells documents apart where templates are counted."""
+def recurring(docs: DataFrame, key: str, text: str, *, least_docs: int, most: int, alike: float) -> DataFrame:
+    """(id, of, drop): of each document the hashes of its lines that recur."""
     found = checkpointed(parsed(docs, key, text))
     often = checkpointed(found.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= least_docs).select("leaf"))
     lines = checkpointed(found.join(often, "leaf"))
     distinct = checkpointed(lines.groupBy("leaf", "line").agg(F.count("*").alias("n"), F.min(F.struct("id", "of", "at")).alias("spot")))
     template = checkpointed(grouped(checkpointed(read_lines(docs, distinct, key, text)), most, alike))
     named = lines.join(template, ["leaf", "line"])
-    widely = checkpointed(named.select("leaf", "template", *counted).distinct().groupBy("leaf", "template").agg(F.count("*").alias("docs")).where(F.col("docs") >= least_docs).select("leaf", "template"))
+    widely = checkpointed(named.select("leaf", "template", "of").distinct().groupBy("leaf", "template").agg(F.count("*").alias("docs")).where(F.col("docs") >= least_docs).select("leaf", "template"))
     return named.join(widely, ["leaf", "template"]).groupBy("id", "of").agg(F.collect_set("line").alias("drop"))
 
 
-def drop_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", *, least_docs: int = 10, most: int = 256, alike: float = 0.6, boilerplate: float | None = None) -> DataFrame:
+def drop_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", *, least_docs: int = 10, most: int = 256, alike: float = 0.6) -> DataFrame:
     """docs with recurring lines taken out of the text, n_lines (not blank, before) and n_dropped."""
-    kept = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    kept = others(docs, "n_lines", "n_dropped")
     docs = docs.select(*kept)
-    counted = ("of",) if boilerplate is None else ("id", "of")
-    lists = checkpointed(recurring(docs, key, text, least_docs=least_docs, most=most, alike=alike, counted=counted))
+    lists = checkpointed(recurring(docs, key, text, least_docs=least_docs, most=most, alike=alike))
     schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
     rows = docs.select(F.struct(*kept).alias("row"), *text_key(key, text))
     # The lists grow with the documents: texts are dealt out to them at every size, and the lists, the smaller side, are hashed.
@@ -233,9 +231,6 @@ def drop_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", *, leas
             return t, total, 0
         gone = set(drop)
         recurs = [bool(x) and node(x, len(x)) in gone for x in lines]
-        words = sum(map(len, lines))
-        if boilerplate is not None and sum(len(x) for x, r in zip(lines, recurs, strict=True) if r) > boilerplate * words:
-            return t, total, 0
         return b"\n".join(x for x, r in zip(raw, recurs, strict=True) if not r).decode(), total, sum(recurs)
 
     def run(batches):

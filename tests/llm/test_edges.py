@@ -1,6 +1,7 @@
 """Every operator over nulls, empty and very long texts, repeated rows, extra columns with clashing names, and an empty table."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from factorloom.llm import bpe, ctw, decontaminate, langid, line_dedup, near_dedup, quality_gam, quality_rules, substring_dedup, url_rules
 from factorloom.llm.features import features
@@ -56,6 +57,9 @@ def test_quality_rules(docs, n):
     rows = quality_rules.judge(docs).collect()
     assert len(rows) == n and not any(r.kept and r.base_failed for r in rows)
     assert all(r.base_failed and r.n_words == 0 for r in rows if r.doc_id in (1, 2, 3))
+    own = {"mean_word": 99.0, "symbol_share": 98.0, "_lang": 97.0, "_source": 96.0, "_row": 95.0}
+    clash = quality_rules.judge(docs.withColumns({c: F.lit(v) for c, v in own.items()})).collect()
+    assert len(clash) == n and all(r[c] == v for r in clash for c, v in own.items())
 
 
 def test_substring_dedup(docs, n):
@@ -78,6 +82,16 @@ def test_quality_gam(spark, docs, n):
         assert len(rows) == n and all(0 <= r.score <= 1 for r in rows)
 
 
+def test_languages_in_shards(spark):
+    """Models of few languages each say what one model says; texts whose only alphanumerics are no letters get und."""
+    words = {"aa": "bla bli blo blu", "bb": "kras kres kris kros", "cc": "zim zam zom zum"}
+    rows = [(i, " ".join([words[lang]] * (1 + i % 3)), lang) for i, lang in enumerate([*words] * 20)] + [(90, "\u00b2 \u00bd 12", None), (None, "bla blo", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    one, many = (sorted(map(str, langid.identify(docs, langid.learn(docs, shard=k)).select("doc_id", "lang_pred", "rejected").collect())) for k in (500, 1))
+    assert one == many and "Row(doc_id=90, lang_pred='und', rejected=True)" in one
+    assert all(r.lang_pred == rows[r.doc_id][2] for r in langid.identify(docs, langid.learn(docs)).collect() if r.doc_id is not None and r.doc_id < 60)
+
+
 def test_langid(docs, n):
     for train in (docs, docs.limit(0)):
         rows = langid.identify(docs, langid.learn(train)).collect()
@@ -85,10 +99,12 @@ def test_langid(docs, n):
 
 
 def test_line_dedup(docs, n):
-    rows = line_dedup.drop_lines(docs, least_docs=2, boilerplate=1.0).collect()
-    assert len(rows) == n and {r.text for r in rows if r.doc_id in (5, 6)} <= {""}
+    rows = line_dedup.drop_lines(docs, least_docs=2).collect()
+    assert len(rows) == n and all(r.n_dropped == 0 for r in rows)
     assert all(r.id == 1 and r.word == "w" for r in rows)
-    assert all(r.n_dropped == 0 for r in line_dedup.drop_lines(docs, least_docs=2).collect())
+    clash = line_dedup.drop_lines(docs.withColumn("N_LINES", F.lit(9)), least_docs=1)
+    assert [c for c in clash.columns if c.lower() == "n_lines"] == ["n_lines"]
+    assert {(r.n_lines, r.text) for r in clash.collect() if r.doc_id in (5, 6)} <= {(1, "")}
 
 
 def test_url_rules(spark):
