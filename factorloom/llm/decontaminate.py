@@ -1,95 +1,150 @@
 """Benchmark decontamination over a positional inverted index, in DataFrame functions only.
 
-Test texts become windows of words. The corpus is read once to count the terms of the test texts, then once more to store
-postings (term, document, position) of the terms that are needed: the two rarest of each window. Lists are shifted by a
-term's offset in its window and intersected on document and start, rarest first; what is left is compared as a phrase with
-the words that stand there. Proximity matches join the same postings within a distance.
-
-The test side is broadcast while its terms are counted and at most `few_terms`; beyond that terms are joined by shuffles.
-
-Null and empty texts have no words and no hits; documents without an id have hits as others do; items without words have no windows; items without an id hit words but
-aren't counted. Rows of one id with different texts are told apart by a hash of the text; equal rows get equal results. Equal items with
-different ids all count. Columns of the input stay, but for those that decontaminate() adds.
+The index is written once: postings (term, document, position) of all terms of the test texts in all documents. Phrases
+are found by it alone, without a second look at the texts. Each window of an item has two rarest terms; their lists,
+shifted by how far apart they stand in the item, are intersected first. Where both meet, the item would lie along a
+diagonal of the document (position in the document less position in the item), and the lists of all its other terms are
+intersected along that diagonal: places of the item that are met in a row, as many as a window has words, are exact
+matches. Proximity matches join lists of the same index within a distance.
+
+Lists of the test side are broadcast while its terms are counted and at most `few_terms`; beyond that postings meet them in
+shuffles by term and a salt, so a frequent term is split.
+
+Items are told apart by 64-bit hashes of their words. Null and empty texts have no words and no hits; documents without an
+id have hits as others do; items without words have no windows; items without an id hit words but aren't counted. Rows of
+one id with different texts are told apart by a hash of the text; equal rows get equal results. Equal items with different
+ids all count. Columns of the input stay, but for its text and those that decontaminate() adds.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window
 
-from .common import checkpointed, table
+from .common import checkpointed, others, table, written
 
 #: Fixed value: words are ASCII letters and digits and all characters beyond ASCII; A-Z only differ in case.
 BETWEEN = r"[\p{ASCII}&&\P{Alnum}]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-COLUMNS = ["n_words", "n_hit", "n_items", "items", "contaminated"]
+COLUMNS = ["n_words", "n_hit", "n_items", "items", "contaminated", "n_near"]
+#: Terms of the test side that are broadcast at most.
+FEW_TERMS = 500_000
+#: Documents whose keys are broadcast at most.
+FEW_DOCUMENTS = 1_000_000
+SALTS = 32
 
 
 def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), BETWEEN), "")
 
 
-def phrase(parts: Column) -> Column:
-    """Words as one string, A-Z lower-cased."""
-    return F.translate(F.array_join(parts, " "), UPPER, LOWER)
-
-
-def windows(items: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """Distinct windows: window_id, size, phrase, terms, items (an array of ids)."""
-    rows = items.select(F.col(key).cast("string").alias("item"), words(F.col(text)).alias("w")).where(F.size("w") > 0)
-    rows = rows.select("item", "w", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - width + 1))).alias("at"))
-    rows = rows.select("item", F.slice("w", F.col("at"), width).alias("w")).select("item", phrase(F.col("w")).alias("phrase"))
-    found = rows.groupBy("phrase").agg(F.sort_array(F.collect_set("item")).alias("items"))
-    return found.select(F.xxhash64("phrase").alias("window_id"), "phrase", F.split("phrase", " ").alias("terms"), "items").withColumn("size", F.size("terms"))
-
-
-def postings(docs: DataFrame, terms: DataFrame, small: bool, text: str = "text") -> DataFrame:
-    """(term, keys of docs, pos) of each place where a term stands. docs: key columns and text."""
-    keys = [c for c in docs.columns if c != text]
-    places = docs.select(*keys, F.posexplode(words(F.col(text))).alias("pos", "token")).select(F.lower("token").alias("term"), *keys, "pos")
-    return places.join(F.broadcast(terms) if small else terms, "term")
-
-
-def compared(docs: DataFrame, spots: DataFrame, text: str, few_documents: int = 1_000_000) -> DataFrame:
-    """(keys of docs, start, size, window_id, found) of spots (keys, start, size, window_id): the words that stand there, as a phrase.
-
-    Only documents with spots are split into words again; their keys are broadcast while they are counted and few.
-    """
-    keys = [c for c in docs.columns if c != text]
-    lists = checkpointed(spots.groupBy(*keys).agg(F.collect_list(F.struct("start", "size", "window_id")).alias("_spots")))
-    named = lists.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)])
-    same = [F.col(k) == F.col(f"_k{i}") for i, k in enumerate(keys)]
-    needed = docs.join(F.broadcast(named), same, "left_semi") if lists.count() <= few_documents else docs
-    at = lambda w: F.transform("_spots", lambda s: F.struct(s["start"].alias("start"), s["size"].alias("size"), s["window_id"].alias("window_id"), phrase(F.slice(w, s["start"] + 1, s["size"])).alias("found")))
-    # Words are split once for each row, not for each spot.
-    each = F.get(F.transform(F.array(words(F.col(text))), at), 0)
-    return needed.join(lists, keys).select(*keys, F.inline(each))
-
-
-def matches(docs: DataFrame, items: DataFrame, item_key: str = "item_id", item_text: str = "text", *, width: int = 10, few_terms: int = 500_000, text: str = "text") -> DataFrame:
-    """(keys of docs, start, size, items): each place of a document where a window of an item stands, counting words from 0."""
-    keys = [c for c in docs.columns if c != text]
-    parts = checkpointed(windows(items, item_key, item_text, width))
-    vocabulary = parts.select(F.explode("terms").alias("term")).select(F.lower("term").alias("term")).distinct()
-    small = vocabulary.count() <= few_terms
-    tokens = docs.select(F.explode(words(F.col(text))).alias("token")).select(F.lower("token").alias("term"))
-    counts = checkpointed(tokens.join(F.broadcast(vocabulary) if small else vocabulary, "term").groupBy("term").agg(F.count("*").alias("n")))
-    # The two rarest terms of each window that the corpus has; a window with an absent term can't occur.
-    spread = parts.select("window_id", "size", F.posexplode("terms").alias("offset", "term")).withColumn("term", F.lower("term"))
+def item_words(items: DataFrame, key: str, text: str, width: int) -> DataFrame:
+    """(item, w, size, need, ids): distinct texts of items as words, how many make a window, and the ids that have the text."""
+    rows = items.select(F.col(key).cast("string").alias("id"), words(F.translate(F.col(text), UPPER, LOWER)).alias("w")).where(F.size("w") > 0)
+    rows = rows.groupBy("w").agg(F.sort_array(F.collect_set("id")).alias("ids"))
+    return rows.select(F.xxhash64("w").alias("item"), "w", F.size("w").alias("size"), F.least(F.size("w"), F.lit(width)).alias("need"), "ids")
+
+
+def meet(index: DataFrame, side: DataFrame, small: bool) -> DataFrame:
+    """index and side by term; a shuffle is salted by position."""
+    if small:
+        return index.join(F.broadcast(side), "term")
+    salted = side.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return index.withColumn("_salt", F.pmod("pos", F.lit(SALTS))).join(salted, ["term", "_salt"]).drop("_salt")
+
+
+def build_index(docs: DataFrame, terms: DataFrame, small: bool, text: str = "text") -> DataFrame:
+    """(keys of docs, term, pos) of each place where a term stands, written. docs: key columns and text; terms: term, A-Z lower-cased."""
+    keys = others(docs, text)
+    places = docs.select(*keys, F.posexplode(words(F.col(text))).alias("pos", "_token"))
+    # Terms meet by a full lower case, which is cheap; then A-Z alone must make them equal.
+    sides = terms.select(F.lower("term").alias("term"), F.col("term").alias("_exact"))
+    met = meet(places.withColumn("term", F.lower("_token")), sides, small).where(F.translate("_token", UPPER, LOWER) == F.col("_exact"))
+    return written(met.select(*keys, F.col("_exact").alias("term"), "pos"), f"postings-{uuid.uuid4().hex}")
+
+
+def rarest(parts: DataFrame, counts: DataFrame, small: bool) -> DataFrame:
+    """(item, q, term, gap, other) for each window whose terms all occur: its rarest term, at q of the item, and the next rarest, gap words on; null if the window is one word."""
+    spread = parts.select("item", "w", "need", F.explode(F.sequence(F.lit(0), F.col("size") - F.col("need"))).alias("s"))
+    spread = spread.select("item", "need", "s", F.posexplode(F.slice("w", F.col("s") + 1, F.col("need"))).alias("o", "term"))
     known = spread.join(F.broadcast(counts) if small else counts, "term")
-    order = Window.partitionBy("window_id").orderBy("n", "term", "offset")
-    ranked = known.withColumn("rank", F.row_number().over(order)).withColumn("present", F.count("*").over(Window.partitionBy("window_id"))).where("present = size and rank <= 2")
-    anchors = checkpointed(ranked.select("window_id", "size", "offset", "term", "rank"))
-    index = checkpointed(postings(docs, anchors.select("term").distinct(), small, text))
-    shifted = lambda rank: index.join(anchors.where(F.col("rank") == rank).drop("rank"), "term").withColumn("start", F.col("pos") - F.col("offset")).where("start >= 0")
-    first = shifted(1).select(*keys, "window_id", "size", "start")
-    second = shifted(2).select(*keys, "window_id", "start").distinct()
-    both = first.where("size > 1").join(second, [*keys, "window_id", "start"]).select(*first.columns)
-    found = compared(docs, first.where("size = 1").unionByName(both), text)
-    texts = parts.select("window_id", F.col("phrase").alias("found"), "items")
-    return found.join(F.broadcast(texts) if small else texts, ["window_id", "found"]).select(*keys, "start", "size", "items")
+    windows = known.groupBy("item", "need", "s").agg(F.sort_array(F.collect_list(F.struct("n", "term", (F.col("s") + F.col("o")).alias("q")))).alias("by")).where(F.size("by") == F.col("need"))
+    first, second = F.get("by", F.lit(0)), F.get("by", F.lit(1))
+    return windows.select("item", first["q"].alias("q"), first["term"].alias("term"), (second["q"] - first["q"]).alias("gap"), second["term"].alias("other")).distinct()
+
+
+def phrases(index: DataFrame, parts: DataFrame, small: bool) -> DataFrame:
+    """(keys, start, size, ids): runs of words of a document that equal `need` words or more of an item, counting words from 0."""
+    keys = others(index, "term", "pos")
+    counts = checkpointed(index.groupBy("term").agg(F.count("*").alias("n")))
+    anchors = checkpointed(rarest(parts, counts, small).withColumn("pair", F.xxhash64("term", "other", "gap")))
+    pairs = anchors.select("pair", "term", "other", "gap").distinct()
+    first = meet(index, pairs.select("term", "pair", F.col("other").isNull().alias("alone")), small).select(*keys, "pair", "alone", F.col("pos").alias("p"))
+    second = meet(index, pairs.where("other is not null").select(F.col("other").alias("term"), "pair", "gap"), small).select(*keys, "pair", (F.col("pos") - F.col("gap")).alias("p")).where("p >= 0")
+    both = first.where("not alone").join(second, [*keys, "pair", "p"], "left_semi").unionByName(first.where("alone")).drop("alone")
+    places = anchors.select("pair", "item", "q")
+    diagonals = both.join(F.broadcast(places) if small else places, "pair").select(*keys, "item", (F.col("p") - F.col("q")).alias("diagonal"))
+    diagonals = checkpointed(diagonals.distinct())
+    # All terms of the item along its diagonals, against the postings of the documents that have one.
+    named = checkpointed(diagonals.select(*keys).distinct())
+    few = named.count() <= FEW_DOCUMENTS
+    own = index.join(F.broadcast(named) if few else named, keys, "left_semi")
+    sides = parts.select("item", "w", "need")
+    wanted = diagonals.join(F.broadcast(sides) if small else sides, "item").select(*keys, "item", "need", "diagonal", F.posexplode("w").alias("q", "term"))
+    met = wanted.withColumn("pos", F.col("diagonal") + F.col("q")).where("pos >= 0").join(own, [*keys, "term", "pos"])
+    lines = met.groupBy(*keys, "item", "need", "diagonal").agg(F.sort_array(F.collect_set("q")).alias("qs"))
+    # Places in a row differ from their rank by the same number.
+    runs = lines.select(*keys, "item", "need", "diagonal", F.inline(F.transform("qs", lambda q, k: F.struct(q.alias("q"), (q - k).alias("run")))))
+    runs = runs.groupBy(*keys, "item", "need", "diagonal", "run").agg(F.min("q").alias("q"), F.count("*").cast("int").alias("size")).where("size >= need")
+    ids = parts.select("item", "ids")
+    return runs.join(F.broadcast(ids) if small else ids, "item").select(*keys, (F.col("diagonal") + F.col("q")).alias("start"), "size", "ids")
+
+
+def near(index: DataFrame, pairs: DataFrame, within: int, small: bool) -> DataFrame:
+    """(keys, a, b, pos_a, pos_b): terms a and b of pairs, at most `within` words apart in either order, each place once."""
+    keys = others(index, "term", "pos")
+    # Equal blocks of positions, or neighbouring ones, hold all places within reach.
+    block = lambda c: F.floor(F.col(c) / (within + 1))
+    left = meet(index, pairs.select(F.col("a").alias("term"), "b"), small).withColumnsRenamed({"term": "a", "pos": "pos_a"})
+    left = left.withColumn("_block", F.explode(F.array(*[block("pos_a") + k for k in (-1, 0, 1)])))
+    right = meet(index, pairs.select(F.col("b").alias("term")).distinct(), small).withColumnsRenamed({"term": "b", "pos": "pos_b"}).withColumn("_block", block("pos_b"))
+    return left.join(right, [*keys, "b", "_block"]).where((F.abs(F.col("pos_a") - F.col("pos_b")) <= within) & (F.col("pos_a") != F.col("pos_b"))).select(*keys, "a", "b", "pos_a", "pos_b")
+
+
+def proximity(docs: DataFrame, pairs: DataFrame, within: int, text: str = "text") -> DataFrame:
+    """(keys of docs, a, b, pos_a, pos_b) of pairs (a, b) of terms, by an index of their own; A-Z don't differ in case."""
+    pairs = pairs.select(F.translate("a", UPPER, LOWER).alias("a"), F.translate("b", UPPER, LOWER).alias("b")).distinct()
+    terms = pairs.select(F.col("a").alias("term")).union(pairs.select("b")).distinct()
+    small = terms.count() <= FEW_TERMS
+    return near(build_index(docs, terms, small, text), pairs, within, small)
+
+
+def indexed(docs: DataFrame, items: DataFrame, key: str, text: str, width: int, few_terms: int) -> tuple[DataFrame, DataFrame, bool]:
+    """The index of docs (its key columns and text), the items, and whether the test side is small."""
+    parts = checkpointed(item_words(items, key, text, width))
+    terms = checkpointed(parts.select(F.explode("w").alias("term")).distinct())
+    small = terms.count() <= few_terms
+    return build_index(docs, terms, small), parts, small
+
+
+def matches(docs: DataFrame, items: DataFrame, item_key: str = "item_id", item_text: str = "text", *, width: int = 10, few_terms: int = FEW_TERMS) -> DataFrame:
+    """(keys of docs, start, size, ids): each run of a document where windows of an item stand. docs: key columns and text."""
+    return phrases(*indexed(docs, items, item_key, item_text, width, few_terms))
+
+
+def near_items(index: DataFrame, parts: DataFrame, small: bool, within: int) -> DataFrame:
+    """(keys, n_near): how many items have their two rarest terms at most `within` words apart in the document."""
+    keys = others(index, "term", "pos")
+    counts = index.groupBy("term").agg(F.count("*").alias("n"))
+    known = parts.select("item", F.explode(F.array_distinct("w")).alias("term")).join(F.broadcast(counts) if small else counts, "term")
+    two = known.groupBy("item").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "term"))), 1, 2).alias("by")).where(F.size("by") == 2)
+    two = checkpointed(two.select("item", F.get("by", F.lit(0))["term"].alias("a"), F.get("by", F.lit(1))["term"].alias("b")))
+    found = near(index, two.select("a", "b").distinct(), within, small).select(*keys, "a", "b").distinct()
+    per_pair = two.groupBy("a", "b").agg(F.count("*").alias("n"))
+    return found.join(F.broadcast(per_pair) if small else per_pair, ["a", "b"]).groupBy(*keys).agg(F.sum("n").alias("n_near"))
 
 
 def covered(spans: Column) -> Column:
@@ -99,48 +154,40 @@ def covered(spans: Column) -> Column:
     return F.aggregate(spans, start, step)["n"]
 
 
-def proximity(docs: DataFrame, pairs: DataFrame, within: int, text: str = "text") -> DataFrame:
-    """(keys of docs, a, b, pos_a, pos_b): terms a and b of pairs, at most `within` words apart in either order, each place once."""
-    keys = [c for c in docs.columns if c != text]
-    pairs = pairs.select(F.lower("a").alias("a"), F.lower("b").alias("b")).distinct()
-    terms = pairs.select(F.col("a").alias("term")).union(pairs.select("b")).distinct()
-    index = checkpointed(postings(docs, terms, terms.count() <= 500_000, text))
-    # Equal blocks of positions, or neighbouring ones, hold all places within reach.
-    block = F.floor(F.col("pos") / (within + 1))
-    left = index.withColumnsRenamed({"term": "a", "pos": "pos_a"}).join(pairs, "a").withColumn("_block", F.explode(F.array(*[F.floor(F.col("pos_a") / (within + 1)) + k for k in (-1, 0, 1)])))
-    right = index.withColumn("_block", block).withColumnsRenamed({"term": "b", "pos": "pos_b"})
-    return left.join(right, [*keys, "b", "_block"]).where((F.abs(F.col("pos_a") - F.col("pos_b")) <= within) & (F.col("pos_a") != F.col("pos_b"))).select(*keys, "a", "b", "pos_a", "pos_b")
+def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(_id, _none, _text, text): lists are joined by equality, which a null id would not meet, so it is a flag beside an id of 0. _text is the hash of the text."""
+    some = F.coalesce(F.col(key), F.lit(0).cast(docs.schema[key].dataType))
+    return docs.select(some.alias("_id"), F.col(key).isNull().alias("_none"), F.xxhash64(text).alias("_text"), F.col(text).alias("text"))
 
 
-def hits(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", *, width: int = 10) -> DataFrame:
-    """By (key, _text): n_hit and items, of the documents that have hits. _text is the hash of the text."""
-    # Postings are joined by equality, which a null id would not meet: it is a flag beside an id of 0.
-    some = F.coalesce(F.col(key), F.lit(0).cast(docs.schema[key].dataType))
-    rows = docs.select(some.alias("_id"), F.col(key).isNull().alias("_none"), F.xxhash64(text).alias("_text"), text)
-    found = matches(rows, items, width=width, text=text).select(F.when(~F.col("_none"), F.col("_id")).alias(key), "_text", "start", "size", "items").distinct()
+def hits(found: DataFrame) -> DataFrame:
+    """By (_id, _none, _text): n_hit and items, of the documents that have hits."""
     spans = F.sort_array(F.collect_set(F.struct("start", "size")))
-    return found.groupBy(key, "_text").agg(covered(spans).cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    return found.groupBy("_id", "_none", "_text").agg(covered(spans).cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("ids")))).alias("items"))
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", *, width: int = 10) -> DataFrame:
-    """docs without its texts, with the columns of COLUMNS: words, words inside a window of an item, and the items found."""
-    kept = [c for c in docs.columns if c not in COLUMNS and c not in ("_text", text)]
-    found = hits(docs, items, key, text, width=width).withColumnsRenamed({key: "_key", "_text": "_t"})
-    rows = docs.select(*kept, F.xxhash64(text).alias("_text"), F.size(words(F.col(text))).cast("long").alias("n_words"))
-    rows = rows.join(found, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_text") == F.col("_t")), "left")
+def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", *, width: int = 10, within: int = 10, few_terms: int = FEW_TERMS) -> DataFrame:
+    """docs without its texts, with the columns of COLUMNS: words, words inside a window of an item, the items found, and how many items have their two rarest terms near each other."""
+    kept = others(docs, *COLUMNS, text)
+    index, parts, small = indexed(keyed(docs, key, text), items, "item_id", "text", width, few_terms)
+    found = hits(phrases(index, parts, small)).join(near_items(index, parts, small, within), ["_id", "_none", "_text"], "full_outer")
+    some = F.coalesce(F.col(key), F.lit(0).cast(docs.schema[key].dataType))
+    rows = docs.select(F.struct(*kept).alias("_row"), some.alias("_id"), F.col(key).isNull().alias("_none"), F.xxhash64(text).alias("_text"), F.size(words(F.col(text))).cast("long").alias("n_words"))
+    rows = rows.join(found, ["_id", "_none", "_text"], "left")
     ids = F.coalesce(F.col("items"), F.array().cast(T.ArrayType(T.StringType())))
-    n_hit = F.coalesce(F.col("n_hit"), F.lit(0).cast("long"))
-    return rows.select(*kept, "n_words", n_hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"), ids.alias("items"), (n_hit > 0).alias("contaminated"))
+    n_hit, n_near = (F.coalesce(F.col(c), F.lit(0).cast("long")) for c in ("n_hit", "n_near"))
+    return rows.select("_row.*", "n_words", n_hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"), ids.alias("items"), (n_hit > 0).alias("contaminated"), n_near.alias("n_near"))
 
 
-def clean(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", *, width: int = 10, few: int = 1_000_000) -> DataFrame:
+def clean(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", *, width: int = 10, few_terms: int = FEW_TERMS, few: int = FEW_DOCUMENTS) -> DataFrame:
     """docs without the rows that have hits; their ids are broadcast while they are counted and few."""
-    found = checkpointed(hits(docs, items, key, text, width=width).select(F.col(key).alias("_key"), F.col("_text").alias("_t")))
+    found = matches(keyed(docs, key, text), items, width=width, few_terms=few_terms)
+    found = checkpointed(found.select(F.when(~F.col("_none"), F.col("_id")).alias("_key"), F.col("_text").alias("_t")).distinct())
     if found.count() <= few:
         found = F.broadcast(found)
-    return docs.join(found, F.col(key).eqNullSafe(F.col("_key")) & (F.xxhash64(docs[text]) == F.col("_t")), "left_anti")
+    return docs.join(found, docs[key].eqNullSafe(found["_key"]) & (F.xxhash64(docs[text]) == found["_t"]), "left_anti")
 
 
 def op4_decontaminate(spark, sf_dir: str) -> DataFrame:
     rows = decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
-    return rows.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+    return rows.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated", "n_near")
