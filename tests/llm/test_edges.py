@@ -114,4 +114,7 @@ def test_url_rules(spark):
     out = url_rules.judge(spark.createDataFrame(rows, schema), labelled).collect()
     assert len(out) == 6 and all((r.host, r.path, r.rule, r.verdict) == ("", "", None, "allow") for r in out if r.page_id)
     assert [(r.host, r.path, r.rule, r.verdict) for r in out if not r.page_id] == [("sub.example.com", "/en/7", "example.com/en/7", "allow")]
+    assert all((r.tokens, r.n) == ("y", 1) for r in out)
+    long = [(7, "https://h.org/" + "/".join(f"p{i}" for i in range(20_000)) + "?" + "&".join(f"k{i}=v" for i in range(5_000)), "x", "y", 1)] * 2
+    assert [r.verdict for r in url_rules.judge(spark.createDataFrame(long, schema), labelled.sparkSession.createDataFrame([(long[0][1], True), ("http://a.b/c", False)], "url string, blocked boolean")).collect()] == ["allow"] * 2
     assert url_rules.judge(spark.createDataFrame([], schema), labelled).count() == 0

@@ -127,6 +127,32 @@ def test_mined_rules(spark):
     labelled = spark.createDataFrame(urls, "url string, blocked boolean")
     out = url_rules.judge(labelled.select("url"), labelled, rules=[]).collect()
     assert {r.url: r.verdict == "block" for r in out} == dict(urls)
+    # Labels that urls say nothing about prove no rule.
+    noise = spark.createDataFrame([(u, crc(u) % 4 == 0) for u, _ in urls], "url string, blocked boolean")
+    assert url_rules.judge(labelled.select("url"), noise, rules=[]).where("verdict = 'block'").isEmpty()
+
+
+def test_mined_rules_by_brute_force(spark):
+    """All rules of up to all tokens, counted one by one."""
+    rng = np.random.default_rng(5)
+    parts = {"host": ["win", "shop", "news"], "path": ["a", "b"], "kind": ["x", "y", "z"]}
+    urls = []
+    for i in range(600):
+        h, p, k = (str(rng.choice(v)) for v in parts.values())
+        urls.append((f"http://{h}.org/{p}/{k}/{i}", bool(rng.random() < (0.9 if (h, k) == ("win", "x") else 0.8 if p == "b" and k == "z" else 0.1))))
+    labelled = spark.createDataFrame(urls, "url string, blocked boolean")
+    rows = url_rules.split_urls(labelled.select(labelled.url.alias("_url"), "blocked"))
+    found = {tuple(r.tokens): round(r.confidence, 9) for r in url_rules.mine(rows, support=0.02, confidence=0.5).collect()}
+    sets = [({t for t in r.tokens}, r.blocked) for r in rows.collect()]
+    seen = Counter(t for s, _ in sets for t in s)
+    useful = [t for t in seen if seen[t] < 540 and sum(b for s, b in sets if t in s) >= 12]
+    expected = {}
+    for size in range(1, len(useful) + 1):
+        for some in combinations(sorted(useful), size):
+            fires = [b for s, b in sets if s.issuperset(some)]
+            if sum(fires) >= 12 and sum(fires) / len(fires) >= 0.5 and not any(expected.get(x, 0) >= sum(fires) / len(fires) for k in range(1, size) for x in combinations(some, k)):
+                expected[some] = sum(fires) / len(fires)
+    assert found == {k: round(v, 9) for k, v in expected.items()} and ("host:win", "path:x") in found
 
 
 def shingle_set(text):
