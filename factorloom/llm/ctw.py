@@ -1,312 +1,460 @@
 """Language-model scoring by context-tree weighting.
 
 A text is its words, each with a space after it, and one end byte. Each byte is eight binary decisions; each decision has
-its own tree of contexts, the bytes before. A node estimates a bit from its counts (Krichevsky-Trofimov) and weights that
-half and half against what its children say, so all depths are mixed. After training the weights are fixed: a bit's
-probability is its estimates along the path from the root, each with its node's posterior weight.
-
-Training counts all byte sequences of all training texts: tasks count their own, Spark adds up. A context is a node if it
-precedes at least 1/`share` of all training bytes, whatever the size of the corpus, so at each depth there are at most
-`share` nodes and the model that is broadcast has a fixed bound; bytes after rarer contexts are counted in one further
-child of the longest context that is a node. The tables of words are joined, not broadcast, but for words that are at
-least 1/`word_share` of all tokens, of which there are at most `word_share`.
+its own tree of contexts, the bytes before, the latest first. A node estimates a bit from its counts (Krichevsky-Trofimov)
+and weights that half and half against what its children say, so all depths are mixed. After training the weights are
+fixed: a bit's probability is its estimates along the path from the root, each with its node's posterior weight. A path
+ends at the deepest node that training has seen, which takes the weight that is left.
+
+The tree holds every context of up to `DEPTH` bytes that training has; it grows with the corpus and is never in one place.
+Texts are dealt out to chunks by a hash. A chunk writes to each shard of the tree a letter, its distinct sequences of
+DEPTH + 1 bytes with their training counts; shards are ranges of contexts. A shard adds up its letters, weights the
+subtrees inside its range from the leaves up, and keeps one row. Nodes that hold several shards are few, at most DEPTH for
+each border; their sums meet on the driver, and what they weigh goes back to the shards, which answer each letter with
+the log probability of its sequences. Counts of words, for the base score, go the same way, in shards by hash. Chunks read
+the answers next to their texts. Borders are quantiles of a sample of sequences; they balance shards and change no result.
 
 Null and empty texts are the end byte alone. Bytes never seen in training have a probability as well. Rows without an id
-are trained on; rows that repeat are each trained on and scored. Without training rows each bit has probability 1/2 and the base counts are 0.
+are learned from and scored as others; rows that repeat are each learned from and scored, and are dealt to one chunk.
+Without training rows each bit has probability 1/2 and the base counts are 0. Only the columns named are read.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
-from dataclasses import dataclass
-from math import lgamma, log, log10, pi
+from math import log, log10, pi
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_words, batches_of, checkpointed, few_rows, remainder, table
+from .common import ascii_words, batches_of, few_rows, remainder, table, written
 
-DEPTH = 5
-END = 10  # the end byte; as white space it is in no word
-CHUNK = 4_000_000
+DEPTH = 7
+#: Bytes of text in a chunk, and for each shard, about.
+CHUNK_BYTES, SHARD_BYTES = 6_000_000, 24_000_000
+#: Bytes of text that borders are taken from, and sequences taken from these, about.
+SAMPLE_BYTES, SAMPLE_GRAMS = 48_000_000, 400_000
+#: Positions looked at at once.
+BLOCK = 2_000_000
+#: Bytes of weights of shared nodes that are broadcast at most.
+FEW_BYTES = 32_000_000
 
 
 def body(words: list[bytes]) -> bytes:
     return b" ".join(words) + b" \n" if words else b"\n"
 
 
-def joined(bodies: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """All bytes, each text after `depth` end bytes as its first context; and where the bytes to predict are."""
-    data = np.frombuffer(b"".join(b"\n" * depth + x for x in bodies), np.uint8)
-    lengths = np.array([len(x) for x in bodies])
-    real = np.repeat(np.tile([False, True], len(bodies)), np.column_stack([np.full(len(bodies), depth), lengths]).ravel())
-    return data, np.flatnonzero(real)
-
-
-def grams(bodies: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct sequences of depth + 1 bytes, as integers, and their counts."""
-    data, at = joined(bodies, depth)
-    wide = data.astype(np.uint64)
+def grams(bodies: list[bytes]) -> np.ndarray:
+    """Of each byte its sequence as an integer: the DEPTH bytes before it, latest first, then the byte. A text starts after end bytes."""
+    data = np.frombuffer(b"".join(b"\n" * DEPTH + x for x in bodies), np.uint8)
+    ends = np.cumsum([len(x) + DEPTH for x in bodies])
+    starts = np.concatenate([[0], ends[:-1]])
+    real = np.ones(len(data), bool)
+    real[(starts[:, None] + np.arange(DEPTH)).ravel()] = False
+    at = np.flatnonzero(real)
     packed = np.zeros(len(at), np.uint64)
-    for back in range(depth, -1, -1):
-        packed = (packed << np.uint64(8)) | wide[at - back]
-    return np.unique(packed, return_counts=True)
-
-
-def merged(parts: list) -> tuple[np.ndarray, np.ndarray]:
-    keys, where = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    return keys, np.bincount(where, np.concatenate([p[1] for p in parts])).astype(np.int64)
+    for back in range(1, DEPTH + 1):
+        packed = (packed << np.uint64(8)) | data[at - back]
+    return (packed << np.uint64(8)) | data[at]
+
+
+def blocks(bodies: list[bytes]):
+    """(sequences, own) by blocks of some positions; own: by text its place in bodies and how many of the sequences are its own. A long text is cut, with its context."""
+    group, size = [], 0
+    for i, whole in enumerate(bodies):
+        for k in range(0, len(whole), BLOCK):
+            group.append((i, k))
+            size += min(BLOCK, len(whole) - k)
+            if size >= BLOCK:
+                yield of_block(bodies, group)
+                group, size = [], 0
+    if group:
+        yield of_block(bodies, group)
+
+
+def of_block(bodies: list[bytes], group: list[tuple[int, int]]):
+    parts, own = [], []
+    for i, k in group:
+        piece = bodies[i][max(0, k - DEPTH) : k + BLOCK]
+        before = min(k, DEPTH)
+        parts.append(grams([piece])[before:] if k else piece)
+        own.append((i, len(piece) - before))
+    # Texts that start here are packed in one go, the rest of cut texts one by one.
+    found, waiting = [], []
+    for p in parts:
+        if isinstance(p, bytes):
+            waiting.append(p)
+        else:
+            found += [grams(waiting)] if waiting else []
+            waiting = []
+            found.append(p)
+    if waiting:
+        found.append(grams(waiting))
+    return np.concatenate(found), own
+
+
+def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, and the sums of n."""
+    found, where = np.unique(keys, return_inverse=True)
+    return found, np.bincount(where, n, len(found)).astype(np.int64)
+
+
+def packed(values: np.ndarray) -> bytes:
+    """The values' bytes, first bytes first, which compress."""
+    return values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
+
+
+def unpacked(raw: bytes, kind) -> np.ndarray:
+    wide = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(wide, -1).T).view(kind).ravel()
+
+
+# Log of gamma(k + 1/2) and of gamma(k + 1) for whole k.
+SMALL = 1 << 16
+LOG_HALF = np.concatenate([[0.5 * log(pi)], 0.5 * log(pi) + np.cumsum(np.log(np.arange(SMALL - 1) + 0.5))])
+LOG_WHOLE = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, SMALL)))])
+
+
+def log_gamma(whole: np.ndarray, add: float, small: np.ndarray) -> np.ndarray:
+    """Log of gamma(whole + add); beyond the table by Stirling's series."""
+    out = small[np.minimum(whole, SMALL - 1).astype(np.int64)]
+    big = whole >= SMALL
+    if big.any():
+        x = whole[big] + add
+        out[big] = (x - 0.5) * np.log(x) - x + 0.5 * log(2 * pi) + 1 / (12 * x)
+    return out
 
 
-def counts(docs: DataFrame, text: str, depth: int) -> DataFrame:
-    """(gram, word, n): counts of byte sequences (word null), of words (gram null) and of ends (gram -1)."""
-
-    def run(batches):
-        found, words, ends, waiting, size = [], Counter(), 0, [], 0
-
-        def fold():
-            nonlocal found, waiting, size
-            found = [merged([*found, grams(waiting, depth)])]
-            waiting, size = [], 0
-
-        for (texts,) in batches_of(batches, [text]):
-            for t in texts:
-                own = ascii_words(t)
-                words.update(own)
-                ends += 1
-                waiting.append(body(own))
-                size += len(waiting[-1])
-                if size >= CHUNK:
-                    fold()
-        if waiting:
-            fold()
-        for keys, n in found:
-            for k in range(0, len(keys), 50_000):
-                part = keys[k : k + 50_000].astype(np.int64)
-                yield pa.RecordBatch.from_pydict({"gram": part, "word": pa.nulls(len(part), pa.string()), "n": n[k : k + 50_000]})
-        names, n = [w.decode() for w in words], list(words.values())
-        for k in range(0, len(names), 50_000):
-            part = names[k : k + 50_000]
-            yield pa.RecordBatch.from_pydict({"gram": pa.nulls(len(part), pa.int64()), "word": part, "n": n[k : k + 50_000]})
-        if ends:
-            yield pa.RecordBatch.from_pydict({"gram": [-1], "word": pa.array([None], pa.string()), "n": [ends]})
-
-    return docs.select(text).transform(few_rows).mapInArrow(run, "gram long, word string, n long").groupBy("gram", "word").agg(F.sum("n").alias("n"))
-
-
-@dataclass
-class Tree:
-    """Contexts as nodes of a tree that reads the bytes before a place backwards; node 0 is the root.
-
-    code: a number for each byte that some context holds, else the last one. child: by node and code, 0 if none.
-    column: by byte. table: log10 probability by node and column.
-    """
+def log_kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Log of the Krichevsky-Trofimov probability of a zeros and b ones."""
+    return log_gamma(a, 0.5, LOG_HALF) + log_gamma(b, 0.5, LOG_HALF) - log_gamma(a + b, 1.0, LOG_WHOLE) - log(pi)
 
-    depth: int
-    code: np.ndarray
-    child: np.ndarray
-    column: np.ndarray
-    table: np.ndarray
-
-    def log10s(self, bodies: list[bytes]) -> np.ndarray:
-        """By text the log10 probability of its bytes."""
-        data, at = joined(bodies, self.depth)
-        codes = self.code[data]
-        node = np.zeros(len(at), np.int32)
-        live = np.arange(len(at))
-        width = self.child.shape[1]
-        flat = self.child.ravel()
-        for back in range(1, self.depth + 1):
-            deeper = flat[node[live].astype(np.int64) * width + codes[at[live] - back]]
-            on = deeper > 0
-            live = live[on]
-            node[live] = deeper[on]
-        each = self.table.ravel()[node.astype(np.int64) * self.table.shape[1] + self.column[data[at]]]
-        starts = np.concatenate([[0], np.cumsum([len(x) for x in bodies])[:-1]])
-        return np.add.reduceat(each, starts, dtype=np.float64)
 
+def weighed(a, b, below):
+    """Log of the weighted probability of nodes with children, and the posterior weight of their own estimate."""
+    own = log_kt(a, b)
+    both = np.logaddexp(own, below) - log(2)
+    return both, np.exp(np.clip(own - log(2) - both, -700, 0))
 
-def log_kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Log of the Krichevsky-Trofimov probability of a zeros and b ones."""
-    return gammaln(a + 0.5) + gammaln(b + 0.5) - gammaln(a + b + 1) - log(pi)
 
+def levels(keys: np.ndarray, n: np.ndarray) -> list[tuple]:
+    """By depth of contexts (keys, counts, place of each key of the next depth): keys are contexts and the byte that follows."""
+    out = [(keys, n.astype(np.float64), None)]
+    for _ in range(DEPTH):
+        deeper, counts, _ = out[-1]
+        found, where = np.unique(((deeper >> np.uint64(16)) << np.uint64(8)) | (deeper & np.uint64(255)), return_inverse=True)
+        out.append((found, np.bincount(where, counts, len(found)), where))
+    return out[::-1]
 
-def gammaln(x: np.ndarray) -> np.ndarray:
-    """Log gamma of positive numbers, by Stirling's series eight places further on."""
-    x = np.asarray(x, np.float64)
-    product, y = x.copy(), x + 8
-    for k in range(1, 8):
-        product *= x + k
-    inverse = 1 / y
-    series = inverse * (1 / 12 - inverse**2 * (1 / 360 - inverse**2 * (1 / 1260 - inverse**2 / 1680)))
-    return (y - 0.5) * np.log(y) - y + 0.5 * log(2 * pi) + series - np.log(product)
 
+def shared(contexts: np.ndarray, depth: int, low: int, high: int | None) -> np.ndarray:
+    """Which contexts hold sequences on both sides of a border of the shard, low and high."""
+    out, wide = np.zeros(len(contexts), bool), 8 * (DEPTH + 1 - depth)
+    for border in (low, high):
+        if border:
+            holds = border >> wide if wide < 64 else 0
+            if border != holds << wide:
+                out |= contexts == np.uint64(holds)
+    return out
 
-assert abs(float(gammaln(np.array(0.5))) - lgamma(0.5)) < 1e-9
 
+def subtree(keys: np.ndarray, n: np.ndarray, low: int, high: int | None, top: dict | None = None):
+    """What a shard says. Without top: rows (depth, context, slot, a, b, below) of nodes shared with other shards, whose sums make them whole.
 
-def grow(level: np.ndarray, context: np.ndarray, symbol: np.ndarray, n: np.ndarray, depth: int) -> Tree:
-    """The weighted tree from histograms: rows of (depth of a context, context, next byte, count); contexts' suffixes are contexts too."""
-    nodes = {(0, 0): 0}
-    for d, c in sorted({(int(d), int(c)) for d, c in zip(level, context, strict=True)}):
-        nodes.setdefault((d, c), len(nodes))
-    size = len(nodes)
-    parent, depths = np.zeros(size, np.int64), np.zeros(size, np.int64)
-    last = np.zeros(size, np.int64)
-    for (d, c), k in nodes.items():
-        if d:
-            parent[k] = nodes[d - 1, c & ((1 << 8 * (d - 1)) - 1)]
-            depths[k], last[k] = d, c >> (8 * (d - 1))
-    hist = np.zeros((size, 256))
-    np.add.at(hist, ([nodes[int(d), int(c)] for d, c in zip(level, context, strict=True)], symbol), n)
-    # A node with children has one more child for what follows its other contexts.
-    inner = np.zeros(size, bool)
-    inner[parent[1:]] = True
-    rest = hist.copy()
-    np.add.at(rest, parent[1:], -hist[1:])
-    rest = np.maximum(rest, 0)
-
-    seen = np.flatnonzero(hist[0] > 0)
-    total = np.zeros((size, 256), np.float32)  # log10 probability of each byte
-    by_depth = [np.flatnonzero(depths == d) for d in range(depth + 1)]
-    for bit in range(8):
-        for prefix in range(1 << bit):
-            span = 256 >> bit
-            low, middle, high = prefix * span, prefix * span + span // 2, prefix * span + span
-            ones, zeros = slice(middle, high), slice(low, middle)
-            if not hist[0, low:high].any():
-                total[:, low:high] += np.float32(log10(0.5))
-                continue
-            a, b = hist[:, zeros].sum(1), hist[:, ones].sum(1)
-            ra, rb = rest[:, zeros].sum(1), rest[:, ones].sum(1)
-            own = log_kt(a, b)
-            below = np.where(inner, log_kt(ra, rb), 0.0)
-            weighted = np.zeros(size)
-            for d in range(depth, -1, -1):
-                k = by_depth[d]
-                weighted[k] = np.where(inner[k], np.logaddexp(own[k], below[k]) - log(2), own[k])
-                if d:
-                    np.add.at(below, parent[k], weighted[k])
-            # Posterior weight of a node's own estimate; a leaf has nothing else.
-            weight = np.where(inner, np.exp(np.clip(own - log(2) - weighted, -700, 0)), 1.0)
-            estimate, other = (a + 0.5) / (a + b + 1), (ra + 0.5) / (ra + rb + 1)
-            mixed, left = np.zeros(size), np.zeros(size)
-            for d in range(depth + 1):
-                k = by_depth[d]
-                above, remains = (mixed[parent[k]], left[parent[k]]) if d else (0.0, 1.0)
-                mixed[k] = above + remains * weight[k] * estimate[k]
-                left[k] = remains * (1 - weight[k])
-            zero = np.clip(mixed + left * other, 1e-12, 1 - 1e-12)
-            total[:, zeros] += np.log10(zero)[:, None].astype(np.float32)
-            total[:, ones] += np.log10(1 - zero)[:, None].astype(np.float32)
-    # Bytes that training never saw share a column with those that no seen byte tells them from.
-    groups: dict = {}
-    column, chosen = np.zeros(256, np.int64), []
-    for s in range(256):
-        key = s
-        if hist[0, s] == 0:
-            key = next((bit, s >> (8 - bit)) for bit in range(1, 9) if not hist[0, (s >> (8 - bit)) << (8 - bit) : ((s >> (8 - bit)) + 1) << (8 - bit)].any())
-        if key not in groups:
-            groups[key] = len(chosen)
-            chosen.append(s)
-        column[s] = groups[key]
-    code = np.full(256, len(seen) + 1, np.int64)
-    used = np.unique(np.append(seen, END))
-    code[used] = np.arange(len(used))
-    child = np.zeros((size, max(int(code.max()) + 1, len(used) + 1)), np.int32)
-    child[parent[1:], code[last[1:]]] = np.arange(1, size)
-    return Tree(depth, code, child, column, np.ascontiguousarray(total[:, chosen]))
-
-
-def histograms(found: DataFrame, depth: int, share: int) -> tuple:
-    """Histograms of the contexts that precede at least 1/share of all bytes, at each depth; found: (gram, n)."""
-    levels = F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("level")
-    gram = F.when(F.col("level") == 7, F.col("gram")).otherwise(F.col("gram").bitwiseAND(F.expr("shiftleft(1L, 8 * (level + 1)) - 1")))
-    rows = found.select("gram", "n", levels).select("level", gram.alias("gram"), "n").groupBy("level", "gram").agg(F.sum("n").alias("n"))
-    rows = checkpointed(rows.select("level", F.shiftright("gram", 8).alias("context"), F.col("gram").bitwiseAND(F.lit(255)).cast("int").alias("symbol"), "n"))
-    total = rows.where("level = 0").agg(F.sum("n")).first()[0] or 0
-    kept = rows.groupBy("level", "context").agg(F.sum("n").alias("of")).where(F.col("of") * share >= total).select("level", "context")
-    picked = rows.join(kept, ["level", "context"]).toPandas()
-    return tuple(picked[c].to_numpy() for c in ("level", "context", "symbol", "n"))
-
-
-@dataclass
-class Model:
-    tree: Tree
-    words: DataFrame  # (word, c): all training words
-    frequent: dict  # those of at least 1/word_share of all tokens, as UTF-8
-    ends: int
-    tokens: int
-    distinct: int
-
-
-def learn(train: DataFrame, text: str = "text", *, depth: int = DEPTH, share: int = 65_536, word_share: int = 250_000) -> Model:
-    found = checkpointed(counts(train, text, depth))
-    words = found.where(F.col("word").isNotNull()).select("word", F.col("n").alias("c"))
-    sums = found.agg(F.sum(F.when(F.col("gram") == -1, F.col("n"))), F.sum(F.when(F.col("word").isNotNull(), F.col("n"))), F.count("word")).first()
-    ends, in_words, distinct = (x or 0 for x in sums)
-    tokens = ends + in_words
-    frequent = {r["word"].encode(): r["c"] for r in words.where(F.col("c") * word_share >= tokens).toLocalIterator()} if tokens else {}
-    return Model(grow(*histograms(found.where("gram >= 0").select("gram", "n"), depth, share), depth), words, frequent, ends, tokens, distinct + (ends > 0))
-
-
-def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_tokens, n_known, base_score, score, n_bytes, bits_per_byte) of each row.
-
-    One pass gives each row's score and its rarer words; these meet their counts in a join and are added up by row.
+    With top, by (depth, context, slot) (mixed, left, final): log10 probability of each key. A slot is a decision: 1 and the
+    bits before it. keys with a count of 0 aren't seen but get a probability.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((model.tree, model.frequent))
-    ends, below = model.ends, log10(model.tokens + model.distinct + 1) if model.tokens else 0.0
+    tree = levels(keys, n)
+    rows, total = [], np.zeros(len(keys))
+    for bit in range(8):
+        nodes = []
+        for d, (k, counts, _) in enumerate(tree):
+            group = k >> np.uint64(8 - bit)
+            starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+            of = np.zeros(len(k), np.int64)
+            of[starts[1:]] = 1
+            of = np.cumsum(of)
+            ones = ((k >> np.uint64(7 - bit)) & np.uint64(1)).astype(np.float64)
+            all_, b = np.add.reduceat(counts, starts), np.add.reduceat(counts * ones, starts)
+            first = k[starts]
+            nodes.append((of, starts, all_ - b, b, shared(first >> np.uint64(8), d, low, high), first))
+        parents = [None] + [nodes[d][0][tree[d][2][nodes[d + 1][1]]] for d in range(DEPTH)]
+        weight = [None] * (DEPTH + 1)
+        below = None
+        for d in range(DEPTH, -1, -1):
+            _, _, a, b, split, first = nodes[d]
+            seen = a + b > 0
+            if d == DEPTH:
+                both, weight[d] = log_kt(a, b), np.ones(len(a))
+            else:
+                both, weight[d] = weighed(a, b, below)
+            if top is None:
+                for g in np.flatnonzero(split & seen):
+                    slot = (1 << bit) + (int(first[g]) & 255) // (1 << (8 - bit))
+                    rows.append((d, int(first[g]) >> 8, slot, a[g], b[g], below[g]))
+            if d:
+                below = np.bincount(parents[d], np.where(seen & ~split, both, 0.0), len(nodes[d - 1][1]))
+        if top is None:
+            continue
+        mixed, left, final = np.zeros(1), np.ones(1), np.full(1, 0.5)
+        for d in range(DEPTH + 1):
+            _, _, a, b, split, first = nodes[d]
+            if d:
+                mixed, left, final = mixed[parents[d]], left[parents[d]], final[parents[d]]
+            else:
+                mixed, left, final = (np.repeat(x, len(a)) for x in (mixed, left, final))
+            seen = a + b > 0
+            estimate = (a + 0.5) / (a + b + 1)
+            final = np.where(seen, mixed + left * estimate, final)
+            mixed = np.where(seen, mixed + left * weight[d] * estimate, final)
+            left = np.where(seen, left * (1 - weight[d]), 0.0)
+            for g in np.flatnonzero(split):
+                slot = (1 << bit) + (int(first[g]) & 255) // (1 << (8 - bit))
+                # A node that isn't there no shard has seen: it says what its parent says.
+                mixed[g], left[g], final[g] = top.get((d, int(first[g]) >> 8, slot), (final[g], 0.0, final[g]))
+        of = nodes[DEPTH][0]
+        zero = np.clip(final, 1e-12, 1 - 1e-12)[of]
+        ones = ((keys >> np.uint64(7 - bit)) & np.uint64(1)).astype(bool)
+        total += np.log10(np.where(ones, 1 - zero, zero))
+    return rows if top is None else total
+
+
+def join_top(rows) -> dict:
+    """By (depth, context, slot) the values (mixed, left, final) of shared nodes; rows: (depth, context, slot, a, b, below) summed over shards."""
+    nodes = {(d, c, s): [a, b, below] for d, c, s, a, b, below in rows}
+    weight = {}
+    for d, c, s in sorted(nodes, reverse=True):
+        a, b, below = nodes[d, c, s]
+        both, w = weighed(np.array([a]), np.array([b]), np.array([below]))
+        weight[d, c, s] = float(w[0])
+        if d:
+            nodes[d - 1, c >> 8, s][2] += float(both[0])
+    out = {}
+    for d, c, s in sorted(nodes):
+        a, b, _ = nodes[d, c, s]
+        mixed, left, _ = out[d - 1, c >> 8, s] if d else (0.0, 1.0, 0.5)
+        w, estimate = weight[d, c, s], (a + 0.5) / (a + b + 1)
+        out[d, c, s] = (mixed + left * w * estimate, left * (1 - w), mixed + left * estimate)
+    return out
+
+
+def word_shard(word: bytes, shards: int) -> int:
+    return -1 - xxhash.xxh3_64_intdigest(word) % shards
+
+
+def texts_of(batch) -> list[list[bytes]]:
+    return [ascii_words(t) for t in batch.column("text").to_pylist()]
+
+
+def letters(cuts: np.ndarray, word_shards: int):
+    """A chunk's letters: (shard, chunk, keys, n)."""
+
+    def write(key, chunk):
+        at = key[0].as_py()
+        words, learns = texts_of(chunk), chunk.column("learns").to_pylist()
+        bodies = [body(w) for w in words]
+        found = [(np.empty(0, np.uint64), np.empty(0, np.int64))]
+        for keys, own in blocks(bodies):
+            counted = np.repeat([float(learns[i]) for i, _ in own], [k for _, k in own])
+            found.append(summed(keys, counted))
+            if len(found) > 4:
+                found = [summed(*(np.concatenate(x) for x in zip(*found, strict=True)))]
+        keys, n = summed(*(np.concatenate(x) for x in zip(*found, strict=True)))
+        out, ends = [], [0, *np.searchsorted(keys, cuts).tolist(), len(keys)]
+        for shard, (lo, hi) in enumerate(zip(ends, ends[1:], strict=False)):
+            if hi > lo:
+                out.append((shard, at, packed(keys[lo:hi]), packed(n[lo:hi])))
+        by_shard = {}
+        for w, c in word_counts(words, learns).items():
+            by_shard.setdefault(word_shard(w, word_shards), []).append((w, c))
+        for shard, some in by_shard.items():
+            names, times = zip(*sorted(some), strict=True)
+            out.append((shard, at, b" ".join(names), packed(np.array(times, np.int64))))
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int64(), pa.int64(), pa.binary(), pa.binary()], strict=True)], names=["shard", "chunk", "keys", "n"])
+
+    return write
+
+
+def word_counts(words: list[list[bytes]], learns: list[bool]) -> dict:
+    """Training counts of all words, 0 for those that stand in other texts only."""
+    found, others = Counter(), set()
+    for w, learn in zip(words, learns, strict=True):
+        if learn:
+            found.update(w)
+        else:
+            others.update(w)
+    return dict.fromkeys(others, 0) | found
+
+
+KEPT = "kind string, shard long, chunk long, depth int, context long, slot int, a double, b double, below double, keys binary, n binary, chunks array<long>, sizes array<long>, places binary"
+KEPT_TYPES = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
+KEPT_NAMES = [c.split(" ")[0] for c in KEPT.split(", ")]
+
+
+def merged(cuts: np.ndarray):
+    """A shard: its one row with sums and the places of its letters in them, and rows of shared nodes; a shard of words answers at once."""
+
+    def add_up(key, found):
+        shard = key[0].as_py()
+        chunks, keys, counts = (found.column(c).to_pylist() for c in ("chunk", "keys", "n"))
+        rows = []
+        put = lambda kind, **values: rows.append(tuple({"kind": kind, "shard": shard, **values}.get(c) for c in KEPT_NAMES))
+        if shard < 0:
+            total = Counter()
+            names = [k.split(b" ") for k in keys]
+            for some, n in zip(names, counts, strict=True):
+                for w, c in zip(some, unpacked(n, np.int64).tolist(), strict=True):
+                    total[w] += c
+            for chunk, some in zip(chunks, names, strict=True):
+                put("answer", chunk=chunk, places=packed(np.array([total[w] for w in some], np.int64)))
+            put("sums", a=float(sum(total.values())), b=float(sum(c > 0 for c in total.values())))
+        else:
+            parts, values = [unpacked(k, np.uint64) for k in keys], [unpacked(n, np.int64) for n in counts]
+            del keys, counts
+            all_, n = summed(np.concatenate(parts), np.concatenate(values))
+            low, high = int(cuts[shard - 1]) if shard else 0, int(cuts[shard]) if shard < len(cuts) else None
+            places = np.concatenate([np.searchsorted(all_, p) for p in parts]).astype(np.int32)
+            put("shard", keys=packed(all_), n=packed(n), chunks=chunks, sizes=[len(p) for p in parts], places=packed(places))
+            del parts, values, places
+            for d, c, s, a, b, below in subtree(all_, n, low, high):
+                put("shared", depth=d, context=c, slot=s, a=a, b=b, below=below)
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), KEPT_TYPES, strict=True)], names=KEPT_NAMES)
+
+    return add_up
+
+
+def around(low: int, high: int | None) -> set:
+    """The nodes that a shard may share with others, as (depth, context): those of the contexts at its borders."""
+    return {(d, border >> 8 * (DEPTH + 1 - d) if d else 0) for border in (low, high) if border for d in range(DEPTH + 1)}
+
+
+def answers(shards: DataFrame, cuts: np.ndarray) -> DataFrame:
+    """(shard, chunk, answer) of shards' rows with top, the values of their shared nodes."""
 
     def run(batches):
-        tree, frequent = shared.value
-        row = TaskContext.get().partitionId() << 36
         for batch in batches:
-            kind = batch.schema.field(key).type
-            for ids, texts in batches_of([batch], [key, text]):
-                for k in range(0, len(texts), 256):
-                    part = [ascii_words(t) for t in texts[k : k + 256]]
-                    bodies = [body(w) for w in part]
-                    scores = tree.log10s(bodies)
-                    rows, names, times, payload = [], [], [], []
-                    for i, words in enumerate(part):
-                        row += 1
-                        base, known = log10(ends + 1), int(ends > 0)
-                        for w, n in Counter(words).items():
-                            c = frequent.get(w)
-                            if c is None:
-                                rows.append(row)
-                                names.append(w)
-                                times.append(n)
-                            else:
-                                base += n * log10(c + 1)
-                                known += n
-                        payload.append((ids[k + i], len(words) + 1, known, base - (len(words) + 1) * below, float(scores[i]), len(bodies[i])))
-                    wide = pa.array([None] * len(rows) + [dict(zip(FIELDS, p, strict=True)) for p in payload], pa.struct(list(zip(FIELDS, [kind, pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()], strict=True))))
-                    own = range(row - len(part) + 1, row + 1)
-                    # A row's own line has a word that no text has: it holds a space.
-                    words = pa.concat_arrays([pa.array(names, pa.binary()), pa.array([b" %d" % r for r in own], pa.binary())]).cast(pa.string())
-                    yield pa.RecordBatch.from_arrays([pa.array(rows + list(own), pa.int64()), words, pa.array(times + [0] * len(part), pa.int64()), wide], names=["row", "word", "times", "of"])
-
-    kind = docs.schema[key].dataType.simpleString()
-    lines = docs.select(key, text).transform(few_rows).mapInArrow(run, f"row long, word string, times long, of struct<key: {kind}, n_tokens: long, n_known: long, base: double, score: double, n_bytes: long>")
-    lines = lines.join(model.words, "word", "left")
-    sums = lines.groupBy("row").agg(F.sum(F.col("times") * F.log10(F.coalesce(F.col("c"), F.lit(0)) + 1)).alias("base"), F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("known"), F.max("of").alias("of"))
-    return sums.select(
-        F.col("of.key").alias(key), F.col("of.n_tokens").alias("n_tokens"), (F.col("of.n_known") + F.col("known")).alias("n_known"), (F.col("of.base") + F.col("base")).alias("base_score"),
-        F.col("of.score").alias("score"), F.col("of.n_bytes").alias("n_bytes"), (-F.col("of.score") * (log(10) / log(2)) / F.col("of.n_bytes")).alias("bits_per_byte"),
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                shard, keys, n, places, top = (row.column(row.schema.get_field_index(c))[0].as_py() for c in ("shard", "keys", "n", "places", "top"))
+                chunks, sizes = (row.column(row.schema.get_field_index(c))[0].as_py() for c in ("chunks", "sizes"))
+                low, high = int(cuts[shard - 1]) if shard else 0, int(cuts[shard]) if shard < len(cuts) else None
+                known = {(d, c, s): (m, x, f) for d, c, s, m, x, f in zip(*([top[k] for k in ("depth", "context", "slot", "mixed", "left", "final")] if top else [[]] * 6), strict=True)}
+                scores = subtree(unpacked(keys, np.uint64), unpacked(n, np.int64), low, high, known).astype(np.float32)[unpacked(places, np.int32)]
+                ends = np.concatenate([[0], np.cumsum(sizes)])
+                for k in range(0, len(chunks), 64):
+                    said = [packed(scores[ends[j] : ends[j + 1]]) for j in range(k, min(k + 64, len(chunks)))]
+                    yield pa.RecordBatch.from_pydict({"shard": pa.array([shard] * len(said), pa.int64()), "chunk": pa.array(chunks[k : k + 64], pa.int64()), "answer": pa.array(said, pa.binary())})
+
+    return shards.mapInArrow(run, "shard long, chunk long, answer binary")
+
+
+def scored(word_shards: int, key: str, kind):
+    """Scores of a chunk's texts, from the answers to its letters."""
+
+    def read(of, chunk, said):
+        words = texts_of(chunk)
+        learns = [False] * len(words)
+        bodies = [body(w) for w in words]
+        by_shard = dict(zip(said.column("shard").to_pylist(), said.column("answer").to_pylist(), strict=True))
+        logs = np.concatenate([np.empty(0, np.float32), *[unpacked(by_shard[s], np.float32) for s in sorted(by_shard) if s >= 0]])
+        seen = {}
+        for w in word_counts(words, learns):
+            seen.setdefault(word_shard(w, word_shards), []).append(w)
+        counts = {}
+        for shard, some in seen.items():
+            counts.update(zip(sorted(some), unpacked(by_shard[shard], np.int64).tolist(), strict=True))
+        keys = np.empty(0, np.uint64)
+        for some, _ in blocks(bodies):
+            keys = np.union1d(keys, some)
+        scores = np.zeros(len(words))
+        for some, own in blocks(bodies):
+            each = logs[np.searchsorted(keys, some)].astype(np.float64)
+            sizes = [k for _, k in own]
+            np.add.at(scores, [i for i, _ in own], np.add.reduceat(each, np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)))
+        base, known = [], []
+        for w in words:
+            found = [(n, counts[x]) for x, n in Counter(w).items()]
+            base.append(sum(n * log10(c + 1) for n, c in found))
+            known.append(sum(n for n, c in found if c))
+        return pa.Table.from_arrays(
+            [chunk.column("key").cast(kind), pa.array([len(w) + 1 for w in words], pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(scores), pa.array([len(b) for b in bodies], pa.int64())],
+            names=[key, "n_tokens", "n_known", "base_score", "score", "n_bytes"],
+        )
+
+    return read
+
+
+def borders(rows: DataFrame, size: int) -> np.ndarray:
+    """Borders of shards: contexts' first sequences. rows: (key, text)."""
+    shards = -(-size // SHARD_BYTES)
+    if shards < 2:
+        return np.empty(0, np.uint64)
+    share = min(1.0, SAMPLE_BYTES / size)
+    every = max(1, int(size * share) // SAMPLE_GRAMS)
+
+    def run(batches):
+        for (texts,) in batches_of(batches, ["text"]):
+            for keys, _ in blocks([body(ascii_words(t)) for t in texts]):
+                keys = np.unique(keys)
+                picked = keys[(keys * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(every) == 0]
+                yield pa.RecordBatch.from_pydict({"gram": picked.view(np.int64)})
+
+    sample = rows.where(F.pmod(F.xxhash64("key", "text", F.lit(1)), F.lit(1_000_000)) < int(1_000_000 * share) + 1)
+    found = np.sort(sample.select("text").transform(few_rows).mapInArrow(run, "gram long").toPandas()["gram"].to_numpy().view(np.uint64))
+    if not len(found):
+        return np.empty(0, np.uint64)
+    chosen = found[(np.arange(1, shards) * len(found)) // shards]
+    return np.setdiff1d(chosen & ~np.uint64(255), np.zeros(1, np.uint64))
+
+
+def score(docs: DataFrame, learns: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, n_tokens, n_known, base_score, score, n_bytes, bits_per_byte, train_tokens) of each row, by a model of the rows where learns holds."""
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.coalesce(learns, F.lit(False)).alias("learns"))
+    size, ends = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 2), F.sum(F.col("learns").cast("long"))).first()
+    size, ends, name = size or 0, ends or 0, f"ctw-{uuid.uuid4().hex}"
+    cuts = borders(rows, size)
+    chunks, word_shards = -(-size // CHUNK_BYTES) or 1, len(cuts) + 1
+    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("key", "text"), F.lit(chunks)))
+    sent = dealt.groupBy("chunk").applyInArrow(letters(cuts, word_shards), "shard long, chunk long, keys binary, n binary")
+    kept = written(sent.groupBy("shard").applyInArrow(merged(cuts), KEPT).transform(few_rows), f"{name}/shards")
+    sums = kept.where("kind = 'sums'").agg(F.sum("a"), F.sum("b")).first()
+    tokens, distinct = int(sums[0] or 0) + ends, int(sums[1] or 0) + (ends > 0)
+    shared_rows = kept.where("kind = 'shared'").groupBy("depth", "context", "slot").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("below").alias("below")).toPandas()
+    top = join_top(shared_rows.itertuples(index=False))
+    shards = kept.where("kind = 'shard'").select("shard", "keys", "n", "chunks", "sizes", "places")
+    said = answers(with_top(shards, top, cuts), cuts).unionByName(kept.where("kind = 'answer'").select("shard", "chunk", F.col("places").alias("answer")))
+    kind = docs.select(key).schema[key].dataType
+    arrow = docs.select(key).limit(0).toArrow().schema.field(key).type
+    found = dealt.select("chunk", "key", "text").groupBy("chunk").cogroup(said.groupBy("chunk")).applyInArrow(scored(word_shards, key, arrow), f"`{key}` {kind.simpleString()}, n_tokens long, n_known long, base_score double, score double, n_bytes long")
+    below = log10(tokens + distinct + 1) if tokens else 0.0
+    base = F.col("base_score") + log10(ends + 1) - F.col("n_tokens") * below
+    return found.select(
+        key, "n_tokens", (F.col("n_known") + int(ends > 0)).alias("n_known"), base.alias("base_score"), "score", "n_bytes",
+        (-F.col("score") * (log(10) / log(2)) / F.col("n_bytes")).alias("bits_per_byte"), F.lit(tokens).cast("long").alias("train_tokens"),
     )
 
 
-FIELDS = ("key", "n_tokens", "n_known", "base", "score", "n_bytes")
+def with_top(shards: DataFrame, top: dict, cuts: np.ndarray) -> DataFrame:
+    """shards with top: the values of the nodes that each shares with others; broadcast while they are few."""
+    kind = "shard long, top struct<depth array<int>, context array<long>, slot array<int>, mixed array<double>, left array<double>, final array<double>>"
+    by_node = {}
+    for (d, c, s), values in top.items():
+        by_node.setdefault((d, c), []).append((d, c, s, *values))
+    rows, n = [], 0
+    for shard in range(len(cuts) + 1):
+        low, high = int(cuts[shard - 1]) if shard else 0, int(cuts[shard]) if shard < len(cuts) else None
+        own = [x for node in sorted(around(low, high)) for x in by_node.get(node, [])]
+        n += len(own)
+        rows.append((shard, tuple(map(list, zip(*own, strict=True))) if own else None))
+    known = shards.sparkSession.createDataFrame(rows, kind)
+    return shards.join(F.broadcast(known) if n * 40 <= FEW_BYTES else known, "shard")
 
 
 def op1_ctw(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = F.coalesce(remainder("doc_id", 7) == 2, F.lit(False))
-    model = learn(docs.where(~held_out))
-    return score(docs, model).withColumns({"held_out": held_out, "train_tokens": F.lit(model.tokens).cast("long")})
+    return score(docs, ~held_out).withColumn("held_out", held_out)

@@ -11,6 +11,7 @@ from math import log10
 import numpy as np
 import pytest
 import regex
+from pyspark.sql import functions as F
 
 from factorloom.llm import bpe, ctw, decontaminate, near_dedup, quality_rules, substring_dedup, url_rules
 from factorloom.llm.common import ascii_words, table
@@ -71,37 +72,62 @@ def test_ctw_base(docs, result):
     assert sum(f.score for f in held) / sum(f.n_bytes for f in held) > log10(1 / 16)  # under 4 bits a byte, from some 200 texts
 
 
-def tree_of(texts, depth):
-    keys, n = ctw.grams([ctw.body(ascii_words(t)) for t in texts], depth)
-    rows = defaultdict(int)
-    for k, c in zip(keys.tolist(), n.tolist(), strict=True):
-        for d in range(depth + 1):
-            part = k & ((1 << 8 * (d + 1)) - 1)
-            rows[d, part >> 8, part & 255] += c
-    level, context, symbol = (np.array(x) for x in zip(*rows, strict=True))
-    return ctw.grow(level, context, symbol, np.array(list(rows.values())), depth)
-
-
-def test_ctw_is_a_distribution():
-    """After any context the 256 bytes have probabilities that add up to 1; at depth 0 they are products of Krichevsky-Trofimov estimates."""
-    tree = tree_of(["abab abba baab", "the cat", ""], 3)
-    assert np.allclose((10.0 ** tree.table[:, tree.column]).sum(1), 1, atol=1e-4)
-    flat = tree_of(["aab"], 0)
-    counts = Counter(ctw.body([b"aab"]))
-    for s in (97, 98, 10, 200):
-        p = 1.0
-        for bit in range(8):
-            same = [sum(n for b, n in counts.items() if b >> (8 - bit) == s >> (8 - bit) and (b >> (7 - bit)) & 1 == side) for side in (0, 1)]
-            p *= (same[(s >> (7 - bit)) & 1] + 0.5) / (sum(same) + 1)
-        assert flat.table[0, flat.column[s]] == pytest.approx(log10(p), abs=1e-4)
-
-
-def test_ctw_mixes_depths():
-    """One bit of choice: a tree of depth 1 weighs its root's estimate against its children's by their evidence."""
-    tree = tree_of(["ab" * 200], 1)
-    a, b = ctw.joined([b"ab"], 1)[0][1:]
-    after_a = tree.child[0, tree.code[a]]
-    assert tree.table[after_a, tree.column[b]] > log10(0.9) > tree.table[0, tree.column[b]]
+def weighted_trees(bodies):
+    """Log of the weighted probability, counts and children by (slot, context) of plain context trees."""
+    counts, children = defaultdict(lambda: [0, 0]), defaultdict(set)
+    for x in bodies:
+        padded = b"\n" * ctw.DEPTH + x
+        for k in range(ctw.DEPTH, len(padded)):
+            before, slot = padded[k - ctw.DEPTH : k][::-1], 1
+            for bit in f"{padded[k]:08b}":
+                for d in range(ctw.DEPTH + 1):
+                    counts[slot, before[:d]][int(bit)] += 1
+                    if d:
+                        children[slot, before[: d - 1]].add(before[:d])
+                slot = 2 * slot + int(bit)
+    total = {}
+    for slot, c in sorted(counts, key=lambda x: -len(x[1])):
+        a, n = counts[slot, c]
+        own = math.lgamma(a + 0.5) + math.lgamma(n + 0.5) - math.lgamma(a + n + 1) - math.log(math.pi)
+        total[slot, c] = own, own
+        if len(c) < ctw.DEPTH:
+            total[slot, c] = own, np.logaddexp(own, sum(total[slot, x][1] for x in children[slot, c])) - math.log(2)
+    return counts, total
+
+
+def plain_score(x, counts, total):
+    out, padded = 0.0, b"\n" * ctw.DEPTH + x
+    for k in range(ctw.DEPTH, len(padded)):
+        before, slot = padded[k - ctw.DEPTH : k][::-1], 1
+        for bit in f"{padded[k]:08b}":
+            mixed, left, last = 0.0, 1.0, 0.5
+            for d in range(ctw.DEPTH + 1):
+                if (slot, before[:d]) in counts:
+                    a, n = counts[slot, before[:d]]
+                    own, both = total[slot, before[:d]]
+                    w = 1.0 if d == ctw.DEPTH else math.exp(own - math.log(2) - both)
+                    zero = (a + 0.5) / (a + n + 1)
+                    last = mixed + left * zero
+                    mixed, left = mixed + left * w * zero, left * (1 - w)
+            out += log10(1 - last if bit == "1" else last)
+            slot = 2 * slot + int(bit)
+    return out
+
+
+@pytest.mark.parametrize("shard_bytes", [10**9, 400])
+def test_ctw_against_plain_trees(spark, monkeypatch, shard_bytes):
+    """One shard or many, and many chunks: the same scores as of plain trees in one place."""
+    monkeypatch.setattr(ctw, "SHARD_BYTES", shard_bytes)
+    monkeypatch.setattr(ctw, "CHUNK_BYTES", 500)
+    monkeypatch.setattr(ctw, "BLOCK", 64)
+    rng = np.random.default_rng(2)
+    texts = [" ".join(str(rng.choice(["the", "cat", "sat", "on", "mat", "then", "That", "\u00e9t\u00e9"])) for _ in range(rng.integers(0, 40))) for _ in range(60)] + [None, "", "zzz unseen \u4e2d"]
+    rows = ctw.score(spark.createDataFrame([(i, t, i % 3 > 0 and i < 62) for i, t in enumerate(texts)], "doc_id long, text string, old boolean"), F.col("old")).collect()
+    bodies = [ctw.body(ascii_words(t)) for t in texts]
+    counts, total = weighted_trees([b for i, b in enumerate(bodies) if i % 3 > 0 and i < 62])
+    assert sorted(r.doc_id for r in rows) == list(range(len(texts)))
+    for r in rows:
+        assert r.score == pytest.approx(plain_score(bodies[r.doc_id], counts, total), rel=1e-5, abs=1e-5)
 
 
 def test_urls(spark, small, result):
