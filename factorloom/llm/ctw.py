@@ -11,7 +11,7 @@ Texts are dealt out to chunks by a hash. A chunk writes to each shard of the tre
 DEPTH + 1 bytes with their training counts; shards are ranges of contexts. A shard adds up its letters, weights the
 subtrees inside its range from the leaves up, and keeps one row. Nodes that hold several shards are few, at most DEPTH for
 each border; their sums meet on the driver, and what they weigh goes back to the shards, which answer each letter with
-the log probability of its sequences. Counts of words, for the base score, go the same way, in shards by hash. Chunks read
+the log probability of its sequences, to 1/4096. Counts of words, for the base score, go the same way, in shards by hash. Chunks read
 the answers next to their texts. Borders are quantiles of a sample of sequences; they balance shards and change no result.
 
 Null and empty texts are the end byte alone. Bytes never seen in training have a probability as well. Rows without an id
@@ -28,18 +28,23 @@ from math import log, log10, pi
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ascii_words, batches_of, few_rows, remainder, table, written
 
-DEPTH = 7
+DEPTH = 6
 #: Bytes of text in a chunk, and for each shard, about.
-CHUNK_BYTES, SHARD_BYTES = 6_000_000, 24_000_000
+CHUNK_BYTES, SHARD_BYTES = 6_000_000, 12_000_000
 #: Bytes of text that borders are taken from, and sequences taken from these, about.
 SAMPLE_BYTES, SAMPLE_GRAMS = 48_000_000, 400_000
+#: Bytes of texts that a task sorts into parcels at once.
+PARCEL_BYTES = 24_000_000
 #: Positions looked at at once.
-BLOCK = 2_000_000
+BLOCK = 8_000_000
+#: Steps of a log10 probability in an answer: two bytes for each sequence.
+STEPS = 4096
 #: Bytes of weights of shared nodes that are broadcast at most.
 FEW_BYTES = 32_000_000
 
@@ -97,20 +102,28 @@ def of_block(bodies: list[bytes], group: list[tuple[int, int]]):
     return np.concatenate(found), own
 
 
-def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys, sorted, and the sums of n."""
-    found, where = np.unique(keys, return_inverse=True)
-    return found, np.bincount(where, n, len(found)).astype(np.int64)
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys of sorted ones, and how often each occurs."""
+    starts = np.flatnonzero(np.concatenate([keys[:1] == keys[:1], keys[1:] != keys[:-1]]))
+    return keys[starts], np.diff(starts, append=len(keys))
 
 
 def packed(values: np.ndarray) -> bytes:
-    """The values' bytes, first bytes first, which compress."""
-    return values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
+    """The values, whole numbers, compressed: their bytes, all first bytes first."""
+    return zstandard.compress(values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes(), 1)
 
 
 def unpacked(raw: bytes, kind) -> np.ndarray:
     wide = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(wide, -1).T).view(kind).ravel()
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(raw), np.uint8).reshape(wide, -1).T).view(kind).ravel()
+
+
+def packed_sorted(values: np.ndarray) -> bytes:
+    return packed(np.diff(values, prepend=values.dtype.type(0)))
+
+
+def unpacked_sorted(raw: bytes, kind) -> np.ndarray:
+    return np.cumsum(unpacked(raw, kind), dtype=kind)
 
 
 # Log of gamma(k + 1/2) and of gamma(k + 1) for whole k.
@@ -136,9 +149,14 @@ def log_kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def weighed(a, b, below):
     """Log of the weighted probability of nodes with children, and the posterior weight of their own estimate."""
-    own = log_kt(a, b)
-    both = np.logaddexp(own, below) - log(2)
-    return both, np.exp(np.clip(own - log(2) - both, -700, 0))
+    n = a + b
+    # One occurrence has probability 1/2 at each depth.
+    both, weight = np.where(n == 1, -log(2), 0.0), np.full(len(n), 0.5)
+    many = np.flatnonzero(n > 1)
+    own = log_kt(a[many], b[many])
+    both[many] = np.logaddexp(own, below[many]) - log(2)
+    weight[many] = np.exp(np.clip(own - log(2) - both[many], -700, 0))
+    return both, weight
 
 
 def levels(keys: np.ndarray, n: np.ndarray) -> list[tuple]:
@@ -246,6 +264,46 @@ def word_shard(word: bytes, shards: int) -> int:
     return -1 - xxhash.xxh3_64_intdigest(word) % shards
 
 
+def bundled(rows: DataFrame) -> DataFrame:
+    """(chunk, rows): the rows of each chunk in parcels, compressed. rows: key, text, learns, chunk."""
+
+    def run(batches):
+        waiting, size = [], 0
+
+        def parcels():
+            table_ = pa.Table.from_batches(waiting).combine_chunks()
+            chunks = table_.column("chunk").to_numpy()
+            order = np.argsort(chunks, kind="stable")
+            table_ = table_.take(pa.array(order)).drop_columns(["chunk"])
+            starts = np.flatnonzero(np.concatenate([[True], np.diff(chunks[order]) != 0]))
+            out = []
+            for lo, hi in zip(starts, [*starts[1:], len(order)], strict=True):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, table_.schema) as stream:
+                    stream.write_table(table_.slice(lo, hi - lo))
+                out.append((int(chunks[order[lo]]), zstandard.compress(sink.getvalue().to_pybytes(), 1)))
+            names, raw = zip(*out, strict=True)
+            return pa.RecordBatch.from_pydict({"chunk": pa.array(names, pa.int64()), "rows": pa.array(raw, pa.binary())})
+
+        for batch in batches:
+            if batch.num_rows:
+                waiting.append(batch)
+                size += batch.nbytes
+            if size >= PARCEL_BYTES:
+                yield parcels()
+                waiting, size = [], 0
+        if waiting:
+            yield parcels()
+
+    return rows.transform(few_rows).mapInArrow(run, "chunk long, rows binary")
+
+
+def opened(parcels: pa.Table) -> pa.Table:
+    """The rows of a chunk's parcels."""
+    raw = parcels.column("rows").to_pylist()
+    return pa.concat_tables([pa.ipc.open_stream(zstandard.decompress(r)).read_all() for r in raw]) if raw else pa.table({"key": [], "text": [], "learns": []})
+
+
 def texts_of(batch) -> list[list[bytes]]:
     return [ascii_words(t) for t in batch.column("text").to_pylist()]
 
@@ -253,27 +311,29 @@ def texts_of(batch) -> list[list[bytes]]:
 def letters(cuts: np.ndarray, word_shards: int):
     """A chunk's letters: (shard, chunk, keys, n)."""
 
-    def write(key, chunk):
-        at = key[0].as_py()
+    def write(key, rows):
+        at, chunk = key[0].as_py(), opened(rows)
         words, learns = texts_of(chunk), chunk.column("learns").to_pylist()
         bodies = [body(w) for w in words]
-        found = [(np.empty(0, np.uint64), np.empty(0, np.int64))]
-        for keys, own in blocks(bodies):
-            counted = np.repeat([float(learns[i]) for i, _ in own], [k for _, k in own])
-            found.append(summed(keys, counted))
-            if len(found) > 4:
-                found = [summed(*(np.concatenate(x) for x in zip(*found, strict=True)))]
-        keys, n = summed(*(np.concatenate(x) for x in zip(*found, strict=True)))
+        keys, n = np.empty(0, np.uint64), np.empty(0, np.uint32)
+        for some, own in blocks(bodies):
+            counted = np.repeat([learns[i] for i, _ in own], [k for _, k in own])
+            old, times = distinct(np.sort(some[counted]))
+            all_, _ = distinct(np.sort(np.concatenate([old, distinct(np.sort(some[~counted]))[0], keys])))
+            counts = np.zeros(len(all_), np.uint32)
+            counts[np.searchsorted(all_, keys)] = n
+            counts[np.searchsorted(all_, old)] += times.astype(np.uint32)
+            keys, n = all_, counts
         out, ends = [], [0, *np.searchsorted(keys, cuts).tolist(), len(keys)]
         for shard, (lo, hi) in enumerate(zip(ends, ends[1:], strict=False)):
             if hi > lo:
-                out.append((shard, at, packed(keys[lo:hi]), packed(n[lo:hi])))
+                out.append((shard, at, packed_sorted(keys[lo:hi]), packed(n[lo:hi])))
         by_shard = {}
         for w, c in word_counts(words, learns).items():
             by_shard.setdefault(word_shard(w, word_shards), []).append((w, c))
         for shard, some in by_shard.items():
             names, times = zip(*sorted(some), strict=True)
-            out.append((shard, at, b" ".join(names), packed(np.array(times, np.int64))))
+            out.append((shard, at, zstandard.compress(b" ".join(names), 1), packed(np.array(times, np.uint32))))
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int64(), pa.int64(), pa.binary(), pa.binary()], strict=True)], names=["shard", "chunk", "keys", "n"])
 
     return write
@@ -305,21 +365,22 @@ def merged(cuts: np.ndarray):
         put = lambda kind, **values: rows.append(tuple({"kind": kind, "shard": shard, **values}.get(c) for c in KEPT_NAMES))
         if shard < 0:
             total = Counter()
-            names = [k.split(b" ") for k in keys]
+            names = [zstandard.decompress(k).split(b" ") for k in keys]
             for some, n in zip(names, counts, strict=True):
-                for w, c in zip(some, unpacked(n, np.int64).tolist(), strict=True):
+                for w, c in zip(some, unpacked(n, np.uint32).tolist(), strict=True):
                     total[w] += c
             for chunk, some in zip(chunks, names, strict=True):
                 put("answer", chunk=chunk, places=packed(np.array([total[w] for w in some], np.int64)))
             put("sums", a=float(sum(total.values())), b=float(sum(c > 0 for c in total.values())))
         else:
-            parts, values = [unpacked(k, np.uint64) for k in keys], [unpacked(n, np.int64) for n in counts]
-            del keys, counts
-            all_, n = summed(np.concatenate(parts), np.concatenate(values))
+            parts = [unpacked_sorted(k, np.uint64) for k in keys]
+            all_, places = np.unique(np.concatenate(parts), return_inverse=True)
+            n = np.bincount(places, np.concatenate([unpacked(c, np.uint32) for c in counts]), len(all_)).astype(np.int64)
+            sizes, places = [len(p) for p in parts], places.astype(np.int32)
+            del keys, counts, parts
             low, high = int(cuts[shard - 1]) if shard else 0, int(cuts[shard]) if shard < len(cuts) else None
-            places = np.concatenate([np.searchsorted(all_, p) for p in parts]).astype(np.int32)
-            put("shard", keys=packed(all_), n=packed(n), chunks=chunks, sizes=[len(p) for p in parts], places=packed(places))
-            del parts, values, places
+            put("shard", keys=packed_sorted(all_), n=packed(n), chunks=chunks, sizes=sizes, places=packed(np.diff(places, prepend=np.int32(0))))
+            del places
             for d, c, s, a, b, below in subtree(all_, n, low, high):
                 put("shared", depth=d, context=c, slot=s, a=a, b=b, below=below)
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), KEPT_TYPES, strict=True)], names=KEPT_NAMES)
@@ -343,7 +404,8 @@ def answers(shards: DataFrame, cuts: np.ndarray) -> DataFrame:
                 chunks, sizes = (row.column(row.schema.get_field_index(c))[0].as_py() for c in ("chunks", "sizes"))
                 low, high = int(cuts[shard - 1]) if shard else 0, int(cuts[shard]) if shard < len(cuts) else None
                 known = {(d, c, s): (m, x, f) for d, c, s, m, x, f in zip(*([top[k] for k in ("depth", "context", "slot", "mixed", "left", "final")] if top else [[]] * 6), strict=True)}
-                scores = subtree(unpacked(keys, np.uint64), unpacked(n, np.int64), low, high, known).astype(np.float32)[unpacked(places, np.int32)]
+                scores = subtree(unpacked_sorted(keys, np.uint64), unpacked(n, np.int64), low, high, known)
+                scores = np.minimum(np.rint(-scores * STEPS), 65535).astype(np.uint16)[unpacked_sorted(places, np.int32)]
                 ends = np.concatenate([[0], np.cumsum(sizes)])
                 for k in range(0, len(chunks), 64):
                     said = [packed(scores[ends[j] : ends[j + 1]]) for j in range(k, min(k + 64, len(chunks)))]
@@ -355,24 +417,26 @@ def answers(shards: DataFrame, cuts: np.ndarray) -> DataFrame:
 def scored(word_shards: int, key: str, kind):
     """Scores of a chunk's texts, from the answers to its letters."""
 
-    def read(of, chunk, said):
+    def read(_, rows, said):
+        chunk = opened(rows)
+        if not chunk.num_rows:
+            return pa.Table.from_arrays([pa.array([], t) for t in [kind, pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()]], names=[key, "n_tokens", "n_known", "base_score", "score", "n_bytes"])
         words = texts_of(chunk)
         learns = [False] * len(words)
         bodies = [body(w) for w in words]
         by_shard = dict(zip(said.column("shard").to_pylist(), said.column("answer").to_pylist(), strict=True))
-        logs = np.concatenate([np.empty(0, np.float32), *[unpacked(by_shard[s], np.float32) for s in sorted(by_shard) if s >= 0]])
+        logs = np.concatenate([np.empty(0, np.uint16), *[unpacked(by_shard[s], np.uint16) for s in sorted(by_shard) if s >= 0]])
         seen = {}
         for w in word_counts(words, learns):
             seen.setdefault(word_shard(w, word_shards), []).append(w)
         counts = {}
         for shard, some in seen.items():
             counts.update(zip(sorted(some), unpacked(by_shard[shard], np.int64).tolist(), strict=True))
-        keys = np.empty(0, np.uint64)
-        for some, _ in blocks(bodies):
-            keys = np.union1d(keys, some)
-        scores = np.zeros(len(words))
-        for some, own in blocks(bodies):
-            each = logs[np.searchsorted(keys, some)].astype(np.float64)
+        found = [(*np.unique(some, return_inverse=True), own) for some, own in blocks(bodies)]
+        keys = distinct(np.sort(np.concatenate([f[0] for f in found])))[0] if len(found) > 1 else found[0][0]
+        scores = np.zeros(len(words), np.int64)
+        for own_keys, of, own in found:
+            each = logs[np.searchsorted(keys, own_keys)].astype(np.int64)[of]
             sizes = [k for _, k in own]
             np.add.at(scores, [i for i, _ in own], np.add.reduceat(each, np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)))
         base, known = [], []
@@ -381,7 +445,7 @@ def scored(word_shards: int, key: str, kind):
             base.append(sum(n * log10(c + 1) for n, c in found))
             known.append(sum(n for n, c in found if c))
         return pa.Table.from_arrays(
-            [chunk.column("key").cast(kind), pa.array([len(w) + 1 for w in words], pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(scores), pa.array([len(b) for b in bodies], pa.int64())],
+            [chunk.column("key").cast(kind), pa.array([len(w) + 1 for w in words], pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(-scores / STEPS), pa.array([len(b) for b in bodies], pa.int64())],
             names=[key, "n_tokens", "n_known", "base_score", "score", "n_bytes"],
         )
 
@@ -399,7 +463,7 @@ def borders(rows: DataFrame, size: int) -> np.ndarray:
     def run(batches):
         for (texts,) in batches_of(batches, ["text"]):
             for keys, _ in blocks([body(ascii_words(t)) for t in texts]):
-                keys = np.unique(keys)
+                keys = distinct(np.sort(keys))[0]
                 picked = keys[(keys * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(every) == 0]
                 yield pa.RecordBatch.from_pydict({"gram": picked.view(np.int64)})
 
@@ -418,7 +482,7 @@ def score(docs: DataFrame, learns: Column, key: str = "doc_id", text: str = "tex
     size, ends, name = size or 0, ends or 0, f"ctw-{uuid.uuid4().hex}"
     cuts = borders(rows, size)
     chunks, word_shards = -(-size // CHUNK_BYTES) or 1, len(cuts) + 1
-    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("key", "text"), F.lit(chunks)))
+    dealt = bundled(rows.withColumn("chunk", F.pmod(F.xxhash64("key", "text"), F.lit(chunks))))
     sent = dealt.groupBy("chunk").applyInArrow(letters(cuts, word_shards), "shard long, chunk long, keys binary, n binary")
     kept = written(sent.groupBy("shard").applyInArrow(merged(cuts), KEPT).transform(few_rows), f"{name}/shards")
     sums = kept.where("kind = 'sums'").agg(F.sum("a"), F.sum("b")).first()
@@ -429,7 +493,7 @@ def score(docs: DataFrame, learns: Column, key: str = "doc_id", text: str = "tex
     said = answers(with_top(shards, top, cuts), cuts).unionByName(kept.where("kind = 'answer'").select("shard", "chunk", F.col("places").alias("answer")))
     kind = docs.select(key).schema[key].dataType
     arrow = docs.select(key).limit(0).toArrow().schema.field(key).type
-    found = dealt.select("chunk", "key", "text").groupBy("chunk").cogroup(said.groupBy("chunk")).applyInArrow(scored(word_shards, key, arrow), f"`{key}` {kind.simpleString()}, n_tokens long, n_known long, base_score double, score double, n_bytes long")
+    found = dealt.groupBy("chunk").cogroup(said.groupBy("chunk")).applyInArrow(scored(word_shards, key, arrow), f"`{key}` {kind.simpleString()}, n_tokens long, n_known long, base_score double, score double, n_bytes long")
     below = log10(tokens + distinct + 1) if tokens else 0.0
     base = F.col("base_score") + log10(ends + 1) - F.col("n_tokens") * below
     return found.select(
