@@ -36,8 +36,15 @@ POLICY_FLAGS = [
     "allow_cpar_core_target",
     "allow_cpar_extended_target",
 ]
-#: Flags in the order of POLICY_FLAGS, by kind of security.
-POLICIES = {"native": "11110011", "us": "11110011", "ex_us": "11101001", "fund": "10000101", "other": "10000001"}
+# The flags of POLICY_FLAGS that hold, by kind of security.
+NATIVE_POLICY = ["price_ingest_enabled", "pit_fundamentals_enabled", "pit_classification_enabled", "allow_cuse_native_core", "allow_cpar_core_target", "allow_cpar_extended_target"]
+POLICIES = {
+    "native": NATIVE_POLICY,
+    "us": NATIVE_POLICY,
+    "ex_us": ["price_ingest_enabled", "pit_fundamentals_enabled", "pit_classification_enabled", "allow_cuse_fundamental_projection", "allow_cpar_extended_target"],
+    "fund": ["price_ingest_enabled", "allow_cuse_returns_projection", "allow_cpar_extended_target"],
+    "other": ["price_ingest_enabled", "allow_cpar_extended_target"],
+}
 
 
 def ladder(*steps: tuple, otherwise=None) -> Column:
@@ -138,8 +145,7 @@ def policy_flags(role: Column, kind: Column, scope: Column, single: Column) -> C
         (is_single & (s == "ex_us"), "ex_us"),
         otherwise="other",
     )
-    bits = ladder(*[(family == f, flags) for f, flags in POLICIES.items()])
-    return F.struct(*[F.substring(bits, i + 1, 1).cast("int").alias(name) for i, name in enumerate(POLICY_FLAGS)])
+    return F.struct(*[family.isin([f for f, flags in POLICIES.items() if name in flags]).cast("int").alias(name) for name in POLICY_FLAGS])
 
 
 def taxonomy(role: Column, sector: Column, country: Column, ready: Column, eligible: Column) -> Column:

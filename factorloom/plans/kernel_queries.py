@@ -131,11 +131,11 @@ def g04(spark, d):
 
 
 @query("g05_daily_factor_returns")
-def g05(spark, d):
-    """Daily factor returns: winsorised panel returns on market, industries and two standardised styles."""
+def g05(spark, d, least: int = 30):
+    """Daily factor returns: winsorised panel returns on market, industries and two standardised styles, of dates with at least `least` securities."""
     rows = X.winsorized(panel(spark, d), ["date"], "ret", 0.01)
     rows = X.standardized(X.standardized(rows, ["date"], "size", "cap", "Size"), ["date"], "value", "cap", "Value")
-    fit = X.factor_returns(rows, "date", "ret", "cap", "industry", ["Size", "Value"], "ric")
+    fit = X.factor_returns(rows, "date", "ret", "cap", "industry", ["Size", "Value"], "ric", least)
     return fit.select("date", "factor_name", *[F.round(c, 6).alias(c) for c in ("factor_return", "robust_se", "t_stat", "r_squared", "residual_vol")], "cross_section_n")
 
 

@@ -143,6 +143,6 @@ def h20(spark, d):
     return P.imported(A.holdings(spark, d), deltas(spark, d), "increment_delta")
 
 
-@query("h20b_import_replace", DELTAS + ", s1 AS (SELECT * FROM s WHERE cast(account AS INTEGER) % 2 = 0), x AS (SELECT coalesce(h.account, s1.account) AS account, coalesce(h.ric, s1.ric) AS ric, coalesce(h.quantity, 0) AS before, CASE WHEN coalesce(h.account, s1.account) IN (SELECT account FROM s1) THEN coalesce(s1.q, 0) ELSE coalesce(h.quantity, 0) END AS after FROM holdings h FULL JOIN s1 ON h.account = s1.account AND h.ric = s1.ric) SELECT *, CASE WHEN before = after THEN 'unchanged' WHEN before = 0 THEN 'added' WHEN after = 0 THEN 'removed' ELSE 'changed' END AS event FROM x")
+@query("h20b_import_replace", DELTAS + ", s1 AS (SELECT * FROM s WHERE cast(account AS INTEGER) % 2 = 0), a1 AS (SELECT DISTINCT account AS replaced FROM s1), x0 AS (SELECT coalesce(h.account, s1.account) AS account, coalesce(h.ric, s1.ric) AS ric, coalesce(h.quantity, 0) AS before, coalesce(s1.q, 0) AS q FROM holdings h FULL JOIN s1 ON h.account = s1.account AND h.ric = s1.ric), x AS (SELECT account, ric, before, CASE WHEN replaced IS NULL THEN before ELSE q END AS after FROM x0 LEFT JOIN a1 ON replaced = account) SELECT *, CASE WHEN before = after THEN 'unchanged' WHEN before = 0 THEN 'added' WHEN after = 0 THEN 'removed' ELSE 'changed' END AS event FROM x")
 def h20b(spark, d):
     return P.imported(A.holdings(spark, d), deltas(spark, d).where(F.col("account").cast("int") % 2 == 0), "replace_account")

@@ -125,3 +125,39 @@ def test_duplicate_scenario_rows_fail(spark):
     rows = spark.createDataFrame([("a", "x", 1)], "account string, ric string, quantity long")
     with pytest.raises(Exception, match="duplicate scenario row"):
         P.applied(rows, rows.union(rows)).collect()
+
+
+def test_entry(spark):
+    import __spark_entry__
+
+    rows = __spark_entry__.entry(spark).collect()
+    assert len({r.date for r in rows}) > 10 and {"Market", "Size", "Value"} <= {r.factor_name for r in rows}
+
+
+def test_ridge_fits(spark):
+    """Planted coefficients without penalties, and normal equations with them."""
+    from factorloom.operators import weekly as K
+
+    rng = np.random.default_rng(4)
+    market, x, w = rng.normal(size=40), rng.normal(size=(40, 3)), 0.5 ** (np.arange(40) / 26)
+    x[:, 2] = 1.0  # no scale: dropped
+    groups = {"a": "sector", "b": "style", "c": "style"}
+    ret = 0.1 + 0.8 * market + x[:, :2] @ [0.5, -0.3]
+    df = spark.createDataFrame([("s", k, float(ret[k]), float(market[k]), float(w[k])) for k in range(40)], "ric string, week int, ret double, market double, weight double")
+    f = spark.createDataFrame([(k, n, float(x[k, i])) for k in range(40) for i, n in enumerate(groups)], "week int, factor_id string, residual double")
+    free = K.ridge_fits(df, f, "ric", groups, penalties={"sector": 0.0, "style": 0.0}).collect()
+    assert [(r.alpha, r.market_beta, r.n) for r in free] == [pytest.approx((0.1, 0.8, 40))] * 3
+    assert {r.factor_id: r.beta for r in free} == pytest.approx({"a": 0.5, "b": -0.3, "c": 0.0})
+    v = w / w.sum()
+    z = (x[:, :2] - v @ x[:, :2]) / np.sqrt(v @ (x[:, :2] - v @ x[:, :2]) ** 2)
+    design = np.column_stack([np.ones(40), market, z])
+    expected = np.linalg.solve((design.T * v) @ design + np.diag([0, 0, 1.0, 2.0]), (design.T * v) @ ret)
+    one = K.ridge_fits(df, f, "ric", groups).collect()
+    assert one[0].market_beta == pytest.approx(expected[1])
+    assert {r.factor_id: r.beta for r in one if r.factor_id != "c"} == pytest.approx(dict(zip("ab", expected[2:] / np.sqrt(v @ (x[:, :2] - v @ x[:, :2]) ** 2), strict=True)))
+    line = np.polyfit(market, ret, 1, w=np.sqrt(v))
+    left = ret - np.polyval(line, market)
+    block = np.linalg.solve((design[:, [0, 2, 3]].T * v) @ design[:, [0, 2, 3]] + np.diag([0, 4.0, 8.0]), (design[:, [0, 2, 3]].T * v) @ left)
+    two = K.ridge_fits(df, f, "ric", groups, two_step=True).collect()
+    assert two[0].market_beta == pytest.approx(line[0])
+    assert {r.factor_id: r.beta for r in two if r.factor_id != "c"} == pytest.approx(dict(zip("ab", block[1:] / np.sqrt(v @ (x[:, :2] - v @ x[:, :2]) ** 2), strict=True)))
