@@ -118,3 +118,19 @@ def test_url_rules(spark):
     long = [(7, "https://h.org/" + "/".join(f"p{i}" for i in range(20_000)) + "?" + "&".join(f"k{i}=v" for i in range(5_000)), "x", "y", 1)] * 2
     assert [r.verdict for r in url_rules.judge(spark.createDataFrame(long, schema), labelled.sparkSession.createDataFrame([(long[0][1], True), ("http://a.b/c", False)], "url string, blocked boolean")).collect()] == ["allow"] * 2
     assert url_rules.judge(spark.createDataFrame([], schema), labelled).count() == 0
+
+
+def test_pipeline_stages(spark, small):
+    """Each stage over nulls, repeats, clashing names and an empty table; all but the last give the columns they got."""
+    import corpus_pipeline as P
+
+    plain = "doc_id long, text string, lang string, source string, n_chars long, _gone int, _row int, n_hit int, kept int, _key int"
+    rows = [(i, t, lang, source, len(t or ""), 1, 2, 3, 4, 5) for i, t, lang, source in ROWS]
+    for given in (rows, []):
+        docs = spark.createDataFrame(given, plain)
+        for label, stage in P.STAGES[:-1]:
+            out = stage(spark, docs, small)
+            assert out.columns == docs.columns, label
+            found = out.collect()
+            assert len(found) <= len(given) and all((r["_gone"], r["_row"], r.n_hit, r.kept, r["_key"]) == (1, 2, 3, 4, 5) for r in found), label
+        assert P.STAGES[-1][1](spark, docs, small).count() == len(given)
