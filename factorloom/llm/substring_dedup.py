@@ -5,9 +5,8 @@ documents stream past for matching statistics; words in matches of at least `wid
 corpus as its own reference. That has no size bound, and each document against each shard of it would be quadratic, so
 the shards are built around anchors and the texts are dealt to them: every window of `width` words has one anchor, the
 least hash of its sequences of eight words, so equal windows have equal anchors. Anchors that occur once need no look.
-Where all windows around an anchor agree, they repeat. Elsewhere the distinct passages around an anchor are a shard: its
-suffix automaton, weighted by how often a passage occurs, gives the statistics of each of its passages, and windows whose
-match occurs twice or more repeat. An anchor with more than `most` distinct passages is no shard, as it may grow without
+The distinct passages around an anchor are a shard: its suffix automaton, weighted by how often a passage occurs, gives the
+matching statistics of each of its passages, and windows whose match occurs twice or more repeat. An anchor with more than `most` distinct passages is no shard, as it may grow without
 bound; its windows are counted by their hash, which combines before the shuffle.
 
 Anchors and passages are told apart by 64-bit hashes each, compared together.
@@ -157,16 +156,15 @@ def repeats(docs: DataFrame, key: str, text: str, *, width: int = WIDTH, most: i
     rows = keyed(docs, key, text)
     name = f"repeats-{uuid.uuid4().hex}"
     found = written(anchored(rows, width), f"{name}/anchors")
-    again = found.groupBy("anchor").agg(F.count("*").alias("times"), (F.min("passage") != F.max("passage")).alias("mixed")).where("times > 1")
-    hits = written(found.join(checkpointed(again.select("anchor", "mixed")), "anchor"), f"{name}/hits")
-    clear = hits.where("not mixed").select("id", "of", "lo", F.expr("shiftleft(1L, hi - lo + 1) - 1").alias("mask"))
-    distinct = checkpointed(hits.where("mixed").groupBy("anchor", "passage").agg(F.count("*").alias("n"), F.min(F.struct("id", "of", "lo", "hi")).alias("at")))
+    again = found.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1")
+    hits = written(found.join(checkpointed(again.select("anchor")), "anchor"), f"{name}/hits")
+    distinct = checkpointed(hits.groupBy("anchor", "passage").agg(F.count("*").alias("n"), F.min(F.struct("id", "of", "lo", "hi")).alias("at")))
     sizes = distinct.groupBy("anchor").agg(F.count("*").alias("passages"))
     texts = checkpointed(passages(rows, distinct, width).join(sizes, "anchor"))
     masks = in_shards(texts.where(F.col("passages") <= most).drop("passages"), width).unionByName(by_counting(texts.where(F.col("passages") > most), width))
     masks = checkpointed(masks.where("mask <> 0"))
-    judged = hits.where("mixed").join(masks, ["anchor", "passage"]).select("id", "of", "lo", "mask")
-    return clear.unionByName(judged).groupBy("id", "of").agg(F.collect_list(F.struct("lo", "mask")).alias("spots"))
+    judged = hits.join(masks, ["anchor", "passage"]).select("id", "of", "lo", "mask")
+    return judged.groupBy("id", "of").agg(F.collect_list(F.struct("lo", "mask")).alias("spots"))
 
 
 def stripped(words: list[bytes], spots: list[dict], width: int) -> list[bytes]:
