@@ -215,8 +215,8 @@ def one_style_regression(df: DataFrame, by: str, ret: str, cap: str, style: str)
 
 
 def project_returns(exposures: DataFrame, returns: DataFrame, date: str, key: str) -> DataFrame:
-    """Fitted return of each row: exposures (date, key, factor_name, exposure) with returns (date, factor_name, factor_return). Factors are few."""
-    return exposures.join(F.broadcast(returns.select(date, "factor_name", "factor_return")), [date, "factor_name"]).groupBy(date, key).agg(F.sum(F.col("exposure") * F.col("factor_return")).alias("fitted"))
+    """Fitted return of each row: exposures (date, key, factor_name, exposure) with returns (date, factor_name, factor_return), broadcast only where Spark finds them small."""
+    return exposures.join(returns.select(date, "factor_name", "factor_return"), [date, "factor_name"]).groupBy(date, key).agg(F.sum(F.col("exposure") * F.col("factor_return")).alias("fitted"))
 
 
 def fundamental_ratios(df: DataFrame) -> DataFrame:

@@ -56,7 +56,7 @@ def factor_covariance(returns: DataFrame, *, date: str = "date", lookback: int =
     rows = returns.withColumn("_model", F.col(model) if model else F.lit("all"))
     days = rows.select("_model", date).distinct().withColumn("_age", F.row_number().over(Window.partitionBy("_model").orderBy(F.desc(date))))
     days = days.withColumn("_days", F.count("*").over(Window.partitionBy("_model"))).where("_days > 1").drop("_days")
-    recent = rows.join(F.broadcast(days.where(F.col("_age") <= lookback).drop("_age")), ["_model", date])
+    recent = rows.join(days.where(F.col("_age") <= lookback).drop("_age"), ["_model", date])
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         wide = pdf.sort_values([date, "factor_name"]).pivot_table(index=date, columns="factor_name", values="factor_return", aggfunc="last").sort_index().dropna(axis=1, how="all")
@@ -66,10 +66,15 @@ def factor_covariance(returns: DataFrame, *, date: str = "date", lookback: int =
     return recent.select("_model", date, "factor_name", "factor_return").groupBy("_model").applyInPandas(one, "model string, factor_name string, factor_name_2 string, covariance double")
 
 
-def eigenvalues(covariance: DataFrame) -> list[float]:
-    """Descending, not below 0; the matrix has some 50 rows."""
-    wide = covariance.toPandas().pivot(index="factor_name", columns="factor_name_2", values="covariance")
-    return sorted(np.clip(np.linalg.eigvalsh(wide.to_numpy()), 0, None).tolist(), reverse=True)
+def eigenvalues(covariance: DataFrame) -> DataFrame:
+    """(model, place, eigenvalue) of each model's matrix of some 50 rows, descending from place 0, not below 0."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        wide = pdf.pivot(index="factor_name", columns="factor_name_2", values="covariance")
+        values = np.clip(np.linalg.eigvalsh(wide.to_numpy()), 0, None)[::-1]
+        return pd.DataFrame({"model": pdf["model"].iloc[0], "place": np.arange(len(values), dtype=np.int32), "eigenvalue": values})
+
+    return covariance.select("model", "factor_name", "factor_name_2", "covariance").groupBy("model").applyInPandas(one, "model string, place int, eigenvalue double")
 
 
 def specific_risk(residuals: DataFrame, *, key: str = "ric", date: str = "date", sector: str = "sector", lookback: int = 504, half_life: float = 126.0, least: int = 40, least_obs: int = 2) -> DataFrame:
@@ -97,7 +102,7 @@ def returns_projection(returns: DataFrame, factors: DataFrame, *, key: str = "ri
     """
     names = sorted(r["factor_name"] for r in factors.select("factor_name").distinct().collect())
     packed = factors.groupBy(date).pivot("factor_name", names).agg(F.last("factor_return")).select(date, F.array(*[F.coalesce(F.col(f"`{n}`"), F.lit(0.0)) for n in names]).alias("_f"))
-    rows = returns.where("ret is not null").join(F.broadcast(packed), date)
+    rows = returns.where("ret is not null").join(packed, date)
     rows = rows.withColumn("_age", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(date)))).where(F.col("_age") <= lookback)
     rows = rows.withColumn("_n", F.count("*").over(Window.partitionBy(key))).where(F.col("_n") >= least)
 

@@ -11,7 +11,6 @@ from ..functions import labels as L
 from . import crosssection as X
 from . import relational as R
 from . import timeseries as T
-from .portfolio import _small
 
 #: A t-statistic that counts as a hit, days of the turnover's mean, and days that mean needs.
 HIT, TURNOVER_DAYS, LEAST_DAYS = 2.0, 60, 3
@@ -43,7 +42,7 @@ def exposure_turnover(exposures: DataFrame, date: str, key: str) -> DataFrame:
     days = days.withColumns({"_next": F.lead(date).over(order), "_before": F.lag(date).over(order)})
     factors = exposures.agg(F.count_distinct("factor_name").alias("_factors"))
     sides = F.array(F.struct(F.col(date).alias("_at"), F.col("exposure").alias("_x")), F.struct(F.col("_next").alias("_at"), (-F.col("exposure")).alias("_x")))
-    parts = exposures.join(_small(days.select(date, "_next")), date).select(key, "factor_name", F.inline(sides)).where("_at is not null")
+    parts = exposures.join(days.select(date, "_next"), date).select(key, "factor_name", F.inline(sides)).where("_at is not null")
     changes = parts.groupBy("_at", key, "factor_name").agg(F.abs(F.sum("_x")).alias("_c")).groupBy("_at", key).agg(F.sum("_c").alias("_c"))
     by_day = changes.groupBy("_at").agg(F.sum("_c").alias("_c"), F.count("*").alias("_n")).join(days.select(F.col(date).alias("_at"), "_before"), "_at").where("_before is not null")
     raw = by_day.join(F.broadcast(factors)).select(F.col("_at").alias(date), (F.col("_c") / (F.col("_n") * F.col("_factors"))).alias("raw_turnover"), F.greatest(F.lit(1), F.datediff("_at", "_before")).alias("interval_days"))
@@ -57,7 +56,7 @@ def block_r2(rows: DataFrame, date: str, ret: str, cap: str, residual: str, styl
     w, y, e = F.sqrt(F.greatest(F.col(cap), F.lit(0.0))), F.col(ret), F.col(residual)
     mean = rows.groupBy(date).agg(F.try_divide(F.sum(w * y), F.sum(w)).alias("_mean"))
     s = e + F.coalesce(F.col(style_fitted), F.lit(0.0))
-    sums = rows.join(_small(mean), date).groupBy(date).agg(F.sum(w * (y - F.col("_mean")) ** 2).alias("_t"), F.sum(w * e * e).alias("_e"), F.sum(w * s * s).alias("_s"))
+    sums = rows.join(mean, date).groupBy(date).agg(F.sum(w * (y - F.col("_mean")) ** 2).alias("_t"), F.sum(w * e * e).alias("_e"), F.sum(w * s * s).alias("_s"))
     r2 = lambda c: F.when(F.col("_t") > 0, 1 - F.col(c) / F.col("_t")).otherwise(0.0)
     return sums.select(date, r2("_e").alias("full_r2"), r2("_s").alias("structural_r2"), (r2("_e") - r2("_s")).alias("incremental_r2"))
 
@@ -77,7 +76,7 @@ def weekly_history(prices: DataFrame, fundamentals: DataFrame, registry: DataFra
     if last:
         asked = asked.where(F.col("date") <= last)
     sessions = asked.groupBy(session.alias("_week")).agg(F.max("date").alias("date")).select("date")
-    base = features.join(_small(sessions), "date").select("ric", "date", "close", "momentum_raw", "resid_vol_raw", "log_adv")
+    base = features.join(sessions, "date").select("ric", "date", "close", "momentum_raw", "resid_vol_raw", "log_adv")
     known = R.asof_backward(base, fundamentals, "ric", "date", "as_of_date", ["seq"], ["market_cap"])
     rows = known.join(registry.select("ric", "sector", "country"), "ric", "left").withColumn("size_raw", F.when(F.col("market_cap") > 0, F.log("market_cap")))
     reasons = L.structural_reasons(F.col("size_raw").isNotNull(), F.col("market_cap"), F.col("sector"), F.col("sector"), F.col("country"))
@@ -154,6 +153,49 @@ def scope(df: DataFrame, name: str) -> DataFrame:
     return out.select("ric", "ticker")
 
 
+def compatibility_view(registry: DataFrame, policy: DataFrame, taxonomy: DataFrame, observed: DataFrame) -> DataFrame:
+    """(ric, ticker, classification_ok, is_equity_eligible, coverage_role) of registry rows that aren't disabled; a taxonomy goes before the last observation.
+
+    registry: ric, ticker, tracking; policy: ric, projection, pit_fundamentals, pit_classification; taxonomy: ric, ready,
+    equity; observed: ric, as_of_date, updated, ready, equity. Flags are 0 or 1.
+    """
+    ric = F.upper(F.trim("ric")).alias("ric")
+    rows = registry.where((F.coalesce(F.trim("ric"), F.lit("")) != "") & (F.coalesce(F.nullif(F.trim("tracking"), F.lit("")), F.lit("active")) != "disabled"))
+    rows = rows.select(ric, F.upper(F.trim("ticker")).alias("ticker"))
+    seen = R.latest_wide(observed.withColumn("ric", ric), ["ric"], ["as_of_date", "updated"], ["ready", "equity"]).select("ric", F.col("ready").alias("_ready"), F.col("equity").alias("_equity"))
+    rows = rows.join(policy.withColumn("ric", ric), "ric", "left").join(taxonomy.withColumn("ric", ric), "ric", "left").join(seen, "ric", "left")
+    flag = lambda *c: F.coalesce(*c, F.lit(0))
+    only = (flag("projection") == 1) & (flag("pit_fundamentals") == 0) & (flag("pit_classification") == 0)
+    return rows.select("ric", "ticker", flag("ready", "_ready").alias("classification_ok"), (flag("equity", "_equity") == 1).cast("int").alias("is_equity_eligible"), F.when(only, "projection_only").otherwise("native_equity").alias("coverage_role"))
+
+
+def reconciled_policies(policies: DataFrame, structure: DataFrame, defaults: list[str]) -> DataFrame:
+    """(ric, policy_source, flags): policies whose source is a default (or blank), with the flags that follow from the structure; others are left alone.
+
+    structure: ric, role, kind, scope, single.
+    """
+    source = F.coalesce(F.nullif(F.lower(F.trim("policy_source")), F.lit("")), F.lit("registry_seed_defaults"))
+    rows = policies.select("ric", source.alias("policy_source")).where(F.col("policy_source").isin(defaults)).join(structure, "ric")
+    return rows.select("ric", "policy_source", L.policy_flags(F.col("role"), F.col("kind"), F.col("scope"), F.col("single")).alias("flags"))
+
+
+def universe_loadings(exposures: DataFrame, covariance: DataFrame, projected: DataFrame, scope: DataFrame, *, key: str = "ric") -> DataFrame:
+    """(key, factors, risk_loading, model_status, exposure_origin) of every key of scope, a struct (factor_name, exposure, sensitivity) a factor.
+
+    A key without native exposures takes projected ones, and one without either is ineligible with no loading.
+    A sensitivity is exposure by factor volatility, the risk loading the sum of their sizes. exposures and projected:
+    (key, factor_name, exposure).
+    """
+    vols = covariance.where("factor_name = factor_name_2").select("factor_name", F.sqrt(F.greatest("covariance", F.lit(0.0))).alias("_vol"))
+    native = exposures.select(key, "factor_name", "exposure", F.lit("native").alias("_origin"))
+    more = projected.join(exposures.select(key).distinct(), key, "left_anti").select(key, "factor_name", "exposure", F.lit("projected").alias("_origin"))
+    rows = native.unionByName(more).join(vols, "factor_name", "left").withColumn("_s", F.round(F.col("exposure") * F.coalesce("_vol", F.lit(0.0)), 6))
+    cells = F.sort_array(F.collect_list(F.struct("factor_name", "exposure", F.col("_s").alias("sensitivity"))))
+    by = rows.groupBy(key).agg(cells.alias("factors"), F.round(F.sum(F.abs("_s")), 6).alias("risk_loading"), F.max("_origin").alias("exposure_origin"))
+    status = F.when(F.col("exposure_origin") == "native", "core_estimated").when(F.col("exposure_origin") == "projected", "projected_only").otherwise("ineligible")
+    return scope.select(key).distinct().join(by, key, "left").withColumn("model_status", status)
+
+
 def membership_coverage(served: DataFrame, members: DataFrame, by: str, key: str) -> DataFrame:
     """(by, matched, missing, ok): served keys that membership has, and whether those it lacks are few enough to publish."""
     both = served.select(by, key).distinct().join(members.select(by, key).distinct().withColumn("_in", F.lit(True)), [by, key], "left")

@@ -116,9 +116,14 @@ def g02(spark, d):
     return X.standardized(panel(spark, d), ["date"], "ret", "cap", "z").select("ric", "date", F.round("z", 5).alias("z"))
 
 
-@query("g03_composite_style")
+def scored(n: int, source: str, x: str) -> str:
+    """Table z<n>: source with column s<n>, the standardised x by date."""
+    return f", m{n} AS (SELECT *, median({x}) OVER (PARTITION BY date) AS med FROM {source}), a{n} AS (SELECT *, median(abs({x} - med)) OVER (PARTITION BY date) AS mad FROM m{n}), c{n} AS (SELECT *, CASE WHEN mad > 0 THEN least(greatest({x}, med - 3 * mad), med + 3 * mad) ELSE {x} END AS cx FROM a{n}), t{n} AS (SELECT *, sum(cap * cx) OVER p / sum(cap) OVER p AS mean, stddev_pop(cx) OVER p AS sd FROM c{n} WINDOW p AS (PARTITION BY date)), z{n} AS (SELECT * EXCLUDE (med, mad, cx, mean, sd), CASE WHEN sd > 0 THEN least(greatest((cx - mean) / sd, -5), 5) ELSE 0 END AS s{n} FROM t{n})"
+
+
+@query("g03_composite_style", PANEL + scored(1, "panel", "size") + scored(2, "z1", "value") + scored(3, "z2", "ret") + ", y3 AS (SELECT *, s1 * 35e-2 + s2 * 35e-2 + s3 * 3e-1 AS style FROM z3)" + scored(4, "y3", "style") + " SELECT ric, date, round(s4, 5) AS score FROM z4")
 def g03(spark, d):
-    """A style of three descriptors; the standardisation it repeats is checked by g02."""
+    """A style of three descriptors."""
     rows = panel(spark, d).withColumnsRenamed({"size": "turnover_1m_raw", "value": "turnover_12m_raw", "ret": "log_avg_dollar_volume_20d_raw"})
     return X.composite(rows, ["date"], X.STYLES["Liquidity"], "cap", "score").select("ric", "date", F.round("score", 5).alias("score"))
 
@@ -216,8 +221,7 @@ def g20(spark, d):
 
 @query("g21_eigenvalues")
 def g21(spark, d):
-    values = M.eigenvalues(M.factor_covariance(simple_returns(spark, d)))
-    return spark.createDataFrame([(i, round(v, 6)) for i, v in enumerate(values)], "place int, eigenvalue double")
+    return M.eigenvalues(M.factor_covariance(simple_returns(spark, d))).select("place", F.round("eigenvalue", 6).alias("eigenvalue"))
 
 
 RATIOS = ["size_raw", "book_to_price_raw", "cash_earnings_yield_raw", "debt_to_equity_raw", "debt_to_assets_raw", "book_leverage_raw", "gross_profitability_raw", "turnover_1m_raw"]

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import labels as L
 from ..operators import portfolio as P
 from ..operators import relational as R
 from ..operators import service as V
@@ -118,6 +118,18 @@ def n05(spark, d):
     return out[0]
 
 
+@query("n06_policy_reconcile", ", x AS (SELECT cast(ric AS INTEGER) AS n FROM registry), k AS (SELECT n, CASE n % 5 WHEN 0 THEN 'desk' WHEN 1 THEN '' ELSE 'Registry_Seed_Defaults' END AS src, CASE WHEN n % 9 = 0 THEN 'projection_only' END AS role, CASE n % 4 WHEN 0 THEN 'fund_vehicle' WHEN 1 THEN 'single_name_equity' WHEN 2 THEN 'other' END AS kind, CASE n % 3 WHEN 0 THEN 'us' WHEN 1 THEN 'ex_us' END AS home, CASE WHEN n % 4 = 1 THEN 1 ELSE 0 END AS single FROM x) SELECT cast(n AS VARCHAR) AS ric, 'registry_seed_defaults' AS policy_source, CASE WHEN role IS NOT NULL THEN '10000101' WHEN coalesce(kind, 'other') = 'other' AND home IS NULL AND single = 0 THEN '11110011' WHEN kind = 'fund_vehicle' THEN '10000101' WHEN single = 1 AND home IS NULL THEN '11110011' WHEN single = 1 AND home = 'us' THEN '11110011' WHEN single = 1 THEN '11101001' ELSE '10000001' END AS bits FROM k WHERE src <> 'desk'")
+def n06(spark, d):
+    """Default policies derived again, a desk's own left alone."""
+    n = F.col("ric").cast("int")
+    r = A.registry(spark, d)
+    policies = r.select("ric", F.when(n % 5 == 0, "desk").when(n % 5 == 1, "").otherwise("Registry_Seed_Defaults").alias("policy_source"))
+    kind = L.ladder((n % 4 == 0, "fund_vehicle"), (n % 4 == 1, "single_name_equity"), (n % 4 == 2, "other"))
+    structure = r.select("ric", F.when(n % 9 == 0, "projection_only").alias("role"), kind.alias("kind"), L.ladder((n % 3 == 0, "us"), (n % 3 == 1, "ex_us")).alias("scope"), (n % 4 == 1).cast("int").alias("single"))
+    out = V.reconciled_policies(policies, structure, ["registry_seed_defaults"])
+    return out.select("ric", "policy_source", F.concat(*[F.col(f"flags.{c}").cast("string") for c in L.POLICY_FLAGS]).alias("bits"))
+
+
 @query("n08_membership_lookup", ", lt AS (SELECT max(as_of_date) AS day FROM fundamentals WHERE as_of_date <= DATE '1996-06-30') SELECT ric, arg_max(status, seq) AS status FROM fundamentals WHERE as_of_date = (SELECT day FROM lt) GROUP BY 1")
 def n08(spark, d):
     """Membership of the last date up to one asked for."""
@@ -146,11 +158,11 @@ def n13(spark, d):
     return last.groupBy("industry").agg(F.count("*").alias("n"), F.count_distinct("ric").alias("rics"), r6(F.avg("value")).alias("mean"), r6(F.stddev_pop("value")).alias("std"))
 
 
-@query("n15_portfolio_hedge", H.W + H.LOADINGS.replace(", n AS", ", nn AS").replace("FROM n", "FROM nn") + ", bk AS (SELECT account, factor_name, sum(weight * loading) AS x FROM w JOIN l USING (ric) GROUP BY 1, 2) SELECT account, factor_name, round(-x, 6) AS weight FROM bk WHERE abs(x) >= CASE WHEN factor_name = 'Market' THEN 1e-1 ELSE 5e-2 END QUALIFY row_number() OVER (PARTITION BY account ORDER BY abs(x) DESC, factor_name) <= 10")
+@query("n15_portfolio_hedge", H.W + H.LOADINGS.replace(", n AS", ", nn AS").replace("FROM n", "FROM nn") + ", bk AS (SELECT account, factor_name, sum(weight * loading * 10) AS x FROM w JOIN l USING (ric) GROUP BY 1, 2) SELECT account, factor_name, round(-x, 9) AS weight FROM bk WHERE abs(x) >= CASE WHEN factor_name = 'Market' THEN 1e-1 ELSE 5e-2 END QUALIFY row_number() OVER (PARTITION BY account ORDER BY abs(x) DESC, factor_name) <= 10")
 def n15(spark, d):
-    """Legs against a whole book's loadings."""
-    books = P.book_exposures(H.weighted(spark, d), H.loadings(spark, d).withColumnRenamed("loading", "exposure"))
-    return P.hedge_legs(books.withColumnRenamed("exposure", "loading"), "Market", key="account").select("account", "factor_name", r6("weight").alias("weight"))
+    """Legs against a whole book's loadings, at ten times its gross value."""
+    books = P.book_exposures(H.weighted(spark, d), H.loadings(spark, d).select("ric", "factor_name", (F.col("loading") * 10).alias("exposure")))
+    return P.hedge_legs(books.withColumnRenamed("exposure", "loading"), "Market", key="account").select("account", "factor_name", F.round("weight", 9).alias("weight"))
 
 
 @query("n16_package_search", ", pk AS (SELECT ric, ticker, sector AS display_name, CASE WHEN cast(ric AS INTEGER) % 3 = 0 THEN 0 ELSE 1 END AS source_order FROM registry), sr AS (SELECT *, CASE WHEN ric = '12' THEN 0 WHEN starts_with(ric, '12') THEN 1 WHEN contains(ticker, '12') THEN 2 ELSE 2 END AS tier, CASE WHEN ric = '12' THEN 1 WHEN starts_with(ric, '12') THEN length(ric) WHEN contains(ticker, '12') THEN strpos(ticker, '12') - 1 ELSE strpos(ric, '12') - 1 END AS place FROM pk WHERE contains(ticker, '12') OR contains(ric, '12')) SELECT ric, ticker, display_name, source_order, tier, cast(place AS INTEGER) AS place FROM sr ORDER BY tier, place, upper(ticker), source_order, ric LIMIT 25")
@@ -189,3 +201,32 @@ def h11(spark, d):
     rows = H.weighted(spark, d).withColumn("covered", F.col("ric").cast("int") % 4 != 0)
     positions = V.weekly_positions(rows, H.loadings(spark, d).withColumnRenamed("factor_name", "factor_id"))
     return V.aggregate_loadings(positions).select("account", "factor_id", r6("loading").alias("loading"), "n")
+
+
+@query("h09_universe_loadings", H.EX + ", sc AS (SELECT ric FROM parts WHERE cast(ric AS INTEGER) % 10 <> 9), un AS (SELECT ric, f, e, 'native' AS o FROM ex WHERE cast(ric AS INTEGER) % 3 <> 0 UNION ALL SELECT ric, f, e / 2, 'projected' FROM ex WHERE cast(ric AS INTEGER) % 6 = 0 AND f = 'Market'), ag AS (SELECT ric, count(*) AS n, round(sum(abs(round(e * fs.v, 6))), 6) AS risk_loading, max(o) AS exposure_origin FROM un JOIN fs USING (f) GROUP BY 1) SELECT sc.ric, cast(coalesce(n, 0) AS BIGINT) AS n, risk_loading, exposure_origin, CASE exposure_origin WHEN 'native' THEN 'core_estimated' WHEN 'projected' THEN 'projected_only' ELSE 'ineligible' END AS model_status FROM sc LEFT JOIN ag USING (ric)")
+def h09(spark, d):
+    n = F.col("ric").cast("int")
+    rows = H.exposures(spark, d)
+    projected = rows.where((n % 2 == 0) & (F.col("factor_name") == "Market")).withColumn("exposure", F.col("exposure") / 2)
+    out = V.universe_loadings(rows.where(n % 3 != 0), H.covariance(spark, d), projected, A.parts(spark, d).where(n % 10 != 9))
+    return out.select("ric", F.coalesce(F.size("factors"), F.lit(0)).cast("long").alias("n"), "risk_loading", "exposure_origin", "model_status")
+
+
+@query("j10_compatibility_view", ", x AS (SELECT ric, ticker, cast(ric AS INTEGER) AS n FROM registry), ob AS (SELECT ric, cast(arg_max(status, (as_of_date, seq)) = 'F' AS INTEGER) AS ready, cast(arg_max(market_cap, (as_of_date, seq)) > 100000 AS INTEGER) AS equity FROM fundamentals GROUP BY 1) SELECT x.ric, upper(ticker) AS ticker, coalesce(CASE WHEN n % 3 = 0 THEN n % 2 END, ready, 0) AS classification_ok, CASE WHEN coalesce(CASE WHEN n % 3 = 0 THEN 1 END, equity, 0) = 1 THEN 1 ELSE 0 END AS is_equity_eligible, CASE WHEN n % 4 = 0 AND n % 8 <> 0 THEN 'projection_only' ELSE 'native_equity' END AS coverage_role FROM x LEFT JOIN ob USING (ric) WHERE n % 5 <> 0")
+def j10(spark, d):
+    n = F.col("ric").cast("int")
+    r = A.registry(spark, d)
+    observed = A.fundamentals(spark, d).select("ric", "as_of_date", F.col("seq").alias("updated"), (F.col("status") == "F").cast("int").alias("ready"), (F.col("market_cap") > 100_000).cast("int").alias("equity"))
+    policy = r.where(n % 4 == 0).select("ric", F.lit(1).alias("projection"), (n % 8 == 0).cast("int").alias("pit_fundamentals"), F.lit(0).alias("pit_classification"))
+    taxonomy = r.where(n % 3 == 0).select("ric", (n % 2).alias("ready"), F.lit(1).alias("equity"))
+    return V.compatibility_view(r.select("ric", "ticker", F.when(n % 5 == 0, "disabled").alias("tracking")), policy, taxonomy, observed)
+
+
+@query("n14_account_risk_page", H.CAT + ", x AS (SELECT account, category, variance AS p FROM cv UNION ALL SELECT account, 'idio', s FROM sp) SELECT account, category, round(p / sum(p) OVER (PARTITION BY account) * 100, 2) AS share FROM x WHERE cast(account AS INTEGER) % 2 = 1")
+def n14(spark, d):
+    """Risk shares of the accounts asked for; positions of others aren't weighed."""
+    asked = A.holdings(spark, d).where(F.col("account").cast("int") % 2 == 1)
+    rows = P.positions(asked, A.parts(spark, d))
+    specific = P.specific_variance(rows, A.parts(spark, d).select("ric", (F.col("price") / 1e5).alias("specific_var")))
+    cells = P.quadratic_cells(P.book_exposures(rows, H.exposures(spark, d)), H.covariance(spark, d))
+    return P.risk_shares(P.category_variance(cells, H.category), specific)
