@@ -7,11 +7,13 @@ from .ctw import op1_ctw
 from .decontaminate import op4_decontaminate
 from .langid import op9_langid
 from .line_dedup import op10_line_dedup
+from .merkle import op13_merkle
 from .near_dedup import op3_near_dedup
 from .quality_gam import op8_quality_gam
 from .quality_rules import op5_quality_rules
 from .substring_dedup import op6_substring_dedup
 from .url_rules import op2_url_rules
+from .whitening import op11_whitening
 
 QUERIES = {
     "op1_ctw": op1_ctw,
@@ -24,6 +26,8 @@ QUERIES = {
     "op8_quality_gam": op8_quality_gam,
     "op9_langid": op9_langid,
     "op10_line_dedup": op10_line_dedup,
+    "op11_whitening": op11_whitening,
+    "op13_merkle": op13_merkle,
 }
 
 ORACLES: dict[str, str] = {}
