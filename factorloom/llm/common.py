@@ -97,3 +97,8 @@ def written(df: DataFrame, folder: str) -> DataFrame:
     path = f"{spark.sparkContext.getCheckpointDir()}/{folder}"
     df.write.parquet(path)
     return spark.read.parquet(path)
+
+
+def few(df: DataFrame, most: int) -> DataFrame:
+    """df, broadcast if it has at most `most` rows; it is counted, so it should be stored."""
+    return F.broadcast(df) if df.count() <= most else df

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed, others, remainder, table, written
+from .common import checkpointed, few, others, remainder, table, written
 
 OUTPUT = ["leaf", "subroot", "root", "proof", "claim", "folded_root", "verified"]
 PATH = "array<struct<before: string, after: string>>"
@@ -90,10 +90,6 @@ def leaf_digest(values: list[Column]) -> Column:
     return F.unhex(F.sha2(F.concat(*[F.coalesce(F.concat(F.octet_length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in texts]).cast("binary"), 256))
 
 
-def few(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= FEW else df
-
-
 def ranked(leaves: DataFrame) -> DataFrame:
     """leaves (_by, _order, leaf, ...) with `at`, their place in the group, and n, its size."""
     order = [F.col("_by").asc_nulls_first(), F.col("_order").asc_nulls_first(), F.col("leaf"), F.col("_tie")]  # _tie parts equal rows
@@ -102,7 +98,7 @@ def ranked(leaves: DataFrame) -> DataFrame:
     runs = rows.groupBy(F.col("_by").alias("_b"), F.col("_part").alias("_p")).agg(F.min("_id").alias("_first"), F.count("*").alias("_m"))
     # A group has one run in each partition at most.
     runs = runs.selectExpr("*", "sum(_m) over (partition by _b order by _p) - _m as _before", "sum(_m) over (partition by _b) as n")
-    rows = rows.join(few(checkpointed(runs)), F.col("_by").eqNullSafe(F.col("_b")) & (F.col("_part") == F.col("_p")))
+    rows = rows.join(few(checkpointed(runs), FEW), F.col("_by").eqNullSafe(F.col("_b")) & (F.col("_part") == F.col("_p")))
     return rows.withColumn("at", F.col("_before") + F.col("_id") - F.col("_first")).drop("_id", "_part", "_b", "_p", "_first", "_m", "_before", "_order")
 
 
@@ -167,7 +163,7 @@ def paths(tiers: list[DataFrame], tops: DataFrame) -> DataFrame:
     above = tops.withColumn("_chunk", F.lit(0).cast("long"))
     for tier in reversed(range(len(tiers))):
         chunks = tiers[tier]
-        above = few(checkpointed(above.withColumnRenamed("_by", "_b")))
+        above = few(checkpointed(above.withColumnRenamed("_by", "_b")), FEW)
         joined = chunks.join(above, F.col("_by").eqNullSafe(F.col("_b")) & (F.col("chunk") == F.col("_chunk"))).select("_by", "chunk", "leaves", "height", "log", "rows", "proof", *more)
 
         def spread(batches, names=tuple(joined.columns)) -> Iterator[pa.RecordBatch]:

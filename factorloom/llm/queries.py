@@ -9,6 +9,7 @@ from .langid import op9_langid
 from .line_dedup import op10_line_dedup
 from .merkle import op13_merkle
 from .near_dedup import op3_near_dedup
+from .pii import op12_pii
 from .quality_gam import op8_quality_gam
 from .quality_rules import op5_quality_rules
 from .substring_dedup import op6_substring_dedup
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_langid": op9_langid,
     "op10_line_dedup": op10_line_dedup,
     "op11_whitening": op11_whitening,
+    "op12_pii": op12_pii,
     "op13_merkle": op13_merkle,
 }
 
