@@ -1,15 +1,20 @@
 """Cross-sectional operators by date: winsorising, standardising, styles, and constrained weighted regressions.
 
-Statistics that a group can add up are aggregates and joins; a regression of one date, a few thousand rows, is a grouped function.
+Statistics that a group can add up are aggregates and joins. A regression by date adds up products by date and industry; only these
+sums meet in a grouped function, which solves a small system.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.sinks import stored
+
 # Styles and the weights of their descriptors.
 STYLES = {
     "Beta": {"beta_raw": 1.0},
@@ -45,6 +50,8 @@ CONTROLS = {
     "Liquidity": ["Size"],
 }
 SCORE_CAP = 5.0
+#: A deviation that is rounding.
+NO_SPREAD = 1e-12
 
 
 def winsorized(df: DataFrame, by: list[str], column: str, p: float = 0.01, least: int = 10) -> DataFrame:
@@ -97,56 +104,133 @@ def style_order(styles: list[str], controls: dict[str, list[str]] = CONTROLS) ->
     return done
 
 
-class Scale:
-    """Standardisation with the statistics of the rows it was fitted on."""
+def finite(c: str | Column) -> Column:
+    """The value, or null where it is no finite number."""
+    c = F.col(c).cast("double") if isinstance(c, str) else c
+    return F.when(~F.isnan(c) & (F.abs(c) < float("inf")), c)
+
 
-    def __init__(self, x: np.ndarray, caps: np.ndarray, n_mad: float = 3.0):
-        finite = np.isfinite(x)
-        self.median = float(np.median(x[finite])) if finite.any() else 0.0
-        self.mad = n_mad * float(np.median(np.abs(x[finite] - self.median))) if finite.any() else 0.0
-        clipped = self.clip(x)
-        total = caps.sum()
-        self.mean = float((clipped * caps).sum() / total) if total > 0 else float(clipped.mean()) if len(x) else 0.0
-        self.std = float(clipped.std()) if finite.sum() > 1 else 0.0
+def product_sums(rows: DataFrame, by: list[str], weight: Column, xs: list[Column], ys: list[Column]) -> DataFrame:
+    """By group: n, w, and arrays of weighted sums: wx, wxx (pairs i <= j, row by row), wy, and wxy (all xs of the first y, then of the next)."""
+    total = lambda parts: F.array(*[F.sum(weight * c) for c in parts]) if parts else F.array().cast("array<double>")
+    pairs = [x * xs[j] for i, x in enumerate(xs) for j in range(i, len(xs))]
+    return rows.groupBy(*by).agg(
+        F.count("*").alias("n"), F.sum(weight).alias("w"), total(xs).alias("wx"), total(pairs).alias("wxx"), total(ys).alias("wy"), total([x * y for y in ys for x in xs]).alias("wxy"),
+    )
 
-    def clip(self, x: np.ndarray) -> np.ndarray:
-        x = np.where(np.isfinite(x), x, self.median)
-        return np.clip(x, self.median - self.mad, self.median + self.mad) if self.mad > 0 else x
 
-    def __call__(self, x: np.ndarray) -> np.ndarray:
-        return np.clip((self.clip(x) - self.mean) / self.std, -SCORE_CAP, SCORE_CAP) if self.std > 0 else np.zeros(len(x))
+def normal_matrix(w: np.ndarray, wx: np.ndarray, wxx: np.ndarray, dummies: bool) -> np.ndarray:
+    """X'WX of a constant, one dummy a group (if asked for) and S further columns, from the sums of K groups: w (K), wx (K, S), wxx (K, S(S+1)/2)."""
+    groups, s = wx.shape
+    k = groups if dummies else 0
+    out = np.zeros((1 + k + s, 1 + k + s))
+    out[0, 0] = w.sum()
+    out[0, 1 + k :] = out[1 + k :, 0] = wx.sum(0)
+    if k:
+        out[0, 1 : 1 + k] = out[1 : 1 + k, 0] = w
+        out[1 : 1 + k, 1 : 1 + k] = np.diag(w)
+        out[1 : 1 + k, 1 + k :], out[1 + k :, 1 : 1 + k] = wx, wx.T
+    upper = np.triu_indices(s)
+    out[1 + k + upper[0], 1 + k + upper[1]] = out[1 + k + upper[1], 1 + k + upper[0]] = wxx.sum(0)
+    return out
 
 
-def canonical_styles(df: DataFrame, by: str, styles: list[str], cap: str, industry: str, core: str, key: str, controls: dict[str, list[str]] = CONTROLS) -> DataFrame:
-    """(by, key, styles): scores made orthogonal in order by cap-weighted least squares and standardised; fitted on core rows, applied to all.
+def right_side(wy: np.ndarray, wxy: np.ndarray, dummies: bool) -> np.ndarray:
+    """X'Wy in the same order, from wy (K) and wxy (K, S)."""
+    return np.concatenate([[wy.sum()], wy if dummies else [], wxy.sum(0)])
+
+
+def stacked(column: pd.Series) -> np.ndarray:
+    return np.stack([np.asarray(v, float) for v in column])
+
+
+def style_levels(styles: list[str], controls: dict[str, list[str]]) -> list[list[str]]:
+    """Styles in the fewest rounds such that each comes after those it is made orthogonal to."""
+    levels: list[list[str]] = []
+    depth: dict[str, int] = {}
+    for style in style_order(styles, controls):
+        depth[style] = max([depth[c] + 1 for c in controls.get(style, []) if c in depth], default=0)
+        levels += [[]] * (depth[style] == len(levels))
+        levels[depth[style]] = [*levels[depth[style]], style]
+    return levels
+
+
+def scored_styles(df: DataFrame, by: str, styles: list[str], cap: str, industry: str, core: str | None = None, controls: dict[str, list[str]] = CONTROLS, exact: bool = True) -> DataFrame:
+    """df with each style replaced by its score: made orthogonal to its controls by cap-weighted least squares, then standardised; fitted on core rows, applied to all.
 
-    One group is one date.
+    A date is never gathered. Styles go in rounds (style_levels); a round takes sums of products by date and industry, which
+    a small solve by date turns into coefficients, then medians, median deviations, and moments by date. What is learnt is a
+    stored table of one row a date, joined to the rows of df, whose scores are expressions of it. Missing values are the core
+    median. exact=False takes approximate percentiles, whose memory doesn't grow with a date.
     """
-    order = style_order(styles, controls)
+    data = stored(df, "sections")  # several jobs read it
+    params, p = data.select(by).distinct(), {s: f"_{i}" for i, s in enumerate(styles)}
+    fits = F.col(core) if core else F.lit(True)
+    weight = F.greatest(F.coalesce(finite(cap), F.lit(0.0)), F.lit(0.0))
+    median = (lambda c: F.median(c)) if exact else (lambda c: F.percentile_approx(c, 0.5, 100_000))
+    zero, steps = F.lit(0.0), []
+    mean = lambda x: F.coalesce(F.sum(weight * x) / F.nullif(F.sum(weight), zero), F.avg(x))
+
+    def known() -> DataFrame:
+        """The rows with all columns that what has been learnt so far gives."""
+        return reduce(lambda rows, step: rows.withColumns(step), steps, data.join(params, by))
+
+    def learn(stats: DataFrame) -> None:
+        nonlocal params
+        params = stored(params.join(stats, by, "left"), "styles")
+
+    learn(data.where(fits).groupBy(by).agg(*[median(finite(s)).alias(f"{p[s]}med") for s in styles]))
+    steps.append({f"{p[s]}x": F.coalesce(finite(s), F.col(f"{p[s]}med"), zero) for s in styles})
+    done: list[str] = []
+    for level in style_levels(styles, controls):
+        asked = {s: ("industry" in own, [c for c in own if c in done]) for s in level if (own := [c for c in controls.get(s, []) if c == "industry" or c in done])}
+        left = {s: F.col(f"{p[s]}x") for s in level}
+        if asked:
+            zs = sorted({c for _, cs in asked.values() for c in cs})
+            sums = product_sums(known().where(fits), [by, industry], weight, [F.col(f"{p[z]}z") for z in zs], [left[s] for s in asked])
+            learn(solved_styles(sums, by, df.schema[by].dataType.simpleString(), industry, asked, zs, p))
+            for s, (dummies, cs) in asked.items():
+                fitted = F.coalesce(F.col(f"{p[s]}base"), zero) + (F.coalesce(F.element_at(f"{p[s]}by", F.col(industry)), zero) if dummies else zero)
+                left[s] = left[s] - sum((F.coalesce(F.get(f"{p[s]}slopes", F.lit(i)), zero) * F.col(f"{p[c]}z") for i, c in enumerate(cs)), fitted)
+        steps.append({f"{p[s]}left": left[s] for s in level})
+        learn(known().where(fits).groupBy(by).agg(*[median(F.col(f"{p[s]}left")).alias(f"{p[s]}mid") for s in level]))
+        learn(known().where(fits).groupBy(by).agg(*[(3.0 * median(F.abs(F.col(f"{p[s]}left") - F.col(f"{p[s]}mid")))).alias(f"{p[s]}reach") for s in level]))
+        clipped = {}
+        for s in level:
+            x, mid, reach = (F.col(f"{p[s]}{c}") for c in ("left", "mid", "reach"))
+            clipped[f"{p[s]}clip"] = F.when(reach > 0, F.least(F.greatest(x, mid - reach), mid + reach)).otherwise(x)
+        steps.append(clipped)
+        learn(known().where(fits).groupBy(by).agg(*[f for s in level for f in (mean(F.col(f"{p[s]}clip")).alias(f"{p[s]}mean"), F.stddev_pop(f"{p[s]}clip").alias(f"{p[s]}std"))]))
+        z = {s: (F.col(f"{p[s]}clip") - F.col(f"{p[s]}mean")) / F.col(f"{p[s]}std") for s in level}
+        steps.append({f"{p[s]}z": F.when(F.col(f"{p[s]}std") > NO_SPREAD, F.least(F.greatest(z[s], F.lit(-SCORE_CAP)), F.lit(SCORE_CAP))).otherwise(0.0) for s in level})
+        done += level
+    return known().select(*[F.col(f"{p[c]}z").alias(c) if c in p else F.col(f"`{c}`") for c in df.columns])
+
+
+def solved_styles(sums: DataFrame, by: str, kind: str, industry: str, asked: dict[str, tuple[bool, list[str]]], zs: list[str], prefix: dict[str, str]) -> DataFrame:
+    """One row a date: for each style the constant, the industries' parts and the slopes of least squares of least length. A group is the sums of a date's industries."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(key)
-        fitted = pdf[core].to_numpy(bool)
-        caps = np.clip(np.nan_to_num(pdf[cap].to_numpy(float)), 0, None)
-        names = sorted(set(pdf[industry][fitted].dropna()))
-        dummies = np.column_stack([(pdf[industry] == n).to_numpy(float) for n in names]) if names else np.empty((len(pdf), 0))
-        out = {}
-        for style in order:
-            x = pdf[style].to_numpy(float)
-            x = np.where(np.isfinite(x), x, np.nanmedian(x[fitted]) if np.isfinite(x[fitted]).any() else 0.0)
-            parts = [dummies if c == "industry" else out[c][:, None] for c in controls.get(style, []) if c == "industry" or c in out]
-            parts = [p for p in parts if p.shape[1]]
-            if parts and fitted.any():
-                design = np.column_stack([np.ones(len(x)), *parts])
-                root = np.sqrt(caps[fitted])[:, None]
-                beta, *_ = np.linalg.lstsq(design[fitted] * root, x[fitted] * root[:, 0], rcond=None)
-                x = x - design @ beta
-            out[style] = Scale(x[fitted], caps[fitted])(x)
-        return pd.DataFrame({by: pdf[by].to_numpy(), key: pdf[key].to_numpy(), **{s: out[s] for s in styles}})
+        w, wx, wxx, wy, wxy = pdf["w"].to_numpy(float), *map(stacked, (pdf["wx"], pdf["wxx"], pdf["wy"], pdf["wxy"]))
+        # Rows without an industry have no dummy, but take part.
+        known = pdf[industry].notna().to_numpy()
+        names, out = list(pdf[industry][known]), {by: pdf[by].iloc[0]}
+        for i, (s, (dummies, cs)) in enumerate(asked.items()):
+            full = normal_matrix(w, wx, wxx, True)
+            right = right_side(wy[:, i], wxy[:, i * len(zs) : (i + 1) * len(zs)], True)
+            keep = [0, *(1 + np.flatnonzero(known) if dummies else []), *(1 + len(w) + zs.index(c) for c in cs)]
+            beta = np.linalg.pinv(full[np.ix_(keep, keep)], rcond=1e-12, hermitian=True) @ right[keep]
+            k = len(names) if dummies else 0
+            out |= {f"{prefix[s]}base": beta[0], f"{prefix[s]}by": dict(zip(names, beta[1 : 1 + k], strict=False)) if dummies else {}, f"{prefix[s]}slopes": beta[1 + k :]}
+        return pd.DataFrame([out])
+
+    columns = [f"{by} {kind}", *[f"`{prefix[s]}base` double, `{prefix[s]}by` map<string, double>, `{prefix[s]}slopes` array<double>" for s in asked]]
+    return sums.groupBy(by).applyInPandas(one, ", ".join(columns))
 
-    kind = {f.name: f.dataType.simpleString() for f in df.schema}
-    schema = ", ".join([f"{by} {kind[by]}", f"{key} {kind[key]}", *[f"`{s}` double" for s in styles]])
-    return df.select(by, key, cap, industry, core, *styles).groupBy(by).applyInPandas(one, schema)
+
+def canonical_styles(df: DataFrame, by: str, styles: list[str], cap: str, industry: str, core: str, key: str, controls: dict[str, list[str]] = CONTROLS) -> DataFrame:
+    """(by, key, styles): the scores of scored_styles."""
+    return scored_styles(df.select(by, key, cap, industry, core, *[F.col(f"`{s}`") for s in styles]), by, styles, cap, industry, core, controls).select(by, key, *[F.col(f"`{s}`") for s in styles])
 
 
 def solve_constrained(design: np.ndarray, y: np.ndarray, weights: np.ndarray, constraint: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
@@ -185,24 +269,82 @@ def one_stage(y: np.ndarray, caps: np.ndarray, industries: np.ndarray, styles: n
     }
 
 
-def factor_returns(df: DataFrame, date: str, ret: str, cap: str, industry: str, styles: list[str], key: str, least: int = 30) -> DataFrame:
-    """(date, factor_name, factor_return, robust_se, t_stat, r_squared, residual_vol, cross_section_n) of each date with enough rows.
+def constrained_inverse(w: np.ndarray, normal: np.ndarray) -> np.ndarray:
+    """What takes X'Wy to coefficients, where cap-weighted industry coefficients add up to 0; w are the industries' weights."""
+    p, total = len(normal), max(w.sum(), 1e-300)
+    constraint = np.zeros((1, p))
+    constraint[0, 1 : 1 + len(w)] = w / total
+    return np.linalg.pinv(np.block([[normal / total, constraint.T], [constraint, np.zeros((1, 1))]]))[:p, :p] / total
+
+
+def condition_of(normal: np.ndarray) -> float:
+    """Largest over smallest singular value of the weighted design on its range; the industries' dummies always add up to the market."""
+    values = np.linalg.eigvalsh(normal)
+    values = values[values > 1e-12 * values[-1]]
+    return float(np.sqrt(values[-1] / values[0])) if len(values) else 0.0
 
-    Rows without a return, cap or industry are left out before; one group is one date.
+
+def cross_sections(df: DataFrame, date: str, ret: str, cap: str, industry: str, styles: list[str], least: int = 30) -> tuple[DataFrame, DataFrame]:
+    """(sums, residuals) of the regressions of factor_returns.
+
+    sums: one row for each date and industry: the sums of product_sums, and from each date's solve `base` (market and industry
+    return), `slopes` (of styles), `mean` (cap-weighted return). residuals: the rows of those dates, with `fitted` and `residual`.
+    Rows without a return, cap or industry, and dates of fewer than `least` others, are left out.
     """
+    x = [F.coalesce(finite(s), F.lit(0.0)) for s in styles]
     usable = df.where(F.col(ret).isNotNull() & (F.col(cap) > 0) & F.col(industry).isNotNull())
-    usable = usable.withColumn("_n", F.count("*").over(Window.partitionBy(date))).where(F.col("_n") >= least)
+    kind = {f.name: f.dataType.simpleString() for f in df.schema}
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(industry)
+        if pdf["n"].sum() < least:
+            return pdf.head(0).assign(base=0.0, slopes=None, mean=0.0)[names]
+        w, wx, wxx, wy, wxy = pdf["w"].to_numpy(float), *map(stacked, (pdf["wx"], pdf["wxx"], pdf["wy"], pdf["wxy"]))
+        k, full = len(w), normal_matrix(w, wx, wxx, True)
+        keep = [*range(1 + k), *(1 + k + np.flatnonzero(np.diag(full)[1 + k :] > 0))]
+        beta = np.zeros(len(full))
+        beta[keep] = constrained_inverse(w, full[np.ix_(keep, keep)]) @ right_side(wy[:, 0], wxy, True)[keep]
+        return pdf.assign(base=beta[0] + beta[1 : 1 + k], slopes=[beta[1 + k :]] * k, mean=wy.sum() / w.sum())[names]
+
+    sums = product_sums(usable, [date, industry], F.col(cap).cast("double"), x, [F.col(ret).cast("double")])
+    names = [*sums.columns, "base", "slopes", "mean"]
+    arrays = ", ".join(f"{c} array<double>" for c in ("wx", "wxx", "wy", "wxy"))
+    sums = sums.groupBy(date).applyInPandas(one, f"`{date}` {kind[date]}, `{industry}` {kind[industry]}, n long, w double, {arrays}, base double, slopes array<double>, mean double")
+    fits = sums.select(date, industry, F.col("base").alias("_base"), F.col("slopes").alias("_slopes"), F.col("mean").alias("_mean"))
+    fitted = sum((F.get("_slopes", F.lit(i)) * c for i, c in enumerate(x)), F.col("_base"))
+    rows = usable.join(fits, [date, industry]).withColumn("fitted", fitted).withColumn("residual", F.col(ret) - F.col("fitted")).drop("_base", "_slopes")
+    return sums, rows
+
+
+def factor_returns(df: DataFrame, date: str, ret: str, cap: str, industry: str, styles: list[str], least: int = 30, sections: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """(date, factor_name, factor_return, robust_se, t_stat, r_squared, residual_vol, condition_number, cross_section_n) of each date with enough rows.
+
+    Market, industries and styles by least squares with caps as weights and industry returns that add up to 0 by cap; errors
+    are robust (HC1). No date is gathered: rows are summed by date and industry, once for the coefficients and once more with their residuals for the errors;
+    a solve sees one row an industry. sections: what cross_sections gave, where it is at hand.
+    """
+    sums, rows = sections or cross_sections(df, date, ret, cap, industry, styles, least)
+    x = [F.coalesce(finite(s), F.lit(0.0)) for s in styles]
+    e, w, far = F.col("residual"), F.col(cap).cast("double"), F.col(ret) - F.col("_mean")
+    plain = rows.groupBy(date, industry).agg(F.sum(w * e * e).alias("wee"), F.sum(w * far * far).alias("total"), F.sum(e).alias("e"), F.sum(e * e).alias("ee"))
+    errors = product_sums(rows, [date, industry], w * w * e * e, x, []).select(date, industry, F.col("w").alias("m"), F.col("wx").alias("mx"), F.col("wxx").alias("mxx"))
+    kind = df.schema[date].dataType.simpleString()
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(key)
-        names = sorted(set(pdf[industry]))
-        used = [s for s in styles if np.nan_to_num(pdf[s].to_numpy(float)).any()]
-        dummies = np.column_stack([(pdf[industry] == n).to_numpy(float) for n in names])
-        exposures = np.nan_to_num(pdf[used].to_numpy(float)) if used else np.empty((len(pdf), 0))
-        fit = one_stage(pdf[ret].to_numpy(float), pdf[cap].to_numpy(float), dummies, exposures)
-        return pd.DataFrame({"d": pdf[date].iloc[0], "factor_name": ["Market", *names, *used], "factor_return": fit["beta"], "robust_se": fit["se"], "t_stat": fit["t"], "r_squared": fit["r2"], "residual_vol": fit["residual_vol"], "cross_section_n": len(pdf)})
-
-    out = usable.select(date, ret, cap, industry, key, *styles).groupBy(date).applyInPandas(one, "d date, factor_name string, factor_return double, robust_se double, t_stat double, r_squared double, residual_vol double, cross_section_n long")
+        pdf = pdf.sort_values(industry)
+        w, wx, wxx, wy, wxy, m, mx, mxx = pdf["w"].to_numpy(float), *map(stacked, (pdf["wx"], pdf["wxx"], pdf["wy"], pdf["wxy"])), pdf["m"].to_numpy(float), *map(stacked, (pdf["mx"], pdf["mxx"]))
+        k, n, full, meat = len(w), int(pdf["n"].sum()), normal_matrix(w, wx, wxx, True), normal_matrix(m, mx, mxx, True)
+        keep = [*range(1 + k), *(1 + k + np.flatnonzero(np.diag(full)[1 + k :] > 0))]
+        full, meat = full[np.ix_(keep, keep)], meat[np.ix_(keep, keep)]
+        inverse = constrained_inverse(w, full)
+        beta = inverse @ right_side(wy[:, 0], wxy, True)[keep]
+        se = np.sqrt(np.clip(np.diag(inverse @ meat @ inverse.T) * n / max(1, n - len(keep)), 0, None))
+        total, ee = pdf["total"].sum(), pdf["ee"].sum() - pdf["e"].sum() ** 2 / n
+        names = ["Market", *pdf[industry], *[styles[i - 1 - k] for i in keep[1 + k :]]]
+        return pd.DataFrame({"d": pdf[date].iloc[0], "factor_name": names, "factor_return": beta, "robust_se": se, "t_stat": np.divide(beta, se, out=np.zeros_like(beta), where=se > 0), "r_squared": 1 - pdf["wee"].sum() / total if total > 0 else 0.0, "residual_vol": np.sqrt(max(ee, 0.0) / (n - 1)) if n > 1 else 0.0, "condition_number": condition_of(full), "cross_section_n": n})
+
+    both = sums.join(plain, [date, industry]).join(errors, [date, industry])
+    out = both.groupBy(date).applyInPandas(one, f"d {kind}, factor_name string, factor_return double, robust_se double, t_stat double, r_squared double, residual_vol double, condition_number double, cross_section_n long")
     return out.withColumnRenamed("d", date)
 
 

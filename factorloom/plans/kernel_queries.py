@@ -128,20 +128,82 @@ def g03(spark, d):
     return X.composite(rows, ["date"], X.STYLES["Liquidity"], "cap", "score").select("ric", "date", F.round("score", 5).alias("score"))
 
 
-@query("g04_orthogonal_styles")
+#: Descriptors of the 14 styles, of what the panel has of a security and its return.
+RAW = {
+    "Size": "size", "Nonlinear Size": "size * size * size", "Beta": "value * ret", "Momentum": "ret + value / 100", "Short-Term Reversal": "-ret", "Residual Volatility": "abs(ret) + value / 50", "Liquidity": "abs(value) / size",
+    "Book-to-Price": "value", "Earnings Yield": "value / size", "Leverage": "value * value", "Growth": "ret * size", "Profitability": "value * size", "Investment": "abs(ret)", "Dividend Yield": "abs(value)",
+}
+
+
+def column_of(style: str) -> str:
+    return style.replace("-", "_").replace(" ", "_")
+
+
+def style_panel(spark, d):
+    rows = panel(spark, d).withColumn("core", F.col("cap") > 50_000)
+    return rows.select("date", "ric", "ret", "cap", "industry", "core", *[F.expr(x).alias(s) for s, x in RAW.items()])
+
+
+def style_sql() -> str:
+    """Tables up to `styles`: all scores, by closed forms: sums about the means of a date or of its industries, and two slopes at most.
+
+    A row whose industry no core row has gets the constant of least squares of least length: the industries' levels over their number and one.
+    """
+    out = PANEL + ", q0 AS (SELECT date, ric, ret, cap, industry, cap > 50000 AS core, " + ", ".join(f"{x} AS {column_of(s)}" for s, x in RAW.items()) + " FROM panel)"
+    n = 0
+    for level in X.style_levels(list(RAW), X.CONTROLS):
+        for s in level:
+            c, own = column_of(s), X.CONTROLS[s]
+            zs, dummies = [column_of(z) for z in own if z != "industry"], "industry" in own
+            by = "date, industry" if dummies else "date"
+            here, n = f"q{n}", n + 1
+            # Means by group on core rows, sums about them by date, slopes, levels.
+            means = ", ".join([f"sum(cap * {c}) / sum(cap) AS m_x", *[f"sum(cap * {z}) / sum(cap) AS m_{i}" for i, z in enumerate(zs)]])
+            out += f", g{n} AS (SELECT {by}, {means} FROM {here} WHERE core GROUP BY {by})"
+            d = [f"({z} - m_{i})" for i, z in enumerate(zs)]
+            sums = [f"sum(cap * {a} * {b}) AS s_{i}{j}" for i, a in enumerate(d) for j, b in enumerate(d) if i <= j] + [f"sum(cap * {a} * ({c} - m_x)) AS t_{i}" for i, a in enumerate(d)]
+            slopes = {0: [], 1: ["t_0 / s_00"], 2: ["(t_0 * s_11 - t_1 * s_01) / (s_00 * s_11 - s_01 * s_01)", "(t_1 * s_00 - t_0 * s_01) / (s_00 * s_11 - s_01 * s_01)"]}[len(zs)]
+            out += f", b{n} AS (SELECT date{''.join(f', {x} AS b_{i}' for i, x in enumerate(slopes))} FROM (SELECT date{''.join(', ' + x for x in sums)} FROM {here} JOIN g{n} USING ({by}) WHERE core GROUP BY date))"
+            less = "".join(f" - b_{i} * m_{i}" for i in range(len(zs)))
+            out += f", a{n} AS (SELECT {by}, m_x{less} AS level FROM g{n} JOIN b{n} USING (date)), f{n} AS (SELECT date, sum(level) / (count(*) + 1) AS usual FROM a{n} GROUP BY 1)"
+            left = f"{c} - coalesce(level, usual)" + "".join(f" - b_{i} * {z}" for i, z in enumerate(zs)) if own else c
+            out += f", r{n} AS (SELECT {here}.*, {left} AS x FROM {here} JOIN b{n} USING (date) JOIN f{n} USING (date) LEFT JOIN a{n} USING ({by}))"
+            out += f", m{n} AS (SELECT date, median(x) AS mid FROM r{n} WHERE core GROUP BY 1), h{n} AS (SELECT date, 3 * median(abs(x - mid)) AS reach FROM r{n} JOIN m{n} USING (date) WHERE core GROUP BY 1)"
+            out += f", k{n} AS (SELECT r{n}.*, CASE WHEN reach > 0 THEN least(greatest(x, mid - reach), mid + reach) ELSE x END AS cx FROM r{n} JOIN m{n} USING (date) JOIN h{n} USING (date))"
+            out += f", z{n} AS (SELECT date, sum(cap * cx) / sum(cap) AS mean, stddev_pop(cx) AS sd FROM k{n} WHERE core GROUP BY 1)"
+            out += f", q{n} AS (SELECT k{n}.* EXCLUDE (x, cx) REPLACE (CASE WHEN sd > 0 THEN least(greatest((cx - mean) / sd, -5), 5) ELSE 0 END AS {c}) FROM k{n} JOIN z{n} USING (date))"
+    return out + f", styles AS (SELECT * FROM q{n})"
+
+
+@query("g04_orthogonal_styles", style_sql() + " SELECT date, ric, " + ", ".join(f"round({column_of(s)}, 4) AS {column_of(s)}" for s in RAW) + " FROM styles")
 def g04(spark, d):
-    rows = panel(spark, d).withColumnsRenamed({"size": "Size", "value": "Book-to-Price"}).withColumn("Momentum", F.col("ret")).withColumn("core", F.col("cap") > 50_000)
-    scores = X.canonical_styles(rows, "date", ["Size", "Book-to-Price", "Momentum"], "cap", "industry", "core", "ric")
-    return scores.select("date", "ric", *[F.round(f"`{c}`", 5).alias(c.replace("-", "_")) for c in ("Size", "Book-to-Price", "Momentum")])
-
-
-@query("g05_daily_factor_returns")
+    """All 14 styles made orthogonal in order, fitted on core rows."""
+    scores = X.canonical_styles(style_panel(spark, d), "date", list(RAW), "cap", "industry", "core", "ric")
+    return scores.select("date", "ric", *[F.round(F.col(f"`{s}`"), 4).alias(column_of(s)) for s in RAW])
+
+
+#: Winsorised returns and two scores by date, then the regression in closed form: slopes about the industries' means, industry levels,
+#: their mean by cap as the market, and each coefficient's weights l on the returns for its error.
+G05 = (
+    PANEL + ", wb AS (SELECT date, quantile_cont(ret, 0.01) AS lo, quantile_cont(ret, 0.99) AS hi, count(*) AS n FROM panel GROUP BY 1), wp AS (SELECT p.* REPLACE (CASE WHEN n >= 10 THEN least(greatest(ret, lo), hi) ELSE ret END AS ret) FROM panel p JOIN wb USING (date))"
+    + scored(1, "wp", "size") + scored(2, "z1", "value")
+    + ", u AS (SELECT *, count(*) OVER (PARTITION BY date) AS n FROM z2 WHERE cap > 0 AND industry IS NOT NULL QUALIFY n >= 30), mi AS (SELECT date, industry, sum(cap) AS w, sum(cap * ret) / sum(cap) AS my, sum(cap * s1) / sum(cap) AS m1, sum(cap * s2) / sum(cap) AS m2 FROM u GROUP BY 1, 2), md AS (SELECT date, sum(w) AS tw, count(*) AS k, sum(w * my) / sum(w) AS dy, sum(w * m1) / sum(w) AS d1, sum(w * m2) / sum(w) AS d2 FROM mi GROUP BY 1)"
+    ", sm AS (SELECT date, sum(cap * (s1 - m1) * (s1 - m1)) AS s11, sum(cap * (s1 - m1) * (s2 - m2)) AS s12, sum(cap * (s2 - m2) * (s2 - m2)) AS s22, sum(cap * (s1 - m1) * (ret - my)) AS t1, sum(cap * (s2 - m2) * (ret - my)) AS t2 FROM u JOIN mi USING (date, industry) GROUP BY 1)"
+    ", bb AS (SELECT *, (t1 * s22 - t2 * s12) / (s11 * s22 - s12 * s12) AS b1, (t2 * s11 - t1 * s12) / (s11 * s22 - s12 * s12) AS b2, s11 * s22 - s12 * s12 AS det FROM sm), lv AS (SELECT mi.*, my - b1 * m1 - b2 * m2 - (dy - b1 * d1 - b2 * d2) AS f, dy - b1 * d1 - b2 * d2 AS mk, b1, b2 FROM mi JOIN md USING (date) JOIN bb USING (date))"
+    ", er AS (SELECT u.*, mi.w AS wk, md.tw, md.k, md.dy, md.d1, md.d2, mi.m1, mi.m2, ret - lv.mk - lv.f - lv.b1 * s1 - lv.b2 * s2 AS e, cap * ((s1 - mi.m1) * s22 - (s2 - mi.m2) * s12) / det AS l1, cap * ((s2 - mi.m2) * s11 - (s1 - mi.m1) * s12) / det AS l2 FROM u JOIN mi USING (date, industry) JOIN md USING (date) JOIN bb USING (date) JOIN lv USING (date, industry))"
+    ", wm AS (SELECT *, cap / tw - l1 * d1 - l2 * d2 AS lm FROM er), fx AS (SELECT date, any_value(n) AS n, any_value(k) AS k, sqrt(sum(lm * lm * e * e) * any_value(n) / greatest(1, any_value(n) - any_value(k) - 3)) AS sm, sqrt(sum(l1 * l1 * e * e) * any_value(n) / greatest(1, any_value(n) - any_value(k) - 3)) AS e1, sqrt(sum(l2 * l2 * e * e) * any_value(n) / greatest(1, any_value(n) - any_value(k) - 3)) AS e2, 1 - sum(cap * e * e) / sum(cap * (ret - dy) * (ret - dy)) AS r2, stddev_samp(e) AS rv FROM wm GROUP BY 1)"
+    ", si AS (SELECT lv.date, lv.industry, sqrt(sum(power(CASE WHEN wm.industry = lv.industry THEN cap / w ELSE 0 END - l1 * lv.m1 - l2 * lv.m2 - lm, 2) * e * e) * any_value(wm.n) / greatest(1, any_value(wm.n) - any_value(k) - 3)) AS se FROM lv JOIN wm ON wm.date = lv.date GROUP BY 1, 2)"
+    ", al AS (SELECT date, 'Market' AS factor_name, any_value(mk) AS b, any_value(sm) AS se FROM lv JOIN fx USING (date) GROUP BY 1 UNION ALL SELECT date, 'Size', any_value(b1), any_value(e1) FROM lv JOIN fx USING (date) GROUP BY 1 UNION ALL SELECT date, 'Value', any_value(b2), any_value(e2) FROM lv JOIN fx USING (date) GROUP BY 1 UNION ALL SELECT date, industry, f, se FROM lv JOIN si USING (date, industry))"
+)
+
+
+@query("g05_daily_factor_returns", G05 + " SELECT date, factor_name, round(b, 6) AS factor_return, round(se, 6) AS robust_se, round(b / se, 4) AS t_stat, round(r2, 6) AS r_squared, round(rv, 6) AS residual_vol, n AS cross_section_n FROM al JOIN fx USING (date)")
 def g05(spark, d, least: int = 30):
     """Daily factor returns: winsorised panel returns on market, industries and two standardised styles, of dates with at least `least` securities."""
-    rows = X.winsorized(panel(spark, d), ["date"], "ret", 0.01)
-    rows = X.standardized(X.standardized(rows, ["date"], "size", "cap", "Size"), ["date"], "value", "cap", "Value")
-    fit = X.factor_returns(rows, "date", "ret", "cap", "industry", ["Size", "Value"], "ric", least)
-    return fit.select("date", "factor_name", *[F.round(c, 6).alias(c) for c in ("factor_return", "robust_se", "t_stat", "r_squared", "residual_vol")], "cross_section_n")
+    rows = X.winsorized(panel(spark, d), ["date"], "ret", 0.01).withColumnsRenamed({"size": "Size", "value": "Value"})
+    rows = X.scored_styles(rows, "date", ["Size", "Value"], "cap", "industry", controls={})
+    fit = X.factor_returns(rows, "date", "ret", "cap", "industry", ["Size", "Value"], least)
+    return fit.select("date", "factor_name", *[F.round(c, 6).alias(c) for c in ("factor_return", "robust_se")], F.round("t_stat", 4).alias("t_stat"), *[F.round(c, 6).alias(c) for c in ("r_squared", "residual_vol")], "cross_section_n")
 
 
 @query("g05b_one_style_wls", PANEL + ", s AS (SELECT date, sum(cap) AS w, sum(cap * value) AS wx, sum(cap * ret) AS wy, sum(cap * value * value) AS wxx, sum(cap * value * ret) AS wxy, count(*) AS n FROM panel GROUP BY 1), b AS (SELECT *, (w * wxy - wx * wy) / (w * wxx - wx * wx) AS beta FROM s) SELECT date, round((wy - beta * wx) / w, 5) AS alpha, round(beta, 5) AS beta, n FROM b")

@@ -16,6 +16,13 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{top}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written as Parquet to a new shared folder, and read again: a table that later jobs use several times."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def replace_dates(rows: DataFrame, path: str, date: str) -> None:
     """Write rows so that the dates they have replace those at path; other dates stay. Writing the same rows again changes nothing."""
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(date).parquet(path)
