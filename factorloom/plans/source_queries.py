@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import relational as R
 from ..sources import adapters as A
+from ..sources import commits as C
 from ..sources import sinks as K
 from .catalog import query
 
@@ -96,18 +97,21 @@ def a10(spark, d):
 @query("a11_keyed_sink", YEARLY + " SELECT ric, year, n, CASE WHEN year % 2 = 0 THEN -cap ELSE cap END AS cap FROM yr WHERE year <= 1995 OR year % 2 = 0")
 def a11(spark, d):
     root = K.shared_folder(spark, "keyed")
-    K.save_keyed(yearly(spark, d).where("year <= 1995"), root, ["ric", "year"])
-    K.save_keyed(yearly(spark, d).where("year % 2 = 0").withColumn("cap", -F.col("cap")), root, ["ric", "year"])
-    return K.current(spark, root)
+    C.merge(yearly(spark, d).where("year <= 1995"), root, ["ric", "year"], buckets=8)
+    for _ in range(2):  # the second time nothing is different
+        C.merge(yearly(spark, d).where("year % 2 = 0").withColumn("cap", -F.col("cap")), root, ["ric", "year"])
+    return C.read(spark, root)
 
 
 @query("a13_idempotent_load", " SELECT ric, arg_max(market_cap, (as_of_date, seq)) AS market_cap, max(as_of_date) AS as_of_date FROM fundamentals GROUP BY 1")
 def a13(spark, d):
+    """A copy of all rows is loaded; the first row of each key, in order of age, is merged into the table, twice."""
     rows = A.fundamentals(spark, d)
-    order = [F.desc("as_of_date"), F.desc("seq")]
-    columns = ["ric", "market_cap", "as_of_date"]
-    once = K.load_once(rows.limit(0), rows, ["ric"], order)
-    return K.load_once(once, rows.unionByName(rows), ["ric"], order).select(*columns)
+    root = K.shared_folder(spark, "load")
+    for loaded in (rows, rows.unionByName(rows)):
+        once = R.latest(loaded, ["ric"], [F.desc("as_of_date"), F.desc("seq")])
+        C.merge(once.select("ric", "market_cap", "as_of_date"), root, ["ric"], buckets=8)
+    return C.read(spark, root)
 
 
 TARGET = ", tg AS (SELECT ric, date, volume + 1 AS volume FROM long_prices WHERE date <= DATE '1997-06-30' AND NOT (cast(ric AS INTEGER) % 3 = 0 AND date < DATE '1995-01-01'))"
@@ -117,7 +121,25 @@ TARGET = ", tg AS (SELECT ric, date, volume + 1 AS volume FROM long_prices WHERE
 def a14(spark, d):
     source = A.long_prices(spark, d).select("ric", "date", "volume")
     target = source.where("date <= '1997-06-30' and not (cast(ric as int) % 3 = 0 and date < '1995-01-01')").withColumn("volume", F.col("volume") + 1)
-    return K.incremental(source, target, "ric", "date", 30)
+    root = K.shared_folder(spark, "synced")
+    C.merge(target, root, ["ric", "date"], buckets=8)
+    C.sync(source, root, ["ric", "date"], mode="incremental", date="date", overlap_days=30)
+    return C.read(spark, root)
+
+
+@query("a14b_sync_modes", TARGET + ", s AS (SELECT ric, date, volume FROM long_prices WHERE cast(ric AS INTEGER) % 2 = 0) SELECT 'full' AS mode, * FROM s UNION ALL SELECT 'upsert', tg.ric, tg.date, coalesce(s.volume, tg.volume) FROM tg LEFT JOIN s USING (ric, date) UNION ALL SELECT 'upsert', s.* FROM s ANTI JOIN tg USING (ric, date)")
+def a14b(spark, d):
+    """The same target brought up to a source of half of the securities, wholly and by key."""
+    source = A.long_prices(spark, d).select("ric", "date", "volume")
+    target = source.where("date <= '1997-06-30' and not (cast(ric as int) % 3 = 0 and date < '1995-01-01')").withColumn("volume", F.col("volume") + 1)
+    out = None
+    for mode in ("full", "upsert"):
+        root = K.shared_folder(spark, "synced")
+        C.merge(target, root, ["ric", "date"], buckets=8)
+        C.sync(source.where("cast(ric as int) % 2 = 0"), root, ["ric", "date"], mode=mode)
+        rows = C.read(spark, root).select(F.lit(mode).alias("mode"), "ric", "date", "volume")
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 @query("a15_load_counts", YEARLY + " SELECT count(*) AS before, count(*) FILTER (WHERE year >= 1996) AS deleted, count(*) FILTER (WHERE year >= 1996) AS loaded, count(*) AS after, true AS ok FROM yr")
@@ -155,9 +177,9 @@ def a19(spark, d):
     """Three versions are published, the last is read, and the oldest goes."""
     root = K.shared_folder(spark, "snapshot")
     for year in (1993, 1994, 1995):
-        K.publish(yearly(spark, d).where(F.col("year") == year), root)
-    gone = K.prune(spark, root, keep=2)
-    return K.current(spark, root).withColumn("gone", F.array(*map(F.lit, gone)))
+        C.publish(yearly(spark, d).where(F.col("year") == year), root)
+    gone = C.prune(spark, root, keep=2)
+    return C.read(spark, root).withColumn("gone", F.array(*map(F.lit, gone)))
 
 
 @query("a20_retention", " SELECT count(*) AS before, count(*) FILTER (WHERE as_of_date >= DATE '1998-08-02' - 365 * 3) AS kept FROM fundamentals")

@@ -1,4 +1,4 @@
-"""Sinks and loads: replace by date, keyed and keep-old upserts, incremental loads, published versions, and payload manifests."""
+"""Sinks and loads: replace by date, incremental loads, checks of loads, and payload manifests; versions are in commits.py."""
 
 from __future__ import annotations
 
@@ -28,45 +28,6 @@ def replace_dates(rows: DataFrame, path: str, date: str) -> None:
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(date).parquet(path)
 
 
-def publish(rows: DataFrame, root: str) -> int:
-    """Write rows as a new version below root and point to it; readers see the old version until the pointer is there."""
-    spark = rows.sparkSession
-    last = versions(spark, root)
-    version = (max(last) if last else 0) + 1
-    rows.write.mode("overwrite").parquet(f"{root}/versions/{version}")
-    spark.range(1).select(F.lit(version).alias("version")).coalesce(1).write.mode("append").parquet(f"{root}/pointer")
-    return version
-
-
-def folder_exists(spark: SparkSession, path: str) -> bool:
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
-
-
-def versions(spark: SparkSession, root: str) -> list[int]:
-    """Published versions, one small row each."""
-    return sorted(r["version"] for r in spark.read.parquet(f"{root}/pointer").collect()) if folder_exists(spark, f"{root}/pointer") else []
-
-
-def current(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/versions/{versions(spark, root)[-1]}")
-
-
-def prune(spark: SparkSession, root: str, keep: int) -> list[int]:
-    """Delete the data of all but the last `keep` versions; the versions that went."""
-    gone = versions(spark, root)[:-keep]
-    for version in gone:
-        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/versions/{version}")
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    return gone
-
-
-def save_keyed(rows: DataFrame, root: str, keys: list[str]) -> None:
-    """Rows replace those of the same key in a published table."""
-    spark = rows.sparkSession
-    publish(R.upsert(current(spark, root), rows, keys) if versions(spark, root) else rows, root)
-
-
 def load_once(old: DataFrame, loaded: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """old with the first loaded row of each key; loading twice gives the same."""
     return R.upsert(old, R.latest(loaded, keys, order), keys)
