@@ -233,6 +233,21 @@ def canonical_styles(df: DataFrame, by: str, styles: list[str], cap: str, indust
     return scored_styles(df.select(by, key, cap, industry, core, *[F.col(f"`{s}`") for s in styles]), by, styles, cap, industry, core, controls).select(by, key, *[F.col(f"`{s}`") for s in styles])
 
 
+def styled(df: DataFrame, by: str, cap: str, industry: str, core: str) -> DataFrame:
+    """df with a column for each style of STYLES: its descriptors standardised and added up by weight, then scored in order. Descriptors that df lacks are left out."""
+    here = {s: {c: w for c, w in parts.items() if c in df.columns} for s, parts in STYLES.items()}
+    single = {s for s, parts in here.items() if len(STYLES[s]) == 1}
+    apart = sorted({c for s, parts in here.items() if s not in single for c in parts})
+    rows = df.withColumns({f"_of_{c}": F.col(c) for c in apart}) if apart else df
+    if apart:
+        rows = scored_styles(rows, by, [f"_of_{c}" for c in apart], cap, industry, core, {})
+    raw = {}
+    for s, parts in here.items():
+        alone = [F.col(c).cast("double") for c in parts]
+        raw[s] = (alone[0] if alone else F.lit(None).cast("double")) if s in single else sum((w * F.col(f"_of_{c}") for c, w in parts.items()), F.lit(0.0))
+    return scored_styles(rows.withColumns(raw).drop(*[f"_of_{c}" for c in apart]), by, list(STYLES), cap, industry, core)
+
+
 def solve_constrained(design: np.ndarray, y: np.ndarray, weights: np.ndarray, constraint: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     """Weighted least squares under constraint @ beta = 0, and the matrix that takes y to beta. Rank deficiency is left to the pseudo-inverse."""
     p = design.shape[1]

@@ -89,6 +89,23 @@ def weekly_history(prices: DataFrame, fundamentals: DataFrame, registry: DataFra
     return good.unionByName(rows.where("reasons <> ''").withColumns({"size": none, "momentum": none}))
 
 
+def raw_sections(prices: DataFrame, fundamentals: DataFrame, registry: DataFrame, *, least: int = 30, lag: int = 21, long_lag: int = 252) -> DataFrame:
+    """(date, ric, cap, industry, core, reasons, descriptors): raw cross-sections of the last session of each week with `least` core rows or more.
+
+    Descriptors are of prices up to the session and of what was known of fundamentals on it (fundamentals: ric, as_of_date, seq and the
+    columns of X.fundamental_ratios that prices don't give). A row is core if nothing keeps it out of the structural universe.
+    """
+    features = T.price_features(prices, lag=lag, long_lag=long_lag)
+    sessions = prices.groupBy(T.week_friday(F.col("date"), False).alias("_week")).agg(F.max("date").alias("date")).select("date")
+    base = features.join(F.broadcast(sessions), "date").select("ric", "date", F.col("close").alias("price_close"), "momentum_raw", "st_reversal_raw", "resid_vol_raw", F.col("log_adv").alias("log_avg_dollar_volume_20d_raw"), F.col("avg_volume_short").alias("avg_volume_21d"), F.col("avg_volume_year").alias("avg_volume_252d"))
+    known = R.asof_backward(base, fundamentals, "ric", "date", "as_of_date", ["seq"], [c for c in fundamentals.columns if c not in ("ric", "as_of_date", "seq")])
+    rows = X.fundamental_ratios(known.join(registry.select("ric", F.col("sector").alias("industry"), "country"), "ric", "left").withColumnRenamed("market_cap", "cap").withColumn("market_cap", F.col("cap")))
+    reasons = L.structural_reasons(F.col("size_raw").isNotNull(), F.col("cap"), F.col("industry"), F.col("industry"), F.col("country"))
+    rows = rows.withColumn("reasons", reasons).withColumn("core", F.col("reasons") == "")
+    covered = rows.where("core").groupBy("date").count().where(F.col("count") >= least).select("date")
+    return rows.join(covered, "date", "left_semi").select("date", "ric", "cap", "industry", "core", "reasons", *[c for c in rows.columns if c.endswith("_raw")])
+
+
 def dates_to_compute(sessions: DataFrame, caches: list[DataFrame], date: str, counts: DataFrame, least: int) -> DataFrame:
     """(date): sessions from the first with `least` usable rows on that not all caches hold. counts: (date, n)."""
     first = counts.where(F.col("n") >= least).agg(F.min(date).alias("_first"))

@@ -144,38 +144,43 @@ def style_panel(spark, d):
     return rows.select("date", "ric", "ret", "cap", "industry", "core", *[F.expr(x).alias(s) for s, x in RAW.items()])
 
 
-def style_sql() -> str:
-    """Tables up to `styles`: all scores, by closed forms: sums about the means of a date or of its industries, and two slopes at most.
+def style_steps(source: str, columns: dict[str, str], controls: dict[str, list[str]], tag: str) -> tuple[str, str]:
+    """SQL tables that replace the columns of styles by their scores, and the last table's name; source has date, ric, cap, industry and core.
 
-    A row whose industry no core row has gets the constant of least squares of least length: the industries' levels over their number and one.
+    Closed forms: sums about the means of a date or of its industries, and two slopes at most. A row whose industry no core
+    row has gets the constant of least squares of least length: the industries' levels over their number and one.
     """
-    out = PANEL + ", q0 AS (SELECT date, ric, ret, cap, industry, cap > 50000 AS core, " + ", ".join(f"{x} AS {column_of(s)}" for s, x in RAW.items()) + " FROM panel)"
-    n = 0
-    for level in X.style_levels(list(RAW), X.CONTROLS):
-        for s in level:
-            c, own = column_of(s), X.CONTROLS[s]
-            zs, dummies = [column_of(z) for z in own if z != "industry"], "industry" in own
-            by = "date, industry" if dummies else "date"
-            here, n = f"q{n}", n + 1
-            # Means by group on core rows, sums about them by date, slopes, levels.
-            means = ", ".join([f"sum(cap * {c}) / sum(cap) AS m_x", *[f"sum(cap * {z}) / sum(cap) AS m_{i}" for i, z in enumerate(zs)]])
-            out += f", g{n} AS (SELECT {by}, {means} FROM {here} WHERE core GROUP BY {by})"
-            d = [f"({z} - m_{i})" for i, z in enumerate(zs)]
-            sums = [f"sum(cap * {a} * {b}) AS s_{i}{j}" for i, a in enumerate(d) for j, b in enumerate(d) if i <= j] + [f"sum(cap * {a} * ({c} - m_x)) AS t_{i}" for i, a in enumerate(d)]
-            slopes = {0: [], 1: ["t_0 / s_00"], 2: ["(t_0 * s_11 - t_1 * s_01) / (s_00 * s_11 - s_01 * s_01)", "(t_1 * s_00 - t_0 * s_01) / (s_00 * s_11 - s_01 * s_01)"]}[len(zs)]
-            out += f", b{n} AS (SELECT date{''.join(f', {x} AS b_{i}' for i, x in enumerate(slopes))} FROM (SELECT date{''.join(', ' + x for x in sums)} FROM {here} JOIN g{n} USING ({by}) WHERE core GROUP BY date))"
-            less = "".join(f" - b_{i} * m_{i}" for i in range(len(zs)))
-            out += f", a{n} AS (SELECT {by}, m_x{less} AS level FROM g{n} JOIN b{n} USING (date)), f{n} AS (SELECT date, sum(level) / (count(*) + 1) AS usual FROM a{n} GROUP BY 1)"
-            left = f"{c} - coalesce(level, usual)" + "".join(f" - b_{i} * {z}" for i, z in enumerate(zs)) if own else c
-            out += f", r{n} AS (SELECT {here}.*, {left} AS x FROM {here} JOIN b{n} USING (date) JOIN f{n} USING (date) LEFT JOIN a{n} USING ({by}))"
-            out += f", m{n} AS (SELECT date, median(x) AS mid FROM r{n} WHERE core GROUP BY 1), h{n} AS (SELECT date, 3 * median(abs(x - mid)) AS reach FROM r{n} JOIN m{n} USING (date) WHERE core GROUP BY 1)"
-            out += f", k{n} AS (SELECT r{n}.*, CASE WHEN reach > 0 THEN least(greatest(x, mid - reach), mid + reach) ELSE x END AS cx FROM r{n} JOIN m{n} USING (date) JOIN h{n} USING (date))"
-            out += f", z{n} AS (SELECT date, sum(cap * cx) / sum(cap) AS mean, stddev_pop(cx) AS sd FROM k{n} WHERE core GROUP BY 1)"
-            out += f", q{n} AS (SELECT k{n}.* EXCLUDE (x, cx) REPLACE (CASE WHEN sd > 0 THEN least(greatest((cx - mean) / sd, -5), 5) ELSE 0 END AS {c}) FROM k{n} JOIN z{n} USING (date))"
-    return out + f", styles AS (SELECT * FROM q{n})"
-
-
-@query("g04_orthogonal_styles", style_sql() + " SELECT date, ric, " + ", ".join(f"round({column_of(s)}, 4) AS {column_of(s)}" for s in RAW) + " FROM styles")
+    out, here, k = "", source, 0
+    for s in [s for level in X.style_levels(list(columns), controls) for s in level]:
+        c, own, k = columns[s], controls.get(s, []), k + 1
+        n = f"{tag}{k}"
+        zs, dummies = [columns[z] for z in own if z != "industry"], "industry" in own
+        by = "date, industry" if dummies else "date"
+        out += f", e{n} AS (SELECT date, median({c}) AS med FROM {here} WHERE core GROUP BY 1), i{n} AS (SELECT {here}.* REPLACE (coalesce({c}, med, 0) AS {c}) FROM {here} LEFT JOIN e{n} USING (date))"
+        # Means by group on core rows, sums about them by date, slopes, levels.
+        means = ", ".join([f"sum(cap * {c}) / sum(cap) AS m_x", *[f"sum(cap * {z}) / sum(cap) AS m_{i}" for i, z in enumerate(zs)]])
+        out += f", g{n} AS (SELECT {by}, {means} FROM i{n} WHERE core GROUP BY {by})"
+        d = [f"({z} - m_{i})" for i, z in enumerate(zs)]
+        sums = [f"sum(cap * {a} * {b}) AS s_{i}{j}" for i, a in enumerate(d) for j, b in enumerate(d) if i <= j] + [f"sum(cap * {a} * ({c} - m_x)) AS t_{i}" for i, a in enumerate(d)]
+        slopes = {0: [], 1: ["t_0 / s_00"], 2: ["(t_0 * s_11 - t_1 * s_01) / (s_00 * s_11 - s_01 * s_01)", "(t_1 * s_00 - t_0 * s_01) / (s_00 * s_11 - s_01 * s_01)"]}[len(zs)]
+        out += f", b{n} AS (SELECT date{''.join(f', {x} AS b_{i}' for i, x in enumerate(slopes))} FROM (SELECT date{''.join(', ' + x for x in sums)} FROM i{n} JOIN g{n} USING ({by}) WHERE core GROUP BY date))"
+        less = "".join(f" - b_{i} * m_{i}" for i in range(len(zs)))
+        out += f", a{n} AS (SELECT {by}, m_x{less} AS level FROM g{n} JOIN b{n} USING (date)), f{n} AS (SELECT date, sum(level) / (count(*) + 1) AS usual FROM a{n} GROUP BY 1)"
+        left = f"{c} - coalesce(level, usual)" + "".join(f" - b_{i} * {z}" for i, z in enumerate(zs)) if own else c
+        out += f", r{n} AS (SELECT i{n}.*, {left} AS x FROM i{n} JOIN b{n} USING (date) JOIN f{n} USING (date) LEFT JOIN a{n} USING ({by}))"
+        out += f", m{n} AS (SELECT date, median(x) AS mid FROM r{n} WHERE core GROUP BY 1), h{n} AS (SELECT date, 3 * median(abs(x - mid)) AS reach FROM r{n} JOIN m{n} USING (date) WHERE core GROUP BY 1)"
+        out += f", k{n} AS (SELECT r{n}.*, CASE WHEN reach > 0 THEN least(greatest(x, mid - reach), mid + reach) ELSE x END AS cx FROM r{n} JOIN m{n} USING (date) JOIN h{n} USING (date))"
+        out += f", z{n} AS (SELECT date, sum(cap * cx) / sum(cap) AS mean, stddev_pop(cx) AS sd FROM k{n} WHERE core GROUP BY 1)"
+        out += f", q{n} AS (SELECT k{n}.* EXCLUDE (x, cx) REPLACE (CASE WHEN sd > 1e-12 THEN least(greatest((cx - mean) / sd, -5), 5) ELSE 0 END AS {c}) FROM k{n} JOIN z{n} USING (date))"
+        here = f"q{n}"
+    return out, here
+
+
+STYLES_SQL, LAST = style_steps("st", {s: column_of(s) for s in RAW}, X.CONTROLS, "v")
+STYLES_SQL = PANEL + ", st AS (SELECT date, ric, ret, cap, industry, cap > 50000 AS core, " + ", ".join(f"{x} AS {column_of(s)}" for s, x in RAW.items()) + " FROM panel)" + STYLES_SQL
+
+
+@query("g04_orthogonal_styles", STYLES_SQL + " SELECT date, ric, " + ", ".join(f"round({column_of(s)}, 4) AS {column_of(s)}" for s in RAW) + f" FROM {LAST}")
 def g04(spark, d):
     """All 14 styles made orthogonal in order, fitted on core rows."""
     scores = X.canonical_styles(style_panel(spark, d), "date", list(RAW), "cap", "industry", "core", "ric")

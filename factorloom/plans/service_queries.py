@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
+from ..operators import crosssection as X
+from ..operators import jobs as J
 from ..operators import portfolio as P
 from ..operators import relational as R
 from ..operators import service as V
 from ..sources import adapters as A
+from ..sources import sinks as K
 from . import kernel_queries as G
 from . import portfolio_queries as H
 from .catalog import query
@@ -49,8 +52,6 @@ def e26b(spark, d):
 
 @query("g19b_incremental_r2", G.G06 + ", fg AS (SELECT date, max(factor_return) FILTER (WHERE factor_name = 'Market') AS m, max(factor_return) FILTER (WHERE factor_name = 'Value') AS v FROM f GROUP BY 1), rs AS (SELECT p.date, p.ret, sqrt(p.cap) AS w, p.value * fg.v AS sf, p.ret - (fg.m + i.factor_return + p.value * fg.v) AS e FROM panel p JOIN fg USING (date) JOIN f i ON i.date = p.date AND i.factor_name = p.industry), av AS (SELECT date, sum(w * ret) / sum(w) AS mean FROM rs GROUP BY 1) SELECT rs.date, round(1 - sum(w * e * e) / sum(w * (ret - mean) * (ret - mean)), 6) AS full_r2, round(1 - sum(w * (e + sf) * (e + sf)) / sum(w * (ret - mean) * (ret - mean)), 6) AS structural_r2, round((sum(w * (e + sf) * (e + sf)) - sum(w * e * e)) / sum(w * (ret - mean) * (ret - mean)), 6) AS incremental_r2 FROM rs JOIN av USING (date) GROUP BY 1")
 def g19b(spark, d):
-    from ..operators import crosssection as X
-
     returns = G.simple_returns(spark, d)
     fitted = X.project_returns(G.exposures(spark, d), returns, "date", "ric")
     styles = returns.where("factor_name = 'Value'").select("date", F.col("factor_return").alias("v"))
@@ -65,6 +66,63 @@ def n01(spark, d):
     return rows.select("ric", "date", "market_cap", r6("momentum_raw").alias("momentum_raw"), "reasons", F.round("size", 4).alias("size"))
 
 
+#: Fundamentals of which the table has totals only: the rest is made of those.
+FACTS = {
+    "market_cap": "market_cap", "book_value": "market_cap / 1e3 - 20", "shares_outstanding": "seq % 7 + 1.0", "forward_eps": "market_cap / 1e4", "trailing_eps": "seq % 11 - 5.0", "operating_cashflow": "market_cap / 20 - 1000", "total_debt": "market_cap / 3 + seq % 101", "total_assets": "market_cap * 2 + seq % 13",
+    "return_on_equity": "seq % 17 / 10.0", "gross_profit": "market_cap / 9 - seq % 19", "operating_margins": "0.25", "sales_growth_raw": "seq % 23 / 1e2", "eps_growth_raw": "seq % 29 / 1e2", "asset_growth_raw": "seq % 31 / 1e2", "dividend_yield_raw": "seq % 37 / 1e3", "beta_raw": "seq % 41 / 20.0",
+}
+SINGLES = {s: next(iter(p)) for s, p in X.STYLES.items() if len(p) == 1}
+APART = {c: c for p in X.STYLES.values() if len(p) > 1 for c in p}
+
+
+def section_sql() -> str:
+    """Tables up to the scores of all 14 styles, and a last one that picks the columns."""
+    out = ", lp AS (SELECT *, lag(close, 3) OVER w AS l3, lag(close, 10) OVER w AS l10, close / lag(close) OVER w - 1 AS ret FROM long_prices WINDOW w AS (PARTITION BY ric ORDER BY date)), pf AS (SELECT *, CASE WHEN count(ret) OVER v >= 20 THEN stddev_samp(ret) OVER v END AS rv, CASE WHEN count(*) OVER a >= 10 THEN avg(close * volume) OVER a END AS adv, CASE WHEN count(*) OVER s >= 10 THEN avg(volume) OVER s END AS v21, CASE WHEN count(*) OVER y >= 60 THEN avg(volume) OVER y END AS v252 FROM lp WINDOW v AS (PARTITION BY ric ORDER BY date ROWS 62 PRECEDING), a AS (PARTITION BY ric ORDER BY date ROWS 19 PRECEDING), s AS (PARTITION BY ric ORDER BY date ROWS 20 PRECEDING), y AS (PARTITION BY ric ORDER BY date ROWS 251 PRECEDING))"
+    out += ", ss AS (SELECT max(date) AS date FROM long_prices GROUP BY date_trunc('week', date)), one AS (SELECT ric, as_of_date, max(seq) AS seq, arg_max(market_cap, seq) AS market_cap FROM fundamentals GROUP BY 1, 2), fu AS (SELECT ric, as_of_date, " + ", ".join(f"{x} AS {c}" for c, x in FACTS.items()) + " FROM one)"
+    out += ", kn AS (SELECT b.*, o.* EXCLUDE (ric, as_of_date), r.sector AS industry, r.country FROM (SELECT pf.* FROM pf JOIN ss USING (date)) b ASOF LEFT JOIN fu o ON b.ric = o.ric AND b.date >= o.as_of_date LEFT JOIN registry r ON r.ric = b.ric), eq AS (SELECT *, CASE WHEN book_value * shares_outstanding > 0 THEN book_value * shares_outstanding END AS equity, ln(greatest(market_cap, 1)) AS size_raw FROM kn)"
+    raw = {
+        "size_raw": "size_raw", "nonlinear_size_raw": "power(size_raw, 3)", "momentum_raw": "l3 / l10 - 1", "st_reversal_raw": "-(close / l3 - 1)", "resid_vol_raw": "rv", "log_avg_dollar_volume_20d_raw": "ln(greatest(adv, 1))", "book_to_price_raw": "book_value / nullif(close, 0)", "forward_ep_raw": "forward_eps / nullif(close, 0)",
+        "trailing_ep_raw": "trailing_eps / nullif(close, 0)", "cash_earnings_yield_raw": "operating_cashflow / nullif(market_cap, 0)", "debt_to_equity_raw": "total_debt / equity", "debt_to_assets_raw": "total_debt / nullif(total_assets, 0)", "book_leverage_raw": "total_assets / equity", "roe_raw": "return_on_equity",
+        "gross_profitability_raw": "coalesce(gross_profit / nullif(total_assets, 0), operating_margins)", "turnover_1m_raw": "v21 / nullif(shares_outstanding, 0)", "turnover_12m_raw": "v252 / nullif(shares_outstanding, 0)",
+    } | {c: c for c in FACTS if c.endswith("_raw")}
+    out += ", ra AS (SELECT date, ric, coalesce(market_cap, 0) AS cap, industry, coalesce(market_cap > 0 AND industry <> '' AND country <> '', false) AS core, " + ", ".join(f"{x} AS {c}" for c, x in raw.items()) + " FROM eq), rw AS (SELECT * FROM ra WHERE date IN (SELECT date FROM ra WHERE core GROUP BY 1 HAVING count(*) >= 30))"
+    apart, here = G.style_steps("rw", APART, {}, "w")
+    out += apart + ", sy AS (SELECT *, " + ", ".join(f"{' + '.join(f'{w} * {c}' for c, w in p.items()) if len(p) > 1 else next(iter(p))} AS {G.column_of(s)}" for s, p in X.STYLES.items()) + f" FROM {here})"
+    scores, here = G.style_steps("sy", {s: G.column_of(s) for s in X.STYLES}, X.CONTROLS, "u")
+    return out + scores + " SELECT date, ric, core, " + ", ".join(f"round({G.column_of(s)}, 4) AS {G.column_of(s)}" for s in X.STYLES) + f" FROM {here}"
+
+
+@query("n01b_published_history", section_sql())
+def n01b(spark, d):
+    """Weekly cross-sections with all 14 styles, computed and committed in two goes, and read from the ledger."""
+    facts = A.fundamentals(spark, d).select("ric", "as_of_date", "seq", *[F.expr(x).cast("double").alias(c) for c, x in FACTS.items()])
+    raw = K.stored(V.raw_sections(A.long_prices(spark, d), facts, A.registry(spark, d), lag=3, long_lag=10), "raw")
+    root = K.shared_folder(spark, "history")
+    J.history_job(raw.where("date < '1996-01-01'"), root, {"method": "1"}, batch=10_000)
+    J.history_job(raw, root, {"method": "1"}, batch=10_000)
+    return J.table(spark, root, "sections").select("date", "ric", "core", *[F.round(F.col(f"`{s}`"), 4).alias(G.column_of(s)) for s in X.STYLES])
+
+
+DAILY = {"method": "1", "winsor": 0.01, "least": 30, "styles": ["Size", "Value"], "controls": {}}
+
+
+def daily_ledger(spark, d):
+    """The ledger of a job over the panel that was first run over half of its dates."""
+    sections = K.stored(G.panel(spark, d).withColumnsRenamed({"size": "Size", "value": "Value"}).withColumn("core", F.lit(True)), "panel")
+    root = K.shared_folder(spark, "daily")
+    J.daily_returns_job(sections.where("dayofmonth(date) <= 15"), root, DAILY)
+    J.daily_returns_job(sections, root, DAILY)
+    return root
+
+
+@query("n02b_daily_job", G.G05 + ", fu AS (SELECT date, min(date) FILTER (WHERE n >= 30) OVER () AS first, n FROM (SELECT date, count(*) AS n FROM panel GROUP BY 1)) SELECT fu.date, factor_name, round(b, 6) AS factor_return, round(se, 6) AS robust_se, fu.n AS rows_n FROM fu LEFT JOIN al USING (date) WHERE fu.date >= first")
+def n02b(spark, d):
+    """Factor returns beside the counts of eligible rows, which dates of too few rows have as well."""
+    root = daily_ledger(spark, d)
+    rows = J.table(spark, root, "eligibility").join(J.table(spark, root, "factor_returns"), "date", "left")
+    return rows.select("date", "factor_name", r6("factor_return").alias("factor_return"), r6("robust_se").alias("robust_se"), "rows_n")
+
+
 @query("n02_factor_return_dates", ", cn AS (SELECT date, count(*) AS n FROM long_prices GROUP BY 1), a AS (SELECT DISTINCT date FROM long_prices WHERE date < DATE '1996-01-01'), b AS (SELECT DISTINCT date FROM long_prices WHERE extract(dow FROM date) <> 3) SELECT date FROM cn WHERE date >= (SELECT min(date) FROM cn WHERE n >= 2) AND date NOT IN (SELECT date FROM a JOIN b USING (date))")
 def n02(spark, d):
     """Sessions that either of two caches lacks, from the first that is usable."""
