@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.sinks import stored
+
 YEAR = 252.0
 
 
@@ -51,19 +53,67 @@ def covariance_of(x: np.ndarray, *, vol_half_life: float = 84.0, corr_half_life:
     return positive(mixed) * YEAR
 
 
+def covariance_cells(returns: DataFrame, *, date: str = "date", lookback: int = 504, vol_half_life: float = 84.0, corr_half_life: float = 252.0, lags: int = 3, blend: float = 0.8, shrink: float = 0.1) -> DataFrame:
+    """(_model, factor_name, factor_name_2, mixed): daily covariances before their repair, for all pairs of a model's factors.
+
+    returns: _model, date, factor_name, factor_return. Days have numbers; products of two factors, on one day and lagged,
+    are added up over days, each weighted by its age: decayed volatilities times decayed correlations, blended with Newey-West,
+    shrunk to the diagonal. A factor without a finite return on one of the last days has 0 there.
+    """
+    days = returns.select("_model", date).distinct().withColumn("_age", F.row_number().over(Window.partitionBy("_model").orderBy(F.desc(date))) - 1).where(F.col("_age") < lookback)
+    days = days.withColumn("_t", F.count("*").over(Window.partitionBy("_model"))).where("_t > 1")
+    decayed = lambda half: F.pow(F.lit(0.5), F.col("_age") / F.lit(half))
+    weights = {"_wv": decayed(vol_half_life), "_wc": decayed(corr_half_life)}
+    days = days.withColumns({k: w / F.sum(w).over(Window.partitionBy("_model")) for k, w in weights.items()})
+    x = F.coalesce(F.when(~F.isnan("factor_return") & (F.abs("factor_return") < float("inf")), F.col("factor_return")), F.lit(0.0))
+    rows = stored(returns.where("factor_return is not null").join(F.broadcast(days), ["_model", date]).groupBy("_model", "factor_name", "_age", "_t", "_wv", "_wc").agg(F.max_by(x, "factor_return").alias("x")), "returns")
+    some = lambda c: F.sum(F.when(c, F.col("x")).otherwise(0.0))
+    own = rows.groupBy("_model", "factor_name").agg(
+        F.first("_t").alias("t"), F.sum(F.col("_wv") * F.col("x")).alias("mv"), F.sum(F.col("_wc") * F.col("x")).alias("mc"), F.sum("x").alias("s"),
+        *[some(F.col("_age") >= k).alias(f"old{k}") for k in range(1, lags + 1)], *[some(F.col("_age") < F.col("_t") - k).alias(f"new{k}") for k in range(1, lags + 1)],
+    )
+    # The earlier side of a lag is older by it.
+    left = rows.withColumn("_lag", F.explode(F.sequence(F.lit(0), F.lit(lags)))).withColumn("_with", F.col("_age") + F.col("_lag"))
+    right = rows.select("_model", F.col("factor_name").alias("factor_name_2"), F.col("_age").alias("_with"), F.col("x").alias("y"))
+    product, at = F.col("x") * F.col("y"), lambda k: F.when(F.col("_lag") == k, F.col("x") * F.col("y")).otherwise(0.0)
+    now = F.col("_lag") == 0
+    sums = left.join(right, ["_model", "_with"]).groupBy("_model", "factor_name", "factor_name_2").agg(
+        F.sum(F.when(now, F.col("_wv") * product).otherwise(0.0)).alias("pv"), F.sum(F.when(now, F.col("_wc") * product).otherwise(0.0)).alias("pc"), *[F.sum(at(k)).alias(f"p{k}") for k in range(lags + 1)],
+    )
+    other = own.select("_model", *[F.col(c).alias(f"{c}_2") for c in own.columns if c not in ("_model", "t")])
+    grid = own.join(other, "_model").join(sums, ["_model", "factor_name", "factor_name_2"], "left").fillna(0.0, ["pv", "pc", *[f"p{k}" for k in range(lags + 1)]])
+    turned = sums.select("_model", F.col("factor_name").alias("factor_name_2"), F.col("factor_name_2").alias("factor_name"), *[F.col(f"p{k}").alias(f"q{k}") for k in range(1, lags + 1)])
+    grid = grid.join(turned, ["_model", "factor_name", "factor_name_2"], "left").fillna(0.0, [f"q{k}" for k in range(1, lags + 1)])
+    c, t = F.col, F.col("t")
+    gamma = lambda k, p, a, b: (c(f"{p}{k}") - c(f"s{a}") / t * c(f"old{k}{b}") - c(f"s{b}") / t * c(f"new{k}{a}") + F.greatest(t - k, F.lit(0)) * c(f"s{a}") * c(f"s{b}") / (t * t)) / t
+    newey = c("p0") / t - c("s") * c("s_2") / (t * t)
+    for k in range(1, lags + 1):
+        # With few days there are fewer lags.
+        used = F.least(F.lit(lags), t - 1)
+        newey += F.when(F.lit(k) <= used, (1 - F.lit(k) / (used + 1)) * (gamma(k, "p", "", "_2") + gamma(k, "q", "_2", ""))).otherwise(0.0)
+    cells = grid.select("_model", "factor_name", "factor_name_2", (c("pv") - c("mv") * c("mv_2")).alias("cv"), (c("pc") - c("mc") * c("mc_2")).alias("cc"), newey.alias("newey"))
+    same = F.col("factor_name") == F.col("factor_name_2")
+    floor = lambda v: F.sqrt(F.greatest(v, F.lit(1e-12)))
+    vols = cells.where(same).select("_model", "factor_name", floor(c("cv")).alias("vol"), (floor(c("cc")) * floor(c("cc") / F.greatest(c("cc"), F.lit(1e-12)))).alias("dev"))
+    cells = cells.join(vols, ["_model", "factor_name"]).join(vols.withColumnsRenamed({"factor_name": "factor_name_2", "vol": "vol_2", "dev": "dev_2"}), ["_model", "factor_name_2"])
+    corr = F.when(same, 1.0).otherwise(F.least(F.greatest(c("cc") / (c("dev") * c("dev_2")), F.lit(-1.0)), F.lit(1.0)))
+    mixed = blend * c("vol") * c("vol_2") * corr + (1 - blend) * c("newey")
+    return cells.select("_model", "factor_name", "factor_name_2", F.when(same, (1 - shrink) * mixed + shrink * F.greatest(mixed, F.lit(1e-10))).otherwise((1 - shrink) * mixed).alias("mixed"))
+
+
 def factor_covariance(returns: DataFrame, *, date: str = "date", lookback: int = 504, model: str | None = None) -> DataFrame:
-    """(model, factor_name, factor_name_2, covariance) of returns (model, date, factor_name, factor_return). A group is one model: lookback days by some 50 factors."""
-    rows = returns.withColumn("_model", F.col(model) if model else F.lit("all"))
-    days = rows.select("_model", date).distinct().withColumn("_age", F.row_number().over(Window.partitionBy("_model").orderBy(F.desc(date))))
-    days = days.withColumn("_days", F.count("*").over(Window.partitionBy("_model"))).where("_days > 1").drop("_days")
-    recent = rows.join(days.where(F.col("_age") <= lookback).drop("_age"), ["_model", date])
+    """(model, factor_name, factor_name_2, covariance), yearly, of returns (model, date, factor_name, factor_return).
+
+    Sums over days are Spark's (covariance_cells); a group is the cells of one model, some 50 by 50, whose eigenvalues are kept above 0.
+    """
+    cells = covariance_cells(returns.withColumn("_model", F.col(model) if model else F.lit("all")), date=date, lookback=lookback)
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        wide = pdf.sort_values([date, "factor_name"]).pivot_table(index=date, columns="factor_name", values="factor_return", aggfunc="last").sort_index().dropna(axis=1, how="all")
-        names, cov = list(wide.columns), covariance_of(wide.replace([np.inf, -np.inf], np.nan).fillna(0.0).to_numpy())
+        wide = pdf.pivot(index="factor_name", columns="factor_name_2", values="mixed")
+        names, cov = list(wide.columns), positive(wide.to_numpy()) * YEAR
         return pd.DataFrame({"model": pdf["_model"].iloc[0], "factor_name": np.repeat(names, len(names)), "factor_name_2": np.tile(names, len(names)), "covariance": cov.ravel()})
 
-    return recent.select("_model", date, "factor_name", "factor_return").groupBy("_model").applyInPandas(one, "model string, factor_name string, factor_name_2 string, covariance double")
+    return cells.groupBy("_model").applyInPandas(one, "model string, factor_name string, factor_name_2 string, covariance double")
 
 
 def eigenvalues(covariance: DataFrame) -> DataFrame:
@@ -95,16 +145,26 @@ def specific_risk(residuals: DataFrame, *, key: str = "ric", date: str = "date",
     return both.select(key, sector, "obs", var.alias("specific_var"), F.sqrt(var).alias("specific_vol"))
 
 
-def returns_projection(returns: DataFrame, factors: DataFrame, *, key: str = "ric", date: str = "date", lookback: int = 252, least: int = 60) -> DataFrame:
-    """(key, factor_name, loading, r2, specific_var, obs): each instrument's returns on factor returns, without constant, over its last common dates.
+def returns_projection(returns: DataFrame, factors: DataFrame, *, key: str = "ric", date: str = "date", lookback: int = 252, least: int = 60, core_date: Column | str | None = None) -> DataFrame:
+    """(key, status, factor_name, loading, r2, specific_var, obs): each instrument's returns on factor returns, without constant, over its last common dates.
 
-    Factor returns are packed into one row a date, a small table.
+    core_date (the last date of factors by default) is the date that loadings are for: later dates don't count, and an
+    instrument must have a return on it. Of the last `lookback` dates of an instrument those count on which all factors have a
+    return. status is ok, or says why there are no loadings: no_core_date_return or insufficient_history. Factor returns are
+    packed into one row a date, a small table.
     """
-    names = sorted(r["factor_name"] for r in factors.select("factor_name").distinct().collect())
-    packed = factors.groupBy(date).pivot("factor_name", names).agg(F.last("factor_return")).select(date, F.array(*[F.coalesce(F.col(f"`{n}`"), F.lit(0.0)) for n in names]).alias("_f"))
-    rows = returns.where("ret is not null").join(packed, date)
+    names = factors.agg(F.sort_array(F.collect_set("factor_name")).alias("n")).first()["n"]
+    last = factors.agg(F.max(date).alias("_core")) if core_date is None else factors.agg(F.max(F.lit(core_date).cast("date")).alias("_core"))
+    values = F.map_from_entries(F.collect_list(F.struct("factor_name", "factor_return")))
+    proper = factors.where("factor_return is not null and not isnan(factor_return)").groupBy(date, "factor_name").agg(F.last("factor_return").alias("factor_return"))
+    packed = proper.groupBy(date).agg(values.alias("_m")).select(date, F.when(F.size("_m") == len(names), F.array(*[F.element_at("_m", F.lit(n)) for n in names])).alias("_f"))
+    rows = returns.where("ret is not null").join(packed, date).join(F.broadcast(last)).where(F.col(date) <= F.col("_core"))
     rows = rows.withColumn("_age", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(date)))).where(F.col("_age") <= lookback)
-    rows = rows.withColumn("_n", F.count("*").over(Window.partitionBy(key))).where(F.col("_n") >= least)
+    rows = stored(rows.select(key, date, "ret", "_f", "_core"), "projection")
+    on = F.max((F.col(date) == F.col("_core")).cast("int"))
+    states = rows.groupBy(key).agg(on.alias("_on"), F.count("_f").alias("obs")).withColumn("status", F.when(F.col("_on") == 0, "no_core_date_return").when(F.col("obs") < least, "insufficient_history").otherwise("ok"))
+    known = states.select(key).unionByName(returns.select(key).distinct()).distinct().join(states, key, "left").withColumns({"status": F.coalesce("status", F.lit("no_core_date_return")), "obs": F.coalesce("obs", F.lit(0))})
+    good = rows.where("_f is not null").join(states.where("status = 'ok'").select(key), key, "left_semi")
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(date)
@@ -112,6 +172,9 @@ def returns_projection(returns: DataFrame, factors: DataFrame, *, key: str = "ri
         beta, *_ = np.linalg.lstsq(x, y, rcond=None)
         e = y - x @ beta
         total = ((y - y.mean()) ** 2).sum()
-        return pd.DataFrame({"k": pdf[key].iloc[0], "factor_name": names, "loading": beta, "r2": float(1 - (e**2).sum() / total) if total > 0 else 0.0, "specific_var": float(e.var(ddof=1) * YEAR), "obs": len(y)})
+        return pd.DataFrame({"k": pdf[key].iloc[0], "status": "ok", "factor_name": names, "loading": beta, "r2": float(1 - (e**2).sum() / total) if total > 0 else 0.0, "specific_var": float(e.var(ddof=1) * YEAR), "obs": len(y)})
 
-    return rows.select(key, date, "ret", "_f").groupBy(key).applyInPandas(one, "k string, factor_name string, loading double, r2 double, specific_var double, obs long").withColumnRenamed("k", key)
+    fitted = good.select(key, date, "ret", "_f").groupBy(key).applyInPandas(one, "k string, status string, factor_name string, loading double, r2 double, specific_var double, obs long").withColumnRenamed("k", key)
+    none = {"factor_name": "string", "loading": "double", "r2": "double", "specific_var": "double"}
+    others = known.where("status <> 'ok'").select(key, "status", *[F.lit(None).cast(t).alias(c) for c, t in none.items()], F.col("obs").cast("long").alias("obs"))
+    return fitted.unionByName(others)

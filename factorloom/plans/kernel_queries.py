@@ -9,6 +9,7 @@ from ..operators import relational as R
 from ..operators import riskmodel as M
 from ..operators import timeseries as S
 from ..sources import adapters as A
+from ..sources import sinks as K
 from .catalog import query
 
 
@@ -246,13 +247,27 @@ def g07(spark, d):
     return p.join(p.where("cap > 400000").select("date", "industry").distinct(), ["date", "industry"], "left_semi").select("ric", "date", "industry", F.lit(1.0).alias("exposure"))
 
 
-@query("g08_supported_styles", "SELECT 'size' AS style UNION ALL SELECT 'value'")
+@query("g08_supported_styles", PANEL + " SELECT style FROM (SELECT 'size' AS style, max(abs(size)) AS top FROM panel UNION ALL SELECT 'value', max(abs(value)) FROM panel UNION ALL SELECT 'nothing', max(abs(value - value)) FROM panel) WHERE top > 0")
 def g08(spark, d):
-    rows = panel(spark, d).withColumn("nothing", F.lit(0.0))
+    rows = panel(spark, d).withColumn("nothing", F.col("value") - F.col("value"))
     return spark.createDataFrame([(s,) for s in X.supported_styles(rows, ["size", "value", "nothing"])], "style string")
 
 
-@query("g09_factor_covariance")
+def covariance_sql(source: str) -> str:
+    """Tables up to `cov` (f, g, c): yearly covariances of source (date, factor_name, factor_return) over its last 504 dates; none needs its repair."""
+    return (
+        f", dn AS (SELECT date, row_number() OVER (ORDER BY date DESC) - 1 AS age, count(*) OVER () AS t FROM (SELECT DISTINCT date FROM {source}) QUALIFY age < 504), dw AS (SELECT *, power(0.5, age / 84.0) / sum(power(0.5, age / 84.0)) OVER () AS wv, power(0.5, age / 252.0) / sum(power(0.5, age / 252.0)) OVER () AS wc FROM dn)"
+        f", cg AS (SELECT dw.*, n.factor_name AS f, coalesce(s.factor_return, 0) AS x FROM dw CROSS JOIN (SELECT DISTINCT factor_name FROM {source}) n LEFT JOIN {source} s ON s.date = dw.date AND s.factor_name = n.factor_name)"
+        ", mn AS (SELECT f, sum(wv * x) AS mv, sum(wc * x) AS mc, avg(x) AS m FROM cg GROUP BY 1), cc AS (SELECT cg.*, x - mv AS xv, x - mc AS xc, x - m AS xm FROM cg JOIN mn USING (f))"
+        ", pr AS (SELECT a.f, b.f AS g, sum(a.wv * a.xv * b.xv) AS cv, sum(a.wc * a.xc * b.xc) AS cr, sum(a.xm * b.xm) / any_value(a.t) AS nw FROM cc a JOIN cc b USING (date) GROUP BY 1, 2)"
+        ", lg AS (SELECT a.f, b.f AS g, sum((1 - (b.age - a.age) / (1e0 + least(3, a.t - 1))) * a.xm * b.xm) / any_value(a.t) AS lag FROM cc a JOIN cc b ON b.age - a.age BETWEEN 1 AND least(3, a.t - 1) GROUP BY 1, 2)"
+        ", sd AS (SELECT f, sqrt(greatest(cv, 1e-12)) AS v, sqrt(greatest(cr, 1e-12)) AS d FROM pr WHERE f = g)"
+        ", mx AS (SELECT pr.f, pr.g, 0.8 * a.v * b.v * CASE WHEN pr.f = pr.g THEN 1 ELSE greatest(least(cr / (a.d * b.d), 1), -1) END + 0.2 * (nw + coalesce(l.lag, 0) + coalesce(r.lag, 0)) AS c FROM pr JOIN sd a ON a.f = pr.f JOIN sd b ON b.f = pr.g LEFT JOIN lg l ON l.f = pr.f AND l.g = pr.g LEFT JOIN lg r ON r.f = pr.g AND r.g = pr.f)"
+        ", cov AS (SELECT f, g, 252 * CASE WHEN f = g THEN 0.9 * c + 0.1 * greatest(c, 1e-10) ELSE 0.9 * c END AS c FROM mx)"
+    )
+
+
+@query("g09_factor_covariance", G06 + covariance_sql("f") + " SELECT f AS factor_name, g AS factor_name_2, round(c, 6) AS covariance FROM cov")
 def g09(spark, d):
     return M.factor_covariance(simple_returns(spark, d)).select("factor_name", "factor_name_2", F.round("covariance", 6).alias("covariance"))
 
@@ -267,7 +282,23 @@ def g10(spark, d):
 @query("g11_returns_projection")
 def g11(spark, d):
     out = M.returns_projection(panel(spark, d).select("ric", "date", "ret"), simple_returns(spark, d), least=20)
-    return out.select("ric", "factor_name", *[F.round(c, 5).alias(c) for c in ("loading", "r2", "specific_var")], "obs")
+    return out.select("ric", "status", "factor_name", *[F.round(c, 5).alias(c) for c in ("loading", "r2", "specific_var")], "obs")
+
+
+#: Dates with all factors among each security's last 252 up to the last date, on which it must have a return.
+COMMON = G06 + ", al AS (SELECT date FROM f GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT factor_name) FROM f)), ag AS (SELECT p.*, al.date IS NOT NULL AS whole, p.date = (SELECT max(date) FROM f) AS at_end, row_number() OVER (PARTITION BY ric ORDER BY p.date DESC) AS age FROM panel p LEFT JOIN al USING (date) WHERE p.date IN (SELECT date FROM f) QUALIFY age <= 252), cm AS (SELECT ric, bool_or(at_end) AS on_end, count(*) FILTER (WHERE whole) AS obs FROM ag GROUP BY 1)"
+
+
+@query("g11b_projection_checks", COMMON + " SELECT ric, CASE WHEN NOT on_end THEN 'no_core_date_return' WHEN obs < 20 THEN 'insufficient_history' ELSE 'ok' END AS status, obs, 0e0 AS gradient FROM cm")
+def g11b(spark, d):
+    """Status and rows of each projection, and its normal equations: the residuals' largest product with a factor, which is 0."""
+    factors, returns = simple_returns(spark, d), panel(spark, d).select("ric", "date", "ret")
+    out = K.stored(M.returns_projection(returns, factors, least=20), "loadings")
+    whole = factors.join(factors.groupBy("date").count().join(F.broadcast(factors.agg(F.count_distinct("factor_name").alias("count"))), "count").select("date"), "date")
+    fitted = out.where("status = 'ok'").join(whole, "factor_name").groupBy("ric", "date").agg(F.sum(F.col("loading") * F.col("factor_return")).alias("fitted"))
+    left = returns.join(fitted, ["ric", "date"]).select("ric", "date", (F.col("ret") - F.col("fitted")).alias("e"))
+    gradient = left.join(whole, "date").groupBy("ric", "factor_name").agg(F.abs(F.sum(F.col("e") * F.col("factor_return"))).alias("g")).groupBy("ric").agg(F.round(F.max("g"), 6).alias("gradient"))
+    return out.select("ric", "status", "obs").distinct().join(gradient, "ric", "left").select("ric", "status", "obs", F.coalesce("gradient", F.lit(0.0)).alias("gradient"))
 
 
 @query("g19_block_r2", PANEL + ", i AS (SELECT date, industry, sum(sqrt(cap) * ret) / sum(sqrt(cap)) AS fit FROM panel GROUP BY 1, 2), m AS (SELECT date, sum(sqrt(cap) * ret) / sum(sqrt(cap)) AS mean FROM panel GROUP BY 1) SELECT p.date, round(1 - sum(sqrt(cap) * (ret - fit) * (ret - fit)) / sum(sqrt(cap) * (ret - mean) * (ret - mean)), 6) AS structural_r2 FROM panel p JOIN i ON i.date = p.date AND i.industry = p.industry JOIN m ON m.date = p.date GROUP BY 1")
@@ -286,6 +317,13 @@ def g20(spark, d):
     return X.orthogonal_cube(panel(spark, d), ["date"], "size", "nls").select("ric", "date", F.round("nls", 3).alias("nls"))
 
 
+@query("g21b_eigenvalue_sums", G06 + covariance_sql("f") + " SELECT round(sum(c) FILTER (WHERE f = g), 5) AS trace, round(sqrt(sum(c * c)), 5) AS norm FROM cov")
+def g21b(spark, d):
+    """The eigenvalues' sum is the matrix's trace, their squares' its norm."""
+    e = M.eigenvalues(M.factor_covariance(simple_returns(spark, d)))
+    return e.agg(F.round(F.sum("eigenvalue"), 5).alias("trace"), F.round(F.sqrt(F.sum(F.col("eigenvalue") * F.col("eigenvalue"))), 5).alias("norm"))
+
+
 @query("g21_eigenvalues")
 def g21(spark, d):
     return M.eigenvalues(M.factor_covariance(simple_returns(spark, d))).select("place", F.round("eigenvalue", 6).alias("eigenvalue"))

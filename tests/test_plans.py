@@ -95,11 +95,37 @@ def test_covariance_and_projection(spark):
     f = rng.normal(0, 0.01, (120, 2))
     factors = spark.createDataFrame([(d, n, float(x)) for d, row in zip(days, f) for n, x in zip("AB", row)], "date date, factor_name string, factor_return double")
     cov = M.factor_covariance(factors).toPandas().pivot(index="factor_name", columns="factor_name_2", values="covariance").to_numpy()
+    assert np.allclose(cov, M.covariance_of(f), rtol=1e-9, atol=1e-14)
     assert np.allclose(cov, cov.T) and (np.linalg.eigvalsh(cov) > 0).all() and np.allclose(np.diag(cov), M.YEAR * f.var(0), rtol=0.3)
     ret = f @ [1.0, -0.2]
     returns = spark.createDataFrame([("x", d, float(r)) for d, r in zip(days, ret)] + [("short", days[0], 0.1)], "ric string, date date, ret double")
-    out = M.returns_projection(returns, factors).select("ric", "factor_name", F.round("loading", 9).alias("loading"), "obs").collect()
-    assert {tuple(r) for r in out} == {("x", "A", 1.0, 120), ("x", "B", -0.2, 120)}
+    out = M.returns_projection(returns, factors).select("ric", "status", "factor_name", F.round("loading", 9).alias("loading"), "obs").collect()
+    assert {tuple(r) for r in out} == {("x", "ok", "A", 1.0, 120), ("x", "ok", "B", -0.2, 120), ("short", "no_core_date_return", None, None, 1)}
+
+
+def test_projection_leaves_gaps_out(spark):
+    """A date on which a factor is missing is no date of the fit; dates after the core date don't count."""
+    rng = np.random.default_rng(3)
+    days = pd.date_range("2024-01-01", periods=100).date
+    f = rng.normal(0, 0.01, (100, 2))
+    factors = spark.createDataFrame([(d, n, float(x)) for i, (d, row) in enumerate(zip(days, f)) for n, x in zip("AB", row) if not (n == "B" and i in (5, 50))], "date date, factor_name string, factor_return double")
+    ret = f @ [2.0, 0.5]
+    ret[95:] = 9.0  # later than the core date
+    returns = spark.createDataFrame([("x", d, float(r)) for d, r in zip(days, ret)] + [("few", d, 0.1) for d in days[60:95]] + [("late", days[97], 0.1)], "ric string, date date, ret double")
+    out = M.returns_projection(returns, factors, core_date=str(days[94])).select("ric", "status", "factor_name", F.round("loading", 9).alias("loading"), "obs").collect()
+    assert {tuple(r) for r in out} == {("x", "ok", "A", 2.0, 93), ("x", "ok", "B", 0.5, 93), ("few", "insufficient_history", None, None, 35), ("late", "no_core_date_return", None, None, 0)}
+
+
+def test_covariance_of_gaps(spark):
+    """Factors with missing days, and fewer days than lags, against the matrix form."""
+    rng = np.random.default_rng(5)
+    for n in (2, 3, 40):
+        f = rng.normal(0, 0.02, (n, 3))
+        f[0, 1] = f[-1, 2] = 0.0
+        days = pd.date_range("2024-01-01", periods=n).date
+        rows = [(d, name, float(x)) for d, row in zip(days, f) for name, x in zip("ABC", row) if x]
+        cov = M.factor_covariance(spark.createDataFrame(rows, "date date, factor_name string, factor_return double")).toPandas().pivot(index="factor_name", columns="factor_name_2", values="covariance")
+        assert np.allclose(cov.to_numpy(), M.covariance_of(f), rtol=1e-8, atol=1e-12)
 
 
 def test_style_order_ignores_column_order():
