@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.sinks import stored
+
 from .portfolio import _small, book_exposures, quadratic_cells
 from .relational import latest
 
@@ -196,10 +198,20 @@ def backfill_dates(rows: DataFrame, calendar: DataFrame, date: str, least_share:
     return all_.select(date, F.coalesce("n", F.lit(0)).alias("n"), "_top").where(F.col("n") < F.col("_top") * least_share).drop("_top")
 
 
+def row_hash(columns: list[str]) -> Column:
+    """The md5 of a row's values as text."""
+    return F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]))
+
+
+def hash_sums(columns: list[str]) -> Column:
+    """An aggregate that says the same of equal sets of rows in any order, and of which parts add up: sums of both halves of the rows' hashes."""
+    half = lambda at: F.sum(F.conv(F.substring(row_hash(columns), at, 15), 16, 10).cast("decimal(20,0)")).cast("string")
+    return F.concat_ws("-", half(1), half(16))
+
+
 def fingerprint(rows: DataFrame, account: str, columns: list[str]) -> DataFrame:
-    """(account, n, signature): a hash over an account's rows, whatever their order."""
-    cells = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
-    return rows.groupBy(account).agg(F.count("*").alias("n"), F.md5(F.array_join(F.array_sort(F.collect_list(F.md5(cells))), ",")).alias("signature"))
+    """(account, n, signature): a hash over an account's rows, whatever their order; it combines before the shuffle."""
+    return rows.groupBy(account).agg(F.count("*").alias("n"), hash_sums(columns).alias("signature"))
 
 
 def stale_runs(runs: DataFrame, now: Column, hours: int) -> DataFrame:
@@ -209,5 +221,51 @@ def stale_runs(runs: DataFrame, now: Column, hours: int) -> DataFrame:
 
 
 def recompute_due(*, days: int = 7) -> Column:
-    """Why risk is due: no_meta, version_change or stale; null if it isn't. Columns last_run (date), version, saved_version, as_of."""
-    return F.when(F.col("last_run").isNull(), "no_meta").when(F.coalesce("saved_version", F.lit("")) != F.col("version"), "version_change").when(F.datediff("as_of", "last_run") >= days, "stale")
+    """Why risk is due; null if it isn't. Columns has_meta, saved_version, version, last_run (date) and as_of, looked at in this order; an interval is a day at least.
+
+    The texts are fixed values.
+    """
+    days = max(1, days)
+    return (
+        F.when(~F.coalesce("has_meta", F.lit(False)), "missing_meta").when(F.coalesce("saved_version", F.lit("")) != F.col("version"), "method_version_change")
+        .when(F.col("last_run").isNull(), "missing_last_recompute_date").when(F.datediff("as_of", "last_run") >= days, f"interval_elapsed_{days}d")
+    )
+
+
+def backfill_requests(missing: DataFrame, sessions: DataFrame, *, key: str = "ric", date: str = "date", days: int = 30, ids: int = 50) -> DataFrame:
+    """(first, last, batch, keys, pairs, islands): requests that fetch all missing (key, date) pairs, each of at most `ids` keys and `days` days.
+
+    Days are cut into windows from the first missing one on. A request spans its keys' missing days in the window; islands
+    are their runs of sessions without a gap.
+    """
+    order = Window.orderBy(date)  # one row a session
+    numbered = sessions.select(date).distinct().withColumn("_no", F.row_number().over(order))
+    start = missing.agg(F.min(date).alias("_start"))
+    rows = missing.select(key, date).distinct().join(F.broadcast(numbered), date).join(F.broadcast(start)).withColumn("_window", F.floor(F.datediff(date, "_start") / days))
+    by = Window.partitionBy(key, "_window").orderBy("_no")
+    rows = rows.withColumn("_new", (F.coalesce(F.col("_no") - F.lag("_no").over(by), F.lit(0)) != 1).cast("int"))
+    keys = rows.groupBy("_window", key).agg(F.min(date).alias("_f"), F.max(date).alias("_l"), F.count("*").alias("_n"), F.sum("_new").alias("_i"))
+    keys = keys.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy("_window").orderBy("_f", "_l", key)) - 1) / ids))
+    return keys.groupBy("_window", "batch").agg(F.min("_f").alias("first"), F.max("_l").alias("last"), F.sort_array(F.collect_list(key)).alias("keys"), F.sum("_n").alias("pairs"), F.sum("_i").alias("islands")).drop("_window")
+
+
+def parity_differences(left: DataFrame, right: DataFrame, keys: list[str], month: Column) -> DataFrame:
+    """(keys, issue): missing, extra or changed rows of right, found along a tree of checksums.
+
+    Checksums of months are compared, then, in months that differ, those of each first key; only rows of branches that
+    differ are joined. keys are each side's unique key; all columns are compared.
+    """
+    columns, part = left.columns, keys[0]
+    sides = [df.select(*columns).withColumn("_month", month) for df in (left, right)]
+
+    def branches(frames: list[DataFrame], by: list[str]) -> DataFrame:
+        sums = [f.groupBy(*by).agg(F.count("*").alias("n"), hash_sums(columns).alias("h")) for f in frames]
+        a, b = (x.withColumnsRenamed({"n": f"n{i}", "h": f"h{i}"}) for i, x in enumerate(sums))
+        return a.join(b, by, "full").where(~(F.col("n0").eqNullSafe(F.col("n1")) & F.col("h0").eqNullSafe(F.col("h1")))).select(*by)
+
+    for by in (["_month"], ["_month", part]):
+        found = stored(branches(sides, by), "branches")
+        sides = [f.join(found, by, "left_semi") for f in sides]
+    mine, other = (f.select(*keys, row_hash(columns).alias(f"_h{i}")) for i, f in enumerate(sides))
+    both = mine.join(other, keys, "full").where(~F.col("_h0").eqNullSafe(F.col("_h1")))
+    return both.select(*keys, F.when(F.col("_h1").isNull(), "missing").when(F.col("_h0").isNull(), "extra").otherwise("changed").alias("issue"))

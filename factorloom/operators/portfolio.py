@@ -163,11 +163,17 @@ def reduction(loadings: DataFrame, legs: DataFrame, *, key: str = "ric", without
 
 
 def stability(now: DataFrame, before: DataFrame, *, key: str = "ric") -> DataFrame:
-    """(key, overlap, gross_change, net_change) of two sets of legs (key, factor_name, weight): Jaccard overlap of legs, changes of gross and net weight."""
-    rows = now.where("weight <> 0").join(before.where("weight <> 0").withColumnRenamed("weight", "_before"), [key, "factor_name"], "full")
+    """(key, overlap, gross_change, net_change) of two sets of legs (key, factor_name, weight): Jaccard overlap of legs that weigh something, changes of gross and net weight.
+
+    Without a leg on either side the overlap is 1; a key that `before` doesn't have at all has no figures.
+    """
+    side = lambda df, name: df.groupBy(key, "factor_name").agg(F.sum("weight").alias(name))
+    rows = side(now, "weight").join(side(before, "_before"), [key, "factor_name"], "full")
     w, b = F.coalesce("weight", F.lit(0.0)), F.coalesce("_before", F.lit(0.0))
-    both = F.count(F.when(F.col("weight").isNotNull() & F.col("_before").isNotNull(), 1))
-    return rows.groupBy(key).agg((both / F.count("*")).alias("overlap"), F.abs(F.sum(F.abs(w)) - F.sum(F.abs(b))).alias("gross_change"), F.abs(F.sum(w) - F.sum(b)).alias("net_change"))
+    both, any_ = F.count(F.when((w != 0) & (b != 0), 1)), F.count(F.when((w != 0) | (b != 0), 1))
+    had = F.count("_before") > 0
+    figures = {"overlap": F.when(any_ == 0, 1.0).otherwise(both / any_), "gross_change": F.abs(F.sum(F.abs(w)) - F.sum(F.abs(b))), "net_change": F.abs(F.sum(w) - F.sum(b))}
+    return rows.groupBy(key).agg(*[F.when(had, f).alias(c) for c, f in figures.items()])
 
 
 def sized_trades(legs: DataFrame, prices: DataFrame, base: Column, *, on: str = "factor_name") -> DataFrame:

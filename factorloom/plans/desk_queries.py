@@ -140,7 +140,7 @@ def h24(spark, d):
     return rows.select("ric", K.live_guard(F.col("candidate"), F.col("live"), "modeled").alias("reason"))
 
 
-@query("h16_hedge_stability", H.LEGS + ", o AS (SELECT ric, factor_name, weight * 9e-1 AS weight FROM legs WHERE factor_name <> 'Size'), j AS (SELECT coalesce(l.ric, o.ric) AS ric, l.weight AS a, o.weight AS b FROM legs l FULL JOIN o ON o.ric = l.ric AND o.factor_name = l.factor_name) SELECT ric, round(count(*) FILTER (WHERE a IS NOT NULL AND b IS NOT NULL) / count(*), 6) AS overlap, round(abs(sum(abs(coalesce(a, 0))) - sum(abs(coalesce(b, 0)))), 6) AS gross_change, round(abs(sum(coalesce(a, 0)) - sum(coalesce(b, 0))), 6) AS net_change FROM j GROUP BY 1")
+@query("h16_hedge_stability", H.LEGS + ", o AS (SELECT ric, factor_name, weight * 9e-1 AS weight FROM legs WHERE factor_name <> 'Size'), j AS (SELECT coalesce(l.ric, o.ric) AS ric, l.weight AS a, o.weight AS b FROM legs l FULL JOIN o ON o.ric = l.ric AND o.factor_name = l.factor_name) SELECT ric, CASE WHEN count(b) > 0 THEN round(count(*) FILTER (WHERE a IS NOT NULL AND b IS NOT NULL) / count(*), 6) END AS overlap, CASE WHEN count(b) > 0 THEN round(abs(sum(abs(coalesce(a, 0))) - sum(abs(coalesce(b, 0)))), 6) END AS gross_change, CASE WHEN count(b) > 0 THEN round(abs(sum(coalesce(a, 0)) - sum(coalesce(b, 0))), 6) END AS net_change FROM j GROUP BY 1")
 def h16(spark, d):
     legs = P.hedge_legs(H.loadings(spark, d), "Market")
     before = legs.where("factor_name <> 'Size'").withColumn("weight", F.col("weight") * 0.9)
@@ -179,11 +179,26 @@ def n07(spark, d):
     return R.latest_wide(A.fundamentals(spark, d).where("as_of_date <= '1996-06-30'"), ["ric"], ["as_of_date", "seq"], ["status"]).select("ric", "as_of_date", "status")
 
 
-@query("n11_position_fingerprint", " SELECT account, count(*) AS n, md5(string_agg(h, ',' ORDER BY h)) AS signature FROM (SELECT account, md5(ric || '|' || quantity) AS h FROM holdings) GROUP BY 1")
+@query("n11_position_fingerprint", " SELECT account, count(*) AS n, concat_ws('-', cast(sum(('0x' || substr(h, 1, 15))::HUGEINT) AS VARCHAR), cast(sum(('0x' || substr(h, 16, 15))::HUGEINT) AS VARCHAR)) AS signature FROM (SELECT account, md5(ric || '|' || quantity) AS h FROM holdings) GROUP BY 1")
 def n11(spark, d):
     return K.fingerprint(A.holdings(spark, d), "account", ["ric", "quantity"])
 
 
+@query("n19b_backfill_requests", ", ms AS (SELECT ric, date FROM long_prices WHERE volume < 12), st AS (SELECT min(date) AS s FROM ms), no AS (SELECT date, row_number() OVER (ORDER BY date) AS no FROM (SELECT DISTINCT date FROM long_prices)), w AS (SELECT ric, date, no, date_diff('day', s, date) // 30 AS win FROM ms JOIN no USING (date), st), g AS (SELECT *, CASE WHEN coalesce(no - lag(no) OVER (PARTITION BY ric, win ORDER BY no), 0) <> 1 THEN 1 ELSE 0 END AS fresh FROM w), k AS (SELECT win, ric, min(date) AS f, max(date) AS l, count(*) AS n, sum(fresh) AS i FROM g GROUP BY 1, 2), b AS (SELECT *, (row_number() OVER (PARTITION BY win ORDER BY f, l, ric) - 1) // 20 AS batch FROM k) SELECT min(f) AS first, max(l) AS last, cast(batch AS BIGINT) AS batch, list_sort(list(ric)) AS keys, cast(sum(n) AS BIGINT) AS pairs, cast(sum(i) AS BIGINT) AS islands FROM b GROUP BY win, batch")
+def n19b(spark, d):
+    """Rows of a small volume stand for those without one."""
+    rows = A.long_prices(spark, d)
+    return K.backfill_requests(rows.where("volume < 12"), rows, days=30, ids=20)
+
+
+@query("j02b_parity_tree", ", r AS (SELECT ric, date, CASE WHEN cast(ric AS INTEGER) % 9 = 0 AND month(date) = 5 THEN volume + 1 ELSE volume END AS volume FROM long_prices WHERE NOT (ric = '3' AND date > DATE '1997-01-01') UNION ALL SELECT 'X', DATE '1995-01-01', 1) SELECT coalesce(l.ric, r.ric) AS ric, coalesce(l.date, r.date) AS date, CASE WHEN r.ric IS NULL THEN 'missing' WHEN l.ric IS NULL THEN 'extra' ELSE 'changed' END AS issue FROM (SELECT ric, date, volume FROM long_prices) l FULL JOIN r ON l.ric = r.ric AND l.date = r.date WHERE l.volume IS DISTINCT FROM r.volume")
+def j02b(spark, d):
+    left = A.long_prices(spark, d).select("ric", "date", "volume")
+    right = left.where("not (ric = '3' and date > '1997-01-01')").withColumn("volume", F.when((F.col("ric").cast("int") % 9 == 0) & (F.month("date") == 5), F.col("volume") + 1).otherwise(F.col("volume")))
+    right = right.unionByName(spark.sql("SELECT 'X' AS ric, DATE '1995-01-01' AS date, 1L AS volume"))
+    return K.parity_differences(left, right, ["ric", "date"], F.trunc("date", "month"))
+
+
 @query("n17_factor_history", " SELECT ric, as_of_date, market_cap FROM (SELECT *, max(as_of_date) OVER (PARTITION BY ric) AS top FROM fundamentals) WHERE as_of_date >= top - 366 * 1 QUALIFY row_number() OVER (PARTITION BY ric, as_of_date ORDER BY seq DESC) = 1")
 def n17(spark, d):
     return K.first_of_week(A.fundamentals(spark, d), "ric", "as_of_date", "seq", 1).select("ric", "as_of_date", "market_cap")
@@ -200,7 +215,7 @@ def n20(spark, d):
     return K.stale_runs(runs, F.lit("1998-01-01").cast("timestamp"), 24).select("seq", "state")
 
 
-@query("n24_recompute_due", ", x AS (SELECT seq, CASE WHEN seq % 5 <> 0 THEN as_of_date END AS last_run, CASE WHEN seq % 3 = 0 THEN 'v1' ELSE 'v2' END AS saved FROM fundamentals) SELECT seq, CASE WHEN last_run IS NULL THEN 'no_meta' WHEN saved <> 'v2' THEN 'version_change' WHEN date_diff('day', last_run, DATE '1998-08-02') >= 7 THEN 'stale' END AS reason FROM x")
+@query("n24_recompute_due", ", x AS (SELECT seq, seq % 7 <> 0 AS has_meta, CASE WHEN seq % 5 <> 0 THEN as_of_date END AS last_run, CASE WHEN seq % 3 = 0 THEN 'v1' ELSE 'v2' END AS saved FROM fundamentals) SELECT seq, CASE WHEN NOT has_meta THEN 'missing_meta' WHEN saved <> 'v2' THEN 'method_version_change' WHEN last_run IS NULL THEN 'missing_last_recompute_date' WHEN date_diff('day', last_run, DATE '1998-08-02') >= 7 THEN 'interval_elapsed_7d' END AS reason FROM x")
 def n24(spark, d):
-    rows = A.fundamentals(spark, d).select("seq", F.when(F.col("seq") % 5 != 0, F.col("as_of_date")).alias("last_run"), F.lit("v2").alias("version"), F.when(F.col("seq") % 3 == 0, "v1").otherwise("v2").alias("saved_version"), F.lit("1998-08-02").cast("date").alias("as_of"))
+    rows = A.fundamentals(spark, d).select("seq", (F.col("seq") % 7 != 0).alias("has_meta"), F.when(F.col("seq") % 5 != 0, F.col("as_of_date")).alias("last_run"), F.lit("v2").alias("version"), F.when(F.col("seq") % 3 == 0, "v1").otherwise("v2").alias("saved_version"), F.lit("1998-08-02").cast("date").alias("as_of"))
     return rows.select("seq", K.recompute_due().alias("reason"))

@@ -9,6 +9,7 @@ from ..operators import crosssection as X
 from ..operators import jobs as J
 from ..operators import portfolio as P
 from ..operators import relational as R
+from ..operators import riskmodel as M
 from ..operators import service as V
 from ..sources import adapters as A
 from ..sources import sinks as K
@@ -123,6 +124,45 @@ def n02b(spark, d):
     return rows.select("date", "factor_name", r6("factor_return").alias("factor_return"), r6("robust_se").alias("robust_se"), "rows_n")
 
 
+#: From the job's outputs to shares of risk: covariance, specific variances, exposures of the last date, books by the registry's scope.
+CHAIN = (
+    G.G05 + ", fr AS (SELECT date, factor_name, b AS factor_return FROM al)" + G.covariance_sql("fr")
+    + ", sw AS (SELECT ric, date, industry AS sector, e, power(0.5, (row_number() OVER (PARTITION BY ric ORDER BY date DESC) - 1) / 126.0) AS w FROM er), sv AS (SELECT ric, count(*) AS obs, arg_max(sector, date) AS sector, greatest(sum(w * e * e) / sum(w) - power(sum(w * e) / sum(w), 2), 0) * 252 AS raw FROM sw GROUP BY 1 HAVING count(*) >= 2), so AS (SELECT median(raw) AS a FROM sv WHERE raw > 0), sx AS (SELECT sector, median(raw) AS b FROM sv GROUP BY 1), sr AS (SELECT ric, greatest(1e-8, least(1, obs / 80.0) * raw + (1 - least(1, obs / 80.0)) * (0.7 * b + 0.3 * a)) AS v FROM sv JOIN sx USING (sector) CROSS JOIN so)"
+    ", bk AS (SELECT scope AS account, ric, round(balance / sum(abs(balance)) OVER (PARTITION BY scope), 6) AS weight FROM registry), le AS (SELECT * FROM er WHERE date = (SELECT max(date) FROM er)), ex AS (SELECT ric, 'Market' AS f, 1e0 AS x FROM le UNION ALL SELECT ric, industry, 1e0 FROM le UNION ALL SELECT ric, 'Size', s1 FROM le UNION ALL SELECT ric, 'Value', s2 FROM le), bx AS (SELECT account, f, sum(weight * x) AS x FROM bk JOIN ex USING (ric) GROUP BY 1, 2)"
+    ", sp AS (SELECT account, sum(weight * weight * coalesce(v, 0)) AS s FROM bk LEFT JOIN sr USING (ric) GROUP BY 1), ck AS (SELECT *, CASE WHEN f = 'Market' THEN 'market' WHEN f IN ('Size', 'Value') THEN 'style' ELSE 'industry' END AS ka, CASE WHEN g = 'Market' THEN 'market' WHEN g IN ('Size', 'Value') THEN 'style' ELSE 'industry' END AS kb FROM cov)"
+    ", cells AS (SELECT a.account, a.f, ka, kb, a.x * c * b.x AS p FROM bx a JOIN ck ON a.f = ck.f JOIN bx b ON b.account = a.account AND b.f = ck.g), by_k AS (SELECT account, ka, kb, sum(p) AS p FROM cells GROUP BY 1, 2, 3), own AS (SELECT account, ka AS k, greatest(p, 0) AS o FROM by_k WHERE ka = kb), dealt AS (SELECT account, k, o AS m FROM own UNION ALL SELECT y.account, y.ka, CASE WHEN abs(y.p) * 2 <= 1e-12 THEN 0 WHEN a.o + b.o <= 1e-12 THEN y.p ELSE 2 * y.p * a.o / (a.o + b.o) END FROM by_k y JOIN own a ON a.account = y.account AND a.k = y.ka JOIN own b ON b.account = y.account AND b.k = y.kb WHERE y.ka <> y.kb), cv AS (SELECT account, k AS category, greatest(sum(m), 0) AS variance FROM dealt GROUP BY 1, 2)"
+)
+
+
+def chain(spark, d):
+    """(positions, books, covariance, specific variances) of books whose risk comes from the daily job's tables alone."""
+    root = daily_ledger(spark, d)
+    returns, residuals = J.table(spark, root, "factor_returns"), J.table(spark, root, "residuals")
+    cov = K.stored(M.factor_covariance(returns.select("date", "factor_name", "factor_return")), "covariance")
+    var = M.specific_risk(residuals.withColumnRenamed("industry", "sector")).select("ric", "specific_var")
+    last = residuals.join(F.broadcast(residuals.agg(F.max("date").alias("date"))), "date")
+    cell = lambda name, value: F.struct(name.alias("factor_name"), value.alias("exposure"))
+    cells = F.array(cell(F.lit("Market"), F.lit(1.0)), cell(F.col("industry"), F.lit(1.0)), cell(F.lit("Size"), F.col("Size")), cell(F.lit("Value"), F.col("Value")))
+    book = P.positions(A.registry(spark, d).select(F.col("scope").alias("account"), "ric", F.col("balance").alias("quantity")), A.registry(spark, d).select("ric", F.lit(1.0).alias("price")))
+    return book, P.book_exposures(book, last.select("ric", F.inline(cells))), cov, P.specific_variance(book, var)
+
+
+def chain_category(c):
+    return F.when(c == "Market", "market").when(c.isin("Size", "Value"), "style").otherwise("industry")
+
+
+@query("h03c_chain_shares", CHAIN + ", x AS (SELECT account, category, variance AS p FROM cv UNION ALL SELECT account, 'idio', s FROM sp) SELECT account, category, round(p / sum(p) OVER (PARTITION BY account) * 100, 2) AS share FROM x")
+def h03c(spark, d):
+    """Shares of risk of books, from prices to shares through the job's ledger."""
+    _, books, cov, specific = chain(spark, d)
+    return P.risk_shares(P.category_variance(P.quadratic_cells(books, cov), chain_category), specific)
+
+
+@query("h08b_chain_correlations", CHAIN + " SELECT a.f AS factor_name, a.g AS factor_name_2, round(a.c / sqrt(b.c * e.c), 4) AS correlation FROM cov a JOIN cov b ON b.f = a.f AND b.g = a.f JOIN cov e ON e.f = a.g AND e.g = a.g")
+def h08b(spark, d):
+    return P.correlations(chain(spark, d)[2])
+
+
 @query("n02_factor_return_dates", ", cn AS (SELECT date, count(*) AS n FROM long_prices GROUP BY 1), a AS (SELECT DISTINCT date FROM long_prices WHERE date < DATE '1996-01-01'), b AS (SELECT DISTINCT date FROM long_prices WHERE extract(dow FROM date) <> 3) SELECT date FROM cn WHERE date >= (SELECT min(date) FROM cn WHERE n >= 2) AND date NOT IN (SELECT date FROM a JOIN b USING (date))")
 def n02(spark, d):
     """Sessions that either of two caches lacks, from the first that is usable."""

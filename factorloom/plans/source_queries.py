@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import desk as D
 from ..operators import relational as R
 from ..sources import adapters as A
 from ..sources import commits as C
@@ -200,3 +201,24 @@ def a21(spark, d):
 def a22(spark, d):
     rows = A.long_prices(spark, d)
     return R.latest_wide(rows, ["ric"], ["date"], ["volume"]).select("ric", "date", "volume").join(F.broadcast(K.signature(rows, "ric", "date")))
+
+
+@query("a22b_latest_price_cache", ", p AS (SELECT ric, date, CASE WHEN ric = '1' THEN volume + 1 ELSE volume END AS volume FROM long_prices) SELECT ric, max(date) AS date, arg_max(volume, date) AS volume, [true, false, true] AS made FROM p GROUP BY 1")
+def a22b(spark, d):
+    """Latest rows are made, found unchanged, and made again when a value of the source has changed that moves neither its last date nor its keys."""
+    rows = A.long_prices(spark, d).select("ric", "date", "volume")
+    root, made = K.shared_folder(spark, "latest"), []
+    for source in (rows, rows, rows.withColumn("volume", F.when(F.col("ric") == "1", F.col("volume") + 1).otherwise(F.col("volume")))):
+        table, new = C.cached(root, source.agg(D.hash_sums(["ric", "date", "volume"])), lambda source=source: R.latest_wide(source, ["ric"], ["date"], ["volume"]).select("ric", "date", "volume"))
+        made.append(new)
+    return table.withColumn("made", F.array(*map(F.lit, made)))
+
+
+@query("a20b_retention_delete", YEARLY + " SELECT ric, year, n, cap FROM yr WHERE year >= 1995")
+def a20b(spark, d):
+    """Old rows leave the stored table; buckets without any keep their files."""
+    root = K.shared_folder(spark, "retained")
+    C.merge(yearly(spark, d), root, ["ric", "year"], buckets=8)
+    table = C.read(spark, root)
+    C.merge(table.limit(0), root, ["ric", "year"], gone=table.where("year < 1995"))
+    return C.read(spark, root)

@@ -202,3 +202,12 @@ def sync(source: DataFrame, root: str, keys: list[str], *, mode: str, date: str
     recent = source.where(F.col(date) >= F.lit(cut))
     gone = table.where(F.col(date) >= F.lit(cut)).join(recent.select(*keys), keys, "left_anti")
     return merge(recent.unionByName(back), root, keys, gone=gone, buckets=buckets)
+
+
+def cached(root: str, signature: DataFrame, make: Callable[[], DataFrame]) -> tuple[DataFrame, bool]:
+    """The table at root and whether it was made now: it is made again only if the signature (one value) isn't that of its commit."""
+    spark, now = signature.sparkSession, str(signature.first()[0])
+    if commit_of(spark, root)["meta"].get("signature") == now:
+        return read(spark, root), False
+    publish(make(), root, {"signature": now})
+    return read(spark, root), True

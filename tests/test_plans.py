@@ -145,6 +145,8 @@ def test_stability(spark):
     legs = lambda *rows: spark.createDataFrame(rows, "ric string, factor_name string, weight double")
     (row,) = P.stability(legs(("x", "A", 1.0), ("x", "B", -0.5)), legs(("x", "A", 0.5))).collect()
     assert (row["overlap"], row["gross_change"], row["net_change"]) == (0.5, 1.0, 0.0)
+    rows = P.stability(legs(("new", "A", 1.0), ("flat", "A", 0.0), ("gone", "A", 0.0)), legs(("flat", "A", 0.0), ("gone", "A", 2.0))).collect()
+    assert {tuple(r) for r in rows} == {("new", None, None, None), ("flat", 1.0, 0.0, 0.0), ("gone", 0.0, 2.0, 2.0)}
 
 
 def test_duplicate_scenario_rows_fail(spark):
