@@ -99,13 +99,26 @@ def h13(spark, d):
     return P.market_neutral(loadings(spark, d), "Market").select("ric", r6("weight").alias("weight"), "status", "reason")
 
 
-@query("h14_factor_neutral")
+CANDIDATES = LOADINGS + ", ca AS (SELECT *, abs(loading) AS size FROM l WHERE abs(loading) >= CASE WHEN factor_name = 'Market' THEN 1e-1 ELSE 5e-2 END)"
+FIVE = " SELECT ric, factor_name, round(-loading, 6) AS weight FROM (SELECT * FROM {} QUALIFY row_number() OVER (PARTITION BY ric ORDER BY factor_name <> 'Market', size DESC, factor_name) <= 5) WHERE size >= 5e-2"
+
+
+@query("h14_factor_neutral", CANDIDATES + FIVE.format("ca"))
 def h14(spark, d):
-    """Sequential pruning; checked on a fixture."""
+    """No pair of these factors is correlated enough to be pruned."""
     legs = P.uncorrelated_legs(loadings(spark, d), covariance(spark, d), "Market")
     return legs.select("ric", "factor_name", r6("weight").alias("weight"))
 
 
+@query("h14b_pruned_hedge", CANDIDATES + ", lo AS (SELECT a.ric, CASE WHEN a.size < b.size OR (a.size = b.size AND a.factor_name > b.factor_name) THEN a.factor_name ELSE b.factor_name END AS loser FROM ca a JOIN ca b ON a.ric = b.ric AND a.factor_name = 'Size' AND b.factor_name NOT IN ('Size', 'Market')), c1 AS (SELECT ca.* FROM ca ANTI JOIN lo ON lo.ric = ca.ric AND lo.loser = ca.factor_name), l2 AS (SELECT a.ric, CASE WHEN a.size < b.size OR (a.size = b.size AND a.factor_name > b.factor_name) THEN a.factor_name ELSE b.factor_name END AS loser FROM c1 a JOIN c1 b ON a.ric = b.ric AND a.factor_name = 'Size' AND b.factor_name = 'Market'), c2 AS (SELECT c1.* FROM c1 ANTI JOIN l2 ON l2.ric = c1.ric AND l2.loser = c1.factor_name)" + FIVE.format("c2"))
+def h14b(spark, d):
+    """Size is correlated with every sector (0.95) and with the market (0.92): of the first pair the smaller loading goes, of the second only where both are left."""
+    f, g = F.col("factor_name"), F.col("factor_name_2")
+    of_size, of_market = (f == "Size") | (g == "Size"), (f == "Market") | (g == "Market")
+    cov = covariance(spark, d).withColumn("covariance", F.when(f == g, 1.0).when(of_size & of_market, 0.92).when(of_size, 0.95).otherwise(0.3))
+    return P.uncorrelated_legs(loadings(spark, d), cov, "Market").select("ric", "factor_name", r6("weight").alias("weight"))
+
+
 @query("h15_hedge_legs", LEGS + " SELECT ric, factor_name, round(weight, 6) AS weight FROM legs")
 def h15(spark, d):
     return P.hedge_legs(loadings(spark, d), "Market").select("ric", "factor_name", r6("weight").alias("weight"))
