@@ -43,7 +43,7 @@ def resumed(spark: SparkSession, root: str, settings: dict, dates: DataFrame, ta
     """Compute and commit what tables lack of dates (one column), `batch` dates at a time; the last version.
 
     compute takes a table of dates, and gives each table's rows of these dates. Runs that meet each other do some dates
-    twice, but commit them once.
+    twice, but commit them once. Without a date to compute the tables are there, empty.
     """
     date, method = dates.columns[0], signature(settings)
     while True:
@@ -53,7 +53,7 @@ def resumed(spark: SparkSession, root: str, settings: dict, dates: DataFrame, ta
         known = spark.createDataFrame([(d,) for d in sorted(done)], "_done string")
         todo = dates.distinct().join(F.broadcast(known), F.col(date).cast("string") == F.col("_done"), "left_anti")
         now = [r[0] for r in todo.orderBy(date).limit(batch).collect()]
-        if not now:
+        if not now and same and before["parts"]:
             return before["version"]
         rows = compute(spark.createDataFrame([(d,) for d in now], dates.schema))
         if set(rows) != set(tables):

@@ -151,7 +151,7 @@ def chain_category(c):
     return F.when(c == "Market", "market").when(c.isin("Size", "Value"), "style").otherwise("industry")
 
 
-@query("h03c_chain_shares", CHAIN + ", x AS (SELECT account, category, variance AS p FROM cv UNION ALL SELECT account, 'idio', s FROM sp) SELECT account, category, round(p / sum(p) OVER (PARTITION BY account) * 100, 2) AS share FROM x")
+@query("h03c_chain_shares", CHAIN + ", x AS (SELECT account, category, variance AS p FROM cv UNION ALL SELECT account, 'idio', s FROM sp) SELECT account, category, CASE WHEN sum(p) OVER (PARTITION BY account) > 1e-12 THEN round(p / sum(p) OVER (PARTITION BY account) * 100, 2) WHEN category = 'idio' THEN 100 ELSE 0 END AS share FROM x")
 def h03c(spark, d):
     """Shares of risk of books, from prices to shares through the job's ledger."""
     _, books, cov, specific = chain(spark, d)

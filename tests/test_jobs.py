@@ -72,6 +72,14 @@ def test_other_method_and_lost_table(spark, sections, tmp_path):
     assert J.dates_in(C.commit_of(spark, root), TABLES) == {f"2024-01-0{i}" for i in (2, 3, 4, 5)}
 
 
+def test_no_date_at_all(spark, sections, tmp_path):
+    """Where no date has enough rows the tables are there, empty, and a second run has nothing to do."""
+    root = str(tmp_path / "none")
+    for _ in range(2):
+        assert J.daily_returns_job(sections, root, SETTINGS | {"least": 1000}) == 1
+    assert content(spark, root) == {t: [] for t in TABLES}
+
+
 def test_history_has_fourteen_styles(spark, sections, tmp_path):
     raw = sections.withColumnsRenamed({"Size": "size_raw", "Beta": "beta_raw"}).withColumns({"turnover_1m_raw": F.col("ret") * 2, "turnover_12m_raw": F.abs("ret"), "roe_raw": F.col("cap")})
     root = str(tmp_path / "h")
