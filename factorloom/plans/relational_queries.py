@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import relational as R
+from ..operators import search as T
 from ..sources import adapters as A
 from .catalog import query
 
@@ -344,6 +345,20 @@ def i04(spark, d):
     return R.ranked_search(A.parts(spark, d), "ric", "name", "12", 50).select("ric", "name", "rank")
 
 
+TERMS = ["12", "1", "RED", "widget", "mall g", "e b", "brand#2", "zzz", "2-BR"]
+
+
+@query("i04b_indexed_search", ", t AS (SELECT unnest(['12', '1', 'RED', 'WIDGET', 'MALL G', 'E B', 'BRAND#2', 'ZZZ', '2-BR']) AS term), x AS (SELECT term, ric, name, CASE WHEN ric = term THEN 0 WHEN starts_with(ric, term) THEN 1 WHEN contains(ric, term) THEN 2 WHEN contains(upper(name), term) THEN 3 END AS rank FROM (SELECT ric || '-' || sector AS ric, name FROM (SELECT upper(ric) AS ric, upper(sector) AS sector, name FROM parts)) CROSS JOIN t) SELECT term, ric, name, rank FROM x WHERE rank IS NOT NULL QUALIFY row_number() OVER (PARTITION BY term ORDER BY rank, ric) <= 50")
+def i04b(spark, d):
+    """The 50 best of several terms, found by trigrams and, for the shortest terms, by a scan."""
+    rows = A.parts(spark, d).select(F.upper(F.concat_ws("-", "ric", "sector")).alias("ric"), "name")
+    root, out = T.build_index(rows, ["ric", "name"]), None
+    for term in TERMS:
+        found = T.indexed_search(spark, root, "ric", "name", term, 50).select(F.lit(term.upper()).alias("term"), "ric", "name", "rank")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 @query("i05_last_n_dates", "SELECT ric, date FROM prices QUALIFY dense_rank() OVER (ORDER BY date DESC) <= 3")
 def i05(spark, d):
     p = A.prices(spark, d)
