@@ -31,14 +31,22 @@ def panel(spark, d):
     return returns.join(F.broadcast(market), "week")
 
 
+def factors_of(rows):
+    return rows.where(F.col("ric").cast("int").between(2, 9)).withColumn("factor_id", F.concat(F.lit("F"), "ric"))
+
+
 def factors(spark, d):
-    return panel(spark, d).where(F.col("ric").cast("int").between(2, 9)).withColumn("factor_id", F.concat(F.lit("F"), "ric"))
+    return factors_of(panel(spark, d))
 
 
 def univariate(spark, d):
+    return univariate_of(panel(spark, d))
+
+
+def univariate_of(both):
     """(ric, market_beta, factor_id, beta): each security's line on the market and on each residual factor."""
-    rows = panel(spark, d).where("cast(ric as int) > 9")
-    residuals = K.orthogonalized(factors(spark, d), "factor_id", "ret", "market", "weight").select("week", "factor_id", "residual")
+    rows = both.where("cast(ric as int) > 9")
+    residuals = K.orthogonalized(factors_of(both), "factor_id", "ret", "market", "weight").select("week", "factor_id", "residual")
     betas = K.weighted_line(rows.join(residuals, "week"), ["ric", "factor_id"], "ret", "residual", "weight").select("ric", "factor_id", "beta")
     return betas.join(K.weighted_line(rows, ["ric"], "ret", "market", "weight").select("ric", F.col("beta").alias("market_beta")), "ric")
 
