@@ -169,14 +169,23 @@ def snapshots(rows: DataFrame, metrics: DataFrame, idio: DataFrame, accounts: Da
     )
 
 
-def hedges(loadings: DataFrame, covariance: DataFrame, market: str, *, key: str = "ric") -> tuple[DataFrame, DataFrame]:
+def unhedged(fits: DataFrame, *, key: str = "ric") -> DataFrame:
+    """(key, reason) of the fits that mustn't be hedged: without a price, or with too short a history."""
+    use, status = F.coalesce("use_status", F.lit("")), F.coalesce("fit_status", F.lit(""))
+    reason = F.when(use.isin("missing_price", "insufficient_history"), F.concat(F.lit("hedge_use_status_"), use)).when(status == "insufficient_history", "fit_status_insufficient_history")
+    return fits.select(key, reason.alias("reason")).where("reason is not null")
+
+
+def hedges(loadings: DataFrame, covariance: DataFrame, market: str, fits: DataFrame, *, key: str = "ric") -> tuple[DataFrame, DataFrame]:
     """Market-neutral and factor-neutral hedges of each key long one unit: legs (key, mode, factor_id, weight) and previews, one row by key and mode.
 
     Previews: status, reason, reduction of the loadings but the market's, gross and net weight, and the variance of the
     factors before and after. All rules are even in the loadings, so a short position has the same with legs of the other
-    sign, and a security is hedged once however many books hold it.
+    sign, and a security is hedged once however many books hold it. Fits that mustn't be hedged have no legs, no reduction
+    and the status hedge_unavailable.
     """
-    rows = loadings.select(key, F.col("factor_id").alias("factor_name"), "loading")
+    blocked = unhedged(fits, key=key)
+    rows = loadings.join(blocked, key, "left_anti").select(key, F.col("factor_id").alias("factor_name"), "loading")
     one = P.market_neutral(rows, market, key=key)
     many = P.uncorrelated_legs(rows, covariance.select(F.col("factor_id").alias("factor_name"), F.col("factor_id_2").alias("factor_name_2"), "covariance"), market, key=key)
     single = one.where("weight <> 0").select(key, F.lit("market_neutral").alias("mode"), F.lit(market).alias("factor_id"), "weight")
@@ -187,6 +196,9 @@ def hedges(loadings: DataFrame, covariance: DataFrame, market: str, *, key: str
     reason = F.when(none, "no_material_factor_exposures").when(F.col("status") == "hedge_degraded", "residual_factor_exposures_remain_after_pruning")
     heads = one.select(key, F.lit("market_neutral").alias("mode"), "status", "reason", F.lit(1.0).alias("reduction"))
     heads = heads.unionByName(cut.select(key, F.lit("factor_neutral").alias("mode"), F.when(none, "hedge_ok").otherwise(F.col("status")).alias("status"), reason.alias("reason"), F.when(none, 1.0).otherwise(F.col("reduction")).alias("reduction")))
+    modes = F.explode(F.array(F.lit("market_neutral"), F.lit("factor_neutral"))).alias("mode")
+    shut = blocked.join(loadings, key, "left_semi").select(key, modes, F.lit("hedge_unavailable").alias("status"), "reason", F.lit(None).cast("double").alias("reduction"))
+    heads = heads.unionByName(shut)
     notional = legs.groupBy(key, "mode").agg(F.sum(F.abs("weight")).alias("gross"), F.sum("weight").alias("net"))
     after = hedged_loadings(loadings, legs, key=key)
     # Before and after as two books of one key, so that both variances are one pass over pairs of factors.

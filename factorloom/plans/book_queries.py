@@ -193,14 +193,14 @@ def h12d(spark, d):
 
 
 # Correlated factors aren't pruned in this SQL, which holds as no two of these factors come near the limit; tests have pairs that do.
-HEDGE = EACH + ", ca AS (SELECT *, abs(loading) AS size FROM trade WHERE abs(loading) >= CASE WHEN factor_id = 'F1' THEN 1e-1 ELSE 5e-2 END), lg AS (SELECT ric, 'market_neutral' AS mode, factor_id, -loading AS weight FROM ca WHERE factor_id = 'F1' UNION ALL SELECT ric, 'factor_neutral', factor_id, -loading FROM (SELECT * FROM ca QUALIFY row_number() OVER (PARTITION BY ric ORDER BY factor_id <> 'F1', size DESC, factor_id) <= 5))"
+HEDGE = EACH + ", ca AS (SELECT trade.*, abs(loading) AS size FROM trade JOIN fit USING (ric) WHERE fit_status = 'ok' AND abs(loading) >= CASE WHEN factor_id = 'F1' THEN 1e-1 ELSE 5e-2 END), lg AS (SELECT ric, 'market_neutral' AS mode, factor_id, -loading AS weight FROM ca WHERE factor_id = 'F1' UNION ALL SELECT ric, 'factor_neutral', factor_id, -loading FROM (SELECT * FROM ca QUALIFY row_number() OVER (PARTITION BY ric ORDER BY factor_id <> 'F1', size DESC, factor_id) <= 5))"
 AFTER = HEDGE + ", af AS (SELECT t.ric, m.mode, t.factor_id, t.loading AS before, coalesce(weight, 0) AS leg, t.loading + coalesce(weight, 0) AS after FROM trade t CROSS JOIN (SELECT unnest(['market_neutral', 'factor_neutral']) AS mode) m LEFT JOIN lg ON lg.ric = t.ric AND lg.mode = m.mode AND lg.factor_id = t.factor_id)"
 
 
-@query("n15b_hedge_previews", AFTER + ", va AS (SELECT a.ric, a.mode, sum(a.before * c * b.before) AS vb, sum(a.after * c * b.after) AS va FROM af a JOIN cell ON cell.factor_id = a.factor_id JOIN af b ON b.ric = a.ric AND b.mode = a.mode AND b.factor_id = factor_id_2 GROUP BY 1, 2), re AS (SELECT ric, mode, sum(abs(leg)) AS gross, sum(leg) AS net, count(*) FILTER (WHERE leg <> 0) AS legs, CASE WHEN mode = 'market_neutral' OR sum(abs(before)) FILTER (WHERE factor_id <> 'F1') <= 0 OR NOT bool_or(abs(before) >= CASE WHEN factor_id = 'F1' THEN 1e-1 ELSE 5e-2 END) THEN 1 ELSE greatest(0, 1 - sum(abs(after)) FILTER (WHERE factor_id <> 'F1') / sum(abs(before)) FILTER (WHERE factor_id <> 'F1')) END AS cut FROM af GROUP BY 1, 2) SELECT ric, mode, CASE WHEN cut >= 5e-1 THEN 'hedge_ok' ELSE 'hedge_degraded' END AS status, CASE WHEN mode = 'market_neutral' AND legs = 0 THEN 'below_market_materiality_threshold' WHEN mode = 'factor_neutral' AND legs = 0 THEN 'no_material_factor_exposures' WHEN cut < 5e-1 THEN 'residual_factor_exposures_remain_after_pruning' END AS reason, round(cut, 6) AS reduction, round(gross, 6) AS gross, round(net, 6) AS net, round(vb, 9) AS variance_before, round(va, 9) AS variance_after FROM re JOIN va USING (ric, mode)")
+@query("n15b_hedge_previews", AFTER + ", va AS (SELECT a.ric, a.mode, sum(a.before * c * b.before) AS vb, sum(a.after * c * b.after) AS va FROM af a JOIN cell ON cell.factor_id = a.factor_id JOIN af b ON b.ric = a.ric AND b.mode = a.mode AND b.factor_id = factor_id_2 GROUP BY 1, 2), re AS (SELECT ric, mode, sum(abs(leg)) AS gross, sum(leg) AS net, count(*) FILTER (WHERE leg <> 0) AS legs, CASE WHEN mode = 'market_neutral' OR sum(abs(before)) FILTER (WHERE factor_id <> 'F1') <= 0 OR NOT bool_or(abs(before) >= CASE WHEN factor_id = 'F1' THEN 1e-1 ELSE 5e-2 END) THEN 1 ELSE greatest(0, 1 - sum(abs(after)) FILTER (WHERE factor_id <> 'F1') / sum(abs(before)) FILTER (WHERE factor_id <> 'F1')) END AS cut FROM af GROUP BY 1, 2) SELECT ric, mode, CASE WHEN fit_status <> 'ok' THEN 'hedge_unavailable' WHEN cut >= 5e-1 THEN 'hedge_ok' ELSE 'hedge_degraded' END AS status, CASE WHEN fit_status <> 'ok' THEN 'fit_status_' || fit_status WHEN mode = 'market_neutral' AND legs = 0 THEN 'below_market_materiality_threshold' WHEN mode = 'factor_neutral' AND legs = 0 THEN 'no_material_factor_exposures' WHEN cut < 5e-1 THEN 'residual_factor_exposures_remain_after_pruning' END AS reason, round(CASE WHEN fit_status = 'ok' THEN cut END, 6) AS reduction, round(gross, 6) AS gross, round(net, 6) AS net, round(vb, 9) AS variance_before, round(va, 9) AS variance_after FROM re JOIN va USING (ric, mode) JOIN fit USING (ric)")
 def n15b(spark, d):
     panel = panel_of(spark, d)
-    _, previews = B.hedges(trade_loadings(panel), covariance(panel), W.MARKET)
+    _, previews = B.hedges(trade_loadings(panel), covariance(panel), W.MARKET, fits(panel))
     return previews.select("ric", "mode", "status", "reason", *[r6(c).alias(c) for c in ("reduction", "gross", "net")], r9("variance_before").alias("variance_before"), r9("variance_after").alias("variance_after"))
 
 
@@ -208,7 +208,7 @@ def n15b(spark, d):
 def n15c(spark, d):
     panel = panel_of(spark, d)
     rows = trade_loadings(panel)
-    legs, _ = B.hedges(rows, covariance(panel), W.MARKET)
+    legs, _ = B.hedges(rows, covariance(panel), W.MARKET, fits(panel))
     return B.hedged_loadings(rows, legs).select("ric", "mode", "factor_id", *[r6(c).alias(c) for c in ("before", "leg", "after")])
 
 
@@ -216,7 +216,7 @@ def n15c(spark, d):
 def n15d(spark, d):
     """Each factor's proxy is priced by its own security."""
     panel = panel_of(spark, d)
-    legs, _ = B.hedges(trade_loadings(panel), covariance(panel), W.MARKET)
+    legs, _ = B.hedges(trade_loadings(panel), covariance(panel), W.MARKET, fits(panel))
     proxies = prices(spark, d).select(F.concat(F.lit("F"), "ric").alias("factor_id"), "price")
     out = B.position_trades(rows_of(spark, d, panel), legs, proxies)
     return out.select("account", "ric", "mode", "factor_id", r6("weight").alias("weight"), F.round("notional", 2).alias("notional"), F.round("trade_quantity", 4).alias("trade_quantity"))
