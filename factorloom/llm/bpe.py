@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import few_rows
+from .common import few_rows, others
 
 #: Words kept with their encoding by each Python worker.
 CACHED_WORDS = 500_000
@@ -211,7 +211,7 @@ def load(path: str) -> WordBpe:
 
 def encode(docs: DataFrame, vocabulary: str, text: str = "text") -> DataFrame:
     """docs with `ids` (array of int) and `decoded`, the text that decoding the ids gives. One pass, no shuffle."""
-    kept = [c for c in docs.columns if c not in ("ids", "decoded")]
+    kept = others(docs, "ids", "decoded")
     if len({c.lower() for c in kept}) != len(kept):
         raise ValueError("columns whose names differ in case only")
     schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])

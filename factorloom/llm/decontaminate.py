@@ -7,8 +7,9 @@ diagonal of the document (position in the document less position in the item), a
 intersected along that diagonal: places of the item that are met in a row, as many as a window has words, are exact
 matches. Proximity matches join lists of the same index within a distance.
 
-Lists of the test side are broadcast while its terms are counted and at most `few_terms`; beyond that postings meet them in
-shuffles by term and a salt, so a frequent term is split.
+Lists of the test side are broadcast while its terms, words and bytes are counted and at most `few_terms`, FEW_WORDS and
+FEW_BYTES: each list has at most one row a word of an item, or the words or ids themselves. Beyond any of these postings meet
+them in shuffles by term and a salt, so a frequent term is split.
 
 Items are told apart by 64-bit hashes of their words. Null and empty texts have no words and no hits; documents without an
 id have hits as others do; items without words have no windows; items without an id hit words but aren't counted. Rows of
@@ -32,6 +33,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 COLUMNS = ["n_words", "n_hit", "n_items", "items", "contaminated", "n_near"]
 #: Terms of the test side that are broadcast at most.
 FEW_TERMS = 500_000
+#: Words of all items, and bytes of these words and of the items' ids, up to which lists of the test side are broadcast.
+FEW_WORDS, FEW_BYTES = 500_000, 32 << 20
 #: Documents whose keys are broadcast at most.
 FEW_DOCUMENTS = 1_000_000
 SALTS = 32
@@ -116,17 +119,24 @@ def near(index: DataFrame, pairs: DataFrame, within: int, small: bool) -> DataFr
 
 def proximity(docs: DataFrame, pairs: DataFrame, within: int, text: str = "text") -> DataFrame:
     """(keys of docs, a, b, pos_a, pos_b) of pairs (a, b) of terms, by an index of their own; A-Z don't differ in case."""
-    pairs = pairs.select(F.translate("a", UPPER, LOWER).alias("a"), F.translate("b", UPPER, LOWER).alias("b")).distinct()
+    pairs = checkpointed(pairs.select(F.translate("a", UPPER, LOWER).alias("a"), F.translate("b", UPPER, LOWER).alias("b")).distinct())
     terms = pairs.select(F.col("a").alias("term")).union(pairs.select("b")).distinct()
-    small = terms.count() <= FEW_TERMS
+    small = within_bounds(pairs.agg(F.count("*"), F.sum(F.octet_length("a") + F.octet_length("b"))))
     return near(build_index(docs, terms, small, text), pairs, within, small)
 
 
+def within_bounds(sizes: DataFrame) -> bool:
+    """Whether lists of so many rows and bytes, one row of both, are small enough to be broadcast."""
+    rows, size = sizes.first()
+    return rows <= FEW_WORDS and (size or 0) <= FEW_BYTES
+
+
 def indexed(docs: DataFrame, items: DataFrame, key: str, text: str, width: int, few_terms: int) -> tuple[DataFrame, DataFrame, bool]:
     """The index of docs (its key columns and text), the items, and whether the test side is small."""
     parts = checkpointed(item_words(items, key, text, width))
     terms = checkpointed(parts.select(F.explode("w").alias("term")).distinct())
-    small = terms.count() <= few_terms
+    size = F.octet_length(F.array_join("w", " ")) + F.octet_length(F.array_join("ids", " "))
+    small = terms.count() <= few_terms and within_bounds(parts.agg(F.coalesce(F.sum("size"), F.lit(0)), F.sum(size)))
     return build_index(docs, terms, small), parts, small
 
 

@@ -73,6 +73,9 @@ def test_bpe(docs, n):
     rows = bpe.encode(docs, bpe.vocabulary_path()).collect()
     assert len(rows) == n and all(r.ids == [] and r.decoded == "" for r in rows if r.doc_id in (1, 2, 3))
     assert all(r.id == 1 and r["items"] == "z" for r in rows)
+    clash = bpe.encode(docs.withColumns({"IDS": F.lit(7), "Decoded": F.lit("q")}), bpe.vocabulary_path())
+    assert [c for c in clash.columns if c.lower() in ("ids", "decoded")] == ["ids", "decoded"]
+    assert sorted(map(str, clash.select("doc_id", "ids", "decoded").collect())) == sorted(str(r) for r in bpe.encode(docs, bpe.vocabulary_path()).select("doc_id", "ids", "decoded").collect())
 
 
 def test_quality_gam(spark, docs, n):

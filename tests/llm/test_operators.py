@@ -268,6 +268,24 @@ def test_decontaminate_by_shuffles(spark, small):
     assert one and one == other
 
 
+def test_decontaminate_broadcasts_by_size(spark, small, monkeypatch):
+    """Words or bytes beyond their bounds take the shuffles, whatever the number of terms, to the same rows."""
+    docs, items = table(spark, small, "documents").select("doc_id", "text"), table(spark, small, "benchmark")
+    keyed = docs.select("doc_id", "text")
+    pairs = spark.createDataFrame([("the", "of"), ("A", "b")], "a string, b string")
+    whole = sorted(map(str, decontaminate.decontaminate(docs, items).collect()))
+    near = sorted(map(str, decontaminate.proximity(keyed, pairs, 5).collect()))
+    assert decontaminate.indexed(keyed, items, "item_id", "text", 10, decontaminate.FEW_TERMS)[2]
+    for bound in ("FEW_WORDS", "FEW_BYTES"):
+        with monkeypatch.context() as m:
+            m.setattr(decontaminate, bound, 1)
+            assert not decontaminate.indexed(keyed, items, "item_id", "text", 10, decontaminate.FEW_TERMS)[2]
+            assert sorted(map(str, decontaminate.decontaminate(docs, items).collect())) == whole
+            assert sorted(map(str, decontaminate.proximity(keyed, pairs, 5).collect())) == near
+    none = decontaminate.indexed(keyed, items.limit(0), "item_id", "text", 10, decontaminate.FEW_TERMS)
+    assert none[2] and none[0].count() == 0
+
+
 def test_decontaminate_without_id(spark):
     """A document without an id has hits as well, apart from one whose id is 0."""
     texts = spark.createDataFrame([(None, "see one two three here"), (0, "no such words"), (None, "nothing"), (3, "one two three")], "doc_id long, text string")
