@@ -304,3 +304,14 @@ def staged(payloads: dict[str, DataFrame], snapshot_id: str) -> DataFrame:
         one = df.select(F.lit(snapshot_id).alias("snapshot"), F.lit(name).alias("name"), F.md5(text).alias("place"), text.alias("payload"))
         out = one if out is None else out.unionByName(one)
     return out
+
+
+def restamped(rows: DataFrame, schemas: dict[str, str], stamps: dict[str, str], snapshot_id: str) -> DataFrame:
+    """Staged rows under a new snapshot; payloads named in schemas (name -> its columns as DDL) carry the stamps, which replace fields they had under these names. Others stay as they were."""
+    payload = F.col("payload")
+    for name, schema in sorted(schemas.items()):
+        read = F.from_json("payload", schema)
+        for field, value in sorted(stamps.items()):
+            read = read.withField(field, F.lit(value))
+        payload = F.when(F.col("name") == name, F.to_json(read, {"ignoreNullFields": "false"})).otherwise(payload)
+    return rows.withColumn("payload", payload).select(F.lit(snapshot_id).alias("snapshot"), "name", F.md5("payload").alias("place"), "payload")

@@ -249,6 +249,15 @@ def n10(spark, d):
     return rows.groupBy("snapshot", "name").agg(F.count("*").alias("n"))
 
 
+@query("n10b_restamped_payloads", " SELECT 'snap-2' AS snapshot, 'portfolio' AS name, account, ric, cast(quantity AS VARCHAR) AS quantity, 'run-2' AS run_id, 'snap-2' AS snapshot_id FROM holdings UNION ALL SELECT 'snap-2', 'universe', NULL, ric, NULL, NULL, NULL FROM registry")
+def n10b(spark, d):
+    """Rows of a staged snapshot that is published again: the portfolio's stamp is replaced, the universe has none."""
+    first = A.holdings(spark, d).withColumn("run_id", F.lit("run-1"))
+    rows = V.staged({"portfolio": first, "universe": A.registry(spark, d)}, "snap-1")
+    again = V.restamped(rows, {"portfolio": "account string, ric string, quantity long, run_id string"}, {"run_id": "run-2", "snapshot_id": "snap-2"}, "snap-2")
+    return again.select("snapshot", "name", *[F.get_json_object("payload", f"$.{c}").alias(c) for c in ("account", "ric", "quantity", "run_id", "snapshot_id")])
+
+
 @query("n13_factor_sections", G.PANEL + ", lt AS (SELECT * FROM panel WHERE date = (SELECT max(date) FROM panel)) SELECT industry, count(*) AS n, count(DISTINCT ric) AS rics, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std FROM lt GROUP BY 1")
 def n13(spark, d):
     p = G.panel(spark, d)

@@ -96,3 +96,14 @@ def test_eigenvalues(spark):
     out = M.eigenvalues(spark.createDataFrame(cells, "model string, factor_name string, factor_name_2 string, covariance double")).orderBy("model", "place").collect()
     for k, m in matrices.items():
         assert np.allclose([r.eigenvalue for r in out if r.model == k], np.linalg.eigvalsh(m)[::-1])
+
+
+def test_restamped(spark):
+    """Stamps replace what a payload had, nulls stay, payloads without a schema aren't touched, and the same stamps give the same places."""
+    first = spark.createDataFrame([("1", 2, None), ("2", 3, "run-1")], "ric string, n long, run_id string")
+    rows = V.staged({"book": first, "other": first}, "s1")
+    again = V.restamped(rows, {"book": "ric string, n long, run_id string"}, {"run_id": "run-2"}, "s2")
+    got = {(r.name, r.payload) for r in again.collect()}
+    assert got == {("book", '{"ric":"1","n":2,"run_id":"run-2"}'), ("book", '{"ric":"2","n":3,"run_id":"run-2"}'), ("other", '{"ric":"1","n":2,"run_id":null}'), ("other", '{"ric":"2","n":3,"run_id":"run-1"}')}
+    assert {r.snapshot for r in again.collect()} == {"s2"} and again.select("place").exceptAll(again.select("place")).count() == 0
+    assert rows.where("name = 'other'").select("place").exceptAll(again.where("name = 'other'").select("place")).count() == 0
