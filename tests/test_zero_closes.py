@@ -25,6 +25,7 @@ def zeros(small, tmp_path_factory):
     [
         "h22_forecast_and_realized",
         "e09b_full_coverage",
+        "e13b_t_hit_rate",
     ],
 )
 def test_against_sql(spark, zeros, name):
