@@ -26,6 +26,7 @@ def zeros(small, tmp_path_factory):
         "h22_forecast_and_realized",
         "e09b_full_coverage",
         "e13b_t_hit_rate",
+        "e14_breadth",
     ],
 )
 def test_against_sql(spark, zeros, name):
