@@ -27,6 +27,7 @@ def zeros(small, tmp_path_factory):
         "e09b_full_coverage",
         "e13b_t_hit_rate",
         "e14_breadth",
+        "e14b_t_breadth",
     ],
 )
 def test_against_sql(spark, zeros, name):
