@@ -28,6 +28,7 @@ def zeros(small, tmp_path_factory):
         "e13b_t_hit_rate",
         "e14_breadth",
         "e14b_t_breadth",
+        "e16_correlations",
     ],
 )
 def test_against_sql(spark, zeros, name):
