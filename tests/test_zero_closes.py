@@ -29,6 +29,7 @@ def zeros(small, tmp_path_factory):
         "e14_breadth",
         "e14b_t_breadth",
         "e16_correlations",
+        "e26_turnover",
     ],
 )
 def test_against_sql(spark, zeros, name):
