@@ -30,6 +30,7 @@ def zeros(small, tmp_path_factory):
         "e14b_t_breadth",
         "e16_correlations",
         "e26_turnover",
+        "e26b_exposure_turnover",
     ],
 )
 def test_against_sql(spark, zeros, name):
