@@ -32,6 +32,7 @@ def zeros(small, tmp_path_factory):
         "e26_turnover",
         "e26b_exposure_turnover",
         "f01_momentum",
+        "f02_bridging_return",
     ],
 )
 def test_against_sql(spark, zeros, name):
