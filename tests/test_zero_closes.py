@@ -33,6 +33,7 @@ def zeros(small, tmp_path_factory):
         "e26b_exposure_turnover",
         "f01_momentum",
         "f02_bridging_return",
+        "f03_panel_return",
     ],
 )
 def test_against_sql(spark, zeros, name):
