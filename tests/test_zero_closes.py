@@ -34,6 +34,7 @@ def zeros(small, tmp_path_factory):
         "f01_momentum",
         "f02_bridging_return",
         "f03_panel_return",
+        "f04_rolling_std",
     ],
 )
 def test_against_sql(spark, zeros, name):
