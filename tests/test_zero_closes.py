@@ -36,6 +36,7 @@ def zeros(small, tmp_path_factory):
         "f03_panel_return",
         "f04_rolling_std",
         "f06_rolling_beta",
+        "e04_cap_weighted_market",
     ],
 )
 def test_against_sql(spark, zeros, name):
