@@ -37,6 +37,7 @@ def zeros(small, tmp_path_factory):
         "f04_rolling_std",
         "f06_rolling_beta",
         "e04_cap_weighted_market",
+        "e06_weighted_moments",
     ],
 )
 def test_against_sql(spark, zeros, name):
