@@ -107,3 +107,15 @@ def test_restamped(spark):
     assert got == {("book", '{"ric":"1","n":2,"run_id":"run-2"}'), ("book", '{"ric":"2","n":3,"run_id":"run-2"}'), ("other", '{"ric":"1","n":2,"run_id":null}'), ("other", '{"ric":"2","n":3,"run_id":"run-1"}')}
     assert {r.snapshot for r in again.collect()} == {"s2"} and again.select("place").exceptAll(again.select("place")).count() == 0
     assert rows.where("name = 'other'").select("place").exceptAll(again.where("name = 'other'").select("place")).count() == 0
+
+
+def test_fingerprint(spark):
+    """The md5 over all sorted hashes, every digit of them."""
+    import hashlib
+
+    from factorloom.operators import desk as D
+
+    rows = [("a", "1", 5), ("a", "2", -3), ("b", "1", 5)]
+    md5 = lambda text: hashlib.md5(text.encode()).hexdigest()
+    found = {r["account"]: (r["n"], r["signature"]) for r in D.fingerprint(spark.createDataFrame(rows, "account string, ric string, quantity long"), "account", ["ric", "quantity"]).collect()}
+    assert found == {a: (sum(r[0] == a for r in rows), md5(",".join(sorted(md5(f"{ric}|{q}") for b, ric, q in rows if b == a)))) for a in ("a", "b")}
