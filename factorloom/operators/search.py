@@ -11,6 +11,8 @@ from ..sources.sinks import shared_folder
 
 #: Folders that trigrams are dealt to; a lookup opens one.
 BUCKETS = 64
+#: Rows whose postings a task sorts and writes.
+ROWS_OF_TASK = 50_000
 
 
 def grams_of(term: str) -> list[str]:
@@ -23,6 +25,10 @@ def build_index(rows: DataFrame, columns: list[str]) -> str:
     Nulls and texts of less than three characters have no trigrams; such rows are found by shorter terms only.
     """
     root = shared_folder(rows.sparkSession, "index")
+    rows.write.parquet(f"{root}/rows")
+    # A file of few megabytes has millions of postings, so its rows are dealt out before they are exploded.
+    rows = rows.sparkSession.read.parquet(f"{root}/rows")
+    rows = rows.repartition(-(-rows.count() // ROWS_OF_TASK) or 1)
     text = [F.upper(F.coalesce(F.col(c), F.lit(""))) for c in columns]
     pieces = lambda t: F.transform(F.when(F.char_length(t) >= 3, F.sequence(F.lit(1), F.char_length(t) - 2)).otherwise(F.array().cast("array<int>")), lambda i: F.substring(t, i, F.lit(3)))
     postings = rows.withColumn("_gram", F.explode(F.array_distinct(F.concat(*map(pieces, text)))))
@@ -30,7 +36,6 @@ def build_index(rows: DataFrame, columns: list[str]) -> str:
     # A frequent trigram's rows are spread over tasks; each file is in order, so its statistics tell which trigrams it has.
     postings.sortWithinPartitions("_bucket", "_gram").write.partitionBy("_bucket").parquet(f"{root}/postings")
     postings.groupBy("_gram").count().sort("_gram").write.parquet(f"{root}/counts")
-    rows.write.parquet(f"{root}/rows")
     return root
 
 

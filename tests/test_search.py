@@ -25,3 +25,12 @@ def test_one_folder_is_read(spark):
     plan = T.candidates(spark, root, "f 343")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(_bucket" in plan and "EqualTo(_gram," in plan
     assert {r.ticker for r in T.indexed_search(spark, root, "ticker", "name", "f 343", 10).collect()} == {"49", "490", "491"}
+
+
+def test_rows_are_dealt_out(spark, monkeypatch):
+    """Rows of one small file are spread before their postings are made."""
+    monkeypatch.setattr(T, "ROWS_OF_TASK", 10)
+    rows = spark.range(100).selectExpr("cast(id as string) AS ric", "concat('name ', id) AS name").coalesce(1)
+    root = T.build_index(rows, ["ric", "name"])
+    files = {r["f"].rsplit("/", 1)[1].split("-")[1] for r in spark.read.parquet(f"{root}/postings").select(F.input_file_name().alias("f")).distinct().collect()}
+    assert len(files) == 10
