@@ -21,6 +21,8 @@ from .sinks import stored
 
 #: Commits that a writer tries at most.
 ATTEMPTS = 50
+#: Rows that a task of a merge writes, about; larger buckets are written by several tasks.
+ROWS_OF_TASK = 250_000
 
 
 class Conflict(RuntimeError):
@@ -173,7 +175,9 @@ def merge(rows: DataFrame, root: str, keys: list[str], *, gone: DataFrame | None
             stay = stay if leaving is None else stay.join(leaving.select(*keys), keys, "left_anti")
             after = after.unionByName(stay.withColumn("_bucket", bucket_of(keys, count)))
         path = f"data/{uuid.uuid4().hex}"
-        after.repartition(min(len(changed), count), "_bucket").write.partitionBy("_bucket").parquet(f"{root}/{path}")
+        size = staged.count() + sum(parts[b]["rows"] for b in here)
+        pieces = max(1, -(-size // (ROWS_OF_TASK * len(changed))))
+        after.repartition(len(changed) * pieces, "_bucket", F.pmod(F.hash(*keys), F.lit(pieces))).write.partitionBy("_bucket").parquet(f"{root}/{path}")
         stats = spark.read.parquet(f"{root}/{path}").groupBy("_bucket").agg(F.count("*").alias("n"), F.min(key).cast("string").alias("low"), F.max(key).cast("string").alias("high")).collect()
         found = {r["_bucket"]: {"path": f"{path}/_bucket={r['_bucket']}", "rows": r["n"], "low": r["low"], "high": r["high"]} for r in stats}
         return {b: p for b, p in parts.items() if b not in changed} | found, before["meta"] | {"buckets": count, "keys": keys}

@@ -112,3 +112,11 @@ def test_sync_incremental(spark, tmp_path):
     C.sync(rows(("a", "2024-01-01", 1), ("a", "2024-02-01", 2), ("a", "2024-03-01", 3), ("a", "2024-03-02", 4), ("b", "2024-03-01", 5)), root, ["ric", "date"], mode="incremental", date="date", buckets=2)
     C.sync(rows(("a", "2024-01-01", 9), ("a", "2024-02-01", 9), ("a", "2024-03-02", 9), ("a", "2024-03-03", 9), ("b", "2024-01-05", 9), ("b", "2024-03-01", 5)), root, ["ric", "date"], mode="incremental", date="date", overlap_days=5)
     assert sorted((r.ric, str(r.date), r.v) for r in C.read(spark, root).collect()) == [("a", "2024-01-01", 1), ("a", "2024-02-01", 2), ("a", "2024-03-02", 9), ("a", "2024-03-03", 9), ("b", "2024-01-05", 9), ("b", "2024-03-01", 5)]
+
+
+def test_large_buckets_are_shared_out(spark, tmp_path, monkeypatch):
+    """A bucket of more rows than a task should write has several files, and the same rows."""
+    monkeypatch.setattr(C, "ROWS_OF_TASK", 10)
+    C.merge(spark.range(200).selectExpr("id", "id * 2 AS v"), str(tmp_path), ["id"], buckets=2)
+    rows = C.read(spark, str(tmp_path))
+    assert len(rows.inputFiles()) > 8 and sorted(map(tuple, rows.select("id", "v").collect())) == [(i, 2 * i) for i in range(200)]
