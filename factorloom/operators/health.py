@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numbers import sql_round
 from . import portfolio as P
 from . import relational as R
 from . import riskmodel as M
@@ -101,7 +102,7 @@ def regression_section(returns: DataFrame, residuals: DataFrame, styles: list[st
         part(r2.unpivot("date", ["r2", "roll60", "roll252"], "name", "value"), 1, "r2_series", name=name, date=date, value=value),
         part(block.unpivot("date", [c for c in block.columns if c != "date"], "name", "value"), 1, "block_r2_series", name=name, date=date, value=value),
         part(histograms(returns.withColumn("_all", F.lit("t_stat")), "_all", "t_stat", T_BINS, T_BOUND), 1, "t_stat_histogram", place=F.col("place"), x=F.col("x"), value=F.col("n")),
-        part(V.hit_rate(returns, t="t_stat"), 1, "hit_rate", name=F.col("factor_name"), value=F.round("hit_rate", 2)),
+        part(V.hit_rate(returns, t="t_stat"), 1, "hit_rate", name=F.col("factor_name"), value=sql_round("hit_rate", 2)),
         part(day.unpivot("date", ["style", "other"], "name", "value"), 1, "breadth_series", name=name, date=date, value=value),
         part(whole.unpivot([], ["style", "other"], "name", "value"), 1, "breadth", name=name, value=value),
         part(shares, 1, "variance_split", name=F.col("category"), value=F.col("share")),

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
+from ..functions.numbers import sql_round
 from . import crosssection as X
 from . import relational as R
 from . import timeseries as T
@@ -206,9 +207,9 @@ def universe_loadings(exposures: DataFrame, covariance: DataFrame, projected: Da
     vols = covariance.where("factor_name = factor_name_2").select("factor_name", F.sqrt(F.greatest("covariance", F.lit(0.0))).alias("_vol"))
     native = exposures.select(key, "factor_name", "exposure", F.lit("native").alias("_origin"))
     more = projected.join(exposures.select(key).distinct(), key, "left_anti").select(key, "factor_name", "exposure", F.lit("projected").alias("_origin"))
-    rows = native.unionByName(more).join(vols, "factor_name", "left").withColumn("_s", F.round(F.col("exposure") * F.coalesce("_vol", F.lit(0.0)), 6))
+    rows = native.unionByName(more).join(vols, "factor_name", "left").withColumn("_s", sql_round(F.col("exposure") * F.coalesce("_vol", F.lit(0.0)), 6))
     cells = F.sort_array(F.collect_list(F.struct("factor_name", "exposure", F.col("_s").alias("sensitivity"))))
-    by = rows.groupBy(key).agg(cells.alias("factors"), F.round(F.sum(F.abs("_s")), 6).alias("risk_loading"), F.max("_origin").alias("exposure_origin"))
+    by = rows.groupBy(key).agg(cells.alias("factors"), sql_round(F.sum(F.abs("_s")), 6).alias("risk_loading"), F.max("_origin").alias("exposure_origin"))
     status = F.when(F.col("exposure_origin") == "native", "core_estimated").when(F.col("exposure_origin") == "projected", "projected_only").otherwise("ineligible")
     return scope.select(key).distinct().join(by, key, "left").withColumn("model_status", status)
 

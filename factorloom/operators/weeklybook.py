@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
+from ..functions.numbers import sql_round
 from . import portfolio as P
 
 #: Fixed value: loadings, parts and variances that count as nothing.
@@ -134,7 +135,7 @@ def vol_scaled_shares(metrics: DataFrame, idio: DataFrame, factors: DataFrame, *
     rows = _with_idio(families, idio.groupBy(account).agg(F.sqrt(F.greatest(F.sum("specific"), F.lit(0.0))).alias("idio")), [account])
     names = [*SHARES.values(), "idio"]
     total = sum((F.col(c) for c in names), F.lit(0.0))
-    return rows.select(account, *[F.when(total > TINY, F.round(F.col(c) / total * 100, 2)).otherwise(100.0 if c == "idio" else 0.0).alias(c) for c in names])
+    return rows.select(account, *[F.when(total > TINY, sql_round(F.col(c) / total * 100, 2)).otherwise(100.0 if c == "idio" else 0.0).alias(c) for c in names])
 
 
 def risk_mix(each: DataFrame, metrics: DataFrame, idio: DataFrame, factors: DataFrame, *, account: str = "account", key: str = "ric") -> DataFrame:

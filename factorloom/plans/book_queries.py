@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.numbers import sql_round
 from ..operators import timeseries as T
 from ..operators import weekly as K
 from ..operators import weeklybook as B
@@ -17,11 +18,11 @@ LEAST_WEEKS = 39
 
 
 def r6(c):
-    return F.round(c, 6)
+    return sql_round(c, 6)
 
 
 def r9(c):
-    return F.round(c, 9)
+    return sql_round(c, 9)
 
 
 def book_positions(spark, d):
@@ -110,7 +111,7 @@ ALL = BOOK.format(positions="SELECT 'all_accounts' AS account, ric, cast(sum(qua
 
 @query("h11b_book_positions", EACH + " SELECT account, ric, quantity, round(mv, 4) AS market_value, coverage, round(weight, 9) AS weight FROM ps")
 def h11b(spark, d):
-    return rows_of(spark, d, panel_of(spark, d)).select("account", "ric", "quantity", F.round("market_value", 4).alias("market_value"), "coverage", r9("weight").alias("weight"))
+    return rows_of(spark, d, panel_of(spark, d)).select("account", "ric", "quantity", sql_round("market_value", 4).alias("market_value"), "coverage", r9("weight").alias("weight"))
 
 
 @query("h11c_factor_variance", EACH + " SELECT account, factor_id, round(loading, 6) AS loading, round(volatility, 6) AS volatility, round(adjustment, 9) AS adjustment, round(contribution, 9) AS contribution, round(contribution / total, 6) AS share FROM me")
@@ -137,7 +138,7 @@ def h11d(spark, d):
 def h11e(spark, d):
     _, each, metrics, _ = measured(spark, d)
     rows = B.drilldown(each, metrics)
-    return rows.select("account", "factor_id", "ric", r9("part").alias("part"), r6("loading").alias("loading"), r6("scaled_loading").alias("scaled_loading"), r9("scaled_part").alias("scaled_part"), r9("adjusted_loading").alias("adjusted_loading"), F.round("risk_percent", 4).alias("risk_percent"))
+    return rows.select("account", "factor_id", "ric", r9("part").alias("part"), r6("loading").alias("loading"), r6("scaled_loading").alias("scaled_loading"), r9("scaled_part").alias("scaled_part"), r9("adjusted_loading").alias("adjusted_loading"), sql_round("risk_percent", 4).alias("risk_percent"))
 
 
 FAMILIES = "sum({0}) FILTER (WHERE family = 'market') AS market, sum({0}) FILTER (WHERE family = 'sector') AS industry, sum({0}) FILTER (WHERE family = 'style') AS style"
@@ -152,7 +153,7 @@ def families_sql(value: str, idio: str, places: int) -> str:
 @query("h11f_risk_shares", EACH + families_sql("contribution", "s", 4))
 def h11f(spark, d):
     _, _, metrics, idio = measured(spark, d)
-    return B.risk_shares(metrics, idio, factors(spark)).select("account", *[F.round(c, 4).alias(c) for c in NAMES])
+    return B.risk_shares(metrics, idio, factors(spark)).select("account", *[sql_round(c, 4).alias(c) for c in NAMES])
 
 
 @query("h11g_vol_scaled_shares", EACH + families_sql("abs(loading * volatility)", "sqrt(s)", 2))
@@ -164,7 +165,7 @@ def h11g(spark, d):
 @query("h11h_risk_mix", EACH + f", mx AS (SELECT account, ric, {FAMILIES.format('abs(part * adjustment)')} FROM pt JOIN me USING (account, factor_id) JOIN fs USING (factor_id) WHERE abs(part) > 1e-12 AND abs(part * adjustment) > 1e-12 GROUP BY 1, 2), mi AS (SELECT coalesce(mx.account, sp.account) AS account, coalesce(mx.ric, sp.ric) AS ric, coalesce(market, 0) AS market, coalesce(industry, 0) AS industry, coalesce(style, 0) AS style, coalesce(s, 0) AS idio FROM mx FULL JOIN sp ON sp.account = mx.account AND sp.ric = mx.ric) SELECT account, ric, " + ", ".join(f"round({c} / (market + industry + style + idio) * 100, 4) AS {c}" for c in NAMES) + " FROM mi WHERE market + industry + style + idio > 1e-12")
 def h11h(spark, d):
     _, each, metrics, idio = measured(spark, d)
-    return B.risk_mix(each, metrics, idio, factors(spark)).select("account", "ric", *[F.round(c, 4).alias(c) for c in NAMES])
+    return B.risk_mix(each, metrics, idio, factors(spark)).select("account", "ric", *[sql_round(c, 4).alias(c) for c in NAMES])
 
 
 SNAPSHOT = ", co AS (SELECT account, count(*) AS n, count(*) FILTER (WHERE coverage = 'covered') AS covered_n, coalesce(sum(abs(mv)), 0) AS gross, coalesce(sum(mv) FILTER (WHERE coverage = 'covered'), 0) AS net, coalesce(sum(abs(mv)) FILTER (WHERE coverage = 'covered'), 0) AS cg FROM ps GROUP BY 1), fv AS (SELECT account, sum(contribution) AS v FROM me GROUP BY 1) SELECT account, CASE WHEN cg <= 0 THEN 'unavailable' WHEN covered_n < n THEN 'partial' ELSE 'ok' END AS status, CASE WHEN cg <= 0 THEN 'nothing_covered' WHEN covered_n < n THEN 'some_excluded' END AS reason, n, covered_n, n - covered_n AS excluded_n, round(gross, 2) AS gross, round(net, 2) AS net, round(cg / nullif(gross, 0), 6) AS coverage_ratio, round(coalesce(v, 0), 9) AS factor_variance, round(coalesce(s, 0), 9) AS idio_variance, round(coalesce(v, 0) + coalesce(s, 0), 9) AS total_variance FROM co LEFT JOIN fv USING (account) LEFT JOIN ids USING (account)"
@@ -173,7 +174,7 @@ SNAPSHOT = ", co AS (SELECT account, count(*) AS n, count(*) FILTER (WHERE cover
 def snapshot(spark, d, positions=None):
     rows, _, metrics, idio = measured(spark, d, positions)
     out = B.snapshots(rows, metrics, idio)
-    return out.select("account", "status", "reason", "n", "covered_n", "excluded_n", F.round("gross", 2).alias("gross"), F.round("net", 2).alias("net"), r6("coverage_ratio").alias("coverage_ratio"), *[r9(c).alias(c) for c in ("factor_variance", "idio_variance", "total_variance")])
+    return out.select("account", "status", "reason", "n", "covered_n", "excluded_n", sql_round("gross", 2).alias("gross"), sql_round("net", 2).alias("net"), r6("coverage_ratio").alias("coverage_ratio"), *[r9(c).alias(c) for c in ("factor_variance", "idio_variance", "total_variance")])
 
 
 @query("h12b_book_snapshots", EACH + SNAPSHOT)
@@ -219,7 +220,7 @@ def n15d(spark, d):
     legs, _ = B.hedges(trade_loadings(panel), covariance(panel), W.MARKET, fits(panel))
     proxies = prices(spark, d).select(F.concat(F.lit("F"), "ric").alias("factor_id"), "price")
     out = B.position_trades(rows_of(spark, d, panel), legs, proxies)
-    return out.select("account", "ric", "mode", "factor_id", r6("weight").alias("weight"), F.round("notional", 2).alias("notional"), F.round("trade_quantity", 4).alias("trade_quantity"))
+    return out.select("account", "ric", "mode", "factor_id", r6("weight").alias("weight"), sql_round("notional", 2).alias("notional"), sql_round("trade_quantity", 4).alias("trade_quantity"))
 
 
 @query("n15e_security_details", EACH + ", su AS (SELECT cast(s_suppkey AS VARCHAR) AS ric, s_name AS display_name FROM supplier), cn AS (SELECT ric, count(*) AS n FROM thr WHERE abs(loading) > 1e-12 GROUP BY 1) SELECT ric, coalesce(display_name, ric) AS display_name, CASE WHEN fit_status IS NULL THEN 'registry' ELSE 'active_package' END AS source, CASE WHEN fit_status IS NULL THEN 'registry_only' WHEN fit_status = 'ok' THEN 'estimated' ELSE 'not_estimated' END AS tier, round(price, 6) AS price, coalesce(n, 0) AS loadings, fit_status IS NOT NULL AS can_be_staged FROM fit FULL JOIN su USING (ric) LEFT JOIN px USING (ric) LEFT JOIN cn USING (ric)")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.numbers import sql_round
 from ..operators import health as E
 from ..operators import jobs as J
 from ..operators import portfolio as P
@@ -21,7 +22,7 @@ STYLES = S.DAILY["styles"]
 
 def shown(df):
     """Values to 6 places; -0 is 0."""
-    return df.withColumns({c: F.round(c, 6) + 0.0 for c in ("x", "value")})
+    return df.withColumns({c: sql_round(c, 6) + 0.0 for c in ("x", "value")})
 
 
 def rows_of(section, part, table, *, name="NULL", other="NULL", date="NULL", place="NULL", x="NULL", value):

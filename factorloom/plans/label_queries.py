@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
+from ..functions.numbers import sql_round
 from ..sources import adapters as A
 from .catalog import query
 
@@ -172,7 +173,7 @@ def b20(spark, d):
 @query("b21_price_pick", "SELECT ric, date, round(coalesce(CASE WHEN volume % 2 = 0 THEN close * 0.5 END, close), 6) AS price, CASE WHEN volume % 2 = 0 THEN 'adj_close' ELSE 'close' END AS field FROM prices")
 def b21(spark, d):
     adjusted = F.when(F.col("volume") % 2 == 0, F.col("close") * 0.5)
-    return A.prices(spark, d).select("ric", "date", F.round(F.coalesce(adjusted, "close"), 6).alias("price"), F.when(adjusted.isNotNull(), "adj_close").otherwise("close").alias("field"))
+    return A.prices(spark, d).select("ric", "date", sql_round(F.coalesce(adjusted, "close"), 6).alias("price"), F.when(adjusted.isNotNull(), "adj_close").otherwise("close").alias("field"))
 
 
 @query("b22_confidence", IDS + ", c AS (SELECT n, ((n % 2 = 0)::INT + (n % 3 = 0)::INT + (n % 5 <> 0)::INT + 1) / 4.0 AS s FROM ids) SELECT n, CASE WHEN s >= 0.9 THEN 'high' WHEN s >= 0.75 THEN 'medium' ELSE 'low' END AS band, s < 0.75 AS degraded FROM c")
@@ -185,7 +186,7 @@ def b22(spark, d):
 
 @query("b23_loading_threshold", IDS + "SELECT n, CASE WHEN n % 4 <> 0 AND abs(balance / 1e5) < 0.05 THEN 0 ELSE round(balance / 1e5, 8) END AS loading FROM ids")
 def b23(spark, d):
-    return ids(spark, d).select("n", F.round(L.thresholded(F.col("balance") / 1e5, F.col("n") % 4 == 0), 8).alias("loading"))
+    return ids(spark, d).select("n", sql_round(L.thresholded(F.col("balance") / 1e5, F.col("n") % 4 == 0), 8).alias("loading"))
 
 
 @query("b24_short_sector", IDS + "SELECT n, CASE n % 4 WHEN 0 THEN 'Matls' WHEN 1 THEN 'ConsDef' WHEN 2 THEN left(sector, 8) ELSE 'SofITSer' END AS short FROM ids")

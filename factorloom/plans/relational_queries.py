@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions.numbers import sql_round
 from ..operators import relational as R
 from ..operators import search as T
 from ..sources import adapters as A
@@ -12,7 +13,7 @@ from .catalog import query
 
 
 def r6(c):
-    return F.round(c, 6)
+    return sql_round(c, 6)
 
 
 @query("a04_window_scan", "SELECT p.ric, p.date, round(close, 6) AS close, volume FROM prices p WHERE p.date BETWEEN DATE '2024-01-10' AND DATE '2024-01-15' AND p.ric IN (SELECT cast(c_custkey AS VARCHAR) FROM customer WHERE c_mktsegment = 'BUILDING')")
@@ -295,7 +296,7 @@ def e20(spark, d):
     label = F.when(F.col("price").isNull(), "missing_price").when(F.col("price") < 950, "missing_cpar_fit").otherwise("covered")
     rows = A.holdings(spark, d).join(A.parts(spark, d), "ric", "left").select(label.alias("coverage"), F.abs(F.col("quantity") * F.col("price")).alias("gross"))
     sums = rows.groupBy("coverage").agg(F.count("*").alias("n"), F.sum("gross").alias("gross"))
-    return kinds.join(sums, "coverage", "left").select("coverage", F.coalesce("n", F.lit(0)).alias("n"), F.round(F.coalesce("gross", F.lit(0.0)), 2).alias("gross"))
+    return kinds.join(sums, "coverage", "left").select("coverage", F.coalesce("n", F.lit(0)).alias("n"), sql_round(F.coalesce("gross", F.lit(0.0)), 2).alias("gross"))
 
 
 @query("e22_table_stats", "SELECT count(*) AS n, count(DISTINCT ric) AS ids, min(as_of_date) AS first, max(as_of_date) AS last, max(seq) AS last_job FROM fundamentals")

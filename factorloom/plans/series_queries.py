@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions.numbers import sql_round
 from ..operators import relational as R
 from ..operators import timeseries as S
 from ..sources import adapters as A
@@ -12,7 +13,7 @@ from .catalog import query
 
 
 def r6(c):
-    return F.round(c, 6)
+    return sql_round(c, 6)
 
 
 def short(spark, d):
@@ -56,7 +57,7 @@ def f06(spark, d):
     rows = short(spark, d)
     market = rows.where("close >= 5 and ret is not null").groupBy("date").agg(F.median("ret").alias("mkt"))
     rows = rows.join(market, "date", "left")
-    return rows.select("ric", "date", F.round(S.rolling_beta(rows, "ret", "mkt", n=15, least=8), 5).alias("beta"))
+    return rows.select("ric", "date", sql_round(S.rolling_beta(rows, "ret", "mkt", n=15, least=8), 5).alias("beta"))
 
 
 @query("f07_change_of_filings", "SELECT ric, as_of_date, seq, round(market_cap / lag(market_cap, 4) OVER (PARTITION BY ric ORDER BY as_of_date, seq) - 1, 6) AS growth FROM fundamentals")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
+from ..functions.numbers import sql_round
 from ..operators import crosssection as X
 from ..operators import jobs as J
 from ..operators import portfolio as P
@@ -19,7 +20,7 @@ from .catalog import query
 
 
 def r6(c):
-    return F.round(c, 6)
+    return sql_round(c, 6)
 
 
 def t_statistics(spark, d):
@@ -64,7 +65,7 @@ def g19b(spark, d):
 def n01(spark, d):
     """Prices, fundamentals as of the session and the registry in one plan; momentum over 3 to 10 rows, as histories are short."""
     rows = V.weekly_history(A.long_prices(spark, d), A.fundamentals(spark, d), A.registry(spark, d), lag=3, long_lag=10)
-    return rows.select("ric", "date", "market_cap", r6("momentum_raw").alias("momentum_raw"), "reasons", F.round("size", 4).alias("size"))
+    return rows.select("ric", "date", "market_cap", r6("momentum_raw").alias("momentum_raw"), "reasons", sql_round("size", 4).alias("size"))
 
 
 #: Fundamentals of which the table has totals only: the rest is made of those.
@@ -101,7 +102,7 @@ def n01b(spark, d):
     root = K.shared_folder(spark, "history")
     J.history_job(raw.where("date < '1996-01-01'"), root, {"method": "1"}, batch=10_000)
     J.history_job(raw, root, {"method": "1"}, batch=10_000)
-    return J.table(spark, root, "sections").select("date", "ric", "core", *[F.round(F.col(f"`{s}`"), 4).alias(G.column_of(s)) for s in X.STYLES])
+    return J.table(spark, root, "sections").select("date", "ric", "core", *[sql_round(F.col(f"`{s}`"), 4).alias(G.column_of(s)) for s in X.STYLES])
 
 
 DAILY = {"method": "1", "winsor": 0.01, "least": 30, "styles": ["Size", "Value"], "controls": {}}
@@ -269,7 +270,7 @@ def n13(spark, d):
 def n15(spark, d):
     """Legs against a whole book's loadings, at ten times its gross value."""
     books = P.book_exposures(H.weighted(spark, d), H.loadings(spark, d).select("ric", "factor_name", (F.col("loading") * 10).alias("exposure")))
-    return P.hedge_legs(books.withColumnRenamed("exposure", "loading"), "Market", key="account").select("account", "factor_name", F.round("weight", 9).alias("weight"))
+    return P.hedge_legs(books.withColumnRenamed("exposure", "loading"), "Market", key="account").select("account", "factor_name", sql_round("weight", 9).alias("weight"))
 
 
 @query("n16_package_search", ", pk AS (SELECT ric, ticker, sector AS display_name, CASE WHEN cast(ric AS INTEGER) % 3 = 0 THEN 0 ELSE 1 END AS source_order FROM registry), sr AS (SELECT *, CASE WHEN ric = '12' THEN 0 WHEN starts_with(ric, '12') THEN 1 WHEN contains(ticker, '12') THEN 2 ELSE 2 END AS tier, CASE WHEN ric = '12' THEN 1 WHEN starts_with(ric, '12') THEN length(ric) WHEN contains(ticker, '12') THEN strpos(ticker, '12') - 1 ELSE strpos(ric, '12') - 1 END AS place FROM pk WHERE contains(ticker, '12') OR contains(ric, '12')) SELECT ric, ticker, display_name, source_order, tier, cast(place AS INTEGER) AS place FROM sr ORDER BY tier, place, upper(ticker), source_order, ric LIMIT 25")

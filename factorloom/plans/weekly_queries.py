@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions.numbers import sql_round
 from ..operators import portfolio as P
 from ..operators import timeseries as T
 from ..operators import weekly as K
@@ -16,7 +17,7 @@ GROUPS = {f"F{k}": "sector" if k < 7 else "style" for k in range(2, 10)}
 
 
 def r6(c):
-    return F.round(c, 6)
+    return sql_round(c, 6)
 
 
 def panel(spark, d):
