@@ -66,6 +66,6 @@ def ties(small, tmp_path_factory):
     return str(top), con
 
 
-@pytest.mark.parametrize("name", ["f02_bridging_return", "e03_median_return"])
+@pytest.mark.parametrize("name", ["f02_bridging_return", "f03_panel_return", "e03_median_return"])
 def test_ties(spark, ties, name):
     test_against_sql(spark, ties, name)
