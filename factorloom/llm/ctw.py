@@ -55,16 +55,19 @@ def body(words: list[bytes]) -> bytes:
 
 def grams(bodies: list[bytes]) -> np.ndarray:
     """Of each byte its sequence as an integer: the DEPTH bytes before it, latest first, then the byte. A text starts after end bytes."""
-    data = np.frombuffer(b"".join(b"\n" * DEPTH + x for x in bodies), np.uint8)
+    raw = b"".join(b"\n" * DEPTH + x for x in bodies)
+    data = np.frombuffer(raw, np.uint8)
     ends = np.cumsum([len(x) + DEPTH for x in bodies])
     starts = np.concatenate([[0], ends[:-1]])
     real = np.ones(len(data), bool)
     real[(starts[:, None] + np.arange(DEPTH)).ravel()] = False
-    at = np.flatnonzero(real)
-    packed = np.zeros(len(at), np.uint64)
-    for back in range(1, DEPTH + 1):
-        packed = (packed << np.uint64(8)) | data[at - back]
-    return (packed << np.uint64(8)) | data[at]
+    # Of each byte itself and the seven before it as an integer, latest first: the text backwards, read at every byte.
+    back = np.ndarray(len(raw), ">u8", raw[::-1] + bytes(8), strides=(1,))[::-1]
+    packed = back[:-1][real[1:]].astype(np.uint64)
+    packed >>= np.uint64(64 - 8 * DEPTH)
+    packed <<= np.uint64(8)
+    packed |= data[1:][real[1:]]
+    return packed
 
 
 def blocks(bodies: list[bytes]):
@@ -108,6 +111,42 @@ def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[starts], np.diff(starts, append=len(keys))
 
 
+def counted(keys: np.ndarray, learns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, and how often each occurs where learns is 1. Keys leave a byte free, whose last bit is used."""
+    both = keys << np.uint64(1)
+    both |= learns
+    both.sort()
+    all_ = both >> np.uint64(1)
+    starts = np.flatnonzero(np.concatenate([all_[:1] == all_[:1], all_[1:] != all_[:-1]]))
+    both &= np.uint64(1)
+    return all_[starts], np.add.reduceat(both, starts).astype(np.uint32) if len(starts) else np.empty(0, np.uint32)
+
+
+def by_key(keys: np.ndarray, sizes: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, and by position in the order of keys the place of its key among them and of its part; parts of these sizes stand one after another.
+
+    Positions are dealt out by the first two bytes of a key; the rest and the part are sorted as one integer, which has room for the parts of a block.
+    """
+    rest = np.uint64(8 * (DEPTH + 1) - 16)
+    own = np.uint64(64) - rest
+    head = (keys >> rest).astype(np.uint16)
+    ends = np.cumsum(np.bincount(head, minlength=1 << 16))
+    both = keys << own
+    both |= np.repeat(np.arange(len(sizes), dtype=np.uint32), sizes)
+    both = both[np.argsort(head, kind="stable")]
+    heads = np.flatnonzero(np.diff(ends, prepend=0))
+    new, low = np.zeros(len(keys), bool), 0
+    for high in ends[heads].tolist():
+        both[low:high].sort()
+        new[low], low = True, high
+    rests = both >> own
+    new[1:] |= rests[1:] != rests[:-1]
+    starts = np.flatnonzero(new)
+    all_ = (np.searchsorted(ends, starts, side="right").astype(np.uint64) << rest) | rests[starts]
+    both &= (np.uint64(1) << own) - np.uint64(1)
+    return all_, np.cumsum(new) - 1, both.astype(np.int64)
+
+
 def packed(values: np.ndarray) -> bytes:
     """The values, whole numbers, compressed: their bytes, all first bytes first."""
     return zstandard.compress(values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes(), 1)
@@ -260,8 +299,12 @@ def join_top(rows) -> dict:
     return out
 
 
-def word_shard(word: bytes, shards: int) -> int:
-    return -1 - xxhash.xxh3_64_intdigest(word) % shards
+def words_by_shard(words, shards: int) -> dict[int, list[bytes]]:
+    """Different words by their shard, sorted; shards of words are numbered from -1 down."""
+    lists, digest = [[] for _ in range(shards)], xxhash.xxh3_64_intdigest
+    for w in words:
+        lists[digest(w) % shards].append(w)
+    return {-1 - k: sorted(some) for k, some in enumerate(lists) if some}
 
 
 def bundled(rows: DataFrame) -> DataFrame:
@@ -317,23 +360,22 @@ def letters(cuts: np.ndarray, word_shards: int):
         bodies = [body(w) for w in words]
         keys, n = np.empty(0, np.uint64), np.empty(0, np.uint32)
         for some, own in blocks(bodies):
-            counted = np.repeat([learns[i] for i, _ in own], [k for _, k in own])
-            old, times = distinct(np.sort(some[counted]))
-            all_, _ = distinct(np.sort(np.concatenate([old, distinct(np.sort(some[~counted]))[0], keys])))
+            found, times = counted(some, np.repeat(np.array([learns[i] for i, _ in own], np.uint8), [k for _, k in own]))
+            if not len(keys):
+                keys, n = found, times
+                continue
+            all_, _ = distinct(np.sort(np.concatenate([found, keys])))
             counts = np.zeros(len(all_), np.uint32)
             counts[np.searchsorted(all_, keys)] = n
-            counts[np.searchsorted(all_, old)] += times.astype(np.uint32)
+            counts[np.searchsorted(all_, found)] += times
             keys, n = all_, counts
         out, ends = [], [0, *np.searchsorted(keys, cuts).tolist(), len(keys)]
         for shard, (lo, hi) in enumerate(zip(ends, ends[1:], strict=False)):
             if hi > lo:
                 out.append((shard, at, packed_sorted(keys[lo:hi]), packed(n[lo:hi])))
-        by_shard = {}
-        for w, c in word_counts(words, learns).items():
-            by_shard.setdefault(word_shard(w, word_shards), []).append((w, c))
-        for shard, some in by_shard.items():
-            names, times = zip(*sorted(some), strict=True)
-            out.append((shard, at, zstandard.compress(b" ".join(names), 1), packed(np.array(times, np.uint32))))
+        times = word_counts(words, learns)
+        for shard, some in words_by_shard(times, word_shards).items():
+            out.append((shard, at, zstandard.compress(b" ".join(some), 1), packed(np.array([times[w] for w in some], np.uint32))))
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int64(), pa.int64(), pa.binary(), pa.binary()], strict=True)], names=["shard", "chunk", "keys", "n"])
 
     return write
@@ -422,28 +464,24 @@ def scored(word_shards: int, key: str, kind):
         if not chunk.num_rows:
             return pa.Table.from_arrays([pa.array([], t) for t in [kind, pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()]], names=[key, "n_tokens", "n_known", "base_score", "score", "n_bytes"])
         words = texts_of(chunk)
-        learns = [False] * len(words)
         bodies = [body(w) for w in words]
         by_shard = dict(zip(said.column("shard").to_pylist(), said.column("answer").to_pylist(), strict=True))
         logs = np.concatenate([np.empty(0, np.uint16), *[unpacked(by_shard[s], np.uint16) for s in sorted(by_shard) if s >= 0]])
-        seen = {}
-        for w in word_counts(words, learns):
-            seen.setdefault(word_shard(w, word_shards), []).append(w)
-        counts = {}
-        for shard, some in seen.items():
-            counts.update(zip(sorted(some), unpacked(by_shard[shard], np.int64).tolist(), strict=True))
-        found = [(*np.unique(some, return_inverse=True), own) for some, own in blocks(bodies)]
+        gain = {}
+        for shard, some in words_by_shard(set().union(*words), word_shards).items():
+            gain.update(zip(some, np.log10(unpacked(by_shard[shard], np.int64) + 1).tolist(), strict=True))
+        found = [(*by_key(some, [k for _, k in own]), own) for some, own in blocks(bodies)]
         keys = distinct(np.sort(np.concatenate([f[0] for f in found])))[0] if len(found) > 1 else found[0][0]
         scores = np.zeros(len(words), np.int64)
-        for own_keys, of, own in found:
-            each = logs[np.searchsorted(keys, own_keys)].astype(np.int64)[of]
-            sizes = [k for _, k in own]
-            np.add.at(scores, [i for i, _ in own], np.add.reduceat(each, np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)))
+        for own_keys, of, part, own in found:
+            each = logs[np.searchsorted(keys, own_keys)] if len(found) > 1 else logs
+            # Steps are whole numbers, whose sums doubles hold exactly.
+            np.add.at(scores, [i for i, _ in own], np.bincount(part, each[of], len(own)).astype(np.int64))
         base, known = [], []
         for w in words:
-            found = [(n, counts[x]) for x, n in Counter(w).items()]
-            base.append(sum(n * log10(c + 1) for n, c in found))
-            known.append(sum(n for n, c in found if c))
+            gains = list(map(gain.__getitem__, w))
+            base.append(sum(gains))
+            known.append(len(gains) - gains.count(0.0))
         return pa.Table.from_arrays(
             [chunk.column("key").cast(kind), pa.array([len(w) + 1 for w in words], pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(-scores / STEPS), pa.array([len(b) for b in bodies], pa.int64())],
             names=[key, "n_tokens", "n_known", "base_score", "score", "n_bytes"],

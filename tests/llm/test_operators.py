@@ -114,6 +114,22 @@ def plain_score(x, counts, total):
     return out
 
 
+def test_ctw_positions():
+    """Sequences, their counts in training texts, and positions in the order of sequences, against plain Python."""
+    bodies = [b"aba \n", b"\n", b"ab \xc3\xa9 \n", b"aba \n"]
+    plain = []
+    for i, x in enumerate(bodies):
+        padded = b"\n" * ctw.DEPTH + x
+        plain += [(int.from_bytes(padded[k - ctw.DEPTH : k][::-1] + padded[k : k + 1], "big"), i) for k in range(ctw.DEPTH, len(padded))]
+    keys = ctw.grams(bodies)
+    assert keys.tolist() == [k for k, _ in plain]
+    found, times = ctw.counted(keys, np.repeat(np.array([1, 0, 0, 1], np.uint8), [len(x) for x in bodies]))
+    assert dict(zip(found.tolist(), times.tolist(), strict=True)) == {k: sum(x == k and i in (0, 3) for x, i in plain) for k, _ in plain}
+    all_, of, part = ctw.by_key(keys, [len(x) for x in bodies])
+    assert all_.tolist() == found.tolist() == sorted({k for k, _ in plain})
+    assert list(zip(all_[of].tolist(), part.tolist(), strict=True)) == sorted(plain)
+
+
 @pytest.mark.parametrize("shard_bytes", [10**9, 400])
 def test_ctw_against_plain_trees(spark, monkeypatch, shard_bytes):
     """One shard or many, and many chunks: the same scores as of plain trees in one place."""
