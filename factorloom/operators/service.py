@@ -309,10 +309,13 @@ def staged(payloads: dict[str, DataFrame], snapshot_id: str) -> DataFrame:
 
 def restamped(rows: DataFrame, schemas: dict[str, str], stamps: dict[str, str], snapshot_id: str) -> DataFrame:
     """Staged rows under a new snapshot; payloads named in schemas (name -> its columns as DDL) carry the stamps, which replace fields they had under these names. Others stay as they were."""
-    payload = F.col("payload")
-    for name, schema in sorted(schemas.items()):
-        read = F.from_json("payload", schema)
-        for field, value in sorted(stamps.items()):
-            read = read.withField(field, F.lit(value))
-        payload = F.when(F.col("name") == name, F.to_json(read, {"ignoreNullFields": "false"})).otherwise(payload)
+    payload, read = F.col("payload"), {}
+    for i, (name, schema) in enumerate(sorted(schemas.items())):
+        at = f"_read{i}"
+        read[at] = F.when(F.col("name") == name, F.from_json("payload", schema))
+        names = rows.select(read[at].alias(at)).schema[at].dataType.names
+        # The parsed payload is a column of its own, as an expression it would be parsed again for each field (so does withField).
+        fields = [F.lit(stamps[c]).alias(c) if c in stamps else F.col(at)[c].alias(c) for c in names] + [F.lit(v).alias(c) for c, v in sorted(stamps.items()) if c not in names]
+        payload = F.when(F.col("name") == name, F.to_json(F.when(F.col(at).isNotNull(), F.struct(*fields)), {"ignoreNullFields": "false"})).otherwise(payload)
+    rows = rows.withColumns(read) if read else rows
     return rows.withColumn("payload", payload).select(F.lit(snapshot_id).alias("snapshot"), "name", F.md5("payload").alias("place"), "payload")

@@ -256,7 +256,8 @@ def n10b(spark, d):
     first = A.holdings(spark, d).withColumn("run_id", F.lit("run-1"))
     rows = V.staged({"portfolio": first, "universe": A.registry(spark, d)}, "snap-1")
     again = V.restamped(rows, {"portfolio": "account string, ric string, quantity long, run_id string"}, {"run_id": "run-2", "snapshot_id": "snap-2"}, "snap-2")
-    return again.select("snapshot", "name", *[F.get_json_object("payload", f"$.{c}").alias(c) for c in ("account", "ric", "quantity", "run_id", "snapshot_id")])
+    fields = F.from_json("payload", "account string, ric string, quantity string, run_id string, snapshot_id string")
+    return again.select("snapshot", "name", fields.alias("fields")).select("snapshot", "name", "fields.*")
 
 
 @query("n13_factor_sections", G.PANEL + ", lt AS (SELECT * FROM panel WHERE date = (SELECT max(date) FROM panel)) SELECT industry, count(*) AS n, count(DISTINCT ric) AS rics, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std FROM lt GROUP BY 1")

@@ -119,3 +119,11 @@ def test_fingerprint(spark):
     md5 = lambda text: hashlib.md5(text.encode()).hexdigest()
     found = {r["account"]: (r["n"], r["signature"]) for r in D.fingerprint(spark.createDataFrame(rows, "account string, ric string, quantity long"), "account", ["ric", "quantity"]).collect()}
     assert found == {a: (sum(r[0] == a for r in rows), md5(",".join(sorted(md5(f"{ric}|{q}") for b, ric, q in rows if b == a)))) for a in ("a", "b")}
+
+
+def test_restamped_parses_once(spark):
+    """A payload is parsed once a row, not once a field; a null one stays null."""
+    rows = spark.createDataFrame([("s1", "book", "p", '{"ric":"A","n":1,"run_id":"run-1"}'), ("s1", "book", "q", None)], "snapshot string, name string, place string, payload string")
+    again = V.restamped(rows, {"book": "ric string, n long, run_id string"}, {"run_id": "run-2", "stamp": "x"}, "s2")
+    assert again._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+    assert [r.payload for r in again.orderBy("place").collect()] == [None, '{"ric":"A","n":1,"run_id":"run-2","stamp":"x"}']
