@@ -105,9 +105,9 @@ def daily_returns_job(sections: DataFrame, root: str, settings: dict, *, batch:
 
 
 def history_job(raw: DataFrame, root: str, settings: dict, *, batch: int = BATCH) -> int:
-    """Published cross-sections: raw descriptors by date and security, the styles made of them, and their scores (X.STYLES, X.CONTROLS); the ledger's version."""
+    """Published cross-sections: raw descriptors by date and security, the styles made of them, and their scores (X.STYLES, X.CONTROLS); the ledger's version. Setting literal: as of scored_styles."""
 
     def compute(asked: DataFrame) -> dict[str, DataFrame]:
-        return {"sections": X.styled(raw.join(F.broadcast(asked), "date"), "date", "cap", "industry", "core")}
+        return {"sections": X.styled(raw.join(F.broadcast(asked), "date"), "date", "cap", "industry", "core", settings.get("literal", False))}
 
     return resumed(raw.sparkSession, root, settings, raw.select("date").distinct(), ["sections"], compute, batch=batch)

@@ -100,8 +100,9 @@ def n01b(spark, d):
     facts = A.fundamentals(spark, d).select("ric", "as_of_date", "seq", *[F.expr(x).cast("double").alias(c) for c, x in FACTS.items()])
     raw = K.stored(V.raw_sections(A.long_prices(spark, d), facts, A.registry(spark, d), lag=3, long_lag=10), "raw")
     root = K.shared_folder(spark, "history")
-    J.history_job(raw.where("date < '1996-01-01'"), root, {"method": "1"}, batch=10_000)
-    J.history_job(raw, root, {"method": "1"}, batch=10_000)
+    settings = {"method": "1", "literal": True}
+    J.history_job(raw.where("date < '1996-01-01'"), root, settings, batch=10_000)
+    J.history_job(raw, root, settings, batch=10_000)
     return J.table(spark, root, "sections").select("date", "ric", "core", *[sql_round(F.col(f"`{s}`"), 4).alias(G.column_of(s)) for s in X.STYLES])
 
 
